@@ -13,9 +13,6 @@ from lakescribe.model import ARGUMENT, FRAMES
 
 Frames = dict[str, DataFrame]
 
-NO_ARGUMENTS = F.lit(None).cast(T.ArrayType(ARGUMENT))
-
-
 def text(name: str | Column) -> Column:
     """Missing text is ''."""
     return F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
@@ -45,6 +42,10 @@ def ordered(position: str, value: Column) -> Column:
     return F.transform(pairs, lambda p: p["v"])
 
 
+def no_arguments() -> Column:
+    return F.array().cast(T.ArrayType(ARGUMENT))
+
+
 def argument(name: Column, position: Column, mode: Column, data_type: Column, default: Column) -> Column:
     return F.struct(
         name.alias("name"), position.cast("int").alias("position"), mode.alias("mode"),

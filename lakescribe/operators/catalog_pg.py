@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakescribe.functions.signature import postgresql_signature
-from lakescribe.operators.catalog_common import NO_ARGUMENTS, Frames, finish, first_target, flag, ordered, text
+from lakescribe.operators.catalog_common import Frames, finish, first_target, flag, no_arguments, ordered, text
 from lakescribe.operators.filters import Schemas, filter_schemas
 
 DIALECT = "postgresql"
@@ -215,7 +215,7 @@ def pg_routines(frames: Frames, schemas: Schemas = None) -> DataFrame:
         name=F.col("proname"), comment=text("comment"),
         signature=postgresql_signature(F.col("type"), F.col("proname"), text("identity_args"), text("return_type")),
         return_type=F.when(F.col("type") == "FUNCTION", text("return_type")).otherwise(F.lit("")),
-        language=F.col("lanname"), arguments=F.coalesce(NO_ARGUMENTS, F.array()),
+        language=F.col("lanname"), arguments=no_arguments(),
     )
 
 
