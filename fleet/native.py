@@ -7,14 +7,16 @@ come from exploding the constant seed on each customer: a narrow step without a
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleet import seed
-from lakescribe.sources.native import NATIVE
+from lakescribe.model import LazyFrames
+from lakescribe.sources.native import NATIVE, native_schema
 
-Frames = dict[str, DataFrame]
+Frames = Mapping[str, DataFrame]
 
 TABLE_OF = {t[0]: t for t in seed.TABLES}
 NAMES = {**{t[0]: t[1] for t in seed.TABLES}, seed.VIEW[0]: seed.VIEW[1]}
@@ -43,24 +45,40 @@ def sources(customer: DataFrame, dialect: str) -> DataFrame:
 
 
 class _Dump:
-    """Builds the native relations of one dialect from seed rows."""
+    """Collects how the native relations of one dialect are built from seed rows."""
 
     def __init__(self, customer: DataFrame, dialect: str):
-        self.base, self.dialect, self.frames = sources(customer, dialect), dialect, {}
+        self.base, self.dialect = sources(customer, dialect), dialect
+        self.builders: dict[str, Callable[[], DataFrame]] = {}
+
+    def frames(self) -> Frames:
+        return LazyFrames(self.builders)
 
     def add(
-        self, relation: str, rows: list[dict], fields: str, /, where: str | None = None, **values: Column
+        self,
+        relation: str,
+        rows: list[dict],
+        fields: str,
+        /,
+        where: str | None = None,
+        drop: Callable[[], Column] | None = None,
+        **values: Column,
     ) -> None:
-        """`fields` types the seed rows; columns of the relation are taken from `values` or by name."""
-        # A constant that the optimizer folds to one array.
-        array = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{fields}>>")
-        base = self.base.where(where) if where else self.base
-        wide = base.select("*", F.inline(array))
-        chosen = []
-        for field in NATIVE[self.dialect][relation].split(", "):
-            name, kind = field.split(" ", 1)
-            chosen.append((values[name] if name in values else F.col(name)).cast(kind).alias(name))
-        self.frames[relation] = wide.select("source_id", *chosen)
+        """`fields` types the seed rows; columns of the relation are taken from `values` or by name.
+        `where` chooses sources, `drop` leaves out built rows."""
+
+        def build() -> DataFrame:
+            # A constant that the optimizer folds to one array.
+            array = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{fields}>>")
+            base = self.base.where(where) if where else self.base
+            wide = base.select("*", F.inline(array))
+            schema = native_schema(self.dialect, relation)
+            built = wide.select(*[
+                values[f.name].cast(f.dataType).alias(f.name) if f.name in values else f.name for f in schema.fields
+            ]).to(schema)
+            return built.where(~drop()) if drop else built
+
+        self.builders[relation] = build
 
 
 def _owner(role: str = "role") -> Column:
@@ -78,9 +96,14 @@ def _column_name(name: str = "cname") -> Column:
     return F.when(F.col("renames") & (F.col(name) == old), F.lit(seed.RENAMED[2])).otherwise(F.col(name))
 
 
+def _blank(position: str) -> Column:
+    """Whether a landed column comment is one of those that this source lacks."""
+    return (F.floor(F.col("source_id") / 4) + F.col(position)) % 3 == 0
+
+
 def _comment(missing: Column) -> Column:
     """Column comment of this source, or the dialect's form of none."""
-    blank = ((F.col("k") + F.col("pos")) % 3 == 0) | (F.col("note") == "")
+    blank = _blank("pos") | (F.col("note") == "")
     return F.when(blank, missing).otherwise(F.col("note"))
 
 
@@ -135,6 +158,7 @@ def postgresql(customer: DataFrame) -> Frames:
     ]
     relations += [
         {"oid": oid(i), "relname": name, "relnamespace": roles[seed.MAIN], "relkind": "S"} for i, name, *_ in seed.SEQUENCES
+        if i != 43  # PostgreSQL sequences end at 64 bits
     ]
     d.add("pg_class", relations, "oid long, relname string, relnamespace long, relkind string, relam long, n long",
           live_tuples=F.col("n") + F.col("k"))
@@ -148,9 +172,8 @@ def postgresql(customer: DataFrame) -> Frames:
     notes += [{"o": oid(t[0]), "s": 0, "c": "pg_trigger", "note": t[7]} for t in seed.TRIGGERS]
     notes += [{"o": oid(c[0]), "s": c[1], "c": "pg_class", "note": c[5]} for c in seed.COLUMNS]
     d.add("pg_description", [n for n in notes if n["note"]], "o long, s int, c string, note string",
-          objoid=F.col("o"), objsubid=F.col("s"), classname=F.col("c"), description=F.col("note"))
-    blank = (F.col("objsubid") > 0) & ((F.floor(F.col("source_id") / 4) + F.col("objsubid")) % 3 == 0)
-    d.frames["pg_description"] = d.frames["pg_description"].where(~blank)
+          objoid=F.col("o"), objsubid=F.col("s"), classname=F.col("c"), description=F.col("note"),
+          drop=lambda: (F.col("objsubid") > 0) & _blank("objsubid"))
     attributes = _column_rows("postgresql")
     hidden = {"role": seed.MAIN, "dtype": "tid", "nullable_": False, "note": ""}
     attributes.append({**hidden, "t": 2, "pos": 5, "cname": "........pg.dropped.5........", "dropped": True})
@@ -196,9 +219,7 @@ def postgresql(customer: DataFrame) -> Frames:
     ]
     triggers.append({**triggers[0], "oid": oid(59), "tgname": "RI_trigger", "tgisinternal": True})  # left out
     d.add("pg_trigger", triggers, NATIVE["postgresql"]["pg_trigger"], where="has_triggers")
-    # PostgreSQL sequences end at 64 bits, so the third one does not exist.
-    d.frames["pg_class"] = d.frames["pg_class"].where("oid <> 16043")
-    return d.frames
+    return d.frames()
 
 
 _SEQUENCE_FIELDS = "i int, sname string, lo string, hi string, step string, last string, cache int, note string"
@@ -281,7 +302,7 @@ def mysql(customer: DataFrame) -> Frames:
            for _, n, t, timing, events, *_ in seed.TRIGGERS if t != 8],
           "trigger_name string, event_object_table string, action_timing string, event_manipulation string",
           where="has_triggers", trigger_schema=F.col("main_owner"), event_object_schema=F.col("main_owner"))
-    return d.frames
+    return d.frames()
 
 
 def oracle(customer: DataFrame) -> Frames:
@@ -370,7 +391,7 @@ def oracle(customer: DataFrame) -> Frames:
           "synonym_name string, table_name string", where="has_synonyms",
           owner=F.when(F.col("synonym_name") == "PAY", F.col("main_owner")).otherwise(F.lit("PUBLIC")),
           table_owner=F.col("main_owner"), db_link=F.lit(None))
-    return d.frames
+    return d.frames()
 
 
 def mssql(customer: DataFrame) -> Frames:
@@ -402,9 +423,8 @@ def mssql(customer: DataFrame) -> Frames:
     notes += [{"class": 1, "o": oid(t[0]), "pos": 0, "note": t[7]} for t in seed.TRIGGERS]
     notes += [{"class": 1, "o": oid(s[0]), "pos": 0, "note": s[3]} for s in seed.SYNONYMS]
     d.add("extended_properties", [n for n in notes if n["note"]], "class int, o long, pos int, note string",
-          major_id=F.col("o"), minor_id=F.col("pos"), name=F.lit("MS_Description"), value=F.col("note"))
-    blank = (F.col("class") == 1) & (F.col("minor_id") > 0) & ((F.floor(F.col("source_id") / 4) + F.col("minor_id")) % 3 == 0)
-    d.frames["extended_properties"] = d.frames["extended_properties"].where(~blank)
+          major_id=F.col("o"), minor_id=F.col("pos"), name=F.lit("MS_Description"), value=F.col("note"),
+          drop=lambda: (F.col("class") == 1) & (F.col("minor_id") > 0) & _blank("minor_id"))
     type_names = sorted({t["mssql"][0] for t in seed.TYPES.values()})
     type_ids = {name: 100 + i for i, name in enumerate(type_names)}
     columns = [{**c, "type_id": type_ids[c["dtype"]]} for c in _column_rows("mssql")]
@@ -462,7 +482,7 @@ def mssql(customer: DataFrame) -> Frames:
           "object_id long, schema_id int, name string, tname string", where="has_synonyms",
           base_object_name=F.when(F.col("name") == "EMP", F.concat(schema, target))
           .when(F.col("name") == "DEPT", F.concat(database, schema, target)).otherwise(target))
-    return d.frames
+    return d.frames()
 
 
 BUILDERS = {"postgresql": postgresql, "mysql": mysql, "oracle": oracle, "mssql": mssql}

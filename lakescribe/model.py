@@ -5,7 +5,7 @@ No frame here may ever hold the body, definition or source text of a view, routi
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 
 import pyarrow as pa
@@ -13,7 +13,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-Catalog = dict[str, DataFrame]
+
+
+class LazyFrames(Mapping[str, DataFrame]):
+    """Named frames, each built when it is first asked for: a report plans only the kinds it reads."""
+
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame]]):
+        self._builders, self._built = dict(builders), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+Catalog = Mapping[str, DataFrame]
 
 _TYPES = {
     "s": T.StringType(),
@@ -93,7 +113,7 @@ def empty(spark: SparkSession, frame: str) -> DataFrame:
 
 def conform(df: DataFrame, frame: str) -> DataFrame:
     """Select the canonical columns in order, with the canonical types."""
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in FRAMES[frame].fields])
+    return df.to(FRAMES[frame])
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

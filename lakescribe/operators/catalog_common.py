@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lakescribe.functions.dialect import LABELS
 from lakescribe.model import ARGUMENT, FRAMES
 
-Frames = dict[str, DataFrame]
+Frames = Mapping[str, DataFrame]
 
 def text(name: str | Column) -> Column:
     """Missing text is ''."""
@@ -29,10 +29,9 @@ def flag(name: str) -> Column:
 
 def finish(df: DataFrame, frame: str, dialect: str, **values: Column) -> DataFrame:
     """The canonical frame: named values, and columns of the frame that already exist under their name."""
-    fields = FRAMES[frame].fields
     chosen = {"dialect": F.lit(dialect), **values}
-    return df.select(*[(chosen[f.name] if f.name in chosen else F.col(f.name)).cast(f.dataType).alias(f.name)
-                       for f in fields])
+    names = FRAMES[frame].names
+    return df.select(*[chosen[n].alias(n) if n in chosen else n for n in names]).to(FRAMES[frame])
 
 
 def ordered(position: str, value: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
-from lakescribe.model import OBJECT_KINDS, Catalog, union_all
+from lakescribe.model import OBJECT_KINDS, Catalog, LazyFrames, union_all
 
 # The columns that order each frame.
 ORDER = {
@@ -20,9 +22,10 @@ ORDER = {
 }
 
 
-def union_dialects(catalogs: list[Catalog]) -> Catalog:
+def union_dialects(catalogs: Sequence[Catalog]) -> Catalog:
     """One canonical frame per kind from the catalogs of all dialects."""
-    return {kind: union_all([c[kind] for c in catalogs]) for kind in ("sources", "columns", *OBJECT_KINDS)}
+    kinds = ("sources", "columns", *OBJECT_KINDS)
+    return LazyFrames({kind: lambda kind=kind: union_all([c[kind] for c in catalogs]) for kind in kinds})
 
 
 def flatten_indexes(indexes: DataFrame, tables: DataFrame) -> DataFrame:

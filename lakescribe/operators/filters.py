@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescribe.model import OBJECT_KINDS, Catalog
+from lakescribe.model import OBJECT_KINDS, Catalog, LazyFrames
 
 ALL = "*"
 Schemas = Sequence[str] | str | None
@@ -53,33 +53,33 @@ class ObjectFilter:
     tables: Sequence[str] = ()
     exclude_system: bool = False
     row_counts: bool = True
-    _table_column: dict[str, str] = field(
-        default_factory=lambda: {"tables": "name", "columns": "table_name", "indexes": "table_name",
-                                 "triggers": "target_table"},
-        repr=False,
-    )
+
+
+# Where a frame names the table that it belongs to, and which frames have excludable types.
+_TABLE_NAME = {"tables": "name", "columns": "table_name", "indexes": "table_name", "triggers": "target_table"}
+_TYPED = ("tables", "views", "routines", "indexes")
+
+
+def _filter_kind(kind: str, df: DataFrame, cfg: ObjectFilter) -> DataFrame:
+    if kind in OBJECT_KINDS and kind not in cfg.include:
+        return df.where(F.lit(False))  # folded away with everything below it
+    if kind == "columns":  # go with the object they belong to
+        for owner_kind, object_kind in (("tables", "TABLE"), ("views", "VIEW")):
+            if owner_kind not in cfg.include:
+                df = df.where(F.col("object_kind") != object_kind)
+    if cfg.exclude_types and kind in _TYPED:
+        df = df.where(~F.col("type").isin(*cfg.exclude_types))
+    if cfg.exclude_system and "owner" in df.columns:
+        for dialect, owners in SYSTEM_OWNERS.items():
+            df = df.where(~((F.col("dialect") == dialect) & F.col("owner").isin(*owners)))
+    if cfg.tables and kind in _TABLE_NAME:
+        named = F.col(_TABLE_NAME[kind]).isin(*cfg.tables)
+        df = df.where(named if kind != "columns" else named | (F.col("object_kind") != "TABLE"))
+    if kind == "tables" and not cfg.row_counts:
+        df = df.withColumn("row_count", F.lit(0).cast("long"))
+    return df
 
 
 def filter_objects(cat: Catalog, cfg: ObjectFilter) -> Catalog:
     """Leave out kinds, types, tables and system owners; frames that are left out stay, without rows."""
-    kept: Catalog = {}
-    for kind, df in cat.items():
-        if kind in OBJECT_KINDS and kind not in cfg.include:
-            df = df.where(F.lit(False))  # folded away with everything below it
-        if cfg.exclude_types and "type" in df.columns and kind in ("tables", "views", "routines", "indexes"):
-            df = df.where(~F.col("type").isin(*cfg.exclude_types))
-        if cfg.exclude_system and "owner" in df.columns:
-            for dialect, owners in SYSTEM_OWNERS.items():
-                df = df.where(~((F.col("dialect") == dialect) & F.col("owner").isin(*owners)))
-        if cfg.tables and kind in cfg._table_column:
-            named = F.col(cfg._table_column[kind]).isin(*cfg.tables)
-            df = df.where(named if kind != "columns" else named | (F.col("object_kind") != "TABLE"))
-        if kind == "tables" and not cfg.row_counts:
-            df = df.withColumn("row_count", F.lit(0).cast("long"))
-        kept[kind] = df
-    # Columns and indexes go with the object they belong to.
-    if "columns" in kept:
-        hidden = [k for k, o in (("tables", "TABLE"), ("views", "VIEW")) if k not in cfg.include]
-        for kind in hidden:
-            kept["columns"] = kept["columns"].where(F.col("object_kind") != ("TABLE" if kind == "tables" else "VIEW"))
-    return kept
+    return LazyFrames({kind: lambda kind=kind: _filter_kind(kind, cat[kind], cfg) for kind in cat})

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescribe.model import Catalog, empty
+from lakescribe.model import Catalog, LazyFrames, empty
 from lakescribe.operators import catalog_mssql as ms
 from lakescribe.operators import catalog_mysql as my
 from lakescribe.operators import catalog_oracle as ora
@@ -59,15 +59,19 @@ class ExtractConfig:
 
 
 def extract_dialect(frames: Frames, dialect: str, cfg: ExtractConfig) -> Catalog:
-    spark = frames["database_info"].sparkSession
     stamp = (cfg.extracted_at or datetime.now(timezone.utc)).astimezone(timezone.utc)
+    micros = int(stamp.timestamp() * 1_000_000)
     known = NORMALISERS[dialect]
-    catalog: Catalog = {
-        "sources": source_info(frames, dialect, F.timestamp_micros(F.lit(int(stamp.timestamp() * 1_000_000))))
-    }
-    for kind in KINDS:
-        catalog[kind] = known[kind](frames, cfg.schemas) if kind in known else empty(spark, kind)
-    catalog["indexes"] = flatten_indexes(catalog["indexes"], catalog["tables"])
+
+    def build(kind: str) -> DataFrame:
+        if kind == "sources":
+            return source_info(frames, dialect, F.timestamp_micros(F.lit(micros)))
+        if kind not in known:
+            return empty(frames["database_info"].sparkSession, kind)
+        df = known[kind](frames, cfg.schemas)
+        return flatten_indexes(df, catalog["tables"]) if kind == "indexes" else df
+
+    catalog = LazyFrames({kind: lambda kind=kind: build(kind) for kind in ("sources", *KINDS)})
     return catalog
 
 
