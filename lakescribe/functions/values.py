@@ -40,9 +40,17 @@ def scalar_columns(schema: T.StructType, *classes: str) -> list[T.StructField]:
     return [f for f in found if type_class(f.dataType) in classes] if classes else found
 
 
+def quoted(name: str) -> str:
+    """SQL name of a top-level column, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column(name: str) -> Column:
-    """Reference to a top-level column, whatever characters its name has."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def value_key(field: T.StructField) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 
 from lakescribe.functions.values import INTEGER, STRING, column, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
-from lakescribe.operators.profiles import Tables, approx_distinct_profile, scan_profile
+from lakescribe.operators.profiles import HASH_BITS, Tables, approx_distinct_profile, scan_profile
+
+ColumnFacts = dict[str, Any]  # a scan_profile row and approx_distinct
 
 HLL_RSD = 0.05
 # A sketch may only rule uniqueness out, and only this many standard errors away from it.
@@ -107,27 +110,59 @@ def distinct_profile(tables: Tables, approx: bool = False) -> DataFrame:
     return union_all(parts)
 
 
-def may_be_unique(fact: T.Row) -> bool:
-    """False only when a column surely has a duplicate, judged from its scan_profile row."""
+def _repeats_surely(fact: ColumnFacts) -> bool:
+    """Whether the scan facts alone show that a column has a duplicate."""
+    present = fact["n_rows"] - fact["n_nulls"]
+    if fact["min_long"] is not None:
+        return fact["max_long"] - fact["min_long"] + 1 < present  # fewer integers in the range than rows
+    if fact["max_bytes"] is not None and 256 ** (fact["max_bytes"] + 1) < present:
+        return True  # fewer strings of that length than rows
+    if fact["precision"] is not None and fact["scale"] <= 3 and not fact["n_odd"]:
+        if 2 * 10 ** fact["precision"] + 1 < present:
+            return True  # fewer numbers of that precision than rows
+    # So many different values would leave no hash bit unset, but for odds below 1e-14.
+    unset = fact["bits_low"] is not None and (fact["bits_low"], fact["bits_high"]) != (-1, -1)
+    return unset and present >= 40 * HASH_BITS
+
+
+def may_be_unique(fact: ColumnFacts) -> bool:
+    """False only when a column surely has a duplicate, or has no values to compare."""
     present = fact["n_rows"] - fact["n_nulls"]
-    if fact["approx_distinct"] is None or present == 0:
+    comparable = fact["min_long"] is not None or fact["min_hash"] is not None
+    if not comparable or present == 0 or _repeats_surely(fact):
         return False
-    if fact["min_long"] is not None and fact["max_long"] - fact["min_long"] + 1 < present:
-        return False  # fewer integers in the range than rows
-    return fact["approx_distinct"] >= present * (1 - HLL_SIGMAS * HLL_RSD)
+    approx = fact["approx_distinct"]
+    return approx is None or approx >= present * (1 - HLL_SIGMAS * HLL_RSD)
+
+
+def lake_facts(tables: Tables) -> list[ColumnFacts]:
+    """Facts of every column, on the driver: one small row per column of the lake.
+
+    One scan for all columns; then sketches, for those columns only that the first facts leave open.
+    """
+    facts = [{**row.asDict(), "approx_distinct": None} for row in scan_profile(tables).collect()]
+    # Dense integers are unique or nearly so; the exact check is as cheap as the sketch for them.
+    unclear = {(f["table_name"], f["column_name"]) for f in facts if may_be_unique(f) and f["min_long"] is None}
+    if unclear:
+        sketched = {
+            (r["table_name"], r["column_name"]): r["n_distinct"]
+            for r in approx_distinct_profile(tables, HLL_RSD, unclear).collect()
+        }
+        for fact in facts:
+            fact["approx_distinct"] = sketched.get((fact["table_name"], fact["column_name"]))
+    return facts
 
 
 def key_candidates(tables: Tables) -> DataFrame:
     """Per scalar column: no duplicate among its non-null values, and no null besides.
 
-    The scan profile rules out columns that surely repeat, so that the second pass reads and
-    shuffles the survivors only; those are decided exactly.
+    The facts rule out columns that surely repeat, so that the second pass reads and shuffles the
+    survivors only; those are decided exactly.
     """
-    facts = scan_profile(tables, HLL_RSD).collect()  # one row per column of the lake
-    return key_candidates_from(tables, facts)
+    return key_candidates_from(tables, lake_facts(tables))
 
 
-def key_candidates_from(tables: Tables, facts: Iterable[T.Row]) -> DataFrame:
+def key_candidates_from(tables: Tables, facts: Iterable[ColumnFacts]) -> DataFrame:
     spark = _spark(tables)
     scalar = {(t, f.name) for t, df in tables.items() for f in scalar_columns(df.schema)}
     rows = [r for r in facts if (r["table_name"], r["column_name"]) in scalar]
@@ -158,22 +193,24 @@ def key_candidates_from(tables: Tables, facts: Iterable[T.Row]) -> DataFrame:
 # --- inclusions -----------------------------------------------------------------------------------
 
 
-def _contains(parent: T.Row, child: T.Row) -> bool:
+def _contains(parent: ColumnFacts, child: ColumnFacts) -> bool:
     """False only when the bounds prove that a child value is missing from the parent."""
     if child["n_rows"] == child["n_nulls"] or parent["n_rows"] == parent["n_nulls"]:
         return False
     if child["min_long"] is not None:
         return parent["min_long"] <= child["min_long"] and child["max_long"] <= parent["max_long"]
     return (
-        parent["min_text"] <= child["min_text"]
-        and child["max_text"] <= parent["max_text"]
-        and parent["min_chars"] <= child["min_chars"]
+        parent["min_chars"] <= child["min_chars"]
         and child["max_chars"] <= parent["max_chars"]
         and child["max_bytes"] <= parent["max_bytes"]
+        and parent["min_hash"] <= child["min_hash"]
+        and child["max_hash"] <= parent["max_hash"]
+        and not child["bits_low"] & ~parent["bits_low"]
+        and not child["bits_high"] & ~parent["bits_high"]
     )
 
 
-def comparable_columns(tables: Tables, facts: Iterable[T.Row]) -> set[tuple[str, str]]:
+def comparable_columns(tables: Tables, facts: Iterable[ColumnFacts]) -> set[tuple[str, str]]:
     """Columns that must be read to find all inclusions: possible parents and their possible children."""
     classes = {(t, f.name): type_class(f.dataType) for t, df in tables.items() for f in df.schema.fields}
     needed: set[tuple[str, str]] = set()
@@ -281,6 +318,5 @@ def inclusions_from(sets: DataFrame) -> DataFrame:
 
 def inclusion_dependencies(tables: Tables) -> DataFrame:
     """All integer or string columns whose values lie in a unique column of the same class elsewhere."""
-    facts = scan_profile(tables, HLL_RSD).collect()  # one row per column of the lake
-    sets = column_sets(tables, comparable_columns(tables, facts))
+    sets = column_sets(tables, comparable_columns(tables, lake_facts(tables)))
     return inclusions_from(sets)

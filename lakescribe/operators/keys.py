@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from lakescribe.functions.values import INTEGER, column, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
-from lakescribe.operators.distincts import HLL_RSD, key_candidates_from
-from lakescribe.operators.profiles import Tables, scan_profile
+from lakescribe.operators.distincts import ColumnFacts, key_candidates_from, lake_facts
+from lakescribe.operators.profiles import Tables
 
 ForeignKey = tuple[str, str, str, str]  # child table, child column, parent table, parent column
 
@@ -96,7 +96,7 @@ def suggest_foreign_keys(inds: DataFrame) -> DataFrame:
     )
 
 
-def _steps(facts: Iterable[T.Row]) -> dict[tuple[str, str], tuple[int, int, int, int | None]]:
+def _steps(facts: Iterable[ColumnFacts]) -> dict[tuple[str, str], tuple[int, int, int, int | None]]:
     """(min, max, count, step) per integer column that has values; the step is only a candidate."""
     found = {}
     for r in facts:
@@ -132,13 +132,13 @@ def _off_step(tables: Tables, steps: dict[tuple[str, str], tuple[int, int, int,
 
 def sequence_profile(tables: Tables) -> DataFrame:
     """Range of every integer key, and its step when its values form an arithmetic progression."""
-    facts = scan_profile(tables, HLL_RSD).collect()  # one row per column of the lake
+    facts = lake_facts(tables)
     integers = {t: df.select(*[column(f.name) for f in scalar_columns(df.schema, INTEGER)])
                 for t, df in tables.items() if scalar_columns(df.schema, INTEGER)}
     return sequence_profile_from(integers, facts, key_candidates_from(integers, facts))
 
 
-def sequence_profile_from(tables: Tables, facts: Iterable[T.Row], keys: DataFrame) -> DataFrame:
+def sequence_profile_from(tables: Tables, facts: Iterable[ColumnFacts], keys: DataFrame) -> DataFrame:
     """As sequence_profile; keys has table_name, column_name and is_key."""
     spark = next(iter(tables.values())).sparkSession
     steps = _steps(facts)

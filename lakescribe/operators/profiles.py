@@ -1,34 +1,38 @@
 """Per-column facts that one scan of a table yields: rows, nulls, lengths, precision, bounds.
 
 Each table is aggregated once, with the facts of all its columns in the same aggregate; wide tables are
-cut into column groups so that one aggregate stays small, and the groups read disjoint columns.
+cut into column groups so that one aggregate stays small, and the groups read disjoint columns. Facts
+are SQL expressions, one string per column, since a lake may have very many columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakescribe.functions.values import (
-    DECIMAL,
     FLOAT,
     INTEGER,
     NUMERIC,
     STRING,
     column,
+    quoted,
     scalar_columns,
+    text_literal,
     type_class,
 )
 from lakescribe.model import union_all
 
 COLUMNS_PER_SCAN = 64
-PREFIX_CHARS = 32  # bounds of string columns are kept as prefixes, which still order correctly
 WIDE = "decimal(38,4)"
+LIMIT = "1e34"  # doubles from here on do not fit the wide decimal
+HASH_BITS = 128
 
 Tables = Mapping[str, DataFrame]
+Facts = dict[str, str]  # name of a fact -> SQL aggregate
 
 
 def row_counts(tables: Tables) -> DataFrame:
@@ -42,129 +46,143 @@ def row_counts(tables: Tables) -> DataFrame:
 def _per_column(
     tables: Tables,
     pick: Callable[[T.StructType], list[T.StructField]],
-    facts: Callable[[T.StructField], list[Column]],
-) -> DataFrame | None:
+    facts: Callable[[T.StructField], Facts],
+) -> DataFrame:
     """Long form (table_name, column_name, *facts): one aggregate per table and column group."""
     parts = []
     for table, df in tables.items():
         fields = pick(df.schema)
         for start in range(0, len(fields), COLUMNS_PER_SCAN):
             group = fields[start : start + COLUMNS_PER_SCAN]
-            wide = df.agg(
-                *[F.struct(F.lit(f.name).alias("column_name"), *facts(f)).alias(f"c{i}")
+            wide = df.selectExpr(
+                *[f"named_struct('column_name', {text_literal(f.name)}, "
+                  + ", ".join(f"'{fact}', {sql}" for fact, sql in facts(f).items()) + f") AS c{i}"
                   for i, f in enumerate(group)]
             )
-            parts.append(
-                wide.select(F.lit(table).alias("table_name"),
-                            F.inline(F.array(*[F.col(f"c{i}") for i in range(len(group))])))
-            )
-    return union_all(parts) if parts else None
-
-
-def _required(df: DataFrame | None) -> DataFrame:
-    if df is None:
+            listed = ", ".join(f"c{i}" for i in range(len(group)))
+            parts.append(wide.selectExpr(f"{text_literal(table)} AS table_name", f"inline(array({listed}))"))
+    if not parts:
         raise ValueError("no table has a column of the kind that is measured")
-    return df
+    return union_all(parts)
 
 
-def _nulls(field: T.StructField) -> list[Column]:
-    present = F.count(column(field.name))
-    rows = F.count(F.lit(1))
-    return [
-        rows.alias("n_rows"),
-        (rows - present).alias("n_nulls"),
-        (rows > present).alias("nullable"),
-    ]
+def _nulls(field: T.StructField) -> Facts:
+    c = quoted(field.name)
+    return {"n_rows": "count(1)", "n_nulls": f"count(1) - count({c})", "nullable": f"count(1) > count({c})"}
 
 
 def null_profile(tables: Tables) -> DataFrame:
     """Rows, nulls and nullability of every column, nested ones included."""
-    return _required(_per_column(tables, lambda schema: list(schema.fields), _nulls))
+    return _per_column(tables, lambda schema: list(schema.fields), _nulls)
 
 
-def _lengths(field: T.StructField) -> list[Column]:
-    value = column(field.name)
-    return [
-        F.min(F.length(value)).alias("min_chars"),
-        F.max(F.length(value)).alias("max_chars"),
-        F.max(F.octet_length(value)).alias("max_bytes"),
-    ]
+def _lengths(field: T.StructField) -> Facts:
+    c = quoted(field.name)
+    return {"min_chars": f"min(length({c}))", "max_chars": f"max(length({c}))", "max_bytes": f"max(octet_length({c}))"}
 
 
 def length_profile(tables: Tables) -> DataFrame:
     """Shortest and longest value of string columns, in characters, and the most bytes."""
-    return _required(_per_column(tables, lambda schema: scalar_columns(schema, STRING), _lengths))
+    return _per_column(tables, lambda schema: scalar_columns(schema, STRING), _lengths)
 
 
-def _scale_of(value: Column) -> Column:
+def _scale_by_text(c: str) -> str:
     """Digits after the point that are left when trailing zeros are removed."""
-    fraction = F.substring_index(value.try_cast(WIDE).cast("string"), ".", -1)
-    return F.length(F.rtrim(fraction, F.lit("0")))
+    return f"length(trim(TRAILING '0' FROM substring_index(CAST(try_cast({c} AS {WIDE}) AS string), '.', -1)))"
+
+
+def _scale_of_double(c: str) -> str:
+    """As by text, but by arithmetic where that is exact: a double with at most three digits after the
+    point is the nearest one to rint(v * 10^k) / 10^k, and only it is. The rest takes the slow way."""
+    steps = " ".join(f"WHEN rint({c} * 1e{k}) / 1e{k} = {c} THEN {k}" for k in (1, 2, 3))
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN rint({c}) = {c} AND abs({c}) < 1e34 THEN 0 "
+            f"WHEN abs({c}) >= 1e11 THEN {_scale_by_text(c)} {steps} ELSE {_scale_by_text(c)} END")
 
 
-def _numbers(field: T.StructField) -> list[Column]:
-    value, cls = column(field.name), type_class(field.dataType)
+def _fitting(c: str, cls: str) -> str:
+    """Numbers that have a wide decimal form; leaves out NaN, infinities and larger numbers."""
+    if cls == FLOAT:
+        return f"CASE WHEN abs({c}) < {LIMIT} THEN {c} END"
+    return f"try_cast({c} AS {WIDE})" if cls != INTEGER else c
+
+
+def _numbers(field: T.StructField) -> Facts:
+    c, cls = quoted(field.name), type_class(field.dataType)
     if cls == INTEGER:
-        scale = F.when(F.count(value) > 0, F.lit(0))
+        scale = f"CASE WHEN count({c}) > 0 THEN 0 END"
     elif cls == FLOAT:
-        # Most measures are whole numbers or repeat; only the others pay for the text form.
-        scale = F.max(F.when(value == F.rint(value), F.lit(0)).otherwise(_scale_of(value)))
+        scale = f"max({_scale_of_double(f'CAST({c} AS double)')})"
     else:
-        scale = F.max(_scale_of(value))
-    low, high = F.min(value).try_cast(WIDE), F.max(value).try_cast(WIDE)
-    largest = F.greatest(F.abs(low), F.abs(high))
-    whole = F.substring_index(largest.cast("string"), ".", 1)
-    digits = F.when(whole == "0", F.lit(0)).otherwise(F.length(whole))
-    return [
-        # A column of zeros still has one digit.
-        F.greatest(digits + scale, F.when(digits.isNotNull(), F.lit(1))).cast("int").alias("precision"),
-        scale.cast("int").alias("scale"),
-    ]
+        scale = f"max({_scale_by_text(c)})"
+    fits = _fitting(c, cls)
+    largest = f"greatest(abs(try_cast(min({fits}) AS {WIDE})), abs(try_cast(max({fits}) AS {WIDE})))"
+    whole = f"substring_index(CAST({largest} AS string), '.', 1)"
+    digits = f"CASE WHEN {whole} = '0' THEN 0 ELSE length({whole}) END"
+    # A column of zeros still has one digit.
+    precision = f"CASE WHEN {largest} IS NOT NULL THEN greatest({digits} + {scale}, 1) END"
+    return {"precision": f"CAST({precision} AS int)", "scale": f"CAST({scale} AS int)"}
 
 
 def numeric_profile(tables: Tables) -> DataFrame:
     """Observed precision and scale of numeric columns, through decimal(38,4)."""
-    return _required(_per_column(tables, lambda schema: scalar_columns(schema, *NUMERIC), _numbers))
+    return _per_column(tables, lambda schema: scalar_columns(schema, *NUMERIC), _numbers)
+
+
+def approx_distinct_profile(
+    tables: Tables, rsd: float = 0.05, columns: set[tuple[str, str]] | None = None
+) -> DataFrame:
+    """Approximate distinct values of every scalar column, or of the given ones, in one scan."""
+    chosen = {
+        t: df.select(*[column(f.name) for f in scalar_columns(df.schema) if columns is None or (t, f.name) in columns])
+        for t, df in tables.items()
+    }
+    return _per_column(
+        {t: df for t, df in chosen.items() if df.columns},
+        scalar_columns,
+        lambda f: {"n_distinct": f"approx_count_distinct({quoted(f.name)}, {rsd})"},
+    )
 
 
-def approx_distinct_profile(tables: Tables, rsd: float = 0.05) -> DataFrame:
-    """Approximate distinct values of every scalar column in the same single scan."""
-    return _required(
-        _per_column(
-            tables,
-            scalar_columns,
-            lambda f: [F.approx_count_distinct(column(f.name), rsd).alias("n_distinct")],
-        )
-    )
+def _bounds(field: T.StructField) -> Facts:
+    """What a contained column must obey: the range of integers; of other values the range of their
+    hashes, and the bits that their hashes set. All are fixed-width, so the aggregate stays in
+    generated code, which the least and greatest string would not."""
+    c, cls = quoted(field.name), type_class(field.dataType)
+    facts = dict.fromkeys(("min_long", "max_long", "min_hash", "max_hash", "bits_low", "bits_high"), "CAST(NULL AS bigint)")
+    if cls == INTEGER:
+        facts |= {"min_long": f"CAST(min({c}) AS bigint)", "max_long": f"CAST(max({c}) AS bigint)"}
+    elif cls:
+        h = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END"
+        place = f"CAST({h} & {HASH_BITS - 1} AS int)"
+        facts |= {
+            "min_hash": f"min({h})",
+            "max_hash": f"max({h})",
+            "bits_low": f"bit_or(CASE WHEN {place} < 64 THEN shiftleft(1L, {place}) ELSE 0L END)",
+            "bits_high": f"bit_or(CASE WHEN {place} >= 64 THEN shiftleft(1L, {place} - 64) ELSE 0L END)",
+        }
+    return facts
 
 
-def _bounds(field: T.StructField) -> list[Column]:
-    value, cls = column(field.name), type_class(field.dataType)
-    none_long, none_text = F.lit(None).cast("long"), F.lit(None).cast("string")
-    whole, text = cls == INTEGER, cls == STRING
-    prefix = F.substring(value, 1, PREFIX_CHARS) if text else None
-    return [
-        (F.min(value).cast("long") if whole else none_long).alias("min_long"),
-        (F.max(value).cast("long") if whole else none_long).alias("max_long"),
-        (F.min(prefix) if text else none_text).alias("min_text"),
-        (F.max(prefix) if text else none_text).alias("max_text"),
-    ]
+_NO_LENGTHS = dict.fromkeys(("min_chars", "max_chars", "max_bytes"), "CAST(NULL AS int)")
+_NO_NUMBERS = dict.fromkeys(("precision", "scale"), "CAST(NULL AS int)")
 
 
-def scan_profile(tables: Tables, rsd: float = 0.05) -> DataFrame:
-    """Every fact of this module about every column, from one scan per table.
+def scan_profile(tables: Tables) -> DataFrame:
+    """Every fact of this module about every column, from one scan per table, all of it in generated
+    code; sketches, which are not, are left to approx_distinct_profile.
 
     Facts that do not apply to a column's type are null.
     """
 
-    def facts(field: T.StructField) -> list[Column]:
-        cls = type_class(field.dataType)
-        null_int = F.lit(None).cast("int")
-        lengths = _lengths(field) if cls == STRING else [
-            null_int.alias(n) for n in ("min_chars", "max_chars", "max_bytes")
-        ]
-        numbers = _numbers(field) if cls in NUMERIC else [null_int.alias("precision"), null_int.alias("scale")]
-        approx = F.approx_count_distinct(column(field.name), rsd) if cls else F.lit(None).cast("long")
-        return [*_nulls(field), *lengths, *numbers, *_bounds(field), approx.alias("approx_distinct")]
-
-    return _required(_per_column(tables, lambda schema: list(schema.fields), facts))
+    def facts(field: T.StructField) -> Facts:
+        c, cls = quoted(field.name), type_class(field.dataType)
+        odd = f"count({c}) - count({_fitting(c, cls)})" if cls in NUMERIC else "0L"
+        return {
+            **_nulls(field),
+            **(_lengths(field) if cls == STRING else _NO_LENGTHS),
+            **(_numbers(field) if cls in NUMERIC else _NO_NUMBERS),
+            "n_odd": odd,
+            **_bounds(field),
+        }
+
+    return _per_column(tables, lambda schema: list(schema.fields), facts)

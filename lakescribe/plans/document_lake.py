@@ -1,7 +1,7 @@
 """Flagship: a lake documented as if it were a database, every fact measured.
 
-Two passes. The first scans every table once for all per-column facts; its result, one row per
-column, also tells which columns the second pass must read. The second compares values, for keys and
+The first pass scans every table once for all per-column facts; its result, one row per column, also
+tells which columns later passes must read. The second compares values, for keys and
 foreign keys, and reads only columns that may be unique or may lie in a unique column.
 """
 
@@ -16,15 +16,16 @@ from pyspark.sql import types as T
 from lakescribe.functions.values import INTEGER, NUMERIC, STRING, scalar_columns, type_class
 from lakescribe.model import Catalog, conform, empty, local_frame
 from lakescribe.operators.distincts import (
-    HLL_RSD,
+    ColumnFacts,
     column_sets,
     comparable_columns,
     inclusions_from,
     key_candidates_from,
+    lake_facts,
     may_be_unique,
 )
 from lakescribe.operators.keys import sequence_profile_from, suggest_foreign_keys
-from lakescribe.operators.profiles import Tables, scan_profile
+from lakescribe.operators.profiles import Tables
 
 _KEY = ["table_name", "column_name"]
 
@@ -44,7 +45,7 @@ _FACTS = T.StructType(
 )
 
 
-def _fact_frame(spark: SparkSession, tables: Tables, facts: list[T.Row]) -> DataFrame:
+def _fact_frame(spark: SparkSession, tables: Tables, facts: list[ColumnFacts]) -> DataFrame:
     by_name = {(r["table_name"], r["column_name"]): r for r in facts}
     rows = []
     for table, df in tables.items():
@@ -77,7 +78,7 @@ def document_lake(
     """Canonical catalog of the given tables. Comments: (table_name, column_name, comment), the
     column name being '' for a table's own comment."""
     spark = next(iter(tables.values())).sparkSession
-    facts = scan_profile(tables, HLL_RSD).collect()  # one row per column of the lake
+    facts = lake_facts(tables)
 
     # Integer and string columns: one comparison gives uniqueness and inclusions.
     compared = comparable_columns(tables, facts)
