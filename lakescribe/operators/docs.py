@@ -6,7 +6,7 @@ per-source window or gathers a source in one task: every line carries the column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakescribe.functions.text import escape_markup, rfc3339, yes_no
@@ -38,15 +38,9 @@ def object_totals(cat: Catalog) -> DataFrame:
 
     All kinds are counted in one grouping; a source is one row per task before the shuffle.
     """
-    marks = [
-        cat[kind].select(
-            "source_id", *[F.lit(1 if kind == other else 0).alias(other) for other in OBJECT_KINDS]
-        )
-        for kind in OBJECT_KINDS
-    ]
-    marks.append(cat["sources"].select("source_id", *[F.lit(0).alias(kind) for kind in OBJECT_KINDS]))
+    marks = [cat[kind].select("source_id", F.lit(kind).alias("kind")) for kind in ("sources", *OBJECT_KINDS)]
     return union_all(marks).groupBy("source_id").agg(
-        *[F.sum(kind).cast("long").alias(kind) for kind in OBJECT_KINDS]
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in OBJECT_KINDS]
     )
 
 
@@ -202,55 +196,62 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
     head = cat["sources"].join(object_totals(cat), "source_id")
     totals = [("Tables", "tables"), ("Views", "views"), ("Routines", "routines"), ("Sequences", "sequences"),
               ("Triggers", "triggers"), ("Synonyms", "synonyms")]
-    parts = [
-        _outline(head, 0, none, none, none, [
-            (1, "Title", fmt("%s - Database Schema Document", F.col("database_name"))),
-            (2, "Normal", blank),
-            (3, "Heading1", F.lit("Overview")),
-            (4, "Normal", fmt("Database type: %s", F.col("database_type"))),
-            (5, "Normal", fmt("Version: %s", F.col("version"))),
-            (6, "Normal", fmt("Extracted at: %s", rfc3339(F.col("extracted_at")))),
-            (7, "Normal", blank),
-            (8, "Heading2", F.lit("Object statistics")),
-            *[(9 + i, "Normal", fmt(f"• {label}: %d", F.col(kind))) for i, (label, kind) in enumerate(totals)],
-            (15, "Normal", blank),
-        ])
+    present = lambda kind, content: F.when(F.col(kind) > 0, content)
+    # All lines that a source has once: the head, the headings of its sections, the end.
+    once = [
+        (0, "Title", fmt("%s - Database Schema Document", F.col("database_name"))),
+        (0, "Normal", blank),
+        (0, "Heading1", F.lit("Overview")),
+        (0, "Normal", fmt("Database type: %s", F.col("database_type"))),
+        (0, "Normal", fmt("Version: %s", F.col("version"))),
+        (0, "Normal", fmt("Extracted at: %s", rfc3339(F.col("extracted_at")))),
+        (0, "Normal", blank),
+        (0, "Heading2", F.lit("Object statistics")),
+        *[(0, "Normal", fmt(f"• {label}: %d", F.col(kind))) for label, kind in totals],
+        (0, "Normal", blank),
+        (1, "Heading1", present("tables", F.lit("Tables"))),
+        (3, "Heading1", present("routines", F.lit("Procedures / Functions"))),
+        (3, "Normal", present("routines", F.lit("Security: routine bodies are left out (signatures only)"))),
+        (3, "Normal", present("routines", blank)),
+        (5, "Heading1", present("triggers", F.lit("Triggers"))),
+        (5, "Normal", present("triggers", F.lit("Security: trigger definitions are left out (metadata only)"))),
+        (5, "Normal", present("triggers", blank)),
+        (7, "Heading1", present("sequences", F.lit("Sequences"))),
+        (9, "Normal", blank),
+        (9, "Normal", F.lit("─" * 38)),
     ]
-
-    # Section headings stand once per source that has the section.
-    def heading(kind: str, part: int, title: str, notice: str | None = None) -> DataFrame:
-        lines = [(1, "Heading1", F.lit(title))]
-        if notice:
-            lines += [(2, "Normal", F.lit(notice)), (3, "Normal", blank)]
-        return _outline(head.where(F.col(kind) > 0), part, none, none, none, lines)
+    seen: dict[int, int] = {}
+    lines = []
+    for part, style, content in once:
+        seen[part] = seen.get(part, 0) + 1
+        lines.append(F.struct(
+            F.lit(part).alias("part"), none.alias("owner"), none.alias("name"), none.alias("detail"),
+            F.lit(seen[part]).alias("line"), F.lit(style).alias("style"), content.alias("content")))
+    parts = [head.select("source_id", F.inline(F.array(*lines))).where(F.col("content").isNotNull())]
 
     owner, name = F.col("owner"), F.col("name")
+    # Line numbers inside a table leave room: columns start at 10, the blank line ends the table.
+    first = F.min("position").over(Window.partitionBy(*TABLE_KEY))
+    columns = table_columns(cat).withColumn("opens", F.col("position") == first)
+    flags = [F.col(c) for c in ("is_primary_key", "is_foreign_key", "is_unique")]
+    text = column_line(name, F.col("data_type"), *flags, F.col("comment"))
     parts += [
-        heading("tables", 1, "Tables"),
         _outline(cat["tables"], 2, owner, name, none, [
             (1, "Heading2", fmt("Table: %s", name)),
             (2, "Normal", filled("comment")),
             (3, "Normal", fmt("Owner: %s, rows: %d", owner, F.col("row_count"))),
+            (2_000_000_000, "Normal", blank),
+        ]),
+        _outline(columns, 2, owner, F.col("table_name"), none, [
+            (4, "Heading3", F.when(F.col("opens"), F.lit("Columns:"))),
+            (F.col("position") + 10, "Normal", text),
         ]),
-    ]
-    # Line numbers inside a table leave room: columns start at 10, the blank line ends the table.
-    columns = table_columns(cat)
-    flags = [F.col(c) for c in ("is_primary_key", "is_foreign_key", "is_unique")]
-    text = column_line(name, F.col("data_type"), *flags, F.col("comment"))
-    parts += [
-        _outline(columns, 2, owner, F.col("table_name"), none, [(F.col("position") + 10, "Normal", text)]),
-        _outline(columns.select("source_id", "owner", "table_name").distinct(), 2, owner, F.col("table_name"), none,
-                 [(4, "Heading3", F.lit("Columns:"))]),
-        _outline(cat["tables"], 2, owner, name, none, [(2_000_000_000, "Normal", blank)]),
-        heading("routines", 3, "Procedures / Functions",
-                "Security: routine bodies are left out (signatures only)"),
         _outline(cat["routines"], 4, owner, name, F.col("signature"), [
             (1, "Heading2", fmt("%s: %s", F.col("type"), name)),
             (2, "Normal", F.col("signature")),
             (3, "Normal", filled("comment")),
             (4, "Normal", blank),
         ]),
-        heading("triggers", 5, "Triggers", "Security: trigger definitions are left out (metadata only)"),
         _outline(cat["triggers"], 6, owner, name, F.col("target_table"), [
             (1, "Heading2", fmt("Trigger: %s", name)),
             (2, "Normal", fmt("Target table: %s", F.col("target_table"))),
@@ -258,7 +259,6 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
             (4, "Normal", filled("comment")),
             (5, "Normal", blank),
         ]),
-        heading("sequences", 7, "Sequences"),
         _outline(cat["sequences"], 8, owner, name, none, [
             (1, "Heading2", fmt("Sequence: %s", name)),
             (2, "Normal", F.concat(
@@ -268,7 +268,6 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
             (3, "Normal", filled("comment")),
             (4, "Normal", blank),
         ]),
-        _outline(cat["sources"], 9, none, none, none, [(1, "Normal", blank), (2, "Normal", F.lit("─" * 38))]),
     ]
     whole = union_all(parts)
     return whole.withColumn("content", escape_markup(F.col("content"))) if escaped else whole

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakescribe.functions.text import rfc3339, seconds
 from lakescribe.model import OBJECT_KINDS, Catalog, union_all
+from lakescribe.operators.docs import object_totals
 from lakescribe.operators.parts import PER_PART, split_parts
 
 _OWNED = ["source_id", "owner", "table_name"]
@@ -45,18 +46,49 @@ def _index() -> Column:
     )
 
 
-def _nested(df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
+def _nested(df: DataFrame, key: list[str], order: str, item: Column, name: str) -> DataFrame:
     """Items of one table in order; few, as databases limit the columns and indexes of a table."""
     lines = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v"))))
-    return df.groupBy(*_OWNED).agg(F.transform(lines, lambda x: x["v"]).alias(name))
+    return df.groupBy(*key).agg(F.transform(lines, lambda x: x["v"]).alias(name))
 
 
-def _with_columns(cat: Catalog, kind: str) -> DataFrame:
-    object_kind = "TABLE" if kind == "tables" else "VIEW"
-    columns = _nested(cat["columns"].where(F.col("object_kind") == object_kind), "position", _column(), "columns")
-    return cat[kind].withColumnRenamed("name", "table_name").join(columns, _OWNED, "left").withColumn(
-        "columns", F.coalesce("columns", F.array())
+def _nested_objects(cat: Catalog) -> DataFrame:
+    """Tables with their columns and indexes, views with their columns, and the indexes themselves.
+
+    Tables and views join their columns together, and indexes come out of the table that they were
+    nested in, so that each frame is read once.
+    """
+    tables = cat["tables"].select(
+        "source_id", "owner", F.col("name").alias("table_name"), F.lit("TABLE").alias("object_kind"), "type", "comment",
+        _nonzero("row_count").alias("row_count"), _some(seconds(F.col("created_at"))).alias("created_at"),
+        _some(seconds(F.col("modified_at"))).alias("modified_at"), F.lit(None).cast("boolean").alias("is_updatable"),
+    )
+    views = cat["views"].select(
+        "source_id", "owner", F.col("name").alias("table_name"), F.lit("VIEW").alias("object_kind"), "type", "comment",
+        F.lit(None).cast("long").alias("row_count"), F.lit(None).cast("string").alias("created_at"),
+        F.lit(None).cast("string").alias("modified_at"), "is_updatable",
     )
+    columns = _nested(cat["columns"], [*_OWNED, "object_kind"], "position", _column(), "columns")
+    indexes = _nested(cat["indexes"].withColumn("object_kind", F.lit("TABLE")), [*_OWNED, "object_kind"], "name",
+                      _index(), "indexes")
+    key = [*_OWNED, "object_kind"]
+    joined = tables.unionByName(views).join(columns, key, "left").join(indexes, key, "left")
+    whole = F.struct(
+        F.when(F.col("object_kind") == "TABLE", F.lit("tables")).otherwise(F.lit("views")).alias("kind"),
+        F.col("table_name").alias("name"),
+        F.lit("").alias("detail"),
+        F.to_json(F.struct(
+            F.col("table_name").alias("name"), _some("owner").alias("owner"), F.col("type"), _some("comment").alias("comment"),
+            F.coalesce("columns", F.array()).alias("columns"), F.col("indexes"), F.col("row_count").alias("rowCount"),
+            F.col("is_updatable").alias("isUpdatable"), F.col("created_at").alias("createdAt"),
+            F.col("modified_at").alias("modifiedAt"),
+        )).alias("json"),
+    )
+    listed = F.transform(F.coalesce("indexes", F.array()), lambda i: F.struct(
+        F.lit("indexes").alias("kind"), i["name"].alias("name"), F.col("table_name").alias("detail"),
+        F.to_json(i).alias("json")))
+    return joined.select("source_id", "owner", F.inline(F.concat(F.array(whole), listed))).select(
+        "source_id", "kind", "owner", "name", "detail", "json")
 
 
 def _objects(cat: Catalog) -> DataFrame:
@@ -70,16 +102,8 @@ def _objects(cat: Catalog) -> DataFrame:
     none = F.lit("")
     owner, comment = _some("owner").alias("owner"), _some("comment").alias("comment")
     name, kind = F.col("name"), F.col("type")
-    indexes = _nested(cat["indexes"], "name", _index(), "indexes")
     return union_all([
-        rows("tables", _with_columns(cat, "tables").join(indexes, _OWNED, "left"), "table_name", none,
-             F.col("table_name").alias("name"), owner, kind, comment, F.col("columns"),
-             _listed(F.col("indexes")).alias("indexes"), _nonzero("row_count").alias("rowCount"),
-             _some(seconds(F.col("created_at"))).alias("createdAt"),
-             _some(seconds(F.col("modified_at"))).alias("modifiedAt")),
-        rows("views", _with_columns(cat, "views"), "table_name", none,
-             F.col("table_name").alias("name"), owner, kind, comment, F.col("columns"),
-             F.col("is_updatable").alias("isUpdatable")),
+        _nested_objects(cat),
         rows("routines", cat["routines"], "name", F.col("signature"),
              name, owner, kind, comment, F.col("signature"),
              _listed(F.transform("arguments", lambda a: F.struct(
@@ -97,8 +121,6 @@ def _objects(cat: Catalog) -> DataFrame:
         rows("synonyms", cat["synonyms"], "name", none,
              name, owner, F.col("target_object").alias("targetObject"), _some("target_owner").alias("targetOwner"),
              _some("target_type").alias("targetType"), F.col("is_public").alias("isPublic"), comment),
-        rows("indexes", cat["indexes"], "name", F.col("table_name"), *[_index()[f] for f in (
-            "name", "tableName", "owner", "type", "columns", "isUnique", "isPrimary", "isEnabled", "comment")]),
     ])
 
 
@@ -108,7 +130,9 @@ def schema_documents(cat: Catalog, per_part: int = PER_PART) -> DataFrame:
     A database with more than per_part objects gets several documents with the same head and disjoint
     lists; merged by key they are the whole.
     """
-    placed, parts = split_parts(_objects(cat), cat["sources"], ["kind", "owner", "name", "detail"], per_part)
+    placed, parts = split_parts(
+        _objects(cat), object_totals(cat), OBJECT_KINDS, ["kind", "owner", "name", "detail"], per_part
+    )
     line = F.struct("owner", "name", "detail", "json")
     lists = placed.groupBy("source_id", "part").agg(
         *[F.array_join(
@@ -125,7 +149,8 @@ def schema_documents(cat: Catalog, per_part: int = PER_PART) -> DataFrame:
         for kind in OBJECT_KINDS
     ]
     return (
-        parts.join(cat["sources"], "source_id")
+        parts.select("source_id", "part", "n_parts")
+        .join(cat["sources"], "source_id")
         .join(lists, ["source_id", "part"], "left")
         .select("source_id", "part", "n_parts",
                 F.concat(F.substring(head, F.lit(1), F.length(head) - 1), *body, F.lit("}")).alias("json"))

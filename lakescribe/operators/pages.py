@@ -118,7 +118,8 @@ def summary_pages(cat: Catalog, with_views_and_synonyms: bool = False, per_page:
     """
     sections = _summary_rows(cat, with_views_and_synonyms)
     objects = union_all([df.select("*", F.lit(kind).alias("kind")) for kind, _, df, _ in sections])
-    placed, parts = split_parts(objects, cat["sources"], ["kind", "owner", "name", "detail"], per_page)
+    kinds = [kind for kind, *_ in sections]
+    placed, parts = split_parts(objects, object_totals(cat), kinds, ["kind", "owner", "name", "detail"], per_page)
     line = F.struct("owner", "name", "detail", "row")
     lists = placed.groupBy("source_id", "part").agg(
         *[F.array_join(
@@ -146,7 +147,6 @@ def summary_pages(cat: Catalog, with_views_and_synonyms: bool = False, per_page:
     ))
     return (
         parts.join(cat["sources"], "source_id")
-        .join(object_totals(cat), "source_id")
         .join(lists, ["source_id", "part"], "left")
         .select("source_id", "part", "n_parts", html.alias("html"))
     )

@@ -7,6 +7,9 @@ one part, which is then the whole document, and no object is left out of a large
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,20 +18,17 @@ SALTS = 16
 
 
 def split_parts(
-    objects: DataFrame, sources: DataFrame, key: list[str], per_part: int = PER_PART
+    objects: DataFrame, totals: DataFrame, kinds: Sequence[str], key: Sequence[str], per_part: int = PER_PART
 ) -> tuple[DataFrame, DataFrame]:
-    """Objects with their part, and every (source_id, part, n_parts) that must exist, even if empty.
+    """Objects with their part, and the totals once per (part, n_parts) that must exist, even if empty.
 
-    An object's part comes from the hash of its key. The number of parts is joined by a salted source,
-    so that one huge source is spread over tasks.
+    `totals` has one row per source with the number of objects of each kind, so that the objects
+    themselves are built only once. An object's part comes from the hash of its key; the number of
+    parts is joined by a salted source, so that one huge source is spread over tasks.
     """
-    counts = (
-        objects.select("source_id", F.lit(1).alias("n"))
-        .unionByName(sources.select("source_id", F.lit(0).alias("n")))
-        .groupBy("source_id")
-        .agg(F.greatest(F.ceil(F.sum("n") / per_part), F.lit(1)).cast("int").alias("n_parts"))
-    )
-    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n_objects = reduce(lambda a, b: a + b, [F.col(kind) for kind in kinds])
+    counted = totals.withColumn("n_parts", F.greatest(F.ceil(n_objects / per_part), F.lit(1)).cast("int"))
+    salted = counted.select("source_id", "n_parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hashed = objects.withColumn("spread", F.xxhash64(*key))
     # The salt takes the low bits of the hash, the part the others.
     part = F.pmod(F.floor(F.col("spread") / SALTS), F.col("n_parts")) + 1
@@ -38,4 +38,4 @@ def split_parts(
         .withColumn("part", part.cast("int"))
         .drop("spread", "salt", "n_parts")
     )
-    return placed, counts.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n_parts"))))
+    return placed, counted.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n_parts"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakescribe.model import Catalog
 from lakescribe.operators import docs
 from lakescribe.operators.documents import schema_documents
+from lakescribe.operators.enrich import ORDER
 
 BUCKETS = 64
 
@@ -58,3 +59,10 @@ def write_pages(pages: DataFrame, path: str, buckets: int = BUCKETS, mode: str =
 def write_documents(cat: Catalog, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
     """JSON documents as rows."""
     _write(schema_documents(cat), path, "parquet", buckets, mode, ["source_id", "part"])
+
+
+def write_catalog(cat: Catalog, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
+    """Canonical frames as Parquet. Reports that read them back neither repeat the joins of the
+    extraction nor depend on its lineage."""
+    for kind, df in cat.items():
+        _write(df, f"{path.rstrip('/')}/{kind}", "parquet", buckets, mode, list(ORDER[kind]))

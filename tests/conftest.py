@@ -27,13 +27,12 @@ def duck():
 def fleet_catalog(spark, tmp_path_factory):
     """The fleet's catalog at the smallest scale, landed once for all report tests."""
     import __spark_entry__ as entry
-    from lakescribe.model import FRAMES
+    from lakescribe.sinks import write_catalog
+    from lakescribe.sources import read_catalog
 
-    base = tmp_path_factory.mktemp("catalog")
-    built = entry._catalog(spark, SF_DIR)
-    for kind in FRAMES:
-        built[kind].coalesce(4).write.parquet(f"{base}/{kind}")
-    return {kind: spark.read.schema(FRAMES[kind]).parquet(f"{base}/{kind}") for kind in FRAMES}
+    path = str(tmp_path_factory.mktemp("catalog"))
+    write_catalog(entry._catalog(spark, SF_DIR), path, buckets=4)
+    return read_catalog(spark, path)
 
 
 @pytest.fixture(scope="session")
