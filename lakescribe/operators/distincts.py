@@ -153,20 +153,21 @@ def lake_facts(tables: Tables) -> list[ColumnFacts]:
     return facts
 
 
-def key_candidates(tables: Tables) -> DataFrame:
+def key_candidates(tables: Tables, prune: bool = True) -> DataFrame:
     """Per scalar column: no duplicate among its non-null values, and no null besides.
 
     The facts rule out columns that surely repeat, so that the second pass reads and shuffles the
-    survivors only; those are decided exactly.
+    survivors only; those are decided exactly. Without prune every column is, at the cost of shuffling
+    the values of all.
     """
-    return key_candidates_from(tables, lake_facts(tables))
+    return key_candidates_from(tables, lake_facts(tables), prune)
 
 
-def key_candidates_from(tables: Tables, facts: Iterable[ColumnFacts]) -> DataFrame:
+def key_candidates_from(tables: Tables, facts: Iterable[ColumnFacts], prune: bool = True) -> DataFrame:
     spark = _spark(tables)
     scalar = {(t, f.name) for t, df in tables.items() for f in scalar_columns(df.schema)}
     rows = [r for r in facts if (r["table_name"], r["column_name"]) in scalar]
-    survivors = {(r["table_name"], r["column_name"]) for r in rows if may_be_unique(r)}
+    survivors = {(r["table_name"], r["column_name"]) for r in rows if not prune or may_be_unique(r)}
     base = local_frame(
         spark,
         [(r["table_name"], r["column_name"], r["n_nulls"] > 0) for r in rows],

@@ -75,6 +75,12 @@ def test_unique_and_key_columns(odd):
     assert found["f"] == found["b"] == found["gone"] == (False, False)
 
 
+def test_pruning_does_not_change_the_keys(spark, odd):
+    repeats = spark.range(6_000).selectExpr("id", "id % 7 AS few", "concat('v', id % 3000) AS half", "CAST(id AS double) AS x")
+    for tables in (odd, {"t": repeats}):
+        assert by_column(distincts.key_candidates(tables)) == by_column(distincts.key_candidates(tables, prune=False))
+
+
 def test_document_of_odd_tables(odd):
     catalog = document_lake(odd)
     columns = {r["name"]: r for r in catalog["columns"].collect()}
