@@ -29,6 +29,15 @@ from lakescribe.plans.extract import NORMALISERS, ExtractConfig, extract  # noqa
 from lakescribe.sources import read_tables  # noqa: E402
 from oracles import fleet_sql, lake_sql  # noqa: E402
 
+try:
+    from lakescribe.llm import queries as llm_queries
+except ModuleNotFoundError:
+    llm_queries = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError:
+    corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -341,8 +350,18 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: query for name, (query, _) in _registry().items()}
+    found = {name: query for name, (query, _) in _registry().items()}
+    if llm_queries:
+        found |= llm_queries.QUERIES
+    if corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _registry().items()}
+    found = {name: sql for name, (_, sql) in _registry().items()}
+    if llm_queries:
+        found |= llm_queries.ORACLE_SQL
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
