@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakescribe.llm.pieces import piece_counts
 from lakescribe.llm.pii import find_personal_data
 from lakescribe.llm.secrets import scan_secrets
+from lakescribe.llm.token_counts import count_tokens
+
+#: Folder of the vocabulary files; every executor has them there.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,16 +22,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    return f"{TOKENIZERS}/{name}"
+
+
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_token_counts": op7_token_counts,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
