@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakescribe.llm.common import per_text
+from lakescribe.llm.common import map_arrow, per_text
 
 MARK = "▁".encode()
 #: Kinds of pieces in the model file.
@@ -269,7 +269,7 @@ def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
 
     narrow = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids_col}`").cast("array<int>").alias("__ids"))
-    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], T.StructField("text", T.StringType())]))
+    return map_arrow(narrow, run, T.StructType([*narrow.schema.fields[:-1], T.StructField("text", T.StringType())]))
 
 
 def piece_counts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

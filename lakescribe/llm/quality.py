@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.llm.common import per_text
+from lakescribe.llm.common import map_arrow, per_text
 
 SPACE = b"\x20\t\n\x0b\x0c\r"
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -46,9 +46,9 @@ class Limits:
     A distance counts only in texts long enough to give a steady histogram.
     """
 
-    max_class_distance: float = 0.35
+    max_class_distance: float = 0.28
     min_chars: int = 200
-    max_word_distance: float = 0.60
+    max_word_distance: float = 0.33
     min_words: int = 100
     #: A language has a reference if it holds this share of all rows; so there are 1,000 at most.
     min_language_share: float = 0.001
@@ -144,7 +144,7 @@ def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: st
     known = docs.where(F.col(f"`{lang_col}`").isNotNull())
     parts = known.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sums = (
-        parts.mapInArrow(run, "lang string, counts array<bigint>")
+        map_arrow(parts, run, "lang string, counts array<bigint>")
         .select("lang", F.posexplode("counts").alias("bin", "n"))
         .groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     )

@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakescribe.llm.language import held_out_languages
+from lakescribe.llm.lm_score import lm_scores
 from lakescribe.llm.pieces import piece_counts
 from lakescribe.llm.pii import find_personal_data
+from lakescribe.llm.quality import language_references, quality_rules
 from lakescribe.llm.secrets import scan_secrets
 from lakescribe.llm.token_counts import count_tokens
+from lakescribe.llm.toxicity import held_out_toxicity
 
 #: Folder of the vocabulary files; every executor has them there.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -30,6 +34,15 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules(docs, language_references(docs))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -38,14 +51,26 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_quality_rules": op3_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
