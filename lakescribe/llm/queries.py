@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakescribe.llm import decontaminate
 from lakescribe.llm.language import held_out_languages
 from lakescribe.llm.lm_score import lm_scores
 from lakescribe.llm.pieces import piece_counts
@@ -43,6 +44,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, language_references(docs))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -67,10 +72,13 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE_SQL,
+}
