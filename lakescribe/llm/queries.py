@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakescribe.llm import decontaminate
+from lakescribe.llm.jaccard import jaccard_components
 from lakescribe.llm.language import held_out_languages
 from lakescribe.llm.lm_score import lm_scores
 from lakescribe.llm.pieces import piece_counts
@@ -44,6 +45,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, language_references(docs))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_counts": op7_token_counts,
