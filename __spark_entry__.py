@@ -80,6 +80,17 @@ def _with_nulls(tables: dict[str, DataFrame]) -> DataFrame:
     return profiles.null_profile({**tables, "customer": customer})
 
 
+def _wide_numbers(tables: dict[str, DataFrame]) -> DataFrame:
+    """Numbers with more digits than the tables have."""
+    wide = tables["customer"].selectExpr(
+        "c_custkey / 1e9D AS small",
+        "c_acctbal * 1e33D AS huge",
+        "CAST(c_custkey AS decimal(20,8)) + CAST('0.12345678' AS decimal(20,8)) AS fine",
+        "CAST(concat('12345678901234567890123456789012345', c_custkey % 10) AS decimal(38,0)) AS long",
+    )
+    return profiles.numeric_profile({"wide": wide})
+
+
 def _composite_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([
         keys.check_key(tables[table], columns).select(
@@ -174,6 +185,16 @@ def _filtered_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown
 
 
+def _excluded_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left without InnoDB tables and without SQL Server's: nothing that belongs to them."""
+    cat = _catalog(spark, sf_dir, objects=ObjectFilter(exclude_types=("InnoDB", "USER_TABLE")))
+    parts = [
+        cat[kind].select(F.lit(kind).alias("frame"), "source_id", "owner", F.col(named).alias("belongs_to"), "name")
+        for kind, named in (("tables", "name"), ("views", "name"), ("columns", "table_name"), ("indexes", "table_name"), ("triggers", "target_table"))
+    ]
+    return union_all(parts)
+
+
 def _auto_increment(cat: Catalog) -> DataFrame:
     return cat["columns"].where("is_auto_increment").select("source_id", "dialect", "owner", "table_name", "name")
 
@@ -295,6 +316,7 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "flt_schema": (_tables_of(None), fleet.filter_schemas()),
         "flt_schema_named": (_tables_of(["HR", "dbo"]), fleet.filter_schemas_named()),
         "flt_objects": (_filtered_objects, fleet.filter_objects()),
+        "flt_objects_types": (_excluded_types, fleet.filter_types()),
         "enr_autoinc": (_on_fleet(_auto_increment), fleet.auto_increment()),
         "enr_signature": (
             _on_fleet(lambda c: c["routines"].select("source_id", "dialect", "owner", "name", "signature")),
@@ -309,6 +331,7 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "msr_nulls": (_on_lake(_with_nulls), lake.nulls()),
         "msr_length": (_on_lake(profiles.length_profile), lake.lengths()),
         "msr_precision": (_on_lake(profiles.numeric_profile), lake.precision()),
+        "msr_precision_wide": (_on_lake(_wide_numbers), lake.precision_wide()),
         "msr_distinct": (_on_lake(distincts.distinct_profile), lake.distincts()),
         "msr_unique": (_on_lake(distincts.key_candidates), lake.unique()),
         "msr_compkey": (_on_lake(_composite_keys), lake.composite_keys(COMPOSITE_KEYS)),

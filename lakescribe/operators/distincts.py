@@ -16,15 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.functions.values import INTEGER, STRING, column, scalar_columns, type_class, value_key
+from lakescribe.functions.values import INTEGER, column, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
-from lakescribe.operators.profiles import HASH_BITS, Tables, approx_distinct_profile, scan_profile
+from lakescribe.operators.profiles import Tables, approx_distinct_profile, scan_profile
 
-ColumnFacts = dict[str, Any]  # a scan_profile row and approx_distinct
+ColumnFacts = dict[str, Any]  # a scan_profile row and whether a repeat was seen
 
-HLL_RSD = 0.05
-# A sketch may only rule uniqueness out, and only this many standard errors away from it.
-HLL_SIGMAS = 6
+# Rows of each table in which repeats are looked for before all values are: a repeat there is a proof.
+WITNESS_ROWS = 65_536
 WORD_BITS = 64
 
 
@@ -111,52 +110,57 @@ def distinct_profile(tables: Tables, approx: bool = False) -> DataFrame:
 
 
 def _repeats_surely(fact: ColumnFacts) -> bool:
-    """Whether the scan facts alone show that a column has a duplicate."""
+    """Whether the facts prove that a column has a duplicate: more rows than values that fit, or one seen."""
     present = fact["n_rows"] - fact["n_nulls"]
+    if fact["repeat_seen"]:
+        return True
     if fact["min_long"] is not None:
         return fact["max_long"] - fact["min_long"] + 1 < present  # fewer integers in the range than rows
     if fact["max_bytes"] is not None and 256 ** (fact["max_bytes"] + 1) < present:
         return True  # fewer strings of that length than rows
-    if fact["precision"] is not None and fact["scale"] <= 3 and not fact["n_odd"]:
-        if 2 * 10 ** fact["precision"] + 1 < present:
-            return True  # fewer numbers of that precision than rows
-    # So many different values would leave no hash bit unset, but for odds below 1e-14.
-    unset = fact["bits_low"] is not None and (fact["bits_low"], fact["bits_high"]) != (-1, -1)
-    return unset and present >= 40 * HASH_BITS
+    if fact["precision"] is not None and not fact["n_odd"]:
+        return 2 * 10 ** fact["precision"] + 1 < present  # fewer numbers of that precision than rows
+    return False
 
 
 def may_be_unique(fact: ColumnFacts) -> bool:
-    """False only when a column surely has a duplicate, or has no values to compare."""
+    """False only when a column has a duplicate for certain, or has no values to compare."""
     present = fact["n_rows"] - fact["n_nulls"]
     comparable = fact["min_long"] is not None or fact["min_hash"] is not None
-    if not comparable or present == 0 or _repeats_surely(fact):
-        return False
-    approx = fact["approx_distinct"]
-    return approx is None or approx >= present * (1 - HLL_SIGMAS * HLL_RSD)
+    return comparable and present > 0 and not _repeats_surely(fact)
+
+
+def seen_repeats(tables: Tables, columns: set[tuple[str, str]], rows: int = WITNESS_ROWS) -> set[tuple[str, str]]:
+    """Those of the columns that repeat a value within some rows of their table, compared exactly."""
+    parts = []
+    for table, df in tables.items():
+        own = [m for m in _members({table: df}, columns)]
+        if own:
+            some = df.select(*[column(m.field.name) for m in own]).limit(rows)
+            counted = _counted_values({table: some}, own).where("copies > 1").select("column_id").distinct()
+            parts.append(counted.join(_names(df.sparkSession, own), "column_id").select("table_name", "column_name"))
+    return {(r.table_name, r.column_name) for r in union_all(parts).collect()} if parts else set()
 
 
 def lake_facts(tables: Tables) -> list[ColumnFacts]:
     """Facts of every column, on the driver: one small row per column of the lake.
 
-    One scan for all columns; then sketches, for those columns only that the first facts leave open.
+    One scan for all columns; then a look at some rows, for those columns only that the first facts leave
+    open. Both can only prove that a column is not unique; what they leave open is decided on all rows.
     """
-    facts = [{**row.asDict(), "approx_distinct": None} for row in scan_profile(tables).collect()]
-    # Dense integers are unique or nearly so; the exact check is as cheap as the sketch for them.
+    facts = [{**row.asDict(), "repeat_seen": False} for row in scan_profile(tables).collect()]
+    # Dense integers are unique or nearly so: no use to look for repeats.
     unclear = {(f["table_name"], f["column_name"]) for f in facts if may_be_unique(f) and f["min_long"] is None}
-    if unclear:
-        sketched = {
-            (r["table_name"], r["column_name"]): r["n_distinct"]
-            for r in approx_distinct_profile(tables, HLL_RSD, unclear).collect()
-        }
-        for fact in facts:
-            fact["approx_distinct"] = sketched.get((fact["table_name"], fact["column_name"]))
+    repeated = seen_repeats(tables, unclear) if unclear else set()
+    for fact in facts:
+        fact["repeat_seen"] = (fact["table_name"], fact["column_name"]) in repeated
     return facts
 
 
 def key_candidates(tables: Tables, prune: bool = True) -> DataFrame:
     """Per scalar column: no duplicate among its non-null values, and no null besides.
 
-    The facts rule out columns that surely repeat, so that the second pass reads and shuffles the
+    The facts rule out columns that are proven to repeat, so that the second pass reads and shuffles the
     survivors only; those are decided exactly. Without prune every column is, at the cost of shuffling
     the values of all.
     """
@@ -200,11 +204,14 @@ def _contains(parent: ColumnFacts, child: ColumnFacts) -> bool:
         return False
     if child["min_long"] is not None:
         return parent["min_long"] <= child["min_long"] and child["max_long"] <= parent["max_long"]
-    return (
+    if child["min_chars"] is not None and not (
         parent["min_chars"] <= child["min_chars"]
         and child["max_chars"] <= parent["max_chars"]
         and child["max_bytes"] <= parent["max_bytes"]
-        and parent["min_hash"] <= child["min_hash"]
+    ):
+        return False
+    return (
+        parent["min_hash"] <= child["min_hash"]
         and child["max_hash"] <= parent["max_hash"]
         and not child["bits_low"] & ~parent["bits_low"]
         and not child["bits_high"] & ~parent["bits_high"]
@@ -216,7 +223,7 @@ def comparable_columns(tables: Tables, facts: Iterable[ColumnFacts]) -> set[tupl
     classes = {(t, f.name): type_class(f.dataType) for t, df in tables.items() for f in df.schema.fields}
     needed: set[tuple[str, str]] = set()
     rows = [(classes[(r["table_name"], r["column_name"])], r) for r in facts]
-    for cls in (INTEGER, STRING):
+    for cls in sorted({c for c, _ in rows if c}):
         own = [r for c, r in rows if c == cls]
         parents = [r for r in own if may_be_unique(r)]
         for parent in parents:
@@ -272,10 +279,10 @@ def _column_sets(tables: Tables, members: list[Member]) -> DataFrame:
 
 
 def column_sets(tables: Tables, wanted: set[tuple[str, str]]) -> DataFrame:
-    """The sets of all wanted integer and string columns by name; one row per column."""
+    """The sets of all wanted scalar columns by name; one row per column."""
     spark = _spark(tables)
     parts = []
-    for cls in (INTEGER, STRING):
+    for cls in sorted({type_class(f.dataType) for df in tables.values() for f in scalar_columns(df.schema)}):
         members = _members(tables, wanted, cls)
         if members:
             parts.append(
@@ -318,6 +325,6 @@ def inclusions_from(sets: DataFrame) -> DataFrame:
 
 
 def inclusion_dependencies(tables: Tables) -> DataFrame:
-    """All integer or string columns whose values lie in a unique column of the same class elsewhere."""
+    """All scalar columns whose values lie in a unique column of the same class in another table."""
     sets = column_sets(tables, comparable_columns(tables, lake_facts(tables)))
     return inclusions_from(sets)

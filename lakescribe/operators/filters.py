@@ -80,6 +80,29 @@ def _filter_kind(kind: str, df: DataFrame, cfg: ObjectFilter) -> DataFrame:
     return df
 
 
+# Which columns name the table or view that the rows of a frame belong to.
+_BELONGS = {"columns": "table_name", "indexes": "table_name", "triggers": "target_table"}
+
+
+def _without_excluded(cat: Catalog, df: DataFrame, name: str, cfg: ObjectFilter) -> DataFrame:
+    """Less the rows that belong to a table or view of an excluded type."""
+    gone = None
+    for kind in ("tables", "views"):
+        part = cat[kind].where(F.col("type").isin(*cfg.exclude_types)).select("source_id", "owner", F.col("name").alias(name))
+        gone = part if gone is None else gone.unionByName(part)
+    return df.join(gone.distinct(), ["source_id", "owner", name], "left_anti").select(*df.columns)
+
+
 def filter_objects(cat: Catalog, cfg: ObjectFilter) -> Catalog:
-    """Leave out kinds, types, tables and system owners; frames that are left out stay, without rows."""
-    return LazyFrames({kind: lambda kind=kind: _filter_kind(kind, cat[kind], cfg) for kind in cat})
+    """Leave out kinds, types, tables and system owners; frames that are left out stay, without rows.
+
+    What belongs to a table or view of an excluded type (columns, indexes, triggers) goes with it.
+    """
+
+    def build(kind: str) -> DataFrame:
+        df = _filter_kind(kind, cat[kind], cfg)
+        if cfg.exclude_types and kind in _BELONGS:
+            df = _without_excluded(cat, df, _BELONGS[kind], cfg)
+        return df
+
+    return LazyFrames({kind: lambda kind=kind: build(kind) for kind in cat})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.functions.values import INTEGER, column, scalar_columns, type_class, value_key
+from lakescribe.functions.values import INTEGER, column, common_key, comparable, scalar_columns
 from lakescribe.model import local_frame, union_all
 from lakescribe.operators.distincts import ColumnFacts, key_candidates_from, lake_facts
 from lakescribe.operators.profiles import Tables
@@ -39,6 +39,7 @@ def check_key(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def check_foreign_keys(tables: Tables, pairs: Iterable[ForeignKey]) -> DataFrame:
     """Non-null child rows, those without a parent, and the share that has one, per declared pair.
 
+    Values are compared in the common type of the two columns: decimals of different scales by their value.
     Children and parents meet in one grouping by (pair, value) instead of a join, so a hot child
     value is already a single row when it is shuffled, and no side needs to fit in memory.
     """
@@ -47,13 +48,13 @@ def check_foreign_keys(tables: Tables, pairs: Iterable[ForeignKey]) -> DataFrame
     for number, (child_table, child_column, parent_table, parent_column) in enumerate(pairs):
         child = tables[child_table].schema[child_column]
         parent = tables[parent_table].schema[parent_column]
-        if type_class(child.dataType) is None or type_class(child.dataType) != type_class(parent.dataType):
+        if not comparable(child.dataType, parent.dataType):
             raise ValueError(f"{child_table}.{child_column} and {parent_table}.{parent_column} cannot be compared")
-        for table, field, rows in ((child_table, child, 1), (parent_table, parent, 0)):
+        for table, field, other, rows in ((child_table, child, parent, 1), (parent_table, parent, child, 0)):
             sides.append(
                 tables[table]
                 .where(column(field.name).isNotNull())
-                .select(F.lit(number).alias("pair"), value_key(field).alias("value"), F.lit(rows).alias("child_rows"))
+                .select(F.lit(number).alias("pair"), common_key(field, other.dataType).alias("value"), F.lit(rows).alias("child_rows"))
             )
     values = (
         union_all(sides)

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakescribe.functions.values import (
+    DECIMAL,
     FLOAT,
     INTEGER,
     NUMERIC,
     STRING,
     column,
+    decimal_text,
     quoted,
     scalar_columns,
     text_literal,
@@ -27,8 +29,6 @@ from lakescribe.functions.values import (
 from lakescribe.model import union_all
 
 COLUMNS_PER_SCAN = 64
-WIDE = "decimal(38,4)"
-LIMIT = "1e34"  # doubles from here on do not fit the wide decimal
 HASH_BITS = 128
 
 Tables = Mapping[str, DataFrame]
@@ -86,45 +86,58 @@ def length_profile(tables: Tables) -> DataFrame:
     return _per_column(tables, lambda schema: scalar_columns(schema, STRING), _lengths)
 
 
+def _parts(text: str) -> tuple[str, str, str]:
+    """Digits before the point, digits after it, and the exponent of a number's text."""
+    mantissa = f"substring_index({text}, 'E', 1)"
+    after = f"CASE WHEN contains({mantissa}, '.') THEN substring_index({mantissa}, '.', -1) ELSE '' END"
+    exponent = f"CASE WHEN contains({text}, 'E') THEN CAST(substring_index({text}, 'E', -1) AS int) ELSE 0 END"
+    return f"substring_index({mantissa}, '.', 1)", after, exponent
+
+
 def _scale_by_text(c: str) -> str:
-    """Digits after the point that are left when trailing zeros are removed."""
-    return f"length(trim(TRAILING '0' FROM substring_index(CAST(try_cast({c} AS {WIDE}) AS string), '.', -1)))"
+    """Digits after the point that are left when trailing zeros are removed, of a value other than 0."""
+    _, after, exponent = _parts(f"CAST({c} AS string)")
+    return f"greatest(length(trim(TRAILING '0' FROM {after})) - ({exponent}), 0)"
 
 
 def _scale_of_double(c: str) -> str:
-    """As by text, but by arithmetic where that is exact: a double with at most three digits after the
-    point is the nearest one to rint(v * 10^k) / 10^k, and only it is. The rest takes the slow way."""
-    steps = " ".join(f"WHEN rint({c} * 1e{k}) / 1e{k} = {c} THEN {k}" for k in (1, 2, 3))
-    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN rint({c}) = {c} AND abs({c}) < 1e34 THEN 0 "
-            f"WHEN abs({c}) >= 1e11 THEN {_scale_by_text(c)} {steps} ELSE {_scale_by_text(c)} END")
+    """As by text, the shortest that names the value, but by arithmetic where that is exact: a double with
+    at most three digits after the point is the nearest one to rint(v * 10^k) / 10^k, and only it is. The
+    rest takes the slow way."""
+    wide = f"CAST({c} AS double)"
+    steps = " ".join(f"WHEN rint({wide} * 1e{k}) / 1e{k} = {wide} THEN {k}" for k in (1, 2, 3))
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN rint({wide}) = {wide} THEN 0 "
+            f"WHEN abs({wide}) >= 1e11 THEN {_scale_by_text(c)} {steps} ELSE {_scale_by_text(c)} END")
 
 
-def _fitting(c: str, cls: str) -> str:
-    """Numbers that have a wide decimal form; leaves out NaN, infinities and larger numbers."""
-    if cls == FLOAT:
-        return f"CASE WHEN abs({c}) < {LIMIT} THEN {c} END"
-    return f"try_cast({c} AS {WIDE})" if cls != INTEGER else c
+def _finite(c: str, cls: str) -> str:
+    """The numbers that have digits; leaves out NaN and infinities."""
+    return f"CASE WHEN abs({c}) < double('Infinity') THEN {c} END" if cls == FLOAT else c
 
 
 def _numbers(field: T.StructField) -> Facts:
     c, cls = quoted(field.name), type_class(field.dataType)
+    fits = _finite(c, cls)
     if cls == INTEGER:
         scale = f"CASE WHEN count({c}) > 0 THEN 0 END"
     elif cls == FLOAT:
-        scale = f"max({_scale_of_double(f'CAST({c} AS double)')})"
+        scale = f"max({_scale_of_double(f'({fits})')})"
     else:
-        scale = f"max({_scale_by_text(c)})"
-    fits = _fitting(c, cls)
-    largest = f"greatest(abs(try_cast(min({fits}) AS {WIDE})), abs(try_cast(max({fits}) AS {WIDE})))"
-    whole = f"substring_index(CAST({largest} AS string), '.', 1)"
-    digits = f"CASE WHEN {whole} = '0' THEN 0 ELSE length({whole}) END"
+        scale = f"max(CASE WHEN {c} = 0 THEN 0 ELSE {_scale_by_text(c)} END)"
+    ends = [f"CAST({end}({fits}) AS decimal(20,0))" if cls == INTEGER else f"{end}({fits})" for end in ("min", "max")]
+    largest = f"greatest(abs({ends[0]}), abs({ends[1]}))"
+    before, _, exponent = _parts(f"CAST({largest} AS string)")
+    digits = f"CASE WHEN {largest} < 1 THEN 0 ELSE length({before}) + {exponent} END"
     # A column of zeros still has one digit.
     precision = f"CASE WHEN {largest} IS NOT NULL THEN greatest({digits} + {scale}, 1) END"
     return {"precision": f"CAST({precision} AS int)", "scale": f"CAST({scale} AS int)"}
 
 
 def numeric_profile(tables: Tables) -> DataFrame:
-    """Observed precision and scale of numeric columns, through decimal(38,4)."""
+    """Observed precision and scale of numeric columns: all digits of all finite values, whatever their size.
+
+    Decimals count without trailing zeros, doubles and floats in their shortest form.
+    """
     return _per_column(tables, lambda schema: scalar_columns(schema, *NUMERIC), _numbers)
 
 
@@ -144,15 +157,17 @@ def approx_distinct_profile(
 
 
 def _bounds(field: T.StructField) -> Facts:
-    """What a contained column must obey: the range of integers; of other values the range of their
-    hashes, and the bits that their hashes set. All are fixed-width, so the aggregate stays in
+    """What a contained column must obey: the range of integers; of other values the range of the hashes
+    of their key forms, and the bits that these set. All are fixed-width, so the aggregate stays in
     generated code, which the least and greatest string would not."""
     c, cls = quoted(field.name), type_class(field.dataType)
     facts = dict.fromkeys(("min_long", "max_long", "min_hash", "max_hash", "bits_low", "bits_high"), "CAST(NULL AS bigint)")
     if cls == INTEGER:
         facts |= {"min_long": f"CAST(min({c}) AS bigint)", "max_long": f"CAST(max({c}) AS bigint)"}
     elif cls:
-        h = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({c}) END"
+        # equal values of different types must have equal hashes
+        alike = f"CAST({c} AS double)" if cls == FLOAT else decimal_text(c) if cls == DECIMAL else c
+        h = f"CASE WHEN {c} IS NOT NULL THEN xxhash64({alike}) END"
         place = f"CAST({h} & {HASH_BITS - 1} AS int)"
         facts |= {
             "min_hash": f"min({h})",
@@ -176,7 +191,7 @@ def scan_profile(tables: Tables) -> DataFrame:
 
     def facts(field: T.StructField) -> Facts:
         c, cls = quoted(field.name), type_class(field.dataType)
-        odd = f"count({c}) - count({_fitting(c, cls)})" if cls in NUMERIC else "0L"
+        odd = f"count({c}) - count({_finite(c, cls)})" if cls in NUMERIC else "0L"
         return {
             **_nulls(field),
             **(_lengths(field) if cls == STRING else _NO_LENGTHS),

@@ -7,6 +7,7 @@ foreign keys, and reads only columns that may be unique or may lie in a unique c
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakescribe.functions.values import INTEGER, NUMERIC, STRING, scalar_columns, type_class
-from lakescribe.model import Catalog, conform, empty, local_frame
+from lakescribe.model import Catalog, LazyFrames, conform, empty, local_frame
 from lakescribe.operators.distincts import (
     ColumnFacts,
     column_sets,
     comparable_columns,
     inclusions_from,
-    key_candidates_from,
     lake_facts,
     may_be_unique,
 )
 from lakescribe.operators.keys import sequence_profile_from, suggest_foreign_keys
-from lakescribe.operators.profiles import Tables
+from lakescribe.operators.profiles import Tables, row_counts
 
 _KEY = ["table_name", "column_name"]
 
@@ -75,31 +75,59 @@ def document_lake(
     version: str | None = None,
     extracted_at: datetime | None = None,
 ) -> Catalog:
-    """Canonical catalog of the given tables. Comments: (table_name, column_name, comment), the
-    column name being '' for a table's own comment."""
+    """Canonical catalog of the given tables, each frame measured when it is first used. Comments:
+    (table_name, column_name, comment), the column name being '' for a table's own comment."""
     spark = next(iter(tables.values())).sparkSession
-    facts = lake_facts(tables)
+    notes = comments if comments is not None else local_frame(
+        spark, [], "table_name string, column_name string, comment string"
+    )
+    where = {"source_id": F.lit(source_id), "dialect": F.lit("lake"), "owner": F.lit(owner)}
 
-    # Integer and string columns: one comparison gives uniqueness and inclusions.
-    compared = comparable_columns(tables, facts)
-    compared |= {
-        (r["table_name"], r["column_name"])
-        for r in facts
-        if may_be_unique(r)
-        and type_class(tables[r["table_name"]].schema[r["column_name"]].dataType) in (INTEGER, STRING)
-    }
-    # One row per column, used for both facts; a lost block is computed again.
-    sets = column_sets(tables, compared).persist()
-    # Columns of other classes only need uniqueness.
-    others = {
-        t: df.select(*[f.name for f in df.schema.fields if type_class(f.dataType) not in (INTEGER, STRING, None)])
-        for t, df in tables.items()
+    def sources() -> DataFrame:
+        stamp = extracted_at or datetime.now(timezone.utc)
+        return local_frame(
+            spark,
+            [(source_id, database_name, version or spark.version, stamp)],
+            "source_id long, database_name string, version string, extracted_at timestamp",
+        ).withColumns({"dialect": F.lit("lake"), "database_type": F.lit("Spark")})
+
+    def documented() -> DataFrame:
+        return (
+            row_counts(tables)
+            .join(notes.where("column_name = ''").select("table_name", "comment"), "table_name", "left")
+            .withColumns(
+                {
+                    **where,
+                    "name": F.col("table_name"),
+                    "type": F.lit("TABLE"),
+                    "comment": F.coalesce("comment", F.lit("")),
+                    "created_at": F.lit(None).cast("timestamp"),
+                    "modified_at": F.lit(None).cast("timestamp"),
+                }
+            )
+        )
+
+    def columns() -> DataFrame:
+        return _measured_columns(tables, notes).withColumns({**where, "object_kind": F.lit("TABLE")})
+
+    built: dict[str, Callable[[], DataFrame]] = {
+        "sources": lambda: conform(sources(), "sources"),
+        "tables": lambda: conform(documented(), "tables"),
+        "columns": lambda: conform(columns(), "columns"),
     }
-    others = {t: df for t, df in others.items() if df.columns}
+    for kind in ("views", "indexes", "routines", "sequences", "triggers", "synonyms"):
+        built[kind] = lambda kind=kind: empty(spark, kind)
+    return LazyFrames(built)
+
+
+def _measured_columns(tables: Tables, notes: DataFrame) -> DataFrame:
+    """The columns with all their facts. One comparison of values gives uniqueness and inclusions; both
+    uses of it are in one plan, where equal exchanges run once."""
+    spark = next(iter(tables.values())).sparkSession
+    facts = lake_facts(tables)
+    compared = comparable_columns(tables, facts) | {(r["table_name"], r["column_name"]) for r in facts if may_be_unique(r)}
+    sets = column_sets(tables, compared)
     unique = sets.where("is_unique").select(*_KEY)
-    if others:
-        other_keys = key_candidates_from(others, facts)
-        unique = unique.unionByName(other_keys.where("is_unique").select(*_KEY))
     targets = suggest_foreign_keys(inclusions_from(sets)).select(
         F.col("child_table").alias("table_name"),
         F.col("child_column").alias("column_name"),
@@ -119,21 +147,14 @@ def document_lake(
         counting = ranges.where("is_dense and increment = 1").select(*_KEY)
     else:
         counting = keys.select(*_KEY).limit(0)
-    notes = comments if comments is not None else local_frame(
-        spark, [], "table_name string, column_name string, comment string"
-    )
 
-    columns = (
+    return (
         marked.join(primary.withColumn("pk_mark", F.lit(True)), _KEY, "left")
         .join(targets, _KEY, "left")
         .join(counting.withColumn("counting_mark", F.lit(True)), _KEY, "left")
         .join(notes.where("column_name <> ''"), _KEY, "left")
         .withColumns(
             {
-                "source_id": F.lit(source_id),
-                "dialect": F.lit("lake"),
-                "owner": F.lit(owner),
-                "object_kind": F.lit("TABLE"),
                 "name": F.col("column_name"),
                 "default_value": F.lit(""),
                 "comment": F.coalesce("comment", F.lit("")),
@@ -146,34 +167,3 @@ def document_lake(
             }
         )
     )
-    documented = (
-        base.groupBy("table_name")
-        .agg(F.max("n_rows").alias("row_count"))
-        .join(notes.where("column_name = ''").select("table_name", "comment"), "table_name", "left")
-        .withColumns(
-            {
-                "source_id": F.lit(source_id),
-                "dialect": F.lit("lake"),
-                "owner": F.lit(owner),
-                "name": F.col("table_name"),
-                "type": F.lit("TABLE"),
-                "comment": F.coalesce("comment", F.lit("")),
-                "created_at": F.lit(None).cast("timestamp"),
-                "modified_at": F.lit(None).cast("timestamp"),
-            }
-        )
-    )
-    stamp = extracted_at or datetime.now(timezone.utc)
-    sources = local_frame(
-        spark,
-        [(source_id, database_name, version or spark.version, stamp)],
-        "source_id long, database_name string, version string, extracted_at timestamp",
-    ).withColumns({"dialect": F.lit("lake"), "database_type": F.lit("Spark")})
-    catalog: Catalog = {
-        "sources": conform(sources, "sources"),
-        "tables": conform(documented, "tables"),
-        "columns": conform(columns, "columns"),
-    }
-    for kind in ("views", "indexes", "routines", "sequences", "triggers", "synonyms"):
-        catalog[kind] = empty(spark, kind)
-    return catalog

@@ -1,6 +1,6 @@
 from lakescribe.sources.catalog import read_catalog
 from lakescribe.sources.jdbc import JdbcSource, read_catalog_jdbc
 from lakescribe.sources.lake import read_tables
-from lakescribe.sources.snapshot import read_snapshot, write_snapshot
+from lakescribe.sources.snapshot import land_fleet, read_snapshot, write_snapshot
 
-__all__ = ["JdbcSource", "read_catalog", "read_catalog_jdbc", "read_snapshot", "read_tables", "write_snapshot"]
+__all__ = ["JdbcSource", "land_fleet", "read_catalog", "read_catalog_jdbc", "read_snapshot", "read_tables", "write_snapshot"]

@@ -76,7 +76,7 @@ def _queries() -> dict[str, dict[str, str]]:
     sys |= {
         "database_info": "SELECT 1 AS line, DB_NAME() AS database_name, @@VERSION AS version",
         "columns": _plain("sys.columns", "columns", "mssql"),
-        "extended_properties": "SELECT class, major_id, minor_id, name, CAST(value AS nvarchar(4000)) AS value "
+        "extended_properties": "SELECT class, major_id, minor_id, name, CAST(value AS nvarchar(max)) AS value "
                                "FROM sys.extended_properties",
         "default_constraints": "SELECT parent_object_id, parent_column_id, definition AS default_text "
                                "FROM sys.default_constraints",
@@ -109,8 +109,8 @@ def read_catalog_jdbc(
 ) -> dict[str, DataFrame]:
     """Native frames of the given databases, each row with its source_id.
 
-    For a fleet, read a batch of databases at a time and land each batch with write_snapshot: a plan
-    has one scan per database and relation.
+    For a fleet, use land_fleet, which lands a batch of databases at a time: a plan has one scan per
+    database and relation, and each scan asks its database for the query's schema when it is built.
     """
     sources = list(sources)
     if not sources:

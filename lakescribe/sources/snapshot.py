@@ -1,19 +1,27 @@
-"""Landed catalog dumps: `<path>/dialect=<dialect>/<relation>/source_bucket=<n>/*.parquet`.
+"""Landed catalog dumps: `<path>/dialect=<dialect>/<relation>/run=<run>/source_bucket=<n>/*.parquet`.
 
-Dialects have different relations, so the dialect is chosen by path; the bucket is a partition column.
+Dialects have different relations, so the dialect is chosen by path; run and bucket are partition columns.
+Each write is a run of its own and replaces nothing of other runs, so a fleet lands in batches. Of a source
+that several runs hold, the newest counts, in all relations. A run counts once its database_info is there,
+which is written last: one that broke off is not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescribe.sources.jdbc import JdbcSource, read_catalog_jdbc
 from lakescribe.sources.native import NATIVE, native_schema
 
 BUCKETS = 64
+# Every source has rows in this relation.
+LAST = "database_info"
 
 
 def _location(path: str, dialect: str, relation: str) -> str:
@@ -23,27 +31,62 @@ def _location(path: str, dialect: str, relation: str) -> str:
 def read_snapshot(
     spark: SparkSession, path: str, dialect: str, buckets: Iterable[int] | None = None
 ) -> dict[str, DataFrame]:
-    """Native frames of one dialect; a choice of buckets prunes directories."""
+    """Native frames of one dialect, of each source its newest run; a choice of buckets prunes directories."""
     if dialect not in NATIVE:
         raise ValueError(f"unsupported database type: {dialect} (supported: {', '.join(sorted(NATIVE))})")
-    frames = {}
-    for relation in NATIVE[dialect]:
-        schema = native_schema(dialect, relation)
-        landed = T.StructType([*schema.fields, T.StructField("source_bucket", T.IntegerType())])
-        rows = spark.read.schema(landed).parquet(_location(path, dialect, relation))
-        if buckets is not None:
-            rows = rows.where(F.col("source_bucket").isin(*buckets))
-        frames[relation] = rows.select(*schema.names)
-    return frames
+    chosen = None if buckets is None else list(buckets)
+
+    def rows(relation: str) -> DataFrame:
+        landed = T.StructType([
+            *native_schema(dialect, relation).fields, T.StructField("run", T.StringType()), T.StructField("source_bucket", T.IntegerType())])
+        found = spark.read.schema(landed).parquet(_location(path, dialect, relation))
+        return found if chosen is None else found.where(F.col("source_bucket").isin(*chosen))
+
+    newest = rows(LAST).groupBy("source_id").agg(F.max("run").alias("run"))
+    return {
+        relation: rows(relation).join(newest, ["source_id", "run"], "left_semi").select(*native_schema(dialect, relation).names)
+        for relation in NATIVE[dialect]
+    }
+
+
+def new_run() -> str:
+    """A run's name; names sort by time."""
+    return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
 def write_snapshot(
-    frames: Mapping[str, DataFrame], path: str, dialect: str, buckets: int = BUCKETS, mode: str = "overwrite"
-) -> None:
-    """Land native frames so that read_snapshot finds them."""
-    for relation, df in frames.items():
-        bucketed = df.withColumn("source_bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int"))
+    frames: Mapping[str, DataFrame], path: str, dialect: str, buckets: int = BUCKETS, run: str | None = None
+) -> str:
+    """Land native frames so that read_snapshot finds them; gives the run's name.
+
+    Writing a run of the same name again replaces that run and nothing else.
+    """
+    run = run or new_run()
+    for relation in sorted(frames, key=lambda x: x == LAST):
+        bucketed = frames[relation].withColumn("source_bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int"))
         (
             bucketed.hint("rebalance", "source_bucket").sortWithinPartitions("source_bucket", "source_id")
-            .write.mode(mode).partitionBy("source_bucket").parquet(_location(path, dialect, relation))
+            .write.mode("overwrite").partitionBy("source_bucket").parquet(f"{_location(path, dialect, relation)}/run={run}")
         )
+    return run
+
+
+def land_fleet(
+    spark: SparkSession, sources: Sequence[JdbcSource], dialect: str, path: str, batch: int = 50, buckets: int = BUCKETS,
+    queries: Mapping[str, str] | None = None,
+) -> list[tuple[int, str]]:
+    """Land the catalogs of many databases in batches; gives (source_id, error) of those that failed.
+
+    A batch that fails is tried again one database at a time, so one that is down costs no other.
+    """
+    failed, todo = [], [list(sources[i : i + batch]) for i in range(0, len(sources), batch)]
+    while todo:
+        part = todo.pop(0)
+        try:
+            write_snapshot(read_catalog_jdbc(spark, part, dialect, queries), path, dialect, buckets)
+        except Exception as error:  # whatever a driver throws
+            if len(part) > 1:
+                todo = [[x] for x in part] + todo
+            else:
+                failed.append((part[0].source_id, str(error).splitlines()[0]))
+    return failed

@@ -257,6 +257,16 @@ SELECT 'columns', source_id, owner, table_name || '.' || name, 0 FROM cat_column
 WHERE object_kind = 'TABLE' AND table_name IN ('사원', '급여이력', '설정') AND NOT ({system})"""
 
 
+def filter_types() -> str:
+    """Without tables of two types, and without what belongs to them."""
+    gone = "SELECT 1 FROM cat_tables t WHERE t.type IN ('InnoDB', 'USER_TABLE') AND t.source_id = x.source_id AND t.owner = x.owner AND t.name = x.{0}"
+    parts = [
+        f"SELECT '{kind}' AS frame, source_id, owner, {named} AS belongs_to, name FROM cat_{kind} x WHERE NOT EXISTS ({gone.format(named)})"
+        for kind, named in (("tables", "name"), ("views", "name"), ("columns", "table_name"), ("indexes", "table_name"), ("triggers", "target_table"))
+    ]
+    return ctes("tables", "views", "columns", "indexes", "triggers") + "\nUNION ALL\n".join(parts)
+
+
 def auto_increment() -> str:
     return ctes("columns") + "SELECT source_id, dialect, owner, table_name, name FROM cat_columns WHERE is_auto_increment"
 

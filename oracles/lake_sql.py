@@ -65,16 +65,20 @@ def lengths() -> str:
     )
 
 
-def _scale(column: str) -> str:
-    text = f"CAST(CAST({column} AS DECIMAL(38,4)) AS VARCHAR)"
-    return f"length(rtrim(split_part({text}, '.', 2), '0'))"
+def _number_text(column: str) -> tuple[str, str, str]:
+    """Digits before the point, digits after it, and the exponent."""
+    text = f"CAST({column} AS VARCHAR)"
+    mantissa = f"split_part({text}, 'e', 1)"
+    return f"split_part({mantissa}, '.', 1)", f"split_part({mantissa}, '.', 2)", f"coalesce(TRY_CAST(split_part({text}, 'e', 2) AS INT), 0)"
 
 
 def _numbers(column: str) -> tuple[str, str]:
-    scale = f"max({_scale(column)})"
-    largest = f"CAST(CAST(greatest(abs(min({column})), abs(max({column}))) AS DECIMAL(38,4)) AS VARCHAR)"
-    digits = f"length(nullif(split_part({largest}, '.', 1), '0'))"
-    return f"greatest(coalesce({digits}, 0) + {scale}, 1)::INT", f"({scale})::INT"
+    _, after, exponent = _number_text(column)
+    scale = f"max(CASE WHEN {column} = 0 THEN 0 ELSE greatest(length(rtrim({after}, '0')) - {exponent}, 0) END)"
+    largest = f"greatest(abs(min({column})), abs(max({column})))"
+    before, _, exponent = _number_text(largest)
+    digits = f"CASE WHEN {largest} < 1 THEN 0 ELSE length({before}) + {exponent} END"
+    return f"greatest({digits} + {scale}, 1)::INT", f"({scale})::INT"
 
 
 def precision() -> str:
@@ -87,6 +91,22 @@ def precision() -> str:
     return _union(parts)
 
 
+def precision_wide() -> str:
+    """Of numbers with many digits, derived from customer."""
+    wide = {
+        "small": "c_custkey / 1e9",
+        "huge": "c_acctbal * 1e33",
+        "fine": "CAST(c_custkey AS DECIMAL(20,8)) + CAST('0.12345678' AS DECIMAL(20,8))",
+        "long": "CAST(concat('12345678901234567890123456789012345', c_custkey % 10) AS DECIMAL(38,0))",
+    }
+    parts = []
+    for name, value in wide.items():
+        precision_, scale = _numbers("v")
+        parts.append(f"SELECT 'wide' AS table_name, '{name}' AS column_name, {precision_} AS precision, {scale} AS scale "
+                     f"FROM (SELECT {value} AS v FROM customer)")
+    return _union(parts)
+
+
 def _scalars(tables=TABLES):
     return [x for x in _columns(tables=tables) if not x[3].startswith("array")]
 
@@ -134,8 +154,8 @@ def foreign_keys(pairs) -> str:
 def _inclusion_ctes(tables=TABLES) -> str:
     """held: distinct values per column; parents: columns without duplicates; inds: the answer."""
     values, uniques = [], []
-    for t, _, c, kind in _columns(*INTEGERS, STRING, tables=tables):
-        cls = "string" if kind == STRING else "integer"
+    for t, _, c, kind in _scalars(tables):
+        cls = "integer" if kind in INTEGERS else kind
         values.append(
             f"SELECT DISTINCT '{cls}' AS cls, '{t}' AS t, '{c}' AS c, CAST(\"{c}\" AS VARCHAR) AS v "
             f"FROM {t} WHERE \"{c}\" IS NOT NULL"

@@ -53,8 +53,56 @@ def test_precision_and_scale(odd):
     assert (found["id"]["precision"], found["id"]["scale"]) == (1, 0)
 
 
+@pytest.mark.parametrize("kind, values, expected", [
+    ("double", [0.123456789], (9, 9)),
+    ("decimal(20,8)", [Decimal("1.12345678")], (9, 8)),
+    ("decimal(38,0)", [Decimal("123456789012345678901234567890123456")], (36, 0)),
+    ("double", [1e35], (36, 0)),
+    ("decimal(20,8)", [Decimal("0.00000012"), Decimal("0")], (8, 8)),
+    ("double", [1.5e-7, 12345678.5], (16, 8)),
+    ("float", [0.1], (1, 1)),
+    ("bigint", [-(2**63)], (19, 0)),
+    ("double", [float("inf"), float("nan"), 2.5], (2, 1)),
+])
+def test_all_digits_count(spark, kind, values, expected):
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    found = profiles.numeric_profile({"t": df}).head()
+    assert (found["precision"], found["scale"]) == expected
+
+
+def test_keys_meet_in_their_common_type(spark):
+    at = datetime(2024, 5, 1, 12)
+    child = spark.createDataFrame([(Decimal("1.5"), at, 1.5)], "d decimal(10,4), t timestamp_ntz, f double")
+    parent = spark.createDataFrame([(Decimal("1.5"), at, 1.5)], "d decimal(10,2), t timestamp, f float")
+    tables = {"child": child, "parent": parent}
+    found = keys.check_foreign_keys(tables, [("child", c, "parent", c) for c in "dtf"]).collect()
+    assert [(r["n_orphans"], r["coverage"]) for r in found] == [(0, 1.0)] * 3
+    with pytest.raises(ValueError):
+        keys.check_foreign_keys(tables, [("child", "d", "parent", "t")])
+
+
+def test_inclusions_of_all_classes(spark):
+    rows = [(Decimal(i), Decimal(i) / 4, date(2024, 1, 1 + i), datetime(2024, 1, 1, i), i / 8, bytes([i])) for i in range(9)]
+    names = "n decimal(38,0), q decimal(12,4), day date, at timestamp_ntz, f double, bin binary"
+    parent = spark.createDataFrame(rows, names)
+    child = spark.createDataFrame(rows[2:5] * 2, names.replace("q decimal(12,4)", "q decimal(9,2)"))
+    found = {(r["child_column"], r["parent_column"]) for r in distincts.inclusion_dependencies({"parent": parent, "child": child}).collect()
+             if r["child_table"] == "child"}
+    assert {(c, c) for c in ("n", "q", "day", "at", "f", "bin")} <= found
+
+
+def test_a_repeat_seen_is_the_only_other_proof(spark):
+    """Every second value repeats far apart: only the exact pass can tell, whatever pruning does."""
+    df = spark.range(0, 3_000).selectExpr("CAST(id % 2999 AS string) AS almost", "CAST(id AS string) AS single")
+    for prune in (True, False):
+        found = by_column(distincts.key_candidates({"t": df}, prune))
+        assert not found["almost"]["is_unique"] and found["single"]["is_unique"]
+    assert distincts.seen_repeats({"t": df}, {("t", "almost"), ("t", "single")}, rows=100) == set()
+    assert distincts.seen_repeats({"t": df}, {("t", "almost"), ("t", "single")}) == {("t", "almost")}
+
+
 @pytest.mark.parametrize("value, scale", [
-    (0.1, 1), (0.29, 2), (1.005, 3), (0.12345, 4), (0.50001, 1), (123456789012.25, 2), (-7.0, 0), (1e30, 0), (0.0003, 4),
+    (0.1, 1), (0.29, 2), (1.005, 3), (0.12345, 5), (0.50001, 5), (123456789012.25, 2), (-7.0, 0), (1e30, 0), (0.0003, 4),
 ])
 def test_scale_of_doubles(spark, value, scale):
     df = spark.createDataFrame([(value,)], "v double")

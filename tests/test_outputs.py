@@ -16,9 +16,9 @@ from lakescribe.operators.documents import schema_documents
 from lakescribe.operators.filters import ALL
 from lakescribe.plans.extract import NORMALISERS
 from lakescribe.sinks import write_documents, write_pages, write_sheets
-from lakescribe.sources import JdbcSource, read_catalog_jdbc, read_snapshot, write_snapshot
+from lakescribe.sources import JdbcSource, land_fleet, read_catalog_jdbc, read_snapshot, write_snapshot
 from lakescribe.sources.jdbc import QUERIES
-from lakescribe.sources.native import NATIVE
+from lakescribe.sources.native import NATIVE, native_schema
 
 
 @pytest.fixture(scope="module")
@@ -165,6 +165,41 @@ def test_snapshot_round_trip(spark, tmp_path):
         read_snapshot(spark, str(tmp_path), "db2")
 
 
+def test_batches_and_repeated_sources_land_without_loss(spark, tmp_path):
+    customer = spark.read.parquet(f"{SF_DIR}/customer.parquet")
+    ids = [r.source_id for r in native.mysql(customer.where("c_custkey < 13"))["database_info"].select("source_id").distinct().collect()]
+    first, second = native.mysql(customer.where("c_custkey < 7")), native.mysql(customer.where("c_custkey between 7 and 12"))
+    write_snapshot(first, str(tmp_path), "mysql", buckets=2)
+    write_snapshot(second, str(tmp_path), "mysql", buckets=2)
+    whole = native.mysql(customer.where("c_custkey < 13"))
+    back = read_snapshot(spark, str(tmp_path), "mysql")
+    for relation, frame in whole.items():
+        assert back[relation].exceptAll(frame).count() == 0 and frame.exceptAll(back[relation]).count() == 0
+    again = {k: v.where(F.col("source_id") == ids[0]) for k, v in whole.items()}
+    again["tables"] = again["tables"].limit(1)
+    write_snapshot(again, str(tmp_path), "mysql", buckets=2)
+    back = read_snapshot(spark, str(tmp_path), "mysql")
+    assert back["tables"].where(F.col("source_id") == ids[0]).count() == 1
+    assert back["tables"].where(F.col("source_id") != ids[0]).exceptAll(whole["tables"]).count() == 0
+    assert {r.source_id for r in back["database_info"].collect()} == set(ids)
+
+
+def test_a_database_that_is_down_costs_no_other(spark, tmp_path):
+    up = [JdbcSource(i, f"jdbc:derby:memory:land{i};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}) for i in (1, 2)]
+    down = JdbcSource(3, "jdbc:derby:memory:missing", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    text = {"string": "VARCHAR(9)", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN"}
+    queries = {
+        relation: "SELECT " + ", ".join(
+            f"CAST(NULL AS {text.get(f.dataType.simpleString(), 'VARCHAR(9)')}) AS {f.name}" for f in native_schema("mysql", relation).fields[1:]
+        ) + " FROM SYSIBM.SYSDUMMY1"
+        for relation in ("database_info",)
+    }
+    failed = land_fleet(spark, [up[0], down, up[1]], "mysql", str(tmp_path), queries=queries, buckets=2)
+    assert [x for x, _ in failed] == [3]
+    landed = spark.read.parquet(f"{tmp_path}/dialect=mysql/database_info")
+    assert {r.source_id for r in landed.collect()} == {1, 2}
+
+
 def test_owner_filter_reaches_the_scan(spark, tmp_path):
     customer = spark.read.parquet(f"{SF_DIR}/customer.parquet").where("c_custkey < 5")
     write_snapshot(native.oracle(customer), str(tmp_path), "oracle", buckets=2)
