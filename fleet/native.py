@@ -284,17 +284,22 @@ def mysql(customer: DataFrame) -> Frames:
     my_type = lambda kind: seed.TYPES[kind]["mysql"][0]
     d.add("routines",
           [{"routine_name": n, "routine_type": k, "routine_comment": note, "dtd_identifier": my_type(r) if r else None}
-           for _, n, k, note, _, r in seed.ROUTINES],
+           for _, n, k, note, _, r in seed.ROUTINES] + [{"routine_name": seed.ROUTINES[1][1], "routine_type": "PROCEDURE"}],
           "routine_name string, routine_type string, routine_comment string, dtd_identifier string",
           routine_schema=F.col("main_owner"))
     parameters = [
-        {"specific_name": n, "parameter_name": a, "ordinal_position": i, "parameter_mode": m, "data_type": my_type(t)}
-        for _, n, _, _, args, _ in seed.ROUTINES for i, (a, m, t) in enumerate(args, start=1)
+        {"specific_name": n, "routine_type": k, "parameter_name": a, "ordinal_position": i, "parameter_mode": m, "data_type": my_type(t)}
+        for _, n, k, _, args, _ in seed.ROUTINES for i, (a, m, t) in enumerate(args, start=1)
     ]
+    # A procedure with the name of a function.
+    parameters.append({"specific_name": seed.ROUTINES[1][1], "routine_type": "PROCEDURE", "parameter_name": "p_out",
+                       "ordinal_position": 1, "parameter_mode": "OUT", "data_type": "int"})
     # The return value is a parameter without a name.
-    parameters += [{"specific_name": n, "ordinal_position": 0, "data_type": my_type(r)} for _, n, _, _, _, r in seed.ROUTINES if r]
+    parameters += [{"specific_name": n, "routine_type": k, "ordinal_position": 0, "data_type": my_type(r)}
+                   for _, n, k, _, _, r in seed.ROUTINES if r]
     d.add("parameters", parameters[::-1],
-          "specific_name string, parameter_name string, ordinal_position int, parameter_mode string, data_type string",
+          "specific_name string, routine_type string, parameter_name string, ordinal_position int, parameter_mode string, "
+          "data_type string",
           specific_schema=F.col("main_owner"))
     # One event per trigger, tables only.
     d.add("triggers",
@@ -360,9 +365,11 @@ def oracle(customer: DataFrame) -> Frames:
     d.add("all_views", [{"view_name": seed.VIEW[1]}], "view_name string", owner=F.col("main_owner"),
           read_only=F.when(F.col("updatable"), F.lit("N")).otherwise(F.lit("Y")))
     procedures = [{"object_name": n, "object_type": k} for _, n, k, *_ in seed.ROUTINES]
-    procedures.append({"object_name": "급여패키지", "procedure_name": "정산", "object_type": "PROCEDURE"})
-    procedures.append({"object_name": "급여패키지", "object_type": "PACKAGE"})  # left out
-    d.add("all_procedures", procedures, "object_name string, procedure_name string, object_type string",
+    # A package: itself (left out), a procedure, its overload, a function.
+    procedures.append({"object_name": "급여패키지", "object_type": "PACKAGE", "subprogram_id": 0})
+    for number, member in enumerate(("정산", "정산", "합산"), start=1):
+        procedures.append({"object_name": "급여패키지", "procedure_name": member, "object_type": "PACKAGE", "subprogram_id": number})
+    d.add("all_procedures", procedures, "object_name string, procedure_name string, object_type string, subprogram_id int",
           owner=F.col("main_owner"))
     ora_type = lambda kind: seed.TYPES[kind]["oracle"][0]
     arguments = [
@@ -370,10 +377,16 @@ def oracle(customer: DataFrame) -> Frames:
         for _, n, _, _, args, _ in seed.ROUTINES for i, (a, m, t) in enumerate(args, start=1)
     ]
     arguments += [{"object_name": n, "position": 0, "in_out": "OUT", "data_type": ora_type(r)} for _, n, _, _, _, r in seed.ROUTINES if r]
-    arguments.append({"object_name": "정산", "package_name": "급여패키지", "argument_name": "p_월", "position": 1,
-                      "in_out": "IN", "data_type": "NUMBER", "default_value": "1"})
+    member = {"package_name": "급여패키지", "in_out": "IN", "data_type": "NUMBER"}
+    arguments += [
+        {**member, "object_name": "정산", "subprogram_id": 1, "argument_name": "p_월", "position": 1, "default_value": "1"},
+        {**member, "object_name": "정산", "subprogram_id": 2, "argument_name": "p_월", "position": 1},
+        {**member, "object_name": "정산", "subprogram_id": 2, "argument_name": "p_년", "position": 2},
+        {**member, "object_name": "합산", "subprogram_id": 3, "position": 0, "in_out": "OUT"},
+        {**member, "object_name": "합산", "subprogram_id": 3, "argument_name": "p_월", "position": 1},
+    ]
     d.add("all_arguments", arguments[::-1],
-          "object_name string, package_name string, argument_name string, position int, in_out string, "
+          "object_name string, package_name string, subprogram_id int, argument_name string, position int, in_out string, "
           "data_type string, default_value string", owner=F.col("main_owner"))
     d.add("all_sequences", _sequence_rows(big=True), _SEQUENCE_FIELDS,
           sequence_owner=F.col("main_owner"), sequence_name=F.col("sname"), min_value=F.col("lo"), max_value=F.col("hi"),

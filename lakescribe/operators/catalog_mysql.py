@@ -94,18 +94,19 @@ def mysql_views(frames: Frames, schemas: Schemas = None) -> DataFrame:
 
 
 def mysql_routines(frames: Frames, schemas: Schemas = None) -> DataFrame:
+    """A procedure and a function may share a name; each has its own arguments."""
     routines = _kept(frames, "routines", "routine_schema", schemas).withColumnsRenamed(
         {"routine_schema": "owner", "routine_name": "name", "routine_type": "type"}
     )
     listed = (
         _kept(frames, "parameters", "specific_schema", schemas)
         .where("parameter_name is not null")
-        .groupBy(SOURCE, F.col("specific_schema").alias("owner"), F.col("specific_name").alias("name"))
+        .groupBy(SOURCE, F.col("specific_schema").alias("owner"), F.col("specific_name").alias("name"), F.col("routine_type").alias("type"))
         .agg(ordered("ordinal_position", argument(
             F.col("parameter_name"), F.col("ordinal_position"), F.col("parameter_mode"), F.col("data_type"), F.lit("")
         )).alias("arguments"))
     )
-    joined = routines.join(listed, [SOURCE, "owner", "name"], "left")
+    joined = routines.join(listed, [SOURCE, "owner", "name", "type"], "left")
     return finish(
         joined, "routines", DIALECT,
         comment=text("routine_comment"),

@@ -122,32 +122,44 @@ def ora_views(frames: Frames, schemas: Schemas = None) -> DataFrame:
 
 
 def ora_routines(frames: Frames, schemas: Schemas = None) -> DataFrame:
-    """Standalone routines and package members; a member's arguments are found by package and name."""
+    """Standalone routines and package members.
+
+    The dictionary lists a member under its package, with the member as procedure name; the package itself
+    has none. Overloads differ by their number in the package, by which their arguments are found. A member
+    is a function if it has an argument without a name at position 0, its result.
+    """
     standalone = text("procedure_name") == ""
+    key = [SOURCE, "owner", "package_name", "routine", "subprogram"]
     routines = (
         _kept(frames, "all_procedures", schemas)
-        .where(F.col("object_type").isin("PROCEDURE", "FUNCTION"))
+        .where(F.col("object_type").isin("PROCEDURE", "FUNCTION") | ((F.col("object_type") == "PACKAGE") & ~standalone))
         .withColumns({
             "package_name": F.when(standalone, F.lit("")).otherwise(F.col("object_name")),
             "routine": F.when(standalone, F.col("object_name")).otherwise(F.col("procedure_name")),
             "name": F.when(standalone, F.col("object_name")).otherwise(F.concat_ws(".", "object_name", "procedure_name")),
+            "subprogram": F.when(standalone, F.lit(0)).otherwise(F.coalesce("subprogram_id", F.lit(0))),
         })
     )
-    key = [SOURCE, "owner", "package_name", "routine"]
+    arguments = frames["all_arguments"].withColumns({
+        "package_name": text("package_name"), "routine": F.col("object_name"),
+        "subprogram": F.when(text("package_name") == "", F.lit(0)).otherwise(F.coalesce("subprogram_id", F.lit(0))),
+    })
     listed = (
-        frames["all_arguments"].where("argument_name is not null")
-        .withColumns({"package_name": text("package_name"), "routine": F.col("object_name")})
+        arguments.where("argument_name is not null")
         .groupBy(*key)
         .agg(ordered("position", argument(
             F.col("argument_name"), F.col("position"), F.col("in_out"), F.col("data_type"), text("default_value")
         )).alias("arguments"))
     )
+    results = arguments.where("argument_name is null and position = 0").select(*key).distinct().withColumn("has_result", F.lit(True))
     comments = frames["all_tab_comments"].select(SOURCE, "owner", F.col("table_name").alias("object_name"), "comments")
-    joined = routines.join(listed, key, "left").join(comments, [SOURCE, "owner", "object_name"], "left")
+    member = F.when(F.col("has_result"), F.lit("FUNCTION")).otherwise(F.lit("PROCEDURE"))
+    joined = (
+        routines.join(listed, key, "left").join(results, key, "left").join(comments, [SOURCE, "owner", "object_name"], "left")
+        .withColumn("type", F.when(F.col("object_type") == "PACKAGE", member).otherwise(F.col("object_type"))))
     return finish(
         joined, "routines", DIALECT,
-        type=F.col("object_type"), comment=text("comments"),
-        signature=oracle_signature(F.col("object_type"), F.col("name"), F.col("arguments")),
+        comment=text("comments"), signature=oracle_signature(F.col("type"), F.col("name"), F.col("arguments")),
         return_type=F.lit(""), language=F.lit("PL/SQL"), arguments=F.coalesce("arguments", F.array()),
     )
 

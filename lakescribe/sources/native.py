@@ -45,8 +45,8 @@ NATIVE: dict[str, dict[str, str]] = {
         "views": "table_schema string, table_name string, is_updatable string",
         "routines": "routine_schema string, routine_name string, routine_type string, routine_comment string, "
                     "dtd_identifier string",
-        "parameters": "specific_schema string, specific_name string, parameter_name string, ordinal_position int, "
-                      "parameter_mode string, data_type string",
+        "parameters": "specific_schema string, specific_name string, routine_type string, parameter_name string, "
+                      "ordinal_position int, parameter_mode string, data_type string",
         "triggers": "trigger_schema string, trigger_name string, event_object_schema string, "
                     "event_object_table string, action_timing string, event_manipulation string",
     },
@@ -66,9 +66,9 @@ NATIVE: dict[str, dict[str, str]] = {
         "all_ind_comments": "owner string, index_name string, comments string",
         "all_ind_columns": "index_owner string, index_name string, column_name string, column_position int",
         "all_views": "owner string, view_name string, read_only string",
-        "all_procedures": "owner string, object_name string, procedure_name string, object_type string",
-        "all_arguments": "owner string, object_name string, package_name string, argument_name string, position int, "
-                         "in_out string, data_type string, default_value string",
+        "all_procedures": "owner string, object_name string, procedure_name string, object_type string, subprogram_id int",
+        "all_arguments": "owner string, object_name string, package_name string, subprogram_id int, argument_name string, "
+                         "position int, in_out string, data_type string, default_value string",
         "all_sequences": f"sequence_owner string, sequence_name string, min_value {_N}, max_value {_N}, "
                          f"increment_by {_N}, last_number {_N}, cache_size int, cycle_flag string, order_flag string",
         "all_triggers": "owner string, trigger_name string, table_owner string, table_name string, "

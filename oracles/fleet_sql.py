@@ -139,8 +139,14 @@ def _routines(d: str) -> str:
         _, name, kind, _, _, returns = seed.ROUTINES[1]
         result = kind_of(returns)
         rows.append((name, kind, "", f"{kind} {name}(p_이름 text) RETURNS {result}", result, ""))
+    if d == "mysql":
+        name = seed.ROUTINES[1][1]
+        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(OUT p_out int)", "", "p_out:1:OUT:int:"))
     if d == "oracle":
-        rows.append(("급여패키지.정산", "PROCEDURE", "", "PROCEDURE 급여패키지.정산(p_월 IN NUMBER)", "", "p_월:1:IN:NUMBER:1"))
+        name, one, two = "급여패키지.정산", "p_월:1:IN:NUMBER:", "p_년:2:IN:NUMBER:"
+        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(p_월 IN NUMBER)", "", one + "1"))
+        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(p_월 IN NUMBER, p_년 IN NUMBER)", "", f"{one};{two}"))
+        rows.append(("급여패키지.합산", "FUNCTION", "", "FUNCTION 급여패키지.합산(p_월 IN NUMBER) RETURN <type>", "", one))
     return f"""SELECT source_id, dialect, main_owner AS owner, name, type, note AS comment, signature, return_type,
   '{language}' AS language, args AS arguments
 FROM src_{d}, {_values('s', 'name, type, note, signature, return_type, args', rows)}"""
