@@ -116,9 +116,13 @@ def test_first_constraint_by_name_gives_the_target(spark):
 def test_oracle_choices(fleet_catalog):
     tables = of_customer(fleet_catalog["tables"]).where("dialect = 'oracle'")
     assert {r["type"] for r in tables.collect()} == {"TABLE"}
-    member = one(of_customer(fleet_catalog["routines"]), "name = '급여패키지.정산'")
-    assert member["signature"] == "PROCEDURE 급여패키지.정산(p_월 IN NUMBER)" and member["arguments"][0]["default_value"] == "1"
-    function = one(of_customer(fleet_catalog["routines"]), "dialect = 'oracle' and type = 'FUNCTION'")
+    overloads = of_customer(fleet_catalog["routines"]).where("name = '급여패키지.정산'").collect()
+    assert sorted(r["signature"] for r in overloads) == [
+        "PROCEDURE 급여패키지.정산(p_월 IN NUMBER)", "PROCEDURE 급여패키지.정산(p_월 IN NUMBER, p_년 IN NUMBER)"]
+    assert sorted(r["arguments"][0]["default_value"] for r in overloads) == ["", "1"]
+    member = one(of_customer(fleet_catalog["routines"]), "name = '급여패키지.합산'")
+    assert member["type"] == "FUNCTION" and member["signature"] == "FUNCTION 급여패키지.합산(p_월 IN NUMBER) RETURN <type>"
+    function = one(of_customer(fleet_catalog["routines"]), "dialect = 'oracle' and type = 'FUNCTION' and not contains(name, '.')")
     assert function["signature"].endswith(" RETURN <type>")
     assert one(of_customer(fleet_catalog["sequences"]), "name = 'BIG_SEQ'")["max_value"] == 10**28 - 1
     default = one(of_customer(fleet_catalog["columns"]), "dialect = 'oracle' and name = '직급코드'")
