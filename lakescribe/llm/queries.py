@@ -7,8 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakescribe.llm import decontaminate
-from lakescribe.llm.jaccard import jaccard_components
+from lakescribe.llm import decontaminate, jaccard
 from lakescribe.llm.language import held_out_languages
 from lakescribe.llm.lm_score import lm_scores
 from lakescribe.llm.pieces import piece_counts
@@ -46,7 +45,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +85,6 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": jaccard.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
 }
