@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -26,7 +28,9 @@ from lakescribe.operators.documents import schema_documents  # noqa: E402
 from lakescribe.operators.filters import ALL, ObjectFilter  # noqa: E402
 from lakescribe.plans.document_lake import document_lake  # noqa: E402
 from lakescribe.plans.extract import NORMALISERS, ExtractConfig, extract  # noqa: E402
-from lakescribe.sources import read_tables  # noqa: E402
+from lakescribe.functions.values import INTEGER, STRING, quoted, scalar_columns, type_class  # noqa: E402
+from lakescribe.sinks import write_pages, write_sheets  # noqa: E402
+from lakescribe.sources import read_snapshot, read_tables, write_snapshot  # noqa: E402
 from oracles import fleet_sql, lake_sql  # noqa: E402
 
 try:
@@ -74,6 +78,22 @@ def _on_lake(operator: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(_lake(spark, sf_dir))
 
 
+def _contents(tables: dict[str, DataFrame]) -> DataFrame:
+    """Of every scalar column: values, and the sum of integers or of the lengths of strings."""
+    def facts(field: T.StructField) -> dict[str, str]:
+        c = quoted(field.name)
+        totals = {INTEGER: f"sum(CAST({c} AS bigint))", STRING: f"sum(CAST(length({c}) AS bigint))"}
+        return {"n_values": f"count({c})", "total": totals.get(type_class(field.dataType), "CAST(NULL AS bigint)")}
+
+    return profiles.per_column(tables, scalar_columns, facts)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder where all executors can write."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="landed-")
+    return f"{shared}/landed-{uuid.uuid4().hex}"
+
+
 def _with_nulls(tables: dict[str, DataFrame]) -> DataFrame:
     """The tables have no nulls, so some are put in."""
     customer = tables["customer"].withColumn("c_mktsegment", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")))
@@ -117,6 +137,26 @@ def _customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tables(spark, sf_dir, ["customer"])["customer"]
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of MySQL dumps that were landed in two runs, one source in five twice."""
+    frames, path = _dump(spark, sf_dir, "mysql"), _folder(spark)
+    for wanted in ("source_id % 2 = 0 OR source_id % 5 = 0", "source_id % 2 = 1 OR source_id % 5 = 0"):
+        write_snapshot({k: df.where(wanted) for k, df in frames.items()}, path, "mysql", buckets=4)
+    return _flat(my.mysql_tables(read_snapshot(spark, path, "mysql"), ALL))
+
+
+def _column_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    write_sheets(_catalog(spark, sf_dir), path, buckets=4)
+    return spark.read.parquet(f"{path}/Columns").drop("source_bucket")
+
+
+def _landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    write_pages(pages.table_pages(_catalog(spark, sf_dir)), path, buckets=4)
+    return _page_facts(spark.read.parquet(path))
+
+
 def _dump(spark: SparkSession, sf_dir: str, dialect: str) -> dict[str, DataFrame]:
     return native.BUILDERS[dialect](_customer(spark, sf_dir))
 
@@ -233,7 +273,11 @@ def _occurrences(text: str) -> F.Column:
 
 
 def _page_counts(cat: Catalog) -> DataFrame:
-    return pages.table_pages(cat).select(
+    return _page_facts(pages.table_pages(cat))
+
+
+def _page_facts(html: DataFrame) -> DataFrame:
+    return html.select(
         *docs.TABLE_KEY, _occurrences("<td><strong>").alias("n_rows"), _occurrences("badge-pk").alias("n_pk"),
         _occurrences("badge-fk").alias("n_fk"), _occurrences("badge-uk").alias("n_uk"),
         _occurrences("<td>YES</td>").alias("n_nullable"))
@@ -311,7 +355,10 @@ def _registry() -> dict[str, tuple[Query, str]]:
     found: dict[str, tuple[Query, str]] = {
         "src_info": (_on_fleet(_source_info), fleet.source_info()),
         "src_dialect": (_dialect_names, fleet.dialect_names()),
-        "src_lake": (_on_lake(profiles.row_counts), lake.rows()),
+        "src_lake": (_on_lake(_contents), lake.contents()),
+        "src_snap": (_landed, _normaliser_sql("mysql_tables")),
+        "snk_sheets": (_column_sheet, fleet.doc_columns()),
+        "snk_pages": (_landed_pages, fleet.page_counts()),
         "snk_json": (_on_fleet(_json_counts), fleet.schema_counts()),
         "flt_schema": (_tables_of(None), fleet.filter_schemas()),
         "flt_schema_named": (_tables_of(["HR", "dbo"]), fleet.filter_schemas_named()),

@@ -43,7 +43,7 @@ def row_counts(tables: Tables) -> DataFrame:
     )
 
 
-def _per_column(
+def per_column(
     tables: Tables,
     pick: Callable[[T.StructType], list[T.StructField]],
     facts: Callable[[T.StructField], Facts],
@@ -73,7 +73,7 @@ def _nulls(field: T.StructField) -> Facts:
 
 def null_profile(tables: Tables) -> DataFrame:
     """Rows, nulls and nullability of every column, nested ones included."""
-    return _per_column(tables, lambda schema: list(schema.fields), _nulls)
+    return per_column(tables, lambda schema: list(schema.fields), _nulls)
 
 
 def _lengths(field: T.StructField) -> Facts:
@@ -83,7 +83,7 @@ def _lengths(field: T.StructField) -> Facts:
 
 def length_profile(tables: Tables) -> DataFrame:
     """Shortest and longest value of string columns, in characters, and the most bytes."""
-    return _per_column(tables, lambda schema: scalar_columns(schema, STRING), _lengths)
+    return per_column(tables, lambda schema: scalar_columns(schema, STRING), _lengths)
 
 
 def _parts(text: str) -> tuple[str, str, str]:
@@ -138,7 +138,7 @@ def numeric_profile(tables: Tables) -> DataFrame:
 
     Decimals count without trailing zeros, doubles and floats in their shortest form.
     """
-    return _per_column(tables, lambda schema: scalar_columns(schema, *NUMERIC), _numbers)
+    return per_column(tables, lambda schema: scalar_columns(schema, *NUMERIC), _numbers)
 
 
 def approx_distinct_profile(
@@ -149,7 +149,7 @@ def approx_distinct_profile(
         t: df.select(*[column(f.name) for f in scalar_columns(df.schema) if columns is None or (t, f.name) in columns])
         for t, df in tables.items()
     }
-    return _per_column(
+    return per_column(
         {t: df for t, df in chosen.items() if df.columns},
         scalar_columns,
         lambda f: {"n_distinct": f"approx_count_distinct({quoted(f.name)}, {rsd})"},
@@ -200,4 +200,4 @@ def scan_profile(tables: Tables) -> DataFrame:
             **_bounds(field),
         }
 
-    return _per_column(tables, lambda schema: list(schema.fields), facts)
+    return per_column(tables, lambda schema: list(schema.fields), facts)

@@ -45,6 +45,15 @@ def rows() -> str:
     return _union(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
 
 
+def contents() -> str:
+    """Values of every scalar column, and the sum of integers or of the lengths of strings."""
+    parts = []
+    for t, _, c, kind in _scalars():
+        total = f'sum("{c}")' if kind in INTEGERS else f'sum(length("{c}"))' if kind == STRING else "NULL"
+        parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(\"{c}\") AS n_values, ({total})::BIGINT AS total FROM {t}")
+    return _union(parts)
+
+
 def nulls() -> str:
     """With nulls put into customer.c_mktsegment, since the tables have none."""
     parts = []

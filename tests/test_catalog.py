@@ -177,6 +177,31 @@ def test_schema_defaults(spark, dumps):
     assert filter_schemas(df, "oracle", ["b"]).count() == 1 and filter_schemas(df, "oracle").count() == 2
 
 
+def test_stable_order_is_an_order(fleet_catalog):
+    from lakescribe.operators.enrich import ORDER, stable_order
+
+    for frame in ("columns", "indexes"):
+        rows = [tuple(r) for r in stable_order(fleet_catalog[frame], frame).select(*ORDER[frame]).collect()]
+        assert rows == sorted(rows) and len(rows) > 100
+
+
+def test_jdbc_queries_select_the_native_columns():
+    """Every relation has a query that names the native columns in their order; none has been run on a server."""
+    import re
+
+    from lakescribe.sources.jdbc import QUERIES
+    from lakescribe.sources.native import NATIVE, native_schema
+
+    for dialect, queries in QUERIES.items():
+        assert queries.keys() == NATIVE[dialect].keys()
+        for relation, query in queries.items():
+            at = -1
+            for name in native_schema(dialect, relation).names[1:]:
+                found = re.compile(rf"\b{name}\b", re.IGNORECASE).search(query, at + 1)
+                assert found, (dialect, relation, name)
+                at = found.start()
+
+
 def test_object_filter(dumps):
     cfg = ExtractConfig(schemas=ALL, objects=ObjectFilter(include=("views",), exclude_types=("PROCEDURE",)))
     cat = extract(dumps, cfg)
