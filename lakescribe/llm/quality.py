@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.llm.common import map_arrow, per_text
+from lakescribe.llm.common import cut, map_arrow, per_text
 
 SPACE = b"\x20\t\n\x0b\x0c\r"
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -148,11 +148,11 @@ def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: st
         .select("lang", F.posexplode("counts").alias("bin", "n"))
         .groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     )
-    one = sums.groupBy("lang").agg(
+    one = cut(sums.groupBy("lang").agg(
         F.max(F.when(F.col("bin") == 0, F.col("n"))).alias("docs"),
-        F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))  # as many bins as the vectors have
-    total = one.agg(F.sum("docs").alias("total"))
-    chosen = one.crossJoin(F.broadcast(total)).where(F.col("docs") >= limits.min_language_share * F.col("total"))
+        F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")))  # as many bins as the vectors have
+    total = one.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("total")).head().total
+    chosen = one.where(F.col("docs") >= limits.min_language_share * total)
     found = {}
     for lang, bins in chosen.select("lang", F.col("bins.n").alias("n")).orderBy("lang").toLocalIterator():
         found[lang] = np.array(bins[1:], np.float64)
