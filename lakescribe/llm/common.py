@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,6 +22,7 @@ Worker = Callable[[Chunk], Sequence]
 
 
 _SHIPPED: set[str] = set()
+_OWN_FOLDER: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -101,13 +103,22 @@ def fold(doc_id: Column, of: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN_FOLDER.get(spark.sparkContext.applicationId)
+    if not found:
+        found = _OWN_FOLDER[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="checkpoint-")
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that all executors share, without their lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    """The rows without their lineage: written as a Parquet table in the shared folder, and read from there.
+
+    The tables stay until the folder is cleaned, as checkpoints do.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def span_digest(spans: Sequence[tuple[str, int, int]]) -> str:

@@ -37,16 +37,8 @@ _SEEN = 200_000
 #: Sets of a bucket that one task compares with each other; larger buckets are dealt out in blocks.
 _BLOCK_ROWS = 2_048
 _SMALL = 48
-
-
-class _Texts:
-    """Sets of texts, one after the other."""
-
-    def __init__(self, width: int) -> None:
-        self.width = width
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        return shingle_set(text.decode(), self.width)
+#: Sets whose texts are looked up by a broadcast of their ids, at most.
+_BROADCAST_ROWS = 500_000
 
 
 def set_id(elements: np.ndarray) -> int:
@@ -63,34 +55,38 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def set_table(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid) of every row with an id, and the sketch: occurrences of elements by hash cell.
+    """(doc_id, n, sid, bits) of every row with an id, and the sketch: occurrences of elements by hash cell.
 
     One pass over the texts. Equal sets that a task meets again do not count twice in the sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, cells, seen = _Texts(width), np.zeros(1 << _SKETCH_BITS, np.uint32), set()
-        schema = None
+        cells, seen, kind = np.zeros(1 << _SKETCH_BITS, np.int64), set(), None
         for batch in batches:
-            schema = batch.schema.field(0)
-            n, sid = [], []
-            for text in text_bytes(batch.column(1)):
-                elements = make(text)
-                n.append(len(elements))
-                sid.append(set_id(elements))
-                if sid[-1] not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(sid[-1])
-                    np.add.at(cells, (elements >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.nulls(len(n), pa.binary())],
-                names=["doc_id", "n", "sid", "cells"])
-        if schema is not None:
-            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(cells, _BLOCKS)]
+            kind = batch.schema.field(0).type
+            texts = text_bytes(batch.column(1))
+            for a, b in chunks(texts):
+                n, sid, bits, fresh = [], [], [], []
+                for text in texts[a:b]:
+                    elements = shingle_set(text, width)
+                    n.append(len(elements))
+                    sid.append(set_id(elements))
+                    bits.append(parity(elements))
+                    if sid[-1] not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
+                        seen.add(sid[-1])
+                        fresh.append(elements)
+                if fresh:
+                    cells += np.bincount((np.concatenate(fresh) >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=len(cells))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(len(n), pa.binary())],
+                    names=["doc_id", "n", "sid", "bits", "cells"])
+        if kind is not None:
+            parts = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(cells, _BLOCKS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_BLOCKS, schema.type), pa.array(range(_BLOCKS), pa.int32()), pa.nulls(_BLOCKS, pa.int64()), pa.array(parts, pa.binary())],
-                names=["doc_id", "n", "sid", "cells"])
+                [pa.nulls(_BLOCKS, kind), pa.array(range(_BLOCKS), pa.int32()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.binary()), pa.array(parts, pa.binary())],
+                names=["doc_id", "n", "sid", "bits", "cells"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -103,13 +99,13 @@ def set_table(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    both = cut(map_arrow(own, run, f"doc_id {kind}, n int, sid bigint, cells binary"))
+    both = cut(map_arrow(own, run, f"doc_id {kind}, n int, sid bigint, bits binary, cells binary"))
     parts = both.where(F.col("cells").isNotNull()).select(F.col("n").alias("block"), "cells").repartition(_BLOCKS, "block")
     sketch = np.zeros(1 << _SKETCH_BITS, np.int64)
     size = len(sketch) // _BLOCKS
     for row in map_arrow(parts, summed, "block int, cells binary").toLocalIterator():  # 64 rows of fixed size
         sketch[row.block * size : (row.block + 1) * size] += np.frombuffer(row.cells, np.int64)
-    return both.where(F.col("cells").isNull()).select("doc_id", "n", "sid"), sketch
+    return both.where(F.col("cells").isNull()).select("doc_id", "n", "sid", "bits"), sketch
 
 
 def boundary(sizes: dict[int, int], lists: float, percent: int) -> int:
@@ -160,13 +156,13 @@ def shared_buckets(docs: DataFrame, sketch: np.ndarray, x: int, width: int, perc
     crowd = docs.sparkSession.sparkContext.broadcast(excess(sketch))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, seen = _Texts(width), set()
+        seen = set()
         for batch in batches:
             texts = text_bytes(batch.column(0))
             for a, b in chunks(texts, 1 << 20):
                 buckets, ids = [], []
                 for text in texts[a:b]:
-                    elements = make(text)
+                    elements = shingle_set(text, width)
                     sid = set_id(elements)
                     if sid in seen:  # a copy: the set is given out once
                         continue
@@ -238,19 +234,6 @@ def may_link(bits: int, both: int, percent: int) -> bool:
     return (100 + percent) * bits <= (100 - percent) * both
 
 
-def profiles(texts: DataFrame, width: int) -> DataFrame:
-    """(sid, n, bits) of (sid, rep, text)."""
-
-    def run(batches):
-        make = _Texts(width)
-        for batch in batches:
-            sets = [make(x) for x in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary())], names=["sid", "n", "bits"])
-
-    return map_arrow(texts.select("sid", "text"), run, "sid bigint, n int, bits binary")
-
-
 def plausible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps do not rule out."""
 
@@ -271,22 +254,25 @@ def plausible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "na", "nb", "ba", "bb"), run, "a bigint, b bigint")
 
 
-def links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): representatives of the pairs (a, b) of sets that link, by comparing the sets themselves."""
+def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): representatives of the pairs (a, b) of sets that link, by comparing the sets themselves.
+
+    pairs is a written table. Texts are read only of the documents that its sets stand for.
+    """
 
     def run(batches):
-        make = _Texts(width)
         for batch in batches:
             a, b = text_bytes(batch.column(2)), text_bytes(batch.column(3))
             keep, last, held = [], None, None
             for x, y in zip(a, b, strict=True):
-                if x is not last and x != last:
-                    last, held = x, make(x)
-                other = make(y)
+                if x != last:
+                    last, held = x, shingle_set(x, width)
+                other = shingle_set(y, width)
                 both = len(np.intersect1d(held, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(held) + len(other) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = _texts_of(pairs, reps, docs, width)
     left = texts.select(F.col("sid").alias("a"), F.col("rep").alias("u"), F.col("text").alias("ta"))
     right = texts.select(F.col("sid").alias("b"), F.col("rep").alias("v"), F.col("text").alias("tb"))
     kind = texts.schema["rep"].dataType.simpleString()
@@ -385,19 +371,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     total = max(int(sketch.sum()), 1)
     lists = max(0.0, float((sketch * (sketch - 1)).sum()) / total - total / len(sketch))
     shared = cut(shared_buckets(docs, sketch, boundary(sizes, lists, percent), width, percent))
-    names = shared.select("sid").distinct().join(reps.select("sid", "rep"), "sid")
-    own = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
-    one = sets.select(F.col("doc_id").alias("rep"), F.col("sid").alias("own_sid"))
-    texts = _texts_of(names, own, one, width)
-    profile = cut(profiles(texts, width))
+    profile = full.select("sid", "n", "bits").dropDuplicates(["sid"])
     first = shared.where("sid != pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    star = cut(links(plausible(first, profile, percent), texts, width, percent))
+    star = cut(links(cut(plausible(first, profile, percent)), reps, docs, width, percent))
     by_rep = components(star)
     component = (
-        texts.select("sid", "rep").join(by_rep, F.col("rep") == F.col("node"))
+        reps.select("sid", "rep").join(by_rep, F.col("rep") == F.col("node"))
         .select("sid", F.xxhash64("component").alias("component")))
     left = open_buckets(shared, component).join(profile, "sid")
-    more = links(across(left.select("bucket", "part_a", "part_b", "part", "sid", "component", "n", "bits"), percent), texts, width, percent)
+    rows = left.select("bucket", "part_a", "part_b", "part", "sid", "component", "n", "bits")
+    more = links(cut(across(rows, percent)), reps, docs, width, percent)
     # the stars stand for the first links; rows of one id join its sets
     same = full.join(reps.select("sid", "rep"), "sid").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     several = full.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select(F.col("doc_id").alias("u"))
@@ -405,24 +388,26 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     known = by_rep.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = components(known.unionByName(more).unionByName(bridges))
     named = reps.join(final, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
-    found = sets.join(named, "sid", "left").select(
+    found = sets.select("doc_id", "n", "sid").join(named, "sid", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     alone = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone)
 
 
-def _texts_of(names: DataFrame, own: DataFrame, one: DataFrame, width: int) -> DataFrame:
-    """(sid, rep, text) of the sets to compare, from one document each."""
+def _texts_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(sid, rep, text) of the sets in the pairs; a repeated document may come twice."""
 
     def run(batches):
-        make = _Texts(width)
         for batch in batches:  # an id with several texts: only the one that has the set
-            keep = [set_id(make(x)) == s for s, x in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), strict=True)]
+            keep = [set_id(shingle_set(x, width)) == s for s, x in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps.select("sid", "rep"), "sid"))
+    if names.count() <= _BROADCAST_ROWS:  # checked size; beyond it the texts are shuffled to the names
+        names = F.broadcast(names)
+    own = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
     kind = own.schema["rep"].dataType.simpleString()
-    joined = own.join(names, "rep").select("sid", "rep", "text")
-    return cut(map_arrow(joined, run, f"sid bigint, rep {kind}, text string").dropDuplicates(["sid"]))
+    return cut(map_arrow(own.join(names, "rep").select("sid", "rep", "text"), run, f"sid bigint, rep {kind}, text string"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:

@@ -7,20 +7,6 @@ import xxhash
 
 #: Odd multipliers, one per word of a shingle, from a fixed linear congruential rule.
 _ODD = [(0x9E3779B97F4A7C15 * (2 * i + 1) ^ (0xD1B54A32D192ED03 >> i)) & (2**64 - 1) | 1 for i in range(64)]
-_CACHED_WORDS = 300_000
-
-
-class _WordHashes(dict):
-    """Fingerprints of words; emptied when full, so memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_HASHES = _WordHashes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,20 +16,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def lower_words(text: str | None) -> list[bytes]:
+def lower_words(text: str | bytes | None) -> list[bytes]:
     """Words of the text (runs without ASCII white space), A-Z in lower case; none for null."""
-    return text.encode().lower().split() if text else []
+    return (text.encode() if isinstance(text, str) else text or b"").lower().split()
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+def shingle_set(text: str | bytes | None, width: int = 5) -> np.ndarray:
     """Sorted distinct fingerprints of `width`-word shingles; of fewer words the whole sequence is the
     only one; without words the set is empty."""
     words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.array([_HASHES[w] for w in words], np.uint64)
+    ids = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
     n = min(width, len(words))
     total = np.full(len(words) - n + 1, 0 if n == width else n, np.uint64)
     for j in range(n):
         total += ids[j : len(ids) - n + 1 + j] * np.uint64(_ODD[j])
-    return np.unique(mix(total))
+    return distinct(mix(total))
