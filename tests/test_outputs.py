@@ -79,11 +79,11 @@ def test_summary_page(spark, few):
     page = row["html"]
     assert page.count("summary-card") == 6 and row["n_parts"] == 1
     assert [t for t in re.findall("<h2>(.*?)</h2>", page)] == ["Tables", "Procedures / Functions", "Triggers", "Sequences"]
-    assert page.count("<td><strong>") == 7 + 3 + 4 + 3 and "RETURN &lt;type&gt;" in page
+    assert page.count("<td><strong>") == 7 + 5 + 4 + 3 and "RETURN &lt;type&gt;" in page
     more = pages.summary_pages(few, with_views_and_synonyms=True).where(F.col("source_id") == 4 * k + 2).first()["html"]
     assert "<h2>Views</h2>" in more
     split = pages.summary_pages(few, per_page=4).where(F.col("source_id") == 4 * k + 2).collect()
-    assert len(split) > 2 and sum(r["html"].count("<td><strong>") for r in split) == 17
+    assert len(split) > 2 and sum(r["html"].count("<td><strong>") for r in split) == 19
 
 
 def test_seed_pages_have_the_expected_counts(few):
