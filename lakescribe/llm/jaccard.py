@@ -10,7 +10,8 @@ links; a sketch of all elements, of fixed size, only says which lists would be l
 cost, counted from the sizes of all sets.
 
 Buckets and lists with one set only (nearly all) end there. In the others a first round compares each set with
-one of the bucket's; most groups of copies become one component by that. A second round compares what is left
+one of the bucket's, in large ones a second round with a few more; most groups of copies become one component by
+that. A last round compares what is left
 across components, pair by pair within a bucket, in blocks if it is large. So no group's pairs are given out,
 and every pair that links is either compared or already in one component. Parity bitmaps, whose differing bits
 are a lower bound of the difference of two sets, rule pairs out before their sets are compared exactly.
@@ -37,6 +38,8 @@ _SEEN = 200_000
 #: Sets of a bucket that one task compares with each other; larger buckets are dealt out in blocks.
 _BLOCK_ROWS = 2_048
 _SMALL = 48
+#: Buckets of more sets get a second round of stars, around about so many of them.
+_LARGE, _PIVOTS = 48, 6
 #: Sets whose texts are looked up by a broadcast of their ids, at most.
 _BROADCAST_ROWS = 500_000
 
@@ -129,9 +132,9 @@ def boundary(sizes: dict[int, int], lists: float, percent: int) -> int:
 
 
 def excess(sketch: np.ndarray) -> np.ndarray:
-    """By how much a cell holds more than chance puts there; 0 for most."""
+    """By how much a cell holds more than chance puts there (four deviations over the mean); 0 for most."""
     mean = sketch.mean()
-    return np.maximum(0, sketch - (2 * mean + 16)).astype(np.int64)
+    return np.maximum(0, sketch - (mean + 4 * np.sqrt(mean) + 4)).astype(np.int64)
 
 
 def signatures(elements: np.ndarray, crowd: np.ndarray, x: int, percent: int) -> np.ndarray:
@@ -212,11 +215,11 @@ def shared_buckets(docs: DataFrame, sketch: np.ndarray, x: int, width: int, perc
 
 
 def parity(elements: np.ndarray) -> bytes:
-    """Bitmap of 2 to 4 bits or more for each element: the parity of the elements at each place.
+    """Bitmap of 1 to 2 bits or more for each element: the parity of the elements at each place.
 
     One element more or less changes one bit, so two sets differ in at least as many elements as bits.
     """
-    bits = 1 << min(max((2 * len(elements) - 1).bit_length() + 1, 6), 16)
+    bits = 1 << min(max((len(elements) - 1).bit_length(), 6), 16)
     held = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(held.astype(np.uint8), bitorder="little").tobytes()
 
@@ -333,6 +336,22 @@ def across(rows: DataFrame, percent: int) -> DataFrame:
     return map_arrow(ordered, run, "a bigint, b bigint").distinct()
 
 
+def more_stars(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, b): in the large buckets that still hold several components, some sets with all of other components.
+
+    About _PIVOTS sets of a bucket are taken, by their hash.
+    """
+    rows = shared.join(component, "sid", "left").select("bucket", "sid", F.coalesce("component", "sid").alias("component"))
+    large = (
+        rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where(f"low != high AND m > {_LARGE}").select("bucket", F.floor(F.col("m") / _PIVOTS).alias("step")))
+    members = rows.join(large, "bucket")
+    pivots = members.where(F.pmod(F.xxhash64("bucket", "sid"), F.col("step")) == 0).select(
+        "bucket", F.col("sid").alias("p"), F.col("component").alias("c"))
+    pairs = members.join(pivots, "bucket").where("component != c").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b"))
+    return pairs.distinct()
+
+
 def open_buckets(shared: DataFrame, component: DataFrame) -> DataFrame:
     """(bucket, part_a, part_b, part, sid, component) of the buckets that still hold several components.
 
@@ -375,9 +394,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     first = shared.where("sid != pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     star = cut(links(cut(plausible(first, profile, percent)), reps, docs, width, percent))
     by_rep = components(star)
-    component = (
-        reps.select("sid", "rep").join(by_rep, F.col("rep") == F.col("node"))
-        .select("sid", F.xxhash64("component").alias("component")))
+    second = cut(plausible(more_stars(shared, _by_set(reps, by_rep)), profile, percent))
+    by_rep = components(by_rep.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links(second, reps, docs, width, percent)))
+    component = _by_set(reps, by_rep)
     left = open_buckets(shared, component).join(profile, "sid")
     rows = left.select("bucket", "part_a", "part_b", "part", "sid", "component", "n", "bits")
     more = links(cut(across(rows, percent)), reps, docs, width, percent)
@@ -410,6 +429,11 @@ def _texts_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) ->
     return cut(map_arrow(own.join(names, "rep").select("sid", "rep", "text"), run, f"sid bigint, rep {kind}, text string"))
 
 
+def _by_set(reps: DataFrame, by_rep: DataFrame) -> DataFrame:
+    """(sid, component) of the sets that have links; a component as a hash, in the space of set ids."""
+    return reps.select("sid", "rep").join(by_rep, F.col("rep") == F.col("node")).select("sid", F.xxhash64("component").alias("component"))
+
+
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """The documents, with all their columns, less those whose component has a smaller id. Rows without an id stay."""
     found = jaccard_components(docs.select("doc_id", "text"), percent, width)

@@ -157,9 +157,11 @@ def edited(rng, count):
     return texts
 
 
-@pytest.mark.parametrize("seed, block", [(1, 2_048), (2, 3)])
-def test_jaccard_components_against_all_pairs(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, large, pivots", [(1, 2_048, 48, 6), (2, 3, 2, 1)])
+def test_jaccard_components_against_all_pairs(spark, monkeypatch, seed, block, large, pivots):
     monkeypatch.setattr(jaccard, "_BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard, "_LARGE", large)
+    monkeypatch.setattr(jaccard, "_PIVOTS", pivots)
     texts = edited(np.random.default_rng(seed), 220)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
