@@ -1,9 +1,10 @@
 """Prediction by partial matching over bytes: counts from Spark, frozen statistics, many texts at once.
 
 A context is what stands up to `order` bytes in front of a symbol; texts are padded in front, and end with a
-symbol of their own (byte 0xFF, which UTF-8 never holds, serves as both). A model keeps each context that
-holds at least 1/max_contexts of all positions, at every order, with all symbols seen behind it. So there are
-order * max_contexts + 1 contexts at most, whatever the corpus; every position of the corpus is counted.
+symbol of their own (byte 0xFF, which UTF-8 never holds, serves as both). Every position of the corpus is
+counted, and `window_logs` scores windows with every context that the corpus has, as a distributed table. A
+`ContextTree` of `fit` keeps each context that holds at least 1/max_contexts of all positions, at every order,
+with all symbols seen behind it.
 """
 
 from __future__ import annotations
@@ -33,14 +34,7 @@ def padded(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct windows of order + 1 bytes (as integers, the symbol lowest) and how often they occur."""
-    data, starts = padded(texts, order)
-    valid = np.ones(len(data), bool)
-    for j in range(order):
-        valid[starts - order + j] = False
-    keys = np.zeros(len(data), np.uint64)
-    for j in range(order + 1):
-        keys[order:] |= data[j : len(data) - order + j].astype(np.uint64) << np.uint64(8 * (order - j))
-    return run_lengths(np.sort(keys[valid]))
+    return run_lengths(np.sort(window_keys(texts, order)[0]))
 
 
 def run_lengths(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +51,25 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return run_lengths(keys[order], np.concatenate([n for _, n in parts])[order])
 
 
+def window_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all texts in their order, and how many each text has (its bytes and its end)."""
+    data, starts = padded(texts, order)
+    valid = np.ones(len(data), bool)
+    for j in range(order):
+        valid[starts - order + j] = False
+    keys = np.zeros(len(data), np.uint64)
+    for j in range(order + 1):
+        keys[order:] |= data[j : len(data) - order + j].astype(np.uint64) << np.uint64(8 * (order - j))
+    return keys[valid], np.array([len(x) + 1 for x in texts], np.int64)
+
+
 def window_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(label, key, n) of all windows of order + 1 bytes in a frame (label string, text string).
+    """(label, key, n) of all windows of order + 1 bytes in a frame (label string, text string)."""
+    return window_parts(texts, order).groupBy("label", "key").agg(F.sum("n").alias("n"))
+
+
+def window_parts(texts: DataFrame, order: int) -> DataFrame:
+    """Rows (label, key, n) whose sums are the window counts.
 
     Tasks count before the shuffle; what they hold is bounded, and given out when it grows beyond that.
     """
@@ -87,7 +98,159 @@ def window_counts(texts: DataFrame, order: int) -> DataFrame:
                 yield from given()
         yield from given()
 
-    return map_arrow(texts, run, "label string, key bigint, n bigint").groupBy("label", "key").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "label string, key bigint, n bigint")
+
+
+def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    place = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    return place, table[place] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+class _Level:
+    """Contexts of one length: windows with counts, and of each context the sum of its counts and its symbols.
+
+    rest_total and rest_distinct are those of the context one byte shorter without the symbols seen here.
+    """
+
+    def __init__(self, windows: np.ndarray, counts: np.ndarray, size: int, below: _Level | None) -> None:
+        self.windows, self.counts = windows, counts
+        self.contexts, self.total = run_lengths(windows >> np.uint64(8), counts)
+        self.distinct = run_lengths(windows >> np.uint64(8))[1]
+        if below is not None:
+            shorter = _at(below.windows, windows & np.uint64((1 << 8 * size) - 1))[0]
+            seen = run_lengths(windows >> np.uint64(8), below.counts[shorter])[1]
+            place = _at(below.contexts, self.contexts & np.uint64((1 << 8 * (size - 1)) - 1))[0]
+            self.rest_total, self.rest_distinct = below.total[place] - seen, below.distinct[place] - self.distinct
+
+
+def window_probabilities(keys: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> np.ndarray:
+    """Base-10 log probability of the last byte of each window, as under a tree of all contexts.
+
+    keys holds, with count n, all training windows that share their contexts of `group_bytes` with any of
+    them; a window with n 0 is not of the training. low holds the training windows of group_bytes bytes, all.
+    """
+    group = group_bytes(order)
+    levels: list[_Level] = []
+    seen = n > 0
+    known, times = keys[seen], n[seen]
+    for d in range(order + 1):
+        part, count = (low if d < group else (known, times))
+        part = part & np.uint64((1 << 8 * (d + 1)) - 1)
+        by = np.argsort(part, kind="stable")
+        levels.append(_Level(*run_lengths(part[by], count[by]), d, levels[-1] if d else None))
+    out, left = np.zeros(len(keys)), np.ones(len(keys))
+    open_, longer = np.arange(len(keys)), np.full(len(keys), -1, np.int64)  # windows without a probability, and their context last seen
+    for d in range(order, -1, -1):
+        level, own = levels[d], keys[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
+        context, there = _at(level.contexts, own >> np.uint64(8))
+        if not there.any():
+            continue
+        total, distinct = level.total[context], level.distinct[context].copy()
+        before = longer[open_]
+        if d < order and len(levels[d + 1].contexts):
+            up = levels[d + 1]
+            total = np.where(before >= 0, up.rest_total[before], total)
+            distinct = np.where(before >= 0, up.rest_distinct[before], distinct)
+        distinct = np.where(level.distinct[context] == 256, 0, distinct)  # nothing is left to escape to
+        window, hit = _at(level.windows, own)
+        live = there & (total > 0)
+        whole = np.where(live, total + distinct, 1)
+        hit &= live
+        out[open_[hit]] = left[open_[hit]] * level.counts[window[hit]] / whole[hit]
+        left[open_] *= np.where(live, distinct / whole, 1.0)
+        longer[open_] = np.where(there, context, -1)
+        open_ = open_[~hit]
+    if len(open_):
+        context, there = _at(levels[0].contexts, np.zeros(1, np.uint64))
+        out[open_] = left[open_] / max(256 - (int(levels[0].distinct[context[0]]) if there[0] else 0), 1)
+    return np.log10(out)
+
+
+def group_bytes(order: int) -> int:
+    """Length of the contexts by which windows are dealt; all longer contexts of a window share its group."""
+    return min(2, order)
+
+
+def window_logs(counts: DataFrame, order: int) -> DataFrame:
+    """(key, n, logp) from (key, n, trained): windows of order + 1 bytes with all counts and those of the training.
+
+    Windows are dealt by the last bytes of their context, so that a task has all contexts that can stand in for
+    another. Counts of the shorter contexts, 65,536 at most, go to all tasks.
+    """
+    if not 0 < order <= 5:
+        raise ValueError("windows are packed in 48 bits: order 1 to 5")
+    group = group_bytes(order)
+    rows = counts.where("trained > 0").groupBy(F.col("key").bitwiseAND((1 << 8 * group) - 1).alias("low")).agg(F.sum("trained").alias("n")).toArrow()
+    keys, n = rows.column("low").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
+    by = np.argsort(keys)
+    shared = counts.sparkSession.sparkContext.broadcast((keys[by], n[by]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def given(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            logs = window_probabilities(rows[0].astype(np.uint64), rows[2], shared.value, order)
+            for i in range(0, len(logs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (rows[0], rows[1], logs)], names=["key", "n", "logp"])
+
+        waiting, limit = 0, _FLUSH
+        for batch in batches:
+            held.append(np.array([batch.column(i).to_numpy() for i in range(1, 4)], np.int64))
+            waiting += batch.num_rows
+            if waiting >= limit:
+                rows = np.concatenate(held, axis=1)
+                groups = rows[0] >> 8 & ((1 << 8 * group) - 1)
+                end = int(np.argmax(groups == groups[-1]))  # the last group may go on
+                if end:
+                    yield from given(rows[:, :end])
+                held = [rows[:, end:].copy()]
+                waiting = len(groups) - end
+                limit = max(_FLUSH, 2 * waiting)
+        if held:
+            yield from given(np.concatenate(held, axis=1))
+
+    suffix = F.shiftright("key", 8).bitwiseAND((1 << 8 * group) - 1).alias("suffix")
+    dealt = counts.select(suffix, "key", "n", "trained").repartition("suffix").sortWithinPartitions("suffix")
+    return map_arrow(dealt, run, "key bigint, n bigint, logp double")
+
+
+class WindowTable:
+    """Values of some windows, found many at a time: a chain of hash tables, each with the keys that met another before."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        keys, self.tables = keys.astype(np.uint64), []
+        while len(keys):
+            bits = max(4, (2 * len(keys)).bit_length())
+            slot = self._slot(keys, bits, len(self.tables))
+            table, value = np.full(1 << bits, np.uint64(2**64 - 1)), np.zeros(1 << bits)
+            table[slot] = keys
+            won = table[slot] == keys
+            value[slot[won]] = values[won]
+            self.tables.append((bits, table, value))
+            keys, values = keys[~won], values[~won]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, number: int) -> np.ndarray:
+        mixed = (keys + np.uint64(number)) * np.uint64((0x9E3779B97F4A7C15 + 0xD1B54A32D192ED02 * number) % 2**64 | 1)
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Value of each key, 0 where it has none, and the places of those."""
+        out, left = np.zeros(len(keys)), None
+        for number, (bits, table, value) in enumerate(self.tables):
+            own = keys if left is None else keys[left]
+            slot = self._slot(own, bits, number)
+            hit = table[slot] == own
+            if left is None:
+                out = np.where(hit, value[slot], 0.0)
+                left = np.flatnonzero(~hit)
+            else:
+                out[left[hit]] = value[slot[hit]]
+                left = left[~hit]
+            if not len(left):
+                break
+        return out, np.arange(len(keys)) if left is None else left
 
 
 def context_counts(counts: DataFrame, order: int, max_contexts: int) -> DataFrame:

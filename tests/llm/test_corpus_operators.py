@@ -325,6 +325,48 @@ def test_counts_of_windows_in_spark(spark):
     assert found == dict(zip(keys.tolist(), n.tolist()))
 
 
+@pytest.mark.parametrize("order, most", [(5, 1_000_000), (5, 50), (1, 0)])
+def test_scores_use_every_context_of_the_training_texts(spark, order, most):
+    """60,000 random letters: nearly all long contexts occur once, far below any share of the corpus."""
+    rng = np.random.default_rng(12)
+    texts = {i: "".join(rng.choice(list("abcdefghijklmnopqrst ÉZ"), 3_000 if i < 20 else 40)) for i in range(26)}
+    texts |= {26: "", 27: "abracadabra " * 40}
+    docs = spark.createDataFrame(list(texts.items()) + [(3, texts[3])], "doc_id long, text string").repartition(3)
+    lower = {i: t.encode().lower() for i, t in texts.items()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 1}
+    assert held
+    train = [lower[i] for i in [*texts, 3] if i not in held]
+    tried = [*sorted(held), 26, 27, 25]
+    expected = {i: slow_score(train, order, lower[i]) for i in tried}
+    found = lm_scores(docs, order=order, frequent_windows=most).collect()
+    assert len(found) == len(texts) + 1
+    assert {r.doc_id: r.score for r in found if r.doc_id in expected} == pytest.approx(expected, rel=1e-9)
+    assert len({r.score for r in found if r.doc_id == 3}) == 1
+
+
+def test_groups_of_windows_over_batch_borders(spark, monkeypatch):
+    docs = spark.createDataFrame([("t", "the cat sat on the mat"), ("", "a hat that the rat had")] * 2, "label string, text string")
+    counts = ppm.window_parts(docs, 3).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == "t", F.col("n")).otherwise(0)).alias("trained"))
+    whole = {r.key: r.logp for r in ppm.window_logs(counts, 3).collect()}
+    rows = counts.toPandas().sort_values(by="key", key=lambda k: k // 256 % 65_536)
+    low = {}
+    for k, n in zip(rows.key, rows.trained):
+        low[k & 65_535] = low.get(k & 65_535, 0) + n
+    low = {k: n for k, n in low.items() if n}
+    table = np.array(sorted(low), np.uint64), np.array([low[k] for k in sorted(low)])
+    for _, part in rows.groupby(rows.key // 256 % 65_536):  # group by group is the same as many together
+        logs = ppm.window_probabilities(part.key.to_numpy().astype(np.uint64), part.trained.to_numpy(), table, 3)
+        assert dict(zip(part.key, logs)) == pytest.approx({k: whole[k] for k in part.key})
+
+
+def test_window_table_finds_what_it_holds():
+    rng = np.random.default_rng(13)
+    keys = np.unique(rng.integers(0, 2**48, 5_000).astype(np.uint64))
+    values = rng.random(len(keys))
+    found, missed = ppm.WindowTable(keys[::2], values[::2]).find(keys)
+    assert np.array_equal(found[::2], values[::2]) and np.array_equal(missed, np.arange(1, len(keys), 2))
+
+
 def test_base_scores(spark):
     texts = {i: t for i, t in enumerate(["a b a", "B c", "", "unseen words here " * 3, "a " * 50, "long" * 40])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
