@@ -133,6 +133,8 @@ def lm_scores(docs: DataFrame, order: int = 5, frequent: int = FREQUENT_WORDS, f
             get = known.get
             for text in texts:
                 split = text.lower().split()
+                if len(text) > _LONGEST and max(map(len, split), default=0) > _LONGEST:
+                    split = [*map(word_key, split)]
                 values = [x for x in map(get, split) if x is not None]
                 rows.append((len(split) + 1, len(values) + (ends > 0), math.fsum(values) + end_log))
             sums, rare, times = [], [], []

@@ -381,6 +381,20 @@ def test_base_scores(spark):
             assert r.score < 0
 
 
+def test_long_words_of_the_training_count_in_base_scores(spark):
+    texts = {0: "a " + "long" * 40, 1: "LONG" * 40 + " a b", 2: "x" * 64 + " " + "x" * 65, 3: "b " + "y" * 65 + " " + "é" * 33}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 1}
+    c = collections.Counter(w for i, t in texts.items() if i not in held for w in [*t.lower().split(), None])
+    n, v = sum(c.values()), len(c)
+    assert any(len(w or "") > 64 for w in c)
+    for frequent in (1, 100):
+        for r in lm_scores(docs, order=1, frequent=frequent).collect():
+            words = [*texts[r.doc_id].lower().split(), None]
+            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+            assert r.n_known == sum(c[w] > 0 for w in words)
+
+
 def test_frequent_words_are_bounded_and_complete(spark):
     docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(k)),) for k in range(1, 60)], "text string")
     counts = word_counts(docs)
