@@ -36,7 +36,8 @@ _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 _IP = re.compile(rb"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_WORD_END = re.compile(rb"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(rb"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NO_DIGITS = bytes(set(range(256)) - set(b"0123456789"))
 _DOUBLED = tuple(sum(divmod(2 * d, 10)) for d in range(10))
@@ -85,9 +86,18 @@ def _phones(text: bytes) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: bytes) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(b" ", b"")):
-            yield m.span()
+    """The longest part of a candidate that ends where a word ends and has the checksum: what follows an account may look like it."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 4  # another account may begin where this one is none
+        for end in sorted((x.start() for x in _WORD_END.finditer(text, m.start(), m.end() + 1) if x.start() <= m.end()), reverse=True):
+            account = text[m.start() : end].replace(b" ", b"")
+            if len(account) < 15:
+                break
+            if mod97(account):
+                yield m.start(), end
+                at = end
+                break
 
 
 def _ssns(text: bytes) -> Iterator[tuple[int, int]]:

@@ -118,6 +118,18 @@ def test_checksums_and_context():
     assert pii.luhn(b"4111111111111111") and not pii.luhn(b"4111111111111112")
 
 
+def test_accounts_end_before_what_follows_them():
+    account, other = b"GB82 WEST 1234 5698 7654 32", b"DE89370400440532013000"
+    for text in (account + b" BIC NWBKGB2L", account + b" 2024-01-05", account + b"\n", account + b" and", account):
+        assert (text[:0] + account, "iban") in [(text[s:e], k) for k, s, e, _ in pii.find(text)], text
+    for text in (other + b" EUR 50", b"AB12 " + other, other + b" " + account, b"XX00 1234 5678 9012 345 " + other):
+        assert other in [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"], text
+    both = other + b" " + account
+    assert [both[s:e] for k, s, e, _ in pii.find(both) if k == "iban"] == [other, account]
+    for text in (account + b"a", account + b"X", b"a" + account, b"GB82 WEST 1234"):
+        assert "iban" not in {k for k, *_ in pii.find(text)}, text
+
+
 def test_personal_data_in_hard_texts():
     for text in (b"a" * 200_000, b"1" * 200_000, b"1." * 100_000, b"@a." * 70_000, b"+1 " + b"(" * 200_000, b"AB12" * 50_000):
         pii.find(text)
