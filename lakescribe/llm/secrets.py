@@ -22,6 +22,7 @@ class Rule:
     the one that starts first must not reach its first end later (true where a rule has one literal head).
     min_length: shorter matches are dropped after they have taken their place. head: the part in front of
     the secret's value, of which min_value characters are needed. any_case: letters stand for both cases.
+    extent: where a match found by the pattern goes on; its longest form counts.
     """
 
     kind: str
@@ -30,15 +31,24 @@ class Rule:
     min_length: int = 0
     head: str = ""
     min_value: int = 0
+    extent: str = ""
 
 
 _HEAD = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+_BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_GAP = r"(\x20|\t|\r|\n|\\r|\\n)"  # blanks and line ends, also as they are escaped in strings
+_FIELD = r"[A-Za-z][A-Za-z0-9-]*:\x20(-?[\x20-,.-~])*"  # as Proc-Type; no two hyphens, so that no scan passes another key
+#: A key up to its last line; if that is missing, as far as long lines of base64 and a padded one go; else its first line.
+_KEY = (
+    _BEGIN + rf"(({_GAP}+({_FIELD}|[A-Za-z0-9+/=]+))*{_GAP}*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|({_GAP}+{_FIELD})*({_GAP}+[A-Za-z0-9+/=]{{32,}})+({_GAP}+[A-Za-z0-9+/]*=+)?)?"
+)
 #: The first three are the base kinds. The count in hex keeps the automaton quiet in plain text.
 RULES = (
     Rule("assign", _HEAD + r"[A-Za-z0-9+/_.=-]+", any_case=True, head=_HEAD, min_value=6),
     Rule("access", r"AKIA[A-Z0-9]+", min_length=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _BEGIN, extent=_KEY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", min_length=40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", min_length=20),
@@ -52,7 +62,7 @@ def _tables(rules: tuple[Rule, ...]) -> tuple:
     """Automata of the rules: all together; then of each rule anywhere, from its start, backward, its head."""
     forward = [compile_dfa(r.pattern, r.any_case) for r in rules]
     each = tuple(
-        (combine_dfas([f]), f, compile_dfa(r.pattern, r.any_case, backward=True), compile_dfa(r.head, r.any_case) if r.head else None)
+        (combine_dfas([f]), compile_dfa(r.extent, r.any_case) if r.extent else f, compile_dfa(r.pattern, r.any_case, backward=True), compile_dfa(r.head, r.any_case) if r.head else None)
         for r, f in zip(rules, forward, strict=True))
     return combine_dfas(forward), each
 

@@ -56,6 +56,19 @@ def test_added_secrets(scanner):
     assert not scanner.spans(b"ghp_short AIzaShort xoxb-1 eyJ.eyJ.x -----BEGIN KEY-----")
 
 
+def test_private_keys_go_with_their_bodies(scanner):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIE" + "aB3+/" * 12, "Zz09" * 16, "Q0FrZXk=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123AB\n\n"
+    for gap in ("\n", "\r\n", "\\n", " ", "\n    "):
+        for key in (gap.join([begin, *lines, end]), gap.join([begin, *lines]), gap.join([begin, "short", end]), f"{begin}\n{fields}{gap.join([*lines, end])}"):
+            assert secrets._redacted(scanner, f"é {key}\n-- and more, {key}.".encode(), "[secret]") == "é [secret]\n-- and more, [secret].", key
+    assert secrets._redacted(scanner, f"{begin} is how it begins".encode(), "[secret]") == "[secret] is how it begins"
+    assert secrets._redacted(scanner, f"{begin}\nsome words".encode(), "[secret]") == "[secret]\nsome words"
+    hard = f"{begin} X: " * 6_000
+    assert len(scanner.spans(hard.encode())) == 6_000
+
+
 def test_scan_is_linear_in_hard_texts(scanner):
     assert scanner.spans(b"secret=token:" + b"A" * 300_000) == []  # the dropped match has taken the second word
     assert scanner.spans(b"f" * 300_000) == [(2, 0, 300_000)]
