@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +17,7 @@ SPACE = b"\x20\t\n\x0b\x0c\r"
 _CONTINUED = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 
-#: Common words of the languages that have a word reference, in lower case.
+#: Common words for references that bring no words of their own, in lower case.
 COMMON_WORDS: dict[str, tuple[str, ...]] = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "as", "was", "with", "be", "by", "on", "not", "are", "this", "at"),
     "de": ("der", "die", "das", "und", "in", "zu", "den", "von", "mit", "ist", "im", "für", "auf", "nicht", "ein", "eine", "als", "auch", "es", "dem"),
@@ -50,8 +51,16 @@ class Limits:
     min_chars: int = 200
     max_word_distance: float = 0.33
     min_words: int = 100
-    #: A language has a reference if it holds this share of all rows; so there are 1,000 at most.
-    min_language_share: float = 0.001
+    #: A language has a reference from so many rows on, whatever its share.
+    min_language_docs: int = 20
+    #: So many words of each language, those in most of its rows, are its common words.
+    common_words: int = 20
+
+
+class References(dict):
+    """Class and word counts by language, and the common words of all these languages, which the bins stand for."""
+
+    words: tuple[bytes, ...] = tuple(_WORD_ID)
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -87,14 +96,15 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def histograms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of character classes and of common words."""
+def histograms(text: bytes, word_id: Mapping[bytes, int] = _WORD_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of character classes and of common words; the last bin has all other words."""
     classes = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=N_CLASSES + 1)[:N_CLASSES]
-    words = np.zeros(N_WORDS, np.int64)
-    get = _WORD_ID.get
-    ids = [get(w, N_WORDS - 1) for w in text.lower().split()]
+    other = len(word_id)
+    words = np.zeros(other + 1, np.int64)
+    get = word_id.get
+    ids = [get(w, other) for w in text.lower().split()]
     if ids:
-        words += np.bincount(ids, minlength=N_WORDS)
+        words += np.bincount(ids, minlength=other + 1)
     return classes, words
 
 
@@ -109,8 +119,39 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((divergence(p) + divergence(q)) / 2, 0, 1))
 
 
-def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Class and word shares by language, over all rows with a language that pass the base rules.
+def common_words(parts: DataFrame, most: int) -> DataFrame:
+    """(lang, word) of the words that stand in most rows of each language, from (lang, text); of equal ones, the first."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from lakescribe.llm.common import text_bytes
+
+        held: dict[str, Counter[bytes]] = {}
+
+        def rows():
+            for lang, counts in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
+                    names=["lang", "word", "n"])
+            held.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+                held.setdefault(lang, Counter()).update(set(text.lower().split()))
+            if sum(map(len, held.values())) > 300_000:
+                yield from rows()
+        yield from rows()
+
+    counts = map_arrow(parts, run, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return counts.withColumn("place", place).where(F.col("place") <= most).select("lang", "word")
+
+
+def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text", lang_col: str = "lang") -> References:
+    """Class and word counts by language, over all rows with a language that pass the base rules.
+
+    The words are the common ones of each language with enough rows, found in all its rows.
 
     Counts leave each task already summed; the driver gets one short vector for each language with a
     reference. A table without such rows has no references.
@@ -133,7 +174,7 @@ def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: st
                 words = text.split()
                 if base_fails(len(words), repeated_words(words)):
                     continue
-                row = np.concatenate([[1], *histograms(text)])
+                row = np.concatenate([[1], *histograms(text, word_id)])
                 sums[lang] = sums[lang] + row if lang in sums else row
             if len(sums) > 5_000:
                 yield rows()
@@ -143,6 +184,11 @@ def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: st
 
     known = docs.where(F.col(f"`{lang_col}`").isNotNull())
     parts = known.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    large = cut(parts.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= limits.min_language_docs).select("lang"))
+    words = common_words(parts, limits.common_words).join(large, "lang", "left_semi").select("word").distinct()
+    found = References()
+    found.words = tuple(sorted(bytes(x) for x in words.toArrow().column("word").to_pylist()))
+    word_id = {w: i for i, w in enumerate(found.words)}
     sums = (
         map_arrow(parts, run, "lang string, counts array<bigint>")
         .select("lang", F.posexplode("counts").alias("bin", "n"))
@@ -151,9 +197,7 @@ def language_references(docs: DataFrame, limits: Limits = Limits(), text_col: st
     one = cut(sums.groupBy("lang").agg(
         F.max(F.when(F.col("bin") == 0, F.col("n"))).alias("docs"),
         F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins")))  # as many bins as the vectors have
-    total = one.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("total")).head().total
-    chosen = one.where(F.col("docs") >= limits.min_language_share * total)
-    found = {}
+    chosen = one.where(F.col("docs") >= limits.min_language_docs)
     for lang, bins in chosen.select("lang", F.col("bins.n").alias("n")).orderBy("lang").toLocalIterator():
         found[lang] = np.array(bins[1:], np.float64)
     return found
@@ -173,16 +217,20 @@ class Judge:
         self.limits = limits
         share = lambda x: x / x.sum()
         self.classes = np.array([share(x[:N_CLASSES]) for x in references.values()])
-        self.words = np.array([share(x[N_CLASSES:]) for k, x in references.items() if k in COMMON_WORDS])
+        self.words = np.array([share(x[N_CLASSES:]) for x in references.values()])
+        self.word_id = {w: i for i, w in enumerate(getattr(references, "words", References.words))}
 
     def distances(self, text: bytes) -> tuple[float | None, float | None]:
         """None where the text is too short or there is no reference."""
-        classes, words = histograms(text)
+        classes, words = histograms(text, self.word_id)
         by_class = by_word = None
         if len(self.classes) and classes.sum() >= self.limits.min_chars:
             by_class = float(js_distance(classes / classes.sum(), self.classes).min())
         if len(self.words) and words.sum() >= self.limits.min_words:
-            by_word = float(js_distance(words / words.sum(), self.words).min())
+            own = np.flatnonzero(words)  # where the text has nothing, a reference's share counts whole
+            p, q = words[own] / words.sum(), self.words[:, own]
+            rest = np.append(q, 1 - q.sum(axis=1, keepdims=True).clip(0, 1), axis=1)
+            by_word = float(js_distance(np.append(p, 0.0), rest).min())
         return by_class, by_word
 
     def row(self, text: bytes) -> tuple:
@@ -193,12 +241,13 @@ class Judge:
         return n_words, word_chars, n_symbols, n_dup, n_repeat, failed, not failed and not far, by_class, by_word
 
 
-def quality_rules(docs: DataFrame, references: Mapping[str, np.ndarray], limits: Limits = Limits(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def quality_rules(docs: DataFrame, references: Mapping[str, np.ndarray], limits: Limits = Limits(), keep: tuple[str, ...] = ("doc_id",), lang_col: str = "lang") -> DataFrame:
     """Base counts and verdict of every whole text.
 
     kept is false if base_failed, or if a text is long enough and farther than the limit from every
-    reference. The language of the row is not used: the nearest reference counts, so texts in a wrongly
-    named language are not dropped. Null and empty texts have no words and fail. Without references, texts
+    reference. The nearest reference counts, whatever the language of the row, so texts in a wrongly named
+    language are not dropped. If there is a column of languages, texts without one or in one that has no
+    reference are not judged by their words (word_distance is null). Null and empty texts have no words and fail. Without references, texts
     pass on the base rules alone. Rows are independent; other columns are ignored.
     """
 
@@ -206,4 +255,13 @@ def quality_rules(docs: DataFrame, references: Mapping[str, np.ndarray], limits:
         judge = Judge(references, limits)
         return lambda texts: list(zip(*[judge.row(x) for x in texts], strict=True))
 
-    return per_text(docs, worker, _SCHEMA, keep)
+    if lang_col not in docs.columns:
+        return per_text(docs, worker, _SCHEMA, keep)
+    known = F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{lang_col}`").cast("string").isin(list(references))
+    rows = per_text(docs.withColumn("__known", known), worker, _SCHEMA, (*keep, "__known"))
+    near = F.coalesce("class_distance", F.lit(0.0)) <= limits.max_class_distance
+    changed = {
+        "kept": F.when(F.col("__known"), F.col("kept")).otherwise(~F.col("base_failed") & near),
+        "word_distance": F.when(F.col("__known"), F.col("word_distance")),
+    }
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in rows.columns if c != "__known"])

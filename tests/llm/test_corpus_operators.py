@@ -475,3 +475,21 @@ def test_query_against_sql(name, spark, duck):
     from compare import difference
 
     assert difference(spark, duck, queries.QUERIES[name], queries.ORACLE_SQL[name], SF_DIR) == ""
+
+
+def test_every_language_of_the_corpus_has_its_own_common_words(spark):
+    """A small language besides a large one: no share of the rows is needed, its texts stay, those of no known language are not judged by words."""
+    rng = np.random.default_rng(14)
+
+    def prose(head, n):
+        small = [f"{head}{k}" for k in range(20)]
+        return " ".join(small[int(rng.integers(0, 20))] if rng.random() < 0.5 else f"{head}word{rng.integers(0, 5_000)}" for _ in range(n))
+
+    rows = [(i, prose("a", 150), "aa") for i in range(400)] + [(i, prose("b", 150), "bb") for i in range(400, 425)]
+    rows += [(500, prose("c", 150), "cc"), (501, prose("c", 150), None), (502, prose("c", 150), "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    references = language_references(docs)
+    assert list(references) == ["aa", "bb"] and {b"a0", b"b0"} <= set(references.words) and len(references.words) == 40
+    found = {r.doc_id: r for r in quality_rules(docs, references).collect()}
+    assert all(found[i].kept and found[i].word_distance < 0.33 for i in range(425))
+    assert found[500].kept and found[500].word_distance is None and found[501].kept and not found[502].kept
