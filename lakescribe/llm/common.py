@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescribe.functions.scratch import cut, shared_folder  # noqa: F401
+
 #: Texts go through the helpers in chunks of about so many bytes; one text is never cut.
 CHUNK_BYTES = 8 << 20
 
@@ -22,7 +24,6 @@ Worker = Callable[[Chunk], Sequence]
 
 
 _SHIPPED: set[str] = set()
-_OWN_FOLDER: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -103,22 +104,30 @@ def fold(doc_id: Column, of: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of its own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN_FOLDER.get(spark.sparkContext.applicationId)
-    if not found:
-        found = _OWN_FOLDER[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="checkpoint-")
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage: written as a Parquet table in the shared folder, and read from there.
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of consecutive rows that are equal in the first `keys` columns, across batches.
 
-    The tables stay until the folder is cleaned, as checkpoints do.
+    Holds one run at a time, so only for runs of bounded size.
     """
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fresh = np.zeros(batch.num_rows, bool)
+        for i in range(keys):
+            column = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            fresh[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(batch.column(i)[a].as_py() for i in range(keys))
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
 
 
 def span_digest(spans: Sequence[tuple[str, int, int]]) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakescribe.llm import decontaminate, jaccard
+from lakescribe.llm import decontaminate, jaccard, merkle, vector_codes, warc
 from lakescribe.llm.language import held_out_languages
 from lakescribe.llm.lm_score import lm_scores
 from lakescribe.llm.pieces import piece_counts
@@ -72,6 +72,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_captures(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "ord")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_lm_scoring": op2_lm_scoring,
@@ -83,8 +96,14 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_jaccard_join": jaccard.ORACLE_SQL,
     "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.oracle_sql(),
+    "op12_vector_codes": vector_codes.oracle_sql(),
+    "op13_warc": warc.ORACLE_SQL,
 }
