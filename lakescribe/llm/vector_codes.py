@@ -160,7 +160,7 @@ def _sums(state: DataFrame) -> dict[tuple[int, int], tuple[int, dict[int, int]]]
     rows = state.where("part IS NOT NULL").select("part", "entry", "n", F.posexplode("total").alias("i", "x"))
     whole = rows.groupBy("part", "entry", "i").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
     found: dict[tuple[int, int], tuple[int, dict[int, int]]] = {}
-    for r in whole.toLocalIterator():
+    for r in whole.collect():  # as many rows as the codebooks have components
         found.setdefault((r.part, r.entry), (r.n, {}))[1][r.i] = int(r.x)
     return found
 
