@@ -311,7 +311,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     n_blocks = runs.count()
     step = max(RANGE_BLOCKS, -(-n_blocks // RANGES))
     cuts = numbered(runs.select(F.lit(0).alias("all"), "first"), ["all"], ["first"], "place", 0).where((F.col("place") > 0) & (F.col("place") % step == 0))
-    bounds = sorted(bytes(r.first_key) for r in cuts.select(F.col("first").alias("first_key")).toLocalIterator())  # RANGES at most
+    bounds = sorted(bytes(r.first_key) for r in cuts.select(F.col("first").alias("first_key")).collect())  # RANGES at most
     shared = runs.sparkSession.sparkContext.broadcast(bounds)
 
     def divide(batches):
