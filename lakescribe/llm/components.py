@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescribe.llm.common import cut
+from lakescribe.functions.scratch import remove, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -34,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     of the graph, each with lineage cut. Loops and repeated edges do no harm; nulls are left out. Stars around
     a hot node are counted before each shuffle, and its join is one that Spark can split.
     """
-    now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, folder = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while True:
-        now = cut(_small_star(_large_star(now)))
+        old, (now, folder) = folder, written(_small_star(_large_star(now)))
+        remove(edges.sparkSession, old)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -9,12 +9,12 @@ The prefix is taken in one order for all sets: elements that many sets hold come
 links; a sketch of all elements, of fixed size, only says which lists would be long. The boundary has the least
 cost, counted from the sizes of all sets.
 
-Buckets and lists with one set only (nearly all) end there. In the others a first round compares each set with
-one of the bucket's, in large ones a second round with a few more; most groups of copies become one component by
-that. A last round compares what is left
-across components, pair by pair within a bucket, in blocks if it is large. So no group's pairs are given out,
-and every pair that links is either compared or already in one component. Parity bitmaps, whose differing bits
-are a lower bound of the difference of two sets, rule pairs out before their sets are compared exactly.
+Buckets and lists with one set only (nearly all) end there. Parity bitmaps, whose differing bits are a lower bound of
+the difference of two sets, rule most other pairs out: a task grows the groups of a bucket from set to set, comparing
+each with those that no group has yet, and gives out one edge for each set that joined. Groups that meet over all
+buckets make a cluster; any two sets that link are in one. Each cluster's texts then come together once, in
+blocks if they are large, and its sets are compared exactly where no link connects them so far. So no task gives out pairs:
+edges are fewer than the rows that it reads.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescribe.llm.common import chunks, cut, map_arrow, text_bytes
+from lakescribe.llm.common import chunks, cut, map_arrow, runs_of, text_bytes
 from lakescribe.llm.components import components
 from lakescribe.llm.shingles import mix, shingle_set
 
@@ -37,9 +37,9 @@ _BLOCKS = 64
 _SEEN = 200_000
 #: Sets of a bucket that one task compares with each other; larger buckets are dealt out in blocks.
 _BLOCK_ROWS = 2_048
+#: Elements of a cluster that make a block, about; a task holds two blocks.
+_BLOCK_ELEMENTS = 1 << 20
 _SMALL = 48
-#: Buckets of more sets get a second round of stars, around about so many of them.
-_LARGE, _PIVOTS = 48, 6
 #: Sets whose texts are looked up by a broadcast of their ids, at most.
 _BROADCAST_ROWS = 500_000
 
@@ -58,7 +58,7 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def set_table(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sid, bits) of every row with an id, and the sketch: occurrences of elements by hash cell.
+    """(doc_id, n, sid, bits) of every row, and the sketch: occurrences of elements by hash cell.
 
     One pass over the texts. Equal sets that a task meets again do not count twice in the sketch.
     """
@@ -101,12 +101,12 @@ def set_table(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             [pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["block", "cells"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     both = cut(map_arrow(own, run, f"doc_id {kind}, n int, sid bigint, bits binary, cells binary"))
     parts = both.where(F.col("cells").isNotNull()).select(F.col("n").alias("block"), "cells").repartition(_BLOCKS, "block")
     sketch = np.zeros(1 << _SKETCH_BITS, np.int64)
     size = len(sketch) // _BLOCKS
-    for row in map_arrow(parts, summed, "block int, cells binary").toLocalIterator():  # 64 rows of fixed size
+    for row in map_arrow(parts, summed, "block int, cells binary").collect():  # 64 rows of fixed size
         sketch[row.block * size : (row.block + 1) * size] += np.frombuffer(row.cells, np.int64)
     return both.where(F.col("cells").isNull()).select("doc_id", "n", "sid", "bits"), sketch
 
@@ -215,11 +215,11 @@ def shared_buckets(docs: DataFrame, sketch: np.ndarray, x: int, width: int, perc
 
 
 def parity(elements: np.ndarray) -> bytes:
-    """Bitmap of 1 to 2 bits or more for each element: the parity of the elements at each place.
+    """Bitmap of 2 to 4 bits for each element (fewer for very large sets): the parity of the elements at each place.
 
     One element more or less changes one bit, so two sets differ in at least as many elements as bits.
     """
-    bits = 1 << min(max((len(elements) - 1).bit_length(), 6), 16)
+    bits = 1 << min(max((len(elements) - 1).bit_length() + 1, 6), 16)
     held = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(held.astype(np.uint8), bitorder="little").tobytes()
 
@@ -237,137 +237,197 @@ def may_link(bits: int, both: int, percent: int) -> bool:
     return (100 + percent) * bits <= (100 - percent) * both
 
 
-def plausible(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps do not rule out."""
-
-    def run(batches):
-        for batch in batches:
-            na, nb, ba, bb = (batch.column(i).to_pylist() for i in range(2, 6))
-            keep = []
-            for i in range(len(na)):
-                x, y = (np.frombuffer(v, np.uint8)[None] for v in (ba[i], bb[i]))
-                size = min(x.shape[1], y.shape[1])
-                keep.append(may_link(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()), na[i] + nb[i], percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = profile.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = profile.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    joined = pairs.join(left, "a").join(right, "b").where(100 * small >= percent * large)
-    return map_arrow(joined.select("a", "b", "na", "nb", "ba", "bb"), run, "a bigint, b bigint")
-
-
-def links(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(u, v): representatives of the pairs (a, b) of sets that link, by comparing the sets themselves.
-
-    pairs is a written table. Texts are read only of the documents that its sets stand for.
+class Bitmaps:
+    """The bitmaps of sets in the order of their sizes; a larger set's bitmap is as long or longer."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        length = np.array([len(x) for x in bits])
+        self.starts, self.ends = np.searchsorted(n, -(-n * percent // 100), "left"), np.searchsorted(n, 100 * n // percent, "right")
+        self.groups = []  # (first, end, bitmaps, the same folded to half their length)
+        for size in np.unique(length):
+            first, end = np.searchsorted(length, [size, size + 1])
+            rows = np.frombuffer(b"".join(bits[first:end]), np.uint8).reshape(end - first, size)
+            half = folded(rows, size // 2).copy().view(np.uint64) if size > 8 else None
+            self.groups.append((first, end, rows.copy().view(np.uint64), half))
+
+    def near(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of the sets marked in `among` that may link with set i."""
+        a, b = self.starts[i], self.ends[i]
+        found = []
+        own = next(k for k, (first, end, _, _) in enumerate(self.groups) if first <= i < end)
+        first, _, mine, halved = self.groups[own]
+        for k in range(max(own - 1, 0), min(own + 2, len(self.groups))):
+            low, high, rows, half = self.groups[k]
+            at = np.flatnonzero(among[max(a, low) : min(b, high)]) + max(a, low)
+            if not len(at):
+                continue
+            width = rows.shape[1]
+            if width == mine.shape[1]:
+                differ = rows[at - low] ^ mine[i - first]
+            elif width == 2 * mine.shape[1]:
+                differ = half[at - low] ^ mine[i - first]
+            elif 2 * width == mine.shape[1]:
+                differ = rows[at - low] ^ halved[i - first]
+            else:  # lengths further apart belong to sizes too far apart
+                continue
+            odd = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            found.append(at[(100 + self.percent) * odd <= (100 - self.percent) * (self.n[at] + self.n[i])])
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def grown(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """For each set the first of its group: sets that pairs which may link connect. Sets in the order of their sizes."""
+    maps, free, leader = Bitmaps(n, bits, percent), np.ones(len(n), bool), np.arange(len(n))
+    for i in range(len(n)):
+        if not free[i]:
+            continue
+        free[i], waiting = False, [i]
+        while waiting:
+            found = maps.near(waiting.pop(), free)
+            free[found], leader[found] = False, i
+            waiting += found.tolist()
+    return leader
+
+
+def may_meet(n: tuple[int, int], bits: tuple[bytes, bytes], percent: int) -> bool:
+    """grown() of two sets, the smaller first."""
+    if 100 * n[0] < percent * n[1]:
+        return False
+    x, y = (np.frombuffer(b, np.uint8)[None] for b in bits)
+    if x.shape[1] == y.shape[1]:
+        odd = (int.from_bytes(bits[0]) ^ int.from_bytes(bits[1])).bit_count()
+    else:
+        odd = int(np.bitwise_count(folded(y, x.shape[1]) ^ x).sum())
+    return may_link(odd, n[0] + n[1], percent)
+
+
+def bucket_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): in each bucket, or pair of its blocks, one edge for each set that others may link with.
+
+    rows: (bucket, part_a, part_b, n, sid, bits); a task holds two blocks of one bucket.
     """
 
-    def run(batches):
-        for batch in batches:
-            a, b = text_bytes(batch.column(2)), text_bytes(batch.column(3))
-            keep, last, held = [], None, None
-            for x, y in zip(a, b, strict=True):
-                if x != last:
-                    last, held = x, shingle_set(x, width)
-                other = shingle_set(y, width)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = _texts_of(pairs, reps, docs, width)
-    left = texts.select(F.col("sid").alias("a"), F.col("rep").alias("u"), F.col("text").alias("ta"))
-    right = texts.select(F.col("sid").alias("b"), F.col("rep").alias("v"), F.col("text").alias("tb"))
-    kind = texts.schema["rep"].dataType.simpleString()
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("u", "v", "ta", "tb"), run, f"u {kind}, v {kind}")
-
-
-def across(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets of one bucket in different components that the bitmaps do not rule out.
-
-    rows: (bucket, part_a, part_b, part, sid, component, n, bits); a task holds two blocks of one bucket.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for batch, starts in whole_groups(batches, 3):
+            n, sid, bits = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_pylist()
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if b - a == 2:
+                    if may_meet((int(n[a]), int(n[a + 1])), (bits[a], bits[a + 1]), percent):
+                        u.append(sid[a : a + 1])
+                        v.append(sid[a + 1 : a + 2])
+                elif b - a > 2:
+                    lead = grown(n[a:b].astype(np.int64), bits[a:b], percent)
+                    joined = np.flatnonzero(lead != np.arange(b - a))
+                    u.append(sid[a:b][lead[joined]])
+                    v.append(sid[a:b][joined])
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                u, v = [], []
+
+    ordered = rows.repartition("bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b", "n", "sid")
+    return map_arrow(ordered, run, "u bigint, v bigint").distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches that begin and end with a group of equal keys (integers), with the starts of their groups and the end."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray]:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return whole, np.r_[0, fresh_rows(whole), whole.num_rows]
+
+    def fresh_rows(batch: pa.RecordBatch) -> np.ndarray:
+        key = np.array([batch.column(i).to_numpy() for i in range(keys)])
+        return np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = fresh_rows(batch)
+        if held and any(held[-1].column(i)[-1].as_py() != batch.column(i)[0].as_py() for i in range(keys)):
+            yield joined()
+            held = []
+        if len(cuts):
+            held.append(batch.slice(0, cuts[-1]))
+            yield joined()
+            held = [batch.slice(cuts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield joined()
+
+
+def open_buckets(shared: DataFrame) -> DataFrame:
+    """(bucket, part_a, part_b, sid) of the buckets; of those with the same sets one is kept.
+
+    A bucket of many sets is dealt out: each block of it meets each other in a task of its own.
     """
+    facts = shared.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(20,0)")).alias("s"))
+    chosen = facts.groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket"))
+    dealt = shared.join(chosen.select("bucket", F.ceil(F.col("m") / _BLOCK_ROWS).cast("int").alias("parts")), "bucket")
+    return _dealt(dealt.select("bucket", "sid", "parts"))
 
-    def pairs_of(key, part, sid, component, n, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sizes = np.array([len(x) for x in bits])
-        for size in np.unique(sizes):
-            mine = np.flatnonzero(sizes == size)
-            near = np.flatnonzero((sizes == size) | (sizes == 2 * size))
-            x = np.frombuffer(b"".join(bits[i] for i in mine), np.uint8).reshape(len(mine), size)
-            y = np.concatenate([folded(np.frombuffer(bits[i], np.uint8)[None], size) for i in near])
-            x, y = x.view(np.uint64), np.ascontiguousarray(y).view(np.uint64)
-            for r, i in enumerate(mine):
-                ok = (component[near] != component[i]) & ((sizes[near] > size) | (near > i))
-                if key[0] != key[1]:
-                    ok &= part[near] != part[i]
-                ok &= (100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i]))
-                at = np.flatnonzero(ok)
-                if len(at):
-                    differ = np.bitwise_count(y[at] ^ x[r]).sum(axis=1)
-                    at = at[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (n[near[at]] + n[i]).astype(np.int64)]
-                    if len(at):
-                        yield np.full(len(at), sid[i]), sid[near[at]]
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def given():
-            t = pa.Table.from_batches(held)
-            held.clear()
-            column = {c: t.column(c).to_numpy() for c in ("part", "sid", "component", "n")}
-            key = (t.column("part_a")[0].as_py(), t.column("part_b")[0].as_py())
-            for a, b in pairs_of(key, column["part"], column["sid"], column["component"], column["n"], t.column("bits").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with `sid` and `parts`, once for each pair (part_a, part_b) of blocks that theirs (part) is one of."""
+    part = rows.withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(
+        F.least(k, F.col("part")).alias("part_a"), F.greatest(k, F.col("part")).alias("part_b"))))
+    return part.withColumn("meet", meets).select("*", "meet.part_a", "meet.part_b").drop("meet", "parts")
+
+
+def block_links(sets: list[np.ndarray], part: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs that link, one for each set that joins another: pairs that links connect already are not compared."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    maps = Bitmaps(np.array([len(sets[i]) for i in order]), [parity(sets[i]) for i in order], percent)
+    parent, found, later = list(range(len(sets))), [], np.ones(len(sets), bool)
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(order)):
+        later[i] = False
+        a = sets[order[i]]
+        for j in maps.near(i, later).tolist():
+            if across and part[order[i]] == part[order[j]]:
+                continue
+            x, y = root(i), root(j)
+            if x == y:
+                continue
+            b = sets[order[j]]
+            at = np.searchsorted(b, a)
+            both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                parent[y] = x
+                found.append((order[i], order[j]))
+    return found
 
-        last = None
-        for batch in batches:
-            keys = np.array([batch.column(i).to_numpy() for i in range(3)])
-            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, keys.shape[1]]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                key = tuple(keys[:, s])
-                if held and key != last:
-                    yield from given()
-                held.append(batch.slice(s, e - s))
-                last = key
-        if held:
-            yield from given()
 
-    ordered = rows.repartition("bucket", "part_a", "part_b").sortWithinPartitions("bucket", "part_a", "part_b", "sid")
-    return map_arrow(ordered, run, "a bigint, b bigint").distinct()
+def links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v): ids of sets that link, enough to connect what links connect.
 
+    rows: (cluster, part_a, part_b, part, sid, rep, text); a task holds the sets of two blocks of one cluster.
+    """
+    kind = rows.schema["rep"].dataType.simpleString()
 
-def more_stars(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, b): in the large buckets that still hold several components, some sets with all of other components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, a, b), group in runs_of(batches, 3):
+            sid = group.column(4).to_numpy()
+            group = group.filter(pa.array(np.r_[True, sid[1:] != sid[:-1]]))  # repeated rows of several tasks
+            part, rep = group.column(3).to_numpy(), group.column(5)
+            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in group.column(6)]
+            found = block_links(sets, part, a != b, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(x)).combine_chunks() for x in zip(*found, strict=True)], names=["u", "v"])
 
-    About _PIVOTS sets of a bucket are taken, by their hash.
-    """
-    rows = shared.join(component, "sid", "left").select("bucket", "sid", F.coalesce("component", "sid").alias("component"))
-    large = (
-        rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where(f"low != high AND m > {_LARGE}").select("bucket", F.floor(F.col("m") / _PIVOTS).alias("step")))
-    members = rows.join(large, "bucket")
-    pivots = members.where(F.pmod(F.xxhash64("bucket", "sid"), F.col("step")) == 0).select(
-        "bucket", F.col("sid").alias("p"), F.col("component").alias("c"))
-    pairs = members.join(pivots, "bucket").where("component != c").select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b"))
-    return pairs.distinct()
-
-
-def open_buckets(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """(bucket, part_a, part_b, part, sid, component) of the buckets that still hold several components.
-
-    Of buckets with the same sets one is kept. A bucket of many sets is dealt out: each block of it meets
-    each other in a task of its own.
-    """
-    rows = shared.join(component, "sid", "left").select("bucket", "sid", F.coalesce("component", "sid").alias("component"))
-    facts = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64(F.lit(1), "sid").cast("decimal(20,0)")).alias("s"))
-    chosen = facts.where("low != high").groupBy("m", "x", "s").agg(F.min("bucket").alias("bucket"))
-    parts = F.ceil(F.col("m") / _BLOCK_ROWS).cast("int")
-    dealt = rows.join(chosen.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(
-        F.least(k, F.col("part")).alias("part_a"), F.greatest(k, F.col("part")).alias("part_b"))))
-    return dealt.select("bucket", "sid", "component", "part", meets.alias("meet")).select("bucket", "meet.part_a", "meet.part_b", "part", "sid", "component")
+    ordered = rows.repartition("cluster", "part_a", "part_b").sortWithinPartitions("cluster", "part_a", "part_b", "sid")
+    return map_arrow(ordered.select("cluster", "part_a", "part_b", "part", "sid", "rep", "text"), run, f"u {kind}, v {kind}")
 
 
 # --- the join -------------------------------------------------------------------------------------
@@ -379,66 +439,80 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     n_shingles is the size of its set: distinct shingles of `width` words, A-Z in lower case; with fewer words
     the whole sequence. Documents link when 100 * intersection >= percent * union; component_id is the least
     doc_id that links reach. Null and empty texts have an empty set and link with nothing. Rows with the same
-    id are one document; a row without id is alone, with a null component. Other columns are ignored.
+    id are one document; a row without id has its set's size, links with nothing and has a null component. Other
+    columns are ignored. percent: 67 to 99.
     """
-    if not 50 < percent < 100:
-        raise ValueError("percent must be between 51 and 99")
+    if not 67 <= percent < 100:
+        raise ValueError("percent must be 67 to 99: below, sets of two or three shingles may link without sharing a bucket")
     sets, sketch = set_table(docs, width)
-    full = sets.where("n > 0")
-    reps = full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    sizes = {int(r.k): r.sets for r in reps.groupBy(F.least("n", F.lit(2 * _SMALL)).alias("k")).agg(F.count(F.lit(1)).alias("sets")).toLocalIterator()}
+    full = sets.where("n > 0 AND doc_id IS NOT NULL")
+    reps = cut(full.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    sizes = {int(r.k): r.sets for r in reps.groupBy(F.least("n", F.lit(2 * _SMALL)).alias("k")).agg(F.count(F.lit(1)).alias("sets")).collect()}
     total = max(int(sketch.sum()), 1)
     lists = max(0.0, float((sketch * (sketch - 1)).sum()) / total - total / len(sketch))
-    shared = cut(shared_buckets(docs, sketch, boundary(sizes, lists, percent), width, percent))
-    profile = full.select("sid", "n", "bits").dropDuplicates(["sid"])
-    first = shared.where("sid != pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    star = cut(links(cut(plausible(first, profile, percent)), reps, docs, width, percent))
-    by_rep = components(star)
-    second = cut(plausible(more_stars(shared, _by_set(reps, by_rep)), profile, percent))
-    by_rep = components(by_rep.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links(second, reps, docs, width, percent)))
-    component = _by_set(reps, by_rep)
-    left = open_buckets(shared, component).join(profile, "sid")
-    rows = left.select("bucket", "part_a", "part_b", "part", "sid", "component", "n", "bits")
-    more = links(cut(across(rows, percent)), reps, docs, width, percent)
-    # the stars stand for the first links; rows of one id join its sets
-    same = full.join(reps.select("sid", "rep"), "sid").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    several = full.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select(F.col("doc_id").alias("u"))
-    bridges = same.join(several, "u", "left_semi")
-    known = by_rep.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    final = components(known.unionByName(more).unionByName(bridges))
-    named = reps.join(final, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("component", "rep").alias("component_id"))
-    found = sets.select("doc_id", "n", "sid").join(named, "sid", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    alone = docs.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone)
-
-
-def _texts_of(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(sid, rep, text) of the sets in the pairs; a repeated document may come twice."""
+    shared = cut(shared_buckets(docs, sketch, boundary(sizes, lists, percent), width, percent).select("bucket", "sid"))
+    meeting = open_buckets(shared).join(reps.select("sid", "n", "bits"), "sid").select("bucket", "part_a", "part_b", "n", "sid", "bits")
+    clusters = components(bucket_edges(meeting, percent)).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    found = links(_cluster_texts(clusters, reps, docs, width), width, percent)
+    # rows of one id join its sets
+    several = full.groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low != high").select("doc_id")
+    bridges = full.join(several, "doc_id", "left_semi").join(reps.select("sid", "rep"), "sid").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    final = components(found.unionByName(bridges))
+    named = cut(reps.join(final, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("component", "rep").alias("component_id")))
+    return sets.join(named, "sid", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def _cluster_texts(clusters: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cluster, part_a, part_b, part, sid, rep, text) of the sets in clusters, a cluster dealt out by its elements."""
 
     def run(batches):
-        for batch in batches:  # an id with several texts: only the one that has the set
-            keep = [set_id(shingle_set(x, width)) == s for s, x in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), strict=True)]
+        seen = set()
+        for batch in batches:  # an id with several texts: only those that have the set; a repeated row once
+            keep = []
+            for sid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(4)), strict=True):
+                keep.append(sid not in seen and set_id(shingle_set(text, width)) == sid)
+                if keep[-1]:
+                    seen.add(sid)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    names = cut(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps.select("sid", "rep"), "sid"))
+    members = clusters.join(reps.select("sid", "rep", "n"), "sid")
+    parts = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / _BLOCK_ELEMENTS)).cast("int").alias("parts"))
+    names = cut(members.join(parts, "cluster").select("sid", "cluster", "parts", "rep"))
     if names.count() <= _BROADCAST_ROWS:  # checked size; beyond it the texts are shuffled to the names
         names = F.broadcast(names)
     own = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text"))
     kind = own.schema["rep"].dataType.simpleString()
-    return cut(map_arrow(own.join(names, "rep").select("sid", "rep", "text"), run, f"sid bigint, rep {kind}, text string"))
+    texts = map_arrow(own.join(names, "rep").select("sid", "cluster", "parts", "rep", "text"), run, f"sid bigint, cluster bigint, parts int, rep {kind}, text string")
+    return _dealt(texts)
 
 
-def _by_set(reps: DataFrame, by_rep: DataFrame) -> DataFrame:
-    """(sid, component) of the sets that have links; a component as a hash, in the space of set ids."""
-    return reps.select("sid", "rep").join(by_rep, F.col("rep") == F.col("node")).select("sid", F.xxhash64("component").alias("component"))
+def one_of_equal(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows, of those equal in the columns (nulls are equal) only that with the least hash of all columns.
+
+    Only rows that occur again are shuffled.
+    """
+    names = rows.columns
+    values = [F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in (F.col(f"`{c}`").cast("string") for c in columns)]
+    marked = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.sha2(F.concat(*values), 256).alias("key"))
+    again = cut(marked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    if again.isEmpty():
+        return rows
+    chosen = marked.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in names])).alias("row")).select("row")
+    return marked.join(again, "key", "left_anti").select("row").unionByName(chosen).select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The documents, with all their columns, less those whose component has a smaller id. Rows without an id stay."""
+    """The documents, with all their columns, less those whose component has a smaller id.
+
+    Of rows equal in doc_id and text (nulls are equal) one stays, that with the least hash of all its columns; this holds
+    for rows without id as well, which nothing else takes out.
+    """
     found = jaccard_components(docs.select("doc_id", "text"), percent, width)
     copies = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(copies, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one_of_equal(kept, ["doc_id", "text"])
 
 
 ORACLE_SQL = r"""

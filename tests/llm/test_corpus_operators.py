@@ -157,11 +157,10 @@ def edited(rng, count):
     return texts
 
 
-@pytest.mark.parametrize("seed, block, large, pivots", [(1, 2_048, 48, 6), (2, 3, 2, 1)])
-def test_jaccard_components_against_all_pairs(spark, monkeypatch, seed, block, large, pivots):
+@pytest.mark.parametrize("seed, block, elements", [(1, 2_048, 1 << 20), (2, 3, 100)])
+def test_jaccard_components_against_all_pairs(spark, monkeypatch, seed, block, elements):
     monkeypatch.setattr(jaccard, "_BLOCK_ROWS", block)
-    monkeypatch.setattr(jaccard, "_LARGE", large)
-    monkeypatch.setattr(jaccard, "_PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "_BLOCK_ELEMENTS", elements)
     texts = edited(np.random.default_rng(seed), 220)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
@@ -215,6 +214,44 @@ def test_buckets_over_batch_borders(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def test_blocks_link_what_all_pairs_link():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        base = [np.unique(rng.integers(0, 2**63, int(k)).astype(np.uint64)) for k in rng.integers(1, 200, 4)]
+        sets = [np.unique(np.r_[b[rng.random(len(b)) > rng.choice([0, 0.1, 0.2])], rng.integers(0, 2**63, int(rng.integers(1, 9))).astype(np.uint64)]) for b in base for _ in range(8)]
+        part = rng.integers(0, 2, len(sets))
+        for across in (False, True):
+            found, parent = jaccard.block_links(sets, part, across, 75), {}
+            for a, b in found:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+            root = lambda i: root(parent[i]) if i in parent else i  # noqa: E731, B023
+            for a, b in found:
+                assert root(a) != root(b)
+                parent[root(a)] = root(b)
+            order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+            lead = jaccard.grown(np.array([len(sets[i]) for i in order]), [jaccard.parity(sets[i]) for i in order], 75)
+            for x, a in enumerate(order):
+                for y, b in enumerate(order):
+                    both = len(np.intersect1d(sets[a], sets[b]))
+                    if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                        assert lead[x] == lead[y]
+                        if not across or part[a] != part[b]:
+                            assert root(a) == root(b)
+
+
+def test_sets_of_rows_without_id_are_counted_and_equal_rows_dropped(spark):
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [(3, text), (3, text), (None, text), (None, text), (4, text + " x"), (None, None), (None, None), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row int")
+    found = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()], key=repr)
+    assert found == sorted([(3, 56, 3)] * 2 + [(None, 56, None)] * 2 + [(4, 57, 3)] + [(None, 0, None)] * 2 + [(5, 0, 5), (6, 0, 6)], key=repr)
+    kept = sorted([(r.doc_id, r.text) for r in jaccard.drop_near_duplicates(docs).collect()], key=repr)
+    assert kept == sorted([(3, text), (None, text), (None, None), (5, None), (6, "")], key=repr)
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(docs, 60)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 130)] + [(130, 129), (7, 7), (200, 199), (199, 200)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
