@@ -74,21 +74,24 @@ def per_text(
 
     `worker()` runs once per task and gives a function from a chunk of texts to one sequence per field of
     `schema`. Narrow: no shuffle, memory bounded by an Arrow batch. Null text is empty text. A kept column
-    whose name is also a computed one is left out.
+    whose name is also a computed one is left out; choose `fresh` names where that must not be.
     """
     kept = [c for c in keep if c not in schema.names]
+    again = text_col in kept and docs.schema[text_col].dataType == T.StringType()  # the text goes over once
+    place = kept.index(text_col) if again else len(kept)
     made = [pa.field(f.name, _ARROW[f.dataType.simpleString()]) for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = worker()
         for batch in batches:
-            texts = text_bytes(batch.column(len(kept)))
+            texts = text_bytes(batch.column(place))
             for a, b in chunks(texts):
                 columns = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 columns += [pa.array(x, f.type) for x, f in zip(work(texts[a:b]), made, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *schema.names])
 
-    narrow = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    text = [] if again else [F.col(f"`{text_col}`").cast("string").alias(fresh("text", kept))]
+    narrow = docs.select(*[F.col(f"`{c}`") for c in kept], *text)
     out = T.StructType([*[narrow.schema[i] for i in range(len(kept))], *schema.fields])
     return map_arrow(narrow, run, out)
 
@@ -99,6 +102,14 @@ _ARROW = {
 }
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """The name, or with as many underscores behind it as it takes to differ from the names that are taken."""
+    known = {x.lower() for x in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, of: int = 5) -> Column:
     """crc32 of the id as text, modulo `of`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of

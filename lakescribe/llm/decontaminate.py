@@ -7,6 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakescribe.functions.scratch import cut
+from lakescribe.llm.common import fresh
+
 #: What separates words: all ASCII but digits and letters.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The index of windows goes to all executors up to so many bytes; beyond, both joins shuffle.
@@ -100,7 +103,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, b
     split = docs.select("doc_id", F.xxhash64(text).alias("mark"), words(text).alias("w")).withColumn("n_words", F.size("w"))
     windows = item_windows(benchmark.select("item_id", "text"), width)
     vocabulary = windows.select(F.explode("window").alias("token")).distinct()
-    index = rarest_tokens(windows, word_frequency(split, vocabulary, broadcast_bytes))
+    # as small as the benchmark; written, so that its words are counted once
+    index = cut(rarest_tokens(windows, word_frequency(split, vocabulary, broadcast_bytes)))
     hits = (
         occurrences(split, index, broadcast_bytes)
         .groupBy("doc_id", "mark").agg(
@@ -118,16 +122,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, b
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents, with all their columns, that hold no window of any item."""
+    """The documents, with all their columns, that hold no window of any item.
+
+    Texts are told apart by a 64-bit hash; two different ones of n share it with a chance of n*n/2^65.
+    """
     key = F.xxhash64(F.col("text").cast("string"))
     bad = find_contamination_marks(docs, benchmark, width)
-    return docs.withColumn("__mark", key).join(bad, "__mark", "left_anti").drop("__mark")
+    mark = fresh("mark", docs.columns)
+    return docs.withColumn(mark, key).join(bad.withColumnRenamed("mark", mark), mark, "left_anti").drop(mark)
 
 
 def find_contamination_marks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """(__mark): hashes of the texts that hold a window."""
+    """(mark): hashes of the texts that hold a window."""
     found = find_contamination(docs.select(F.xxhash64(F.col("text").cast("string")).alias("doc_id"), "text"), benchmark, width)
-    return found.where("contaminated").select(F.col("doc_id").alias("__mark")).distinct()
+    return found.where("contaminated").select(F.col("doc_id").alias("mark")).distinct()
 
 
 ORACLE_SQL = r"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.llm.common import cut, map_arrow, per_text
+from lakescribe.llm.common import cut, fresh, map_arrow, per_text
 
 SPACE = b"\x20\t\n\x0b\x0c\r"
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -258,10 +258,11 @@ def quality_rules(docs: DataFrame, references: Mapping[str, np.ndarray], limits:
     if lang_col not in docs.columns:
         return per_text(docs, worker, _SCHEMA, keep)
     known = F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{lang_col}`").cast("string").isin(list(references))
-    rows = per_text(docs.withColumn("__known", known), worker, _SCHEMA, (*keep, "__known"))
+    mark = fresh("known", [*docs.columns, *_SCHEMA.names])
+    rows = per_text(docs.withColumn(mark, known), worker, _SCHEMA, (*keep, mark))
     near = F.coalesce("class_distance", F.lit(0.0)) <= limits.max_class_distance
     changed = {
-        "kept": F.when(F.col("__known"), F.col("kept")).otherwise(~F.col("base_failed") & near),
-        "word_distance": F.when(F.col("__known"), F.col("word_distance")),
+        "kept": F.when(F.col(mark), F.col("kept")).otherwise(~F.col("base_failed") & near),
+        "word_distance": F.when(F.col(mark), F.col("word_distance")),
     }
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in rows.columns if c != "__known"])
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in rows.columns if c != mark])

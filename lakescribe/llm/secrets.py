@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakescribe.llm.automaton import combine_dfas, compile_dfa, rows_of
-from lakescribe.llm.common import code_points, per_text, sha256, span_digest
+from lakescribe.llm.common import code_points, fresh, per_text, sha256, span_digest
 
 
 @dataclass(frozen=True)
@@ -192,14 +192,15 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
 
         return work
 
-    fresh, names = "__redacted", docs.columns
-    done = per_text(docs, make, T.StructType([T.StructField(fresh, T.StringType())]), keep=names, text_col=text_col)
-    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.col(fresh))
+    names = docs.columns
+    made = fresh("redacted", names)
+    done = per_text(docs, make, T.StructType([T.StructField(made, T.StringType())]), keep=names, text_col=text_col)
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.col(made))
     shown = {text_col: text.alias(text_col)}
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        changed = F.col(fresh) != F.col(f"`{text_col}`")
-        shown["n_chars"] = F.when(changed, F.length(fresh).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+        changed = F.col(made) != F.col(f"`{text_col}`")
+        shown["n_chars"] = F.when(changed, F.length(made).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
     return done.select(*[shown.get(c, F.col(f"`{c}`")) for c in names])
 
 

@@ -1,6 +1,7 @@
 """Operators that learn from a corpus or compare documents, on small tables, against brute force."""
 
 import collections
+import dataclasses
 import hashlib
 import math
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from conftest import SF_DIR
-from lakescribe.llm import decontaminate, jaccard, ppm, queries
+from lakescribe.llm import decontaminate, jaccard, ppm, queries, toxicity
 from lakescribe.llm.common import fold
 from lakescribe.llm.components import components
 from lakescribe.llm.language import fit_languages, has_letter, held_out_languages, identify_language
@@ -113,6 +114,25 @@ def test_stages_keep_columns_and_hard_rows(spark, odd, none, labels, tmp_path):
     assert hidden[3].text is None and hidden[0].text == ODD[0][1] and hidden[0].spans == "mine"
 
 
+def test_stages_leave_columns_with_names_of_their_own_alone(spark, labels, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark_of(spark, [(4, "one two")]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = ["score", "predicted", "Score_", "mark", "redacted", "known", "row", "key", "n", "sid", "rep", "component_id", "part", "n_pieces", "ids_sha256", "round_trip", "n_fallback"]
+    columns = ["doc_id", "text", "lang", *own]
+    docs = spark.createDataFrame([(i, t, x, *[f"{c}{k}" for c in own]) for k, (i, t, x) in enumerate(ODD)], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in columns))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.columns == docs.columns, name
+            before = {r["score"]: r for r in docs.collect()}
+            for r in found.collect():
+                assert all(r[c] == before[r["score"]][c] for c in [*own, "lang", "doc_id"]), name
+        else:
+            assert found.columns == ["doc_id", "n_pieces", "n_fallback", "ids_sha256", "round_trip"] and found.count() == len(ODD)
+    judged = quality_rules(docs, language_references(docs), keep=("doc_id", "known")).collect()
+    assert sorted(r.known for r in judged) == sorted(f"known{k}" for k in range(len(ODD)))
+
+
 def test_pipeline_on_the_smallest_table(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
@@ -477,6 +497,67 @@ def test_toxicity_learns_words_and_uses_only_the_text(spark):
     assert np.allclose(again.vectors, model.vectors) and again.thresholds == model.thresholds
 
 
+def slow_logit(model, words):
+    """The network by its definition: every filter over every place, greatest activation, one output."""
+    s = model.settings
+    vectors = [model.vectors[list(toxicity.features(w, s.buckets))].sum(axis=0).astype(float) for w in words] + [np.zeros(s.size)] * max(max(s.widths) - 1, 1)
+    column, pooled = 0, []
+    for w, width in enumerate(s.widths):
+        kernels = [model.kernels[:, column + j * s.filters : column + (j + 1) * s.filters] for j in range(width)]
+        column += width * s.filters
+        for f in range(s.filters):
+            values = [sum(float(vectors[i + j] @ kernels[j][:, f]) for j in range(width) if i + j < len(vectors)) for i in range(len(vectors))]
+            pooled.append(max(0.0, max(values) + model.bias[w * s.filters + f]))
+    return float(np.dot(pooled, model.out)) + model.shift
+
+
+def small_network():
+    s = Settings(buckets=64, size=3, filters=2, epochs=1, batch=4, min_documents=1, rate=1e-6)
+    model = toxicity.Classifier.fresh(s)
+    rng = np.random.default_rng(1)
+    model.vectors[:] = rng.normal(0, 1, model.vectors.shape)
+    model.bias[:] = rng.normal(0, 0.3, model.bias.shape)
+    reader, texts = toxicity.SampleReader(s.buckets), [[b"aa", b"bbbbb", b"cc"], [b"dd"], [b"aa", b"zz", b"zz", b"yy"], [], [b"k%d" % i for i in range(9)]]
+    for x in texts:
+        reader.add(x)
+    return model, texts, reader.sample()
+
+
+def test_forward_pass_by_its_definition():
+    model, texts, sample = small_network()
+    slow = [slow_logit(model, x) for x in texts]
+    assert np.allclose(model.logits(texts), slow, atol=1e-4) and np.allclose(model.sample_logits(sample), slow, atol=1e-4)
+
+
+def test_training_follows_the_numeric_gradient():
+    """One batch of all texts: the first step of each dense weight goes against its numeric gradient."""
+    model, texts, sample = small_network()
+    labels = np.array([1, 0, 1, 0, 1], np.float32)
+    weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+
+    def loss():
+        z = np.array([slow_logit(model, x) for x in texts])
+        return float((weight * (np.log1p(np.exp(z)) - labels * z)).sum() / len(texts))
+
+    slopes = {}
+    for name in ("kernels", "bias", "out"):
+        value = getattr(model, name)
+        slopes[name] = np.zeros(value.shape)
+        for at in np.ndindex(value.shape):
+            keep = value[at]
+            value[at] = keep + 1e-2
+            up = loss()
+            value[at] = keep - 1e-2
+            slopes[name][at] = (up - loss()) / 2e-2
+            value[at] = keep
+    before = {name: getattr(model, name).copy() for name in slopes}
+    model.settings = dataclasses.replace(model.settings, batch=5, rate=1e-3)
+    model.train(sample, labels)
+    for name, slope in slopes.items():
+        step, clear = getattr(model, name) - before[name], np.abs(slope) > 2e-3
+        assert clear.sum() > 2 and (np.sign(step[clear]) == -np.sign(slope[clear])).mean() > 0.95, name
+
+
 def test_without_both_classes_nothing_is_toxic(spark, odd, labels):
     model = fit_toxicity(odd, labels.withColumn("toxic", F.lit(0)), F.lit(True))
     assert all(r.predicted == 0 for r in score_toxicity(odd, model).collect())
