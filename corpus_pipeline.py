@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakescribe.llm.common import fold
+from lakescribe.functions.scratch import new_folder
+from lakescribe.llm.common import fold, fresh
 from lakescribe.llm.decontaminate import drop_contaminated
 from lakescribe.llm.jaccard import drop_near_duplicates
 from lakescribe.llm.pieces import piece_counts
@@ -22,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels outside fold 0 of 5, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, fold(F.col("doc_id")) != 0)
-    scored = score_toxicity(docs, model, keep=docs.columns)
-    return scored.where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = fresh("score", docs.columns), fresh("predicted", docs.columns)
+    scored = score_toxicity(docs, model, keep=docs.columns, names=names)
+    return scored.where(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    folder = new_folder(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
