@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -17,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fleet import native, seed  # noqa: E402
 from lakescribe.functions.dialect import split_dialects  # noqa: E402
+from lakescribe.functions.scratch import new_folder  # noqa: E402
 from lakescribe.functions.text import escape_markup, rfc3339, seconds  # noqa: E402
 from lakescribe.model import OBJECT_KINDS, Catalog, union_all  # noqa: E402
 from lakescribe.operators import audit, distincts, docs, enrich, keys, pages, profiles  # noqa: E402
@@ -25,21 +24,26 @@ from lakescribe.operators import catalog_mssql as ms  # noqa: E402
 from lakescribe.operators import catalog_mysql as my  # noqa: E402
 from lakescribe.operators import catalog_pg as pg  # noqa: E402
 from lakescribe.operators.documents import schema_documents  # noqa: E402
+from lakescribe.operators.parts import PIECE_BYTES  # noqa: E402
 from lakescribe.operators.filters import ALL, ObjectFilter  # noqa: E402
 from lakescribe.plans.document_lake import document_lake  # noqa: E402
 from lakescribe.plans.extract import NORMALISERS, ExtractConfig, extract  # noqa: E402
 from lakescribe.functions.values import INTEGER, STRING, quoted, scalar_columns, type_class  # noqa: E402
 from lakescribe.sinks import write_pages, write_sheets  # noqa: E402
 from lakescribe.sources import read_snapshot, read_tables, write_snapshot  # noqa: E402
-from oracles import fleet_sql, lake_sql  # noqa: E402
+from oracles import fleet_sql, lake_sql, text_sql  # noqa: E402
 
 try:
     from lakescribe.llm import queries as llm_queries
-except ModuleNotFoundError:
+except ModuleNotFoundError as error:  # the subpackage is away; a package that it needs must not be
+    if not (error.name or "").startswith("lakescribe.llm"):
+        raise
     llm_queries = None
 try:
     import corpus_pipeline
-except ModuleNotFoundError:
+except ModuleNotFoundError as error:
+    if error.name != "corpus_pipeline" and not (error.name or "").startswith("lakescribe.llm"):
+        raise
     corpus_pipeline = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,8 +94,7 @@ def _contents(tables: dict[str, DataFrame]) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder where all executors can write."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="landed-")
-    return f"{shared}/landed-{uuid.uuid4().hex}"
+    return new_folder(spark, "landed")
 
 
 def _with_nulls(tables: dict[str, DataFrame]) -> DataFrame:
@@ -154,7 +157,7 @@ def _column_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     write_pages(pages.table_pages(_catalog(spark, sf_dir)), path, buckets=4)
-    return _page_facts(spark.read.parquet(path))
+    return spark.read.parquet(path).drop("source_bucket")
 
 
 def _dump(spark: SparkSession, sf_dir: str, dialect: str) -> dict[str, DataFrame]:
@@ -255,38 +258,6 @@ def _schema_counts(cat: Catalog) -> DataFrame:
     return docs.object_totals(cat).join(columns, "source_id")
 
 
-def _json_counts(cat: Catalog) -> DataFrame:
-    """Elements per list of the documents, read back from their text."""
-    table = "struct<name: string, columns: array<struct<name: string>>>"
-    shape = ", ".join(f"{kind} array<{table}>" for kind in OBJECT_KINDS)
-    parsed = schema_documents(cat).select("source_id", F.from_json("json", shape).alias("d"))
-    size = lambda value: F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0))
-    nested = [size(F.flatten(F.transform(F.col(f"d.{kind}"), lambda o: o["columns"]))) for kind in ("tables", "views")]
-    return parsed.groupBy("source_id").agg(
-        *[F.sum(size(F.col(f"d.{kind}"))).alias(kind) for kind in OBJECT_KINDS],
-        F.sum(nested[0] + nested[1]).alias("columns"),
-    )
-
-
-def _occurrences(text: str) -> F.Column:
-    return F.regexp_count("html", F.lit(text)).cast("long")
-
-
-def _page_counts(cat: Catalog) -> DataFrame:
-    return _page_facts(pages.table_pages(cat))
-
-
-def _page_facts(html: DataFrame) -> DataFrame:
-    return html.select(
-        *docs.TABLE_KEY, _occurrences("<td><strong>").alias("n_rows"), _occurrences("badge-pk").alias("n_pk"),
-        _occurrences("badge-fk").alias("n_fk"), _occurrences("badge-uk").alias("n_uk"),
-        _occurrences("<td>YES</td>").alias("n_nullable"))
-
-
-def _summary_rows(cat: Catalog) -> DataFrame:
-    return pages.summary_pages(cat).groupBy("source_id").agg(F.sum(_occurrences("<td><strong>")).alias("n_rows"))
-
-
 def _report(cat: Catalog) -> DataFrame:
     return audit.audit_report(cat).withColumn("details", F.array_join("details", " | "))
 
@@ -351,15 +322,16 @@ def _normaliser_sql(name: str) -> str:
 
 # name -> (query, expected-result SQL)
 def _registry() -> dict[str, tuple[Query, str]]:
-    lake, fleet = lake_sql, fleet_sql
+    lake, fleet, texts = lake_sql, fleet_sql, text_sql
     found: dict[str, tuple[Query, str]] = {
         "src_info": (_on_fleet(_source_info), fleet.source_info()),
         "src_dialect": (_dialect_names, fleet.dialect_names()),
         "src_lake": (_on_lake(_contents), lake.contents()),
         "src_snap": (_landed, _normaliser_sql("mysql_tables")),
         "snk_sheets": (_column_sheet, fleet.doc_columns()),
-        "snk_pages": (_landed_pages, fleet.page_counts()),
-        "snk_json": (_on_fleet(_json_counts), fleet.schema_counts()),
+        "snk_pages": (_landed_pages, texts.table_pages()),
+        "snk_json": (_on_fleet(schema_documents), texts.documents(PIECE_BYTES)),
+        "snk_json_pieces": (_on_fleet(lambda c: schema_documents(c, 4_096)), texts.documents(4_096)),
         "flt_schema": (_tables_of(None), fleet.filter_schemas()),
         "flt_schema_named": (_tables_of(["HR", "dbo"]), fleet.filter_schemas_named()),
         "flt_objects": (_filtered_objects, fleet.filter_objects()),
@@ -395,8 +367,10 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "doc_columns_lake": (_on_lake_catalog(docs.doc_columns), lake.doc_columns()),
         "doc_objects": (_on_fleet(docs.doc_objects), fleet.doc_objects()),
         "doc_outline": (_on_fleet(docs.doc_outline), fleet.doc_outline()),
-        "doc_html": (_on_fleet(_page_counts), fleet.page_counts()),
-        "doc_html_summary": (_on_fleet(_summary_rows), fleet.summary_rows()),
+        "doc_outline_all": (_on_fleet(lambda c: docs.doc_outline(c, with_views_and_synonyms=True)), fleet.doc_outline(True)),
+        "doc_html": (_on_fleet(pages.table_pages), texts.table_pages()),
+        "doc_html_summary": (_on_fleet(pages.summary_pages), texts.summary_pages(PIECE_BYTES)),
+        "doc_html_summary_pieces": (_on_fleet(lambda c: pages.summary_pages(c, True, 2_048)), texts.summary_pages(2_048, True)),
         "doc_xmlesc": (_on_lake(_escaped), lake.escape()),
         "doc_detail": (_on_fleet(docs.doc_detail), fleet.doc_detail()),
         "aud_forbidden": (_on_fleet(audit.audit_forbidden), fleet.forbidden()),

@@ -1,16 +1,18 @@
 """Documentation datasets: each report is a query over a catalog of canonical frames.
 
 A report of one source can be as long as the source is large, so no report numbers its lines in a
-per-source window or gathers a source in one task: every line carries the columns that order it.
+per-source window or gathers a source in one task: every line carries the columns that order it, and the
+outline's numbers are prefix sums over partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakescribe.functions.text import escape_markup, rfc3339, yes_no
 from lakescribe.model import OBJECT_KINDS, Catalog, union_all
+from lakescribe.operators.numbering import numbered
 
 TABLE_KEY = ["source_id", "owner", "table_name"]
 
@@ -156,7 +158,8 @@ def doc_objects(cat: Catalog) -> DataFrame:
 
 # --- outline --------------------------------------------------------------------------------------
 
-OUTLINE_ORDER = ["source_id", "part", "owner", "name", "detail", "line"]
+OUTLINE_ORDER = ["source_id", "ord"]
+_READING_ORDER = ["part", "owner", "name", "detail", "line", "style", "content"]
 
 
 def _outline(df: DataFrame, part: int, owner: Column, name: Column, detail: Column, lines: list) -> DataFrame:
@@ -185,10 +188,11 @@ def column_line(name: Column, data_type: Column, pk: Column, fk: Column, uk: Col
     )
 
 
-def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
-    """Document outline in reading order, one row per paragraph.
+def doc_outline(cat: Catalog, escaped: bool = False, with_views_and_synonyms: bool = False) -> DataFrame:
+    """(source_id, ord, style, content): document outline in reading order, one row per paragraph.
 
-    Order: (source_id, part, owner, name, detail, line). Views and synonyms are counted, not listed.
+    ord counts the paragraphs of a source from 1. Views and synonyms are counted; they are listed, after the
+    sequences, if asked for. Runs jobs when called, see `numbered`.
     """
     none, blank = F.lit(""), F.lit("")
     fmt = F.format_string
@@ -197,6 +201,7 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
     totals = [("Tables", "tables"), ("Views", "views"), ("Routines", "routines"), ("Sequences", "sequences"),
               ("Triggers", "triggers"), ("Synonyms", "synonyms")]
     present = lambda kind, content: F.when(F.col(kind) > 0, content)
+    extra = [(9, "Heading1", present("views", F.lit("Views"))), (11, "Heading1", present("synonyms", F.lit("Synonyms")))]
     # All lines that a source has once: the head, the headings of its sections, the end.
     once = [
         (0, "Title", fmt("%s - Database Schema Document", F.col("database_name"))),
@@ -217,8 +222,9 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
         (5, "Normal", present("triggers", F.lit("Security: trigger definitions are left out (metadata only)"))),
         (5, "Normal", present("triggers", blank)),
         (7, "Heading1", present("sequences", F.lit("Sequences"))),
-        (9, "Normal", blank),
-        (9, "Normal", F.lit("─" * 38)),
+        *(extra if with_views_and_synonyms else []),
+        (13, "Normal", blank),
+        (13, "Normal", F.lit("─" * 38)),
     ]
     seen: dict[int, int] = {}
     lines = []
@@ -231,8 +237,7 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
 
     owner, name = F.col("owner"), F.col("name")
     # Line numbers inside a table leave room: columns start at 10, the blank line ends the table.
-    first = F.min("position").over(Window.partitionBy(*TABLE_KEY))
-    columns = table_columns(cat).withColumn("opens", F.col("position") == first)
+    columns = table_columns(cat)
     flags = [F.col(c) for c in ("is_primary_key", "is_foreign_key", "is_unique")]
     text = column_line(name, F.col("data_type"), *flags, F.col("comment"))
     parts += [
@@ -242,10 +247,8 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
             (3, "Normal", fmt("Owner: %s, rows: %d", owner, F.col("row_count"))),
             (2_000_000_000, "Normal", blank),
         ]),
-        _outline(columns, 2, owner, F.col("table_name"), none, [
-            (4, "Heading3", F.when(F.col("opens"), F.lit("Columns:"))),
-            (F.col("position") + 10, "Normal", text),
-        ]),
+        _outline(columns.select(*TABLE_KEY).distinct(), 2, owner, F.col("table_name"), none, [(4, "Heading3", F.lit("Columns:"))]),
+        _outline(columns, 2, owner, F.col("table_name"), none, [(F.col("position") + 10, "Normal", text)]),
         _outline(cat["routines"], 4, owner, name, F.col("signature"), [
             (1, "Heading2", fmt("%s: %s", F.col("type"), name)),
             (2, "Normal", F.col("signature")),
@@ -269,8 +272,25 @@ def doc_outline(cat: Catalog, escaped: bool = False) -> DataFrame:
             (4, "Normal", blank),
         ]),
     ]
+    if with_views_and_synonyms:
+        parts += [
+            _outline(cat["views"], 10, owner, name, none, [
+                (1, "Heading2", fmt("View: %s", name)),
+                (2, "Normal", fmt("Owner: %s, type: %s", owner, F.col("type"))),
+                (3, "Normal", filled("comment")),
+                (4, "Normal", blank),
+            ]),
+            _outline(cat["synonyms"], 12, owner, name, none, [
+                (1, "Heading2", fmt("Synonym: %s", name)),
+                (2, "Normal", F.concat(F.lit("Target: "), F.when(F.col("target_owner") != "", F.concat("target_owner", F.lit("."))).otherwise(none), F.col("target_object"))),
+                (3, "Normal", filled("comment")),
+                (4, "Normal", blank),
+            ]),
+        ]
     whole = union_all(parts)
-    return whole.withColumn("content", escape_markup(F.col("content"))) if escaped else whole
+    if escaped:
+        whole = whole.withColumn("content", escape_markup(F.col("content")))
+    return numbered(whole, ["source_id"], _READING_ORDER).select("source_id", F.col("ord"), "style", "content")
 
 
 # --- details --------------------------------------------------------------------------------------

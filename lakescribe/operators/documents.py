@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakescribe.functions.scratch import cut
 from lakescribe.functions.text import rfc3339, seconds
 from lakescribe.model import OBJECT_KINDS, Catalog, union_all
-from lakescribe.operators.docs import object_totals
-from lakescribe.operators.parts import PER_PART, split_parts
+from lakescribe.operators.parts import PIECE_BYTES, large_sources, pieces
 
 _OWNED = ["source_id", "owner", "table_name"]
 
@@ -124,34 +124,56 @@ def _objects(cat: Catalog) -> DataFrame:
     ])
 
 
-def schema_documents(cat: Catalog, per_part: int = PER_PART) -> DataFrame:
-    """(source_id, part, n_parts, json): one nested document per database.
+def schema_documents(cat: Catalog, limit: int = PIECE_BYTES) -> DataFrame:
+    """(source_id, at, json): one nested document per database, its lists in the order of OBJECT_KINDS, each by
+    owner, name and detail.
 
-    A database with more than per_part objects gets several documents with the same head and disjoint
-    lists; merged by key they are the whole.
+    The texts of a source in the order of `at` are its document, see `parts`; nearly all have one. Runs jobs when called.
     """
-    placed, parts = split_parts(
-        _objects(cat), object_totals(cat), OBJECT_KINDS, ["kind", "owner", "name", "detail"], per_part
-    )
+    objects = cut(_objects(cat))
+    head = F.to_json(F.struct(
+        F.col("database_name").alias("databaseName"), F.col("database_type").alias("databaseType"), F.col("version"),
+        rfc3339(F.col("extracted_at")).alias("extractedAt"),
+    ))
+    heads = cat["sources"].select("source_id", F.substring(head, F.lit(1), F.length(head) - 1).alias("head"))
+    # with a comma for each object, and more than the head and the names of the lists have
+    sizes = objects.groupBy("source_id").agg((F.sum(F.octet_length("json").cast("long") + 1) + 4_096).alias("bytes"))
+    large = large_sources(sizes, limit)
+    small = objects if large is None else objects.join(large, "source_id", "left_anti")
     line = F.struct("owner", "name", "detail", "json")
-    lists = placed.groupBy("source_id", "part").agg(
+    lists = small.groupBy("source_id").agg(
         *[F.array_join(
             F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, line))), lambda x: x["json"]), ","
           ).alias(kind)
           for kind in OBJECT_KINDS]
     )
-    head = F.to_json(F.struct(
-        F.col("database_name").alias("databaseName"), F.col("database_type").alias("databaseType"), F.col("version"),
-        rfc3339(F.col("extracted_at")).alias("extractedAt"),
-    ))
     body = [
         F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit(f',"{kind}":['), F.col(kind), F.lit("]"))).otherwise(F.lit(""))
         for kind in OBJECT_KINDS
     ]
-    return (
-        parts.select("source_id", "part", "n_parts")
-        .join(cat["sources"], "source_id")
-        .join(lists, ["source_id", "part"], "left")
-        .select("source_id", "part", "n_parts",
-                F.concat(F.substring(head, F.lit(1), F.length(head) - 1), *body, F.lit("}")).alias("json"))
-    )
+    few = heads if large is None else heads.join(large, "source_id", "left_anti")
+    whole = few.join(lists, "source_id", "left").select("source_id", F.lit(0).cast("long").alias("at"), F.concat("head", *body, F.lit("}")).alias("json"))
+    if large is None:
+        return whole
+    lines = _document_lines(objects.join(large, "source_id", "left_semi"), heads.join(large, "source_id", "left_semi"))
+    return whole.unionByName(pieces(lines, ["place", "line", "owner", "name", "detail"], limit).withColumnRenamed("text", "json"))
+
+
+def _document_lines(objects: DataFrame, heads: DataFrame) -> DataFrame:
+    """(source_id, place, line, owner, name, detail, text): the documents line by line; place orders the lists."""
+    none, end = F.lit(""), len(OBJECT_KINDS) + 1
+    place = F.array_position(F.array(*[F.lit(k) for k in OBJECT_KINDS]), F.col("kind")).cast("int")
+    key = F.struct("owner", "name", "detail", "json")
+    # the first object of a list has no comma before it; as a list may be long, it is found by grouping, not by a window
+    first = objects.groupBy("source_id", "kind").agg(F.min(key).alias("first"))
+    marked = objects.join(first, ["source_id", "kind"])
+    comma = F.when(key == F.col("first"), none).otherwise(F.lit(","))
+    fixed = lambda df, place_, line, text: df.select(
+        "source_id", place_.alias("place"), F.lit(line).alias("line"), none.alias("owner"), none.alias("name"), none.alias("detail"), text.alias("text"))
+    return union_all([
+        fixed(heads, F.lit(0), 0, F.col("head")),
+        fixed(first, place, 0, F.concat(F.lit(',"'), F.col("kind"), F.lit('":['))),
+        marked.select("source_id", place.alias("place"), F.lit(1).alias("line"), "owner", "name", "detail", F.concat(comma, "json").alias("text")),
+        fixed(first, place, 2, F.lit("]")),
+        fixed(heads, F.lit(end), 0, F.lit("}")),
+    ])

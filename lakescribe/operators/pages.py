@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakescribe.functions.text import escape_html, seconds
 from lakescribe.model import Catalog, union_all
 from lakescribe.operators.docs import TABLE_KEY, object_totals, table_columns
-from lakescribe.operators.parts import PER_PART, split_parts
+from lakescribe.operators.parts import PIECE_BYTES, whole_texts
 
 
 def _cells(*values: Column) -> Column:
@@ -27,11 +27,17 @@ def _header(*titles: str) -> str:
 _END = "</tbody>\n</table>\n"
 
 
-def _page(title: Column, body: Column) -> Column:
+_PAGE_END = "</body>\n</html>\n"
+
+
+def _page_begin(title: Column) -> Column:
     return F.concat(
         F.lit('<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="UTF-8"><title>'), title,
-        F.lit("</title></head>\n<body>\n"), body, F.lit("</body>\n</html>\n"),
-    )
+        F.lit("</title></head>\n<body>\n"))
+
+
+def _page(title: Column, body: Column) -> Column:
+    return F.concat(_page_begin(title), body, F.lit(_PAGE_END))
 
 
 def _badge(flag: str, kind: str) -> Column:
@@ -110,28 +116,12 @@ NOTICES = {
 }
 
 
-def summary_pages(cat: Catalog, with_views_and_synonyms: bool = False, per_page: int = PER_PART) -> DataFrame:
-    """(source_id, part, n_parts, html): cards with totals, then the lists that are not empty.
+def summary_pages(cat: Catalog, with_views_and_synonyms: bool = False, limit: int = PIECE_BYTES) -> DataFrame:
+    """(source_id, at, html): cards with totals, then the lists that are not empty, each by owner, name and detail.
 
-    A source with more than per_page objects gets several pages, each with the cards and a share of
-    every list.
+    The texts of a source in the order of `at` are its page, see `parts`; nearly all have one. Runs jobs when called.
     """
     sections = _summary_rows(cat, with_views_and_synonyms)
-    objects = union_all([df.select("*", F.lit(kind).alias("kind")) for kind, _, df, _ in sections])
-    kinds = [kind for kind, *_ in sections]
-    placed, parts = split_parts(objects, object_totals(cat), kinds, ["kind", "owner", "name", "detail"], per_page)
-    line = F.struct("owner", "name", "detail", "row")
-    lists = placed.groupBy("source_id", "part").agg(
-        *[F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, line))), lambda x: x["row"]), ""
-          ).alias(f"{kind}_rows")
-          for kind, *_ in sections]
-    )
-    body = []
-    for kind, title, _, header in sections:
-        listed = F.coalesce(f"{kind}_rows", F.lit(""))
-        whole = F.concat(F.lit(f"<h2>{title}</h2>\n{_header(*header)}"), listed, F.lit(_END + NOTICES.get(kind, "")))
-        body.append(F.when(listed != "", whole).otherwise(F.lit("")))
     card = lambda label, value: F.concat(
         F.lit(f'<div class="summary-card"><h3>{label}</h3><div class="value">'), value, F.lit("</div></div>\n")
     )
@@ -141,12 +131,18 @@ def summary_pages(cat: Catalog, with_views_and_synonyms: bool = False, per_page:
         card("Version", escape_html(F.col("version"))),
         *[card(kind.capitalize(), F.col(kind).cast("string")) for kind in ("tables", "views", "routines", "triggers")],
     ]
-    html = _page(title, F.concat(
-        F.lit("<h1>"), title, F.lit("</h1>\n"), *cards, *body,
-        F.lit("<p>Generated: "), seconds(F.col("extracted_at")), F.lit("</p>\n"),
-    ))
-    return (
-        parts.join(cat["sources"], "source_id")
-        .join(lists, ["source_id", "part"], "left")
-        .select("source_id", "part", "n_parts", html.alias("html"))
-    )
+    begin = F.concat(_page_begin(title), F.lit("<h1>"), title, F.lit("</h1>\n"), *cards)
+    end = F.concat(F.lit("<p>Generated: "), seconds(F.col("extracted_at")), F.lit("</p>\n" + _PAGE_END))
+    once = [(0, 0, begin), (len(sections) + 1, 0, end)]
+    for place, (kind, heading, _, header) in enumerate(sections, start=1):
+        present = lambda text: F.when(F.col(kind) > 0, F.lit(text))  # noqa: B023, E731
+        once += [(place, 0, present(f"<h2>{heading}</h2>\n{_header(*header)}")), (place, 2, present(_END + NOTICES.get(kind, "")))]
+    none = F.lit("")
+    fixed = cat["sources"].join(object_totals(cat), "source_id").select("source_id", F.inline(F.array(*[
+        F.struct(F.lit(place).alias("place"), F.lit(line).alias("line"), none.alias("owner"), none.alias("name"), none.alias("detail"), text.alias("text"))
+        for place, line, text in once]))).where("text IS NOT NULL")
+    rows = [
+        df.select("source_id", F.lit(place).alias("place"), F.lit(1).alias("line"), "owner", "name", "detail", F.col("row").alias("text"))
+        for place, (_, _, df, _) in enumerate(sections, start=1)
+    ]
+    return whole_texts(union_all([fixed, *rows]), ["place", "line", "owner", "name", "detail"], limit).withColumnRenamed("text", "html")

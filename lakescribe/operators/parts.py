@@ -1,41 +1,50 @@
-"""Whole-source outputs of bounded size.
+"""Whole texts of a source, as consecutive pieces of bounded size.
 
-A document of one source may hold millions of objects, so it is never gathered in one task. Objects
-are spread over as many parts as the source needs at `per_part` objects each; nearly all sources have
-one part, which is then the whole document, and no object is left out of a larger one.
+A text of one source may hold millions of lines, so it is never gathered in one task. It comes as rows (source_id, at,
+text): in the order of `at`, the byte at which a piece begins, the pieces make up the text. A line belongs to
+the piece numbered `byte at which it begins div limit`; so a piece has fewer bytes than the limit, beside its last line, and the rule
+is the same for all sources. Nearly all have one piece, which is then the whole text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_PART = 5_000
-SALTS = 16
+from lakescribe.functions.scratch import cut
+from lakescribe.operators.numbering import running_total
 
+PIECE_BYTES = 1 << 20
 
-def split_parts(
-    objects: DataFrame, totals: DataFrame, kinds: Sequence[str], key: Sequence[str], per_part: int = PER_PART
-) -> tuple[DataFrame, DataFrame]:
-    """Objects with their part, and the totals once per (part, n_parts) that must exist, even if empty.
 
-    `totals` has one row per source with the number of objects of each kind, so that the objects
-    themselves are built only once. An object's part comes from the hash of its key; the number of
-    parts is joined by a salted source, so that one huge source is spread over tasks.
+def joined_lines(order: Sequence[str], text: str = "text") -> Column:
+    """Aggregate: the texts of a group one after the other, in their order."""
+    lines = F.sort_array(F.collect_list(F.struct(*order, text)))
+    return F.array_join(F.transform(lines, lambda x: x[text]), "")
+
+
+def large_sources(sizes: DataFrame, limit: int) -> DataFrame | None:
+    """(source_id) of those with more than `limit` bytes; None if there are none. sizes: (source_id, bytes)."""
+    large = cut(sizes.where(F.col("bytes") > limit).select("source_id"))
+    return None if large.isEmpty() else large
+
+
+def pieces(lines: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
+    """(source_id, at, text) from the lines (source_id, *order, text) of sources of any size; a task holds one piece."""
+    placed = running_total(lines.withColumn("bytes", F.octet_length("text").cast("long")), ["source_id"], [*order, "text"], "bytes", "at")
+    piece = F.floor(F.col("at") / limit).alias("piece")
+    return placed.groupBy("source_id", piece).agg(F.min("at").alias("at"), joined_lines(order).alias("text")).select("source_id", "at", "text")
+
+
+def whole_texts(lines: DataFrame, order: Sequence[str], limit: int = PIECE_BYTES) -> DataFrame:
+    """(source_id, at, text) from the lines (source_id, *order, text), which are ordered by (order, text).
+
+    Sources within the limit are one group each; only lines of others are placed by prefix sums. Runs jobs when called.
     """
-    n_objects = reduce(lambda a, b: a + b, [F.col(kind) for kind in kinds])
-    counted = totals.withColumn("n_parts", F.greatest(F.ceil(n_objects / per_part), F.lit(1)).cast("int"))
-    salted = counted.select("source_id", "n_parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hashed = objects.withColumn("spread", F.xxhash64(*key))
-    # The salt takes the low bits of the hash, the part the others.
-    part = F.pmod(F.floor(F.col("spread") / SALTS), F.col("n_parts")) + 1
-    placed = (
-        hashed.withColumn("salt", F.pmod("spread", F.lit(SALTS)).cast("int"))
-        .join(salted, ["source_id", "salt"])
-        .withColumn("part", part.cast("int"))
-        .drop("spread", "salt", "n_parts")
-    )
-    return placed, counted.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("n_parts"))))
+    lines = cut(lines)
+    large = large_sources(lines.groupBy("source_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")), limit)
+    small = lines if large is None else lines.join(large, "source_id", "left_anti")
+    whole = small.groupBy("source_id").agg(joined_lines(order).alias("text")).select("source_id", F.lit(0).cast("long").alias("at"), "text")
+    return whole if large is None else whole.unionByName(pieces(lines.join(large, "source_id", "left_semi"), order, limit))

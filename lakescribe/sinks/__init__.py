@@ -57,8 +57,9 @@ def write_pages(pages: DataFrame, path: str, buckets: int = BUCKETS, mode: str =
 
 
 def write_documents(cat: Catalog, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:
-    """JSON documents as rows."""
-    _write(schema_documents(cat), path, "parquet", buckets, mode, ["source_id", "part"])
+    """JSON documents as rows (source_id, at, json), in the order of both within a file: a reader that appends the
+    texts of a source as they come has its document."""
+    _write(schema_documents(cat), path, "parquet", buckets, mode, ["source_id", "at"])
 
 
 def write_catalog(cat: Catalog, path: str, buckets: int = BUCKETS, mode: str = "overwrite") -> None:

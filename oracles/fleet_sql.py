@@ -370,7 +370,7 @@ def doc_objects() -> str:
     )
 
 
-def doc_outline() -> str:
+def doc_outline(with_views_and_synonyms: bool = False) -> str:
     parts = []
 
     def add(table: str, part: int, owner: str, name: str, detail: str, line: str | int, style: str, content: str, where: str = "true"):
@@ -422,11 +422,24 @@ def doc_outline() -> str:
     add(*s, 2, "Normal", "'Range: ' || min_value || ' ~ ' || max_value || ', increment: ' || increment || ', current: ' || last_number")
     add(*s, 3, "Normal", "comment", noted)
     add(*s, 4, "Normal", "''")
-    add("cat_sources", 9, "''", "''", "''", 1, "Normal", "''")
-    add("cat_sources", 9, "''", "''", "''", 2, "Normal", f"repeat('─', 38)")
+    if with_views_and_synonyms:
+        add("totals", 9, "''", "''", "''", 1, "Heading1", "'Views'", "views > 0")
+        v = ("cat_views", 10, "owner", "name", "''")
+        add(*v, 1, "Heading2", "'View: ' || name")
+        add(*v, 2, "Normal", "'Owner: ' || owner || ', type: ' || type")
+        add(*v, 3, "Normal", "comment", noted)
+        add(*v, 4, "Normal", "''")
+        add("totals", 11, "''", "''", "''", 1, "Heading1", "'Synonyms'", "synonyms > 0")
+        y = ("cat_synonyms", 12, "owner", "name", "''")
+        add(*y, 1, "Heading2", "'Synonym: ' || name")
+        add(*y, 2, "Normal", "'Target: ' || CASE WHEN target_owner <> '' THEN target_owner || '.' ELSE '' END || target_object")
+        add(*y, 3, "Normal", "comment", noted)
+        add(*y, 4, "Normal", "''")
+    add("cat_sources", 13, "''", "''", "''", 1, "Normal", "''")
+    add("cat_sources", 13, "''", "''", "''", 2, "Normal", f"repeat('─', 38)")
     return _with_totals("columns").rstrip() + (
         ",\noutline(source_id, part, owner, name, detail, line, style, content) AS (\n" + "\nUNION ALL\n".join(parts)
-        + ")\nSELECT * FROM outline"
+        + ")\nSELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY part, owner, name, detail, line, style, content) AS ord, style, content FROM outline"
     )
 
 

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import re
 from contextlib import redirect_stdout
 
@@ -14,6 +15,7 @@ from lakescribe.functions.text import escape_html, escape_markup
 from lakescribe.operators import audit, distincts, docs, keys, pages, profiles
 from lakescribe.operators.documents import schema_documents
 from lakescribe.operators.filters import ALL
+from lakescribe.operators.numbering import numbered, running_total
 from lakescribe.plans.extract import NORMALISERS
 from lakescribe.sinks import write_documents, write_pages, write_sheets
 from lakescribe.sources import JdbcSource, land_fleet, read_catalog_jdbc, read_snapshot, write_snapshot
@@ -29,7 +31,7 @@ def few(fleet_catalog):
 
 def test_json_document(few):
     by_id = {r["source_id"]: r for r in schema_documents(few).collect()}
-    assert len(by_id) == 12 and all(r["n_parts"] == 1 for r in by_id.values())
+    assert len(by_id) == 12 and all(r["at"] == 0 for r in by_id.values())
     doc = json.loads(by_id[6]["json"])  # Oracle of customer 1
     assert list(doc)[:4] == ["databaseName", "databaseType", "version", "extractedAt"]
     assert (doc["databaseType"], doc["extractedAt"]) == ("Oracle", "2025-01-31T09:00:00Z")
@@ -45,25 +47,39 @@ def test_json_document(few):
     assert "synonyms" not in json.loads(by_id[5]["json"])  # MySQL has none
 
 
-def merged(rows):
-    """All objects of a source, whatever part they are in."""
-    found = set()
-    for r in rows:
-        doc = json.loads(r["json"])
-        for kind, items in doc.items():
-            if isinstance(items, list):
-                objects = [json.dumps(o, ensure_ascii=False, sort_keys=True) for o in items]
-                assert not found & {(r["source_id"], kind, o) for o in objects}
-                found |= {(r["source_id"], kind, o) for o in objects}
+def whole(rows, text):
+    """The pieces of each source one after the other; each begins where the one before ends."""
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["source_id"], r["at"])):
+        before = found.get(r["source_id"], "")
+        assert len(before.encode()) == r["at"]
+        found[r["source_id"]] = before + r[text]
     return found
 
 
-def test_large_documents_are_split_without_loss(few):
-    whole, split = schema_documents(few).collect(), schema_documents(few, per_part=5).collect()
-    assert max(r["n_parts"] for r in split) > 3
-    assert {(r["source_id"], r["part"]) for r in split} == {
-        (r["source_id"], p) for r in split for p in range(1, r["n_parts"] + 1)}
-    assert merged(split) == merged(whole)
+@pytest.mark.parametrize("limit", [1, 700, 5_000])
+def test_pieces_make_up_the_whole_documents(few, limit):
+    expected = {r["source_id"]: r["json"] for r in schema_documents(few).collect()}
+    rows = schema_documents(few, limit).collect()
+    assert whole(rows, "json") == expected and len(rows) > len(expected)
+    lines = max(len(json.dumps(t, ensure_ascii=False).encode()) for d in expected.values() for k, v in json.loads(d).items() if isinstance(v, list) for t in v)
+    assert max(len(r["json"].encode()) for r in rows) < limit + lines + 99
+    html = {r["source_id"]: r["html"] for r in pages.summary_pages(few, True).collect()}
+    assert whole(pages.summary_pages(few, True, limit).collect(), "html") == html
+
+
+def test_running_totals_and_numbers_against_lists(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 1, 1, 2, 3]), rnd.randint(0, 30), i, rnd.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, o int, i int, v long").repartition(7)
+    expected, totals, places = {}, {}, {}
+    for g, o, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        totals[g], places[g] = totals.get(g, 0) + v, places.get(g, 0) + 1
+        expected[i] = (totals[g] - v, places[g])
+    summed = {r.i: r.s for r in running_total(df, ["g"], ["o", "i"], "v", "s").collect()}
+    numbers = {r.i: r.k for r in numbered(df, ["g"], ["o", "i"], "k").collect()}
+    assert {i: (summed[i], numbers[i]) for i in summed} == expected
+    assert numbered(df.limit(0), ["g"], ["o"], "k").count() == 0
 
 
 def test_table_page(few):
@@ -77,13 +93,11 @@ def test_summary_page(spark, few):
     k = spark.read.parquet(f"{SF_DIR}/customer.parquet").where("c_mktsegment <> 'BUILDING' and c_custkey < 3").first()["c_custkey"]
     row = pages.summary_pages(few).where(F.col("source_id") == 4 * k + 2).first()
     page = row["html"]
-    assert page.count("summary-card") == 6 and row["n_parts"] == 1
+    assert page.count("summary-card") == 6 and row["at"] == 0
     assert [t for t in re.findall("<h2>(.*?)</h2>", page)] == ["Tables", "Procedures / Functions", "Triggers", "Sequences"]
     assert page.count("<td><strong>") == 7 + 5 + 4 + 3 and "RETURN &lt;type&gt;" in page
     more = pages.summary_pages(few, with_views_and_synonyms=True).where(F.col("source_id") == 4 * k + 2).first()["html"]
     assert "<h2>Views</h2>" in more
-    split = pages.summary_pages(few, per_page=4).where(F.col("source_id") == 4 * k + 2).collect()
-    assert len(split) > 2 and sum(r["html"].count("<td><strong>") for r in split) == 19
 
 
 def test_seed_pages_have_the_expected_counts(few):
@@ -101,15 +115,18 @@ def test_escapes(spark):
 
 
 def test_column_line(few):
-    lines = {r["content"] for r in docs.doc_outline(few).where("source_id = 6 and part = 2").collect()}
+    lines = {r["content"] for r in docs.doc_outline(few).where("source_id = 6").collect()}
     assert "  • 이메일 (VARCHAR2) [UK]  - 회사 이메일 주소 (UNIQUE)" in lines or "  • 이메일 (VARCHAR2) [UK] " in lines
-    escaped = docs.doc_outline(few, escaped=True).where("source_id = 6 and name = '근무지' and line = 2").first()
-    assert escaped["content"] == "근무지 &lt;지역 &amp; 지점&gt;"
+    escaped = {r["content"] for r in docs.doc_outline(few, escaped=True).where("source_id = 6").collect()}
+    assert "근무지 &lt;지역 &amp; 지점&gt;" in escaped
 
 
 def test_outline_reads_in_order(few):
     rows = docs.doc_outline(few).where("source_id = 6").orderBy(*docs.OUTLINE_ORDER).collect()
     assert rows[0]["style"] == "Title" and rows[-1]["content"] == "─" * 38
+    assert [r["ord"] for r in rows] == list(range(1, len(rows) + 1))
+    more = docs.doc_outline(few, with_views_and_synonyms=True).where("source_id = 6").orderBy("ord").collect()
+    assert [r["content"] for r in more if r["style"] == "Heading1"] == [r["content"] for r in rows if r["style"] == "Heading1"] + ["Views", "Synonyms"]
     at = next(i for i, r in enumerate(rows) if r["content"] == "Table: 사원")
     assert [r["style"] for r in rows[at : at + 5]] == ["Heading2", "Normal", "Normal", "Heading3", "Normal"]
     assert rows[at + 12]["content"] == "" and rows[at + 11]["content"].startswith("  • 이메일")
