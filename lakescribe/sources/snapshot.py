@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescribe.sources.fleet import Database, read_fleet
 from lakescribe.sources.jdbc import JdbcSource, read_catalog_jdbc
 from lakescribe.sources.native import NATIVE, native_schema
 
@@ -90,3 +91,16 @@ def land_fleet(
             else:
                 failed.append((part[0].source_id, str(error).splitlines()[0]))
     return failed
+
+
+def land_databases(
+    spark: SparkSession, databases: Sequence[Database], dialect: str, path: str, module: str, buckets: int = BUCKETS,
+    queries: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Land the catalogs of any number of databases as one run, through a DB-API module on the executors.
+
+    Gives the errors (source_id, relation, error) of the databases that are not in the run.
+    """
+    frames, errors = read_fleet(spark, databases, dialect, module, queries)
+    write_snapshot(frames, path, dialect, buckets)
+    return errors
