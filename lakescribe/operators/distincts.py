@@ -12,10 +12,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakescribe.functions.scratch import cut
 from lakescribe.functions.values import INTEGER, column, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
 from lakescribe.operators.profiles import Tables, approx_distinct_profile, scan_profile
@@ -25,6 +27,8 @@ ColumnFacts = dict[str, Any]  # a scan_profile row and whether a repeat was seen
 # Rows of each table in which repeats are looked for before all values are: a repeat there is a proof.
 WITNESS_ROWS = 65_536
 WORD_BITS = 64
+# Up to so many columns a value's columns are bits of a mask, beyond they are a list; the results are the same.
+MASK_COLUMNS = 256
 
 
 @dataclass(frozen=True)
@@ -218,20 +222,70 @@ def _contains(parent: ColumnFacts, child: ColumnFacts) -> bool:
     )
 
 
+#: Bounds of a column as arrays: (names of facts, whether a child's value must be the larger one), and bit sets.
+_LONG_BOUNDS = (("min_long", True), ("max_long", False))
+_KEY_BOUNDS = (("min_hash", True), ("max_hash", False))
+_TEXT_BOUNDS = (("min_chars", True), ("max_chars", False), ("max_bytes", False))
+_BITS = ("bits_low", "bits_high")
+_SWEEP_ROWS = 256
+
+
+def _partnered(facts: list[ColumnFacts]) -> list[bool]:
+    """Of columns of one class: whether the bounds leave a parent or a child in another table for them.
+
+    As `_contains` over all pairs, but on sorted arrays: columns that may be parents come in blocks, the widest first, and
+    meet the columns that have no partner yet. Nearly all find one in the first blocks, and of the others each pair
+    is a few comparisons of arrays.
+    """
+    bounds = _LONG_BOUNDS if facts[0]["min_long"] is not None else (*_KEY_BOUNDS, *(_TEXT_BOUNDS if facts[0]["min_chars"] is not None else ()))
+    tables = {t: i for i, t in enumerate(dict.fromkeys(f["table_name"] for f in facts))}
+    table = np.array([tables[f["table_name"]] for f in facts])
+    values = [(np.array([f[name] for f in facts], np.int64), larger) for name, larger in bounds]
+    bits = [] if bounds is _LONG_BOUNDS else [np.array([f[name] for f in facts], np.int64) for name in _BITS]
+
+    def fits(parent: np.ndarray, child: np.ndarray) -> np.ndarray:
+        """parent x child"""
+        ok = table[parent][:, None] != table[child]
+        for v, larger in values:
+            ok &= v[parent][:, None] <= v[child] if larger else v[parent][:, None] >= v[child]
+        for v in bits:
+            ok &= (v[child] & ~v[parent][:, None]) == 0
+        return ok
+
+    found = np.zeros(len(facts), bool)
+    width = values[1][0].astype(float) - values[0][0]  # of the range
+    parents = np.array([i for i, f in enumerate(facts) if may_be_unique(f)], np.int64)
+    parents = parents[np.argsort(-width[parents], kind="stable")]
+    open_ = np.arange(len(facts))  # no parent found yet
+    for a in range(0, len(parents), _SWEEP_ROWS):
+        block = parents[a : a + _SWEEP_ROWS]
+        if len(open_):
+            has = fits(block, open_).any(axis=0)
+            found[open_[has]] = True
+            open_ = open_[~has]
+    children, lonely = np.argsort(width, kind="stable"), parents  # the narrowest first; no child found yet
+    for a in range(0, len(children), _SWEEP_ROWS):
+        if not len(lonely):
+            break
+        has = fits(lonely, children[a : a + _SWEEP_ROWS]).any(axis=1)
+        found[lonely[has]] = True
+        lonely = lonely[~has]
+    return found.tolist()
+
+
 def comparable_columns(tables: Tables, facts: Iterable[ColumnFacts]) -> set[tuple[str, str]]:
     """Columns that must be read to find all inclusions: possible parents and their possible children."""
     classes = {(t, f.name): type_class(f.dataType) for t, df in tables.items() for f in df.schema.fields}
-    needed: set[tuple[str, str]] = set()
-    rows = [(classes[(r["table_name"], r["column_name"])], r) for r in facts]
-    for cls in sorted({c for c, _ in rows if c}):
-        own = [r for c, r in rows if c == cls]
-        parents = [r for r in own if may_be_unique(r)]
-        for parent in parents:
-            for child in own:
-                if child["table_name"] != parent["table_name"] and _contains(parent, child):
-                    needed.add((parent["table_name"], parent["column_name"]))
-                    needed.add((child["table_name"], child["column_name"]))
-    return needed
+    return comparable_facts([(classes[(r["table_name"], r["column_name"])], r) for r in facts])
+
+
+def comparable_facts(rows: list[tuple[str | None, ColumnFacts]]) -> set[tuple[str, str]]:
+    """comparable_columns of (class, facts)."""
+    by_class: dict[str, list[ColumnFacts]] = {}
+    for cls, r in rows:
+        if cls and r["n_rows"] > r["n_nulls"]:
+            by_class.setdefault(cls, []).append(r)
+    return {(r["table_name"], r["column_name"]) for own in by_class.values() for r, needed in zip(own, _partnered(own), strict=True) if needed}
 
 
 def _word_bit(word: int) -> Column:
@@ -247,8 +301,37 @@ def _bit(words: list[str], number: Column) -> Column:
     return F.bit_get(word, number % WORD_BITS) == 1
 
 
+def _sparse_sets(tables: Tables, members: list[Member]) -> DataFrame:
+    """`_column_sets` for many members: a value has the list of its members in place of a mask as wide as the lake.
+
+    Equal lists are counted together. All that hold a member's values are in its shortest list, so only those unique ones
+    are counted in its other lists; those found in all of them hold it.
+    """
+    lists = cut(
+        _counted_values(tables, members).groupBy("value")
+        .agg(F.array_sort(F.collect_list("column_id")).alias("seen"), F.array_sort(F.collect_list(F.when(F.col("copies") > 1, F.col("column_id")))).alias("twice"))
+        .groupBy("seen", "twice").agg(F.count(F.lit(1)).alias("n_values")))
+    each = lists.select("n_values", "seen", "twice", F.explode("seen").alias("column_id"))
+    facts = cut(each.groupBy("column_id").agg(
+        F.sum("n_values").alias("n_distinct"), (~F.max(F.array_contains("twice", F.col("column_id")))).alias("is_unique"),
+        F.count(F.lit(1)).alias("n_lists"), F.min(F.struct(F.size("seen").alias("n"), "seen"))["seen"].alias("shortest")))
+    unique = facts.where("is_unique").select(F.col("column_id").alias("holder"))
+    few = facts.select("column_id", F.explode("shortest").alias("holder")).join(unique, "holder").groupBy("column_id").agg(F.collect_list("holder").alias("possible"))
+    held = (
+        each.select("column_id", "seen").join(few, "column_id")
+        .select("column_id", F.explode(F.array_intersect("possible", "seen")).alias("holder"))
+        .groupBy("column_id", "holder").agg(F.count(F.lit(1)).alias("n"))
+        .join(facts.select("column_id", "n_lists"), "column_id").where("n = n_lists")
+        .groupBy("column_id").agg(F.array_sort(F.collect_list("holder")).alias("held_by")))
+    return facts.join(held, "column_id", "left").select(
+        "column_id", "n_distinct", "is_unique", F.coalesce("held_by", F.array().cast("array<int>")).alias("held_by"))
+
+
 def _column_sets(tables: Tables, members: list[Member]) -> DataFrame:
-    """Per member: distinct values, whether any repeats, and the members that hold all of its values."""
+    """Per member: distinct values, whether any repeats, and the members (the unique ones at least) that hold all of
+    its values."""
+    if len(members) > MASK_COLUMNS:
+        return _sparse_sets(tables, members)
     n_words = -(-len(members) // WORD_BITS)
     seen = [f"seen_{w}" for w in range(n_words)]
     twice = [f"twice_{w}" for w in range(n_words)]

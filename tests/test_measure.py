@@ -1,6 +1,7 @@
 """Measured facts on small tables with known answers, and against brute force."""
 
 import random
+import time
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -227,6 +228,54 @@ def test_inclusions_against_brute_force(spark, seed):
     assert {tuple(r) for r in distincts.inclusion_dependencies(tables).collect()} == brute_force_inclusions(data)
 
 
+def test_lists_of_columns_give_what_masks_give(spark, monkeypatch):
+    rng = random.Random(8)
+    data = {f"t{t}": {f"c{i}": (rng.sample(range(40), 12) if i % 3 else [rng.choice([*range(5), None]) for _ in range(12)]) for i in range(8)} for t in range(5)}
+    data["all"] = {"k": [*range(40)]}
+    tables = {t: frame(spark, cols) for t, cols in data.items()}
+    expected = brute_force_inclusions(data)
+    assert {tuple(r) for r in distincts.inclusion_dependencies(tables).collect()} == expected and len(expected) > 30
+    monkeypatch.setattr(distincts, "MASK_COLUMNS", 3)
+    assert {tuple(r) for r in distincts.inclusion_dependencies(tables).collect()} == expected
+
+
+def some_facts(rng, n, n_tables, text):
+    found = []
+    for i in range(n):
+        low = rng.randint(0, 50)
+        high = low + rng.choice([0, 3, 30])
+        fact = {"table_name": f"t{rng.randrange(n_tables)}", "column_name": f"c{i}", "n_rows": 10, "n_nulls": rng.choice([0, 0, 10]), "repeat_seen": rng.random() < 0.6,
+                "min_long": low, "max_long": high + 20, "min_hash": None, "max_hash": None, "bits_low": None, "bits_high": None,
+                "min_chars": None, "max_chars": None, "max_bytes": None, "precision": None, "n_odd": 0}
+        if text:
+            bits = rng.getrandbits(6) | rng.getrandbits(6)
+            fact |= {"min_long": None, "max_long": None, "min_hash": low * 10**17, "max_hash": (high + 9) * 10**17, "bits_low": bits - 32, "bits_high": rng.choice([0, 1, 3]),
+                     "min_chars": rng.randint(1, 3), "max_chars": rng.randint(3, 6), "max_bytes": rng.randint(6, 9)}
+        found.append(fact)
+    return found
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_sweep_leaves_what_all_pairs_leave(text):
+    rng = random.Random(3)
+    for n in (1, 2, 9, 40, 700):
+        facts = some_facts(rng, n, rng.choice([1, 3, 40]), text)
+        expected = set()
+        for p in facts:
+            for c in facts:
+                if distincts.may_be_unique(p) and p["table_name"] != c["table_name"] and distincts._contains(p, c):
+                    expected |= {(x["table_name"], x["column_name"]) for x in (p, c)}
+        assert distincts.comparable_facts([("class", f) for f in facts]) == expected
+
+
+def test_fifty_thousand_columns_are_planned_in_seconds():
+    rng = random.Random(4)
+    facts = some_facts(rng, 50_000, 3_000, True)
+    start = time.perf_counter()
+    assert distincts.comparable_facts([("class", f) for f in facts])
+    assert time.perf_counter() - start < 30
+
+
 def test_inclusions_of_more_columns_than_a_word_has_bits(spark):
     wide = {f"c{i}": [i % 3, 1, 2] for i in range(70)}
     data = {"wide": wide, "keys": {"k": [0, 1, 2, 3]}, "more": {"k": [2, 0, 1]}}
