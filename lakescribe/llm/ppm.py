@@ -3,12 +3,13 @@
 A context is what stands up to `order` bytes in front of a symbol; texts are padded in front, and end with a
 symbol of their own (byte 0xFF, which UTF-8 never holds, serves as both). Every position of the corpus is
 counted, and `window_logs` scores windows with every context that the corpus has, as a distributed table. A
-`ContextTree` of `fit` keeps each context that holds at least 1/max_contexts of all positions, at every order,
-with all symbols seen behind it.
+`ContextTree` of `trees` has every context of its label's texts as well, in the memory of a task, and so no more than
+two bytes of it.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,23 +254,8 @@ class WindowTable:
         return out, np.arange(len(keys)) if left is None else left
 
 
-def context_counts(counts: DataFrame, order: int, max_contexts: int) -> DataFrame:
-    """(label, depth, context, symbol, n) of the contexts that a model keeps, from all window counts of a label."""
-    levels = counts.select(
-        "label", "n",
-        F.explode(F.array(*[
-            F.struct(F.lit(d).alias("depth"), F.col("key").bitwiseAND((1 << 8 * (d + 1)) - 1).alias("key")) for d in range(order + 1)
-        ])).alias("w"),
-    ).groupBy("label", "w.depth", "w.key").agg(F.sum("n").alias("n"))
-    split = levels.select("label", "depth", F.shiftright("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n")
-    totals = split.groupBy("label", "depth", "context").agg(F.sum("n").alias("total"))
-    whole = counts.groupBy("label").agg(F.sum("n").alias("whole"))
-    kept = totals.join(whole, "label").where(F.col("total") * max_contexts >= F.col("whole")).select("label", "depth", "context")
-    return split.join(kept, ["label", "depth", "context"])
-
-
 class ContextTree:
-    """Frozen statistics as an automaton: a state is a kept context, with the log probability of each symbol.
+    """Frozen statistics as an automaton: a state is a context, with the log probability of each symbol.
 
     `next` and `logp` have a row for each state and a column for each byte. Probabilities are exact: method C
     escapes, and symbols that a longer context has seen are excluded from the shorter one.
@@ -352,16 +338,48 @@ class ContextTree:
         return np.bincount(owner[order], weights=total, minlength=len(texts))
 
 
-def fit(texts: DataFrame, order: int, max_contexts: int) -> dict[str, ContextTree]:
-    """A model for each label of a frame (label string, text string); to the driver come kept contexts only."""
-    counts = cut(window_counts(texts, order))
-    rows = context_counts(counts, order, max_contexts).toArrow()
-    column = {c: rows.column(c).to_numpy() for c in ("depth", "context", "symbol", "n")}
-    label = np.array(rows.column("label").to_pylist(), object)
-    return {
-        x: ContextTree(order, *[column[c][label == x] for c in ("depth", "context", "symbol", "n")])
-        for x in sorted(set(label.tolist()))
-    }
+def tree_of_windows(keys: np.ndarray, n: np.ndarray, order: int) -> ContextTree:
+    """The tree with every context of all windows of order + 1 bytes."""
+    keys, found = keys.astype(np.uint64), []
+    for d in range(order + 1):
+        part, count = merged([(keys & np.uint64((1 << 8 * (d + 1)) - 1), n)])
+        found.append((np.full(len(part), d), part.astype(np.int64) >> 8, part.astype(np.int64) & 255, count))
+    return ContextTree(order, *[np.concatenate(x) for x in zip(*found, strict=True)])
+
+
+def trees(counts: DataFrame, order: int) -> DataFrame:
+    """(label, size, model): the pickled tree of each label from its window counts (label, key, n).
+
+    A task holds the windows of one label, 256^(order + 1) at most; so for orders up to 2.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+
+        def given() -> pa.RecordBatch:
+            model = pickle.dumps(tree_of_windows(*[np.concatenate(x) for x in zip(*held, strict=True)], order))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([last]), pa.array([len(model)], pa.int64()), pa.array([model], pa.binary())], names=["label", "size", "model"])
+
+        for batch in batches:
+            label = batch.column(0).dictionary_encode()
+            place = label.indices.to_numpy()
+            starts = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if a == b:
+                    continue
+                name = label.dictionary[int(place[a])].as_py()
+                if held and name != last:
+                    yield given()
+                last = name
+                held.append((batch.column(1).to_numpy()[a:b], batch.column(2).to_numpy()[a:b]))
+        if held:
+            yield given()
+
+    if not 0 < order <= 2:
+        raise ValueError("trees are of order 1 or 2: their size is bounded")
+    return map_arrow(counts.repartition("label").sortWithinPartitions("label").select("label", "key", "n"), run, "label string, size bigint, model binary")
 
 
 def labelled(docs: DataFrame, label: Column, text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from conftest import SF_DIR
-from lakescribe.llm import decontaminate, jaccard, ppm, queries, toxicity
+from lakescribe.llm import decontaminate, jaccard, language, ppm, queries, toxicity
 from lakescribe.llm.common import fold
 from lakescribe.llm.components import components
 from lakescribe.llm.language import fit_languages, has_letter, held_out_languages, identify_language
@@ -338,14 +338,19 @@ def tree_of(texts, order, max_contexts=10**9):
     return ppm.ContextTree(order, *[np.array(x) for x in (depth, context, symbol, count)])
 
 
-def slow_score(texts, order, text):
-    """Prediction by partial matching with dictionaries, symbol by symbol."""
+def slow_counts(texts, order):
     seen = collections.defaultdict(collections.Counter)
     for t in texts:
         data = b"\xff" * order + t + b"\xff"
         for i in range(order, len(data)):
             for d in range(order + 1):
                 seen[data[i - d : i]][data[i]] += 1
+    return seen
+
+
+def slow_score(texts, order, text, seen=None):
+    """Prediction by partial matching with dictionaries, symbol by symbol."""
+    seen = slow_counts(texts, order) if seen is None else seen
     data, total = b"\xff" * order + text + b"\xff", 0.0
     for i in range(order, len(data)):
         p, excluded = 1.0, set()
@@ -467,6 +472,33 @@ def test_models_beat_chance_on_held_out_documents(spark):
     assert has_letter("…é".encode()) and not has_letter("…12".encode())
 
 
+@pytest.mark.parametrize("group_bytes", [1 << 30, 1])
+def test_every_prediction_by_brute_force(spark, monkeypatch, group_bytes):
+    """Many rows of one language and five of another with letters of its own: all are learned, none by its share."""
+    monkeypatch.setattr(language, "GROUP_BYTES", group_bytes)
+    rng, held = np.random.default_rng(11), []
+    words = {x: ["".join(rng.choice(list(letters), int(rng.integers(2, 6)))) for _ in range(30)] for x, letters in
+             (("en", "abcdefgh"), ("de", "efghijkläß"), ("xx", "qvwzÿ"), ("", "mnop"))}
+    for x, n in (("en", 400), ("de", 40), ("xx", 5), ("", 6), (None, 9)):
+        held += [(x, " ".join(rng.choice(words[x or "de"], int(rng.integers(1, 12))))) for _ in range(n)]
+    held += [("en", None), ("de", ""), ("xx", "12 34"), ("en", "ab " * 2_000 + "qvw")]
+    rows = [(i, t, x) for i, (x, t) in enumerate(held)]
+    found = {r.doc_id: r for r in held_out_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learned = {x: [t.encode().lower() for i, t, y in rows if y == x and t is not None and zlib.crc32(str(i).encode()) % 5] for x in ("", "de", "en", "xx")}
+    slow = {x: slow_counts(texts, 2) for x, texts in learned.items()}
+    for i, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        logs = {x: slow_score(learned[x], 2, t.encode().lower(), slow[x]) for x in sorted(slow)}
+        best = max(logs, key=logs.get)
+        others = sorted(logs.values())
+        if others[-1] - others[-2] > 1e-3:
+            assert found[i].lang_pred == best
+        assert abs(found[i].score - 1 / sum(10.0 ** max(v - logs[best], -300) for v in logs.values())) < 2e-2
+    assert {found[i].lang_pred for i, t, x in rows if x == "xx" and t != "12 34"} == {"xx"}
+
+
 def test_language_does_not_use_other_columns(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     trees = fit_languages(docs, fold(F.col("doc_id")) != 0)
