@@ -141,6 +141,21 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield last, pa.Table.from_batches(held)
 
 
+#: A file's place, or a function that an executor asks for its place there.
+Place = str | Callable[[], str]
+
+
+def located(path: Place) -> str:
+    return path() if callable(path) else path
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def span_digest(spans: Sequence[tuple[str, int, int]]) -> str:
     """kind:start:end of the spans in their order, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)

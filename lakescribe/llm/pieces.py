@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakescribe.llm.common import map_arrow, per_text
+from lakescribe.llm.common import located, map_arrow, per_text, Place
 
 MARK = "▁".encode()
 #: Kinds of pieces in the model file.
@@ -244,17 +244,17 @@ _SCHEMA = T.StructType([
 ])
 
 
-def encode_pieces(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: Place, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns and ids (array of int) of every whole text; null and empty texts have no ids."""
 
     def worker():
-        model = _pieces(path)
+        model = _pieces(located(path))
         return lambda texts: [[model.encode(x).tolist() for x in texts]]
 
     return per_text(docs, worker, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), keep, text_col)
 
 
-def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
+def decode_pieces(encoded: DataFrame, path: Place, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """The kept columns and the text of ids; bytes that are no UTF-8 become replacement characters; null ids give null."""
     from pyspark.sql import functions as F
 
@@ -263,7 +263,7 @@ def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     def run(batches):
         import pyarrow as pa
 
-        model = _pieces(path)
+        model = _pieces(located(path))
         for batch in batches:
             texts = [None if x is None else model.decode(x).decode(errors="replace") for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
@@ -272,7 +272,7 @@ def decode_pieces(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     return map_arrow(narrow, run, T.StructType([*narrow.schema.fields[:-1], T.StructField("text", T.StringType())]))
 
 
-def piece_counts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def piece_counts(docs: DataFrame, path: Place, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text.
 
     Returns the kept columns, n_pieces, n_fallback (byte pieces among them), ids_sha256 (of the ids as
@@ -282,7 +282,7 @@ def piece_counts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     """
 
     def worker():
-        model = _pieces(path)
+        model = _pieces(located(path))
         fallback = frozenset(model.byte_id.values())
 
         def work(texts):

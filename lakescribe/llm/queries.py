@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakescribe.llm import decontaminate, jaccard, merkle, vector_codes, warc
+from lakescribe.llm.common import tokenizer_path
 from lakescribe.llm.language import held_out_languages
 from lakescribe.llm.lm_score import lm_scores
 from lakescribe.llm.pieces import piece_counts
@@ -17,9 +18,6 @@ from lakescribe.llm.secrets import scan_secrets
 from lakescribe.llm.token_counts import count_tokens
 from lakescribe.llm.toxicity import held_out_toxicity
 
-#: Folder of the vocabulary files; every executor has them there.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,10 +25,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
-
-
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -53,11 +47,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return piece_counts(_table(spark, sf_dir, "documents"), partial(tokenizer_path, "piece_bpe_32k.model"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return count_tokens(_table(spark, sf_dir, "documents"), partial(tokenizer_path, "word_bpe_49k.json"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lakescribe.llm.common import per_text
+from lakescribe.llm.common import located, per_text, Place
 
 #: White space by the Unicode property, which patterns of the vocabulary file mean by \s.
 _SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -146,15 +146,15 @@ _SCHEMA = T.StructType([
 ])
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def count_tokens(docs: DataFrame, path: Place, limit: int = 2048, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """UTF-8 bytes and tokens of every whole text, and whether it has more tokens than the limit.
 
-    path: a tokenizer file that the executors can read. Special strings inside texts count as one token
+    path: a tokenizer file that the executors can read, or a function that gives its place there. Special strings inside texts count as one token
     each. Null and empty texts have no bytes and no tokens. Rows are independent; other columns are ignored.
     """
 
     def worker():
-        merger = _merger(path)
+        merger = _merger(located(path))
 
         def work(texts):
             n = merger.counts([x.decode() for x in texts])
