@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakescribe.functions.scratch import new_folder
-from lakescribe.llm.common import fold, fresh
+from lakescribe.llm.common import fold, fresh, tokenizer_path
 from lakescribe.llm.decontaminate import drop_contaminated
 from lakescribe.llm.jaccard import drop_near_duplicates
 from lakescribe.llm.pieces import piece_counts
-from lakescribe.llm.queries import tokenizer_path
 from lakescribe.llm.secrets import redact_secrets
 from lakescribe.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -41,7 +42,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, encoded and decoded: doc_id, n_pieces, n_fallback, ids_sha256, round_trip."""
-    return piece_counts(docs, tokenizer_path("piece_bpe_32k.model"))
+    return piece_counts(docs, partial(tokenizer_path, "piece_bpe_32k.model"))
 
 
 STAGES = [
