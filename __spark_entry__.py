@@ -65,6 +65,13 @@ FOREIGN_KEYS = [
     ("lineitem", "l_partkey", "supplier", "s_suppkey"),
     ("documents", "doc_id", "labels", "doc_id"),
 ]
+# Declared pairs of column lists, the second of which does not hold.
+COMPOSITE_FOREIGN_KEYS = [
+    ("conversations", ["conv_id", "turn"], "lineitem", ["l_orderkey", "l_linenumber"]),
+    ("lineitem", ["l_partkey", "l_suppkey"], "lineitem", ["l_suppkey", "l_partkey"]),
+    ("lineitem", ["l_orderkey", "l_linenumber"], "lineitem", ["l_orderkey", "l_linenumber"]),
+]
+KEYED = ("conversations", "lineitem", "orders", "nation", "supplier", "labels")
 
 
 # --- measured lake --------------------------------------------------------------------------------
@@ -354,6 +361,8 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "msr_distinct": (_on_lake(distincts.distinct_profile), lake.distincts()),
         "msr_unique": (_on_lake(distincts.key_candidates), lake.unique()),
         "msr_compkey": (_on_lake(_composite_keys), lake.composite_keys(COMPOSITE_KEYS)),
+        "msr_fkcheck_composite": (_on_lake(lambda t: keys.check_composite_foreign_keys(t, COMPOSITE_FOREIGN_KEYS)), lake.composite_foreign_keys(COMPOSITE_FOREIGN_KEYS)),
+        "msr_findkeys": (_on_lake(lambda t: keys.find_keys({n: t[n] for n in KEYED})), lake.found_keys(KEYED)),
         "msr_fkcheck": (_on_lake(lambda t: keys.check_foreign_keys(t, FOREIGN_KEYS)), lake.foreign_keys(FOREIGN_KEYS)),
         "msr_inds": (_on_lake(distincts.inclusion_dependencies), lake.inclusions()),
         "msr_fksuggest": (_on_lake(_suggestions), lake.suggestions()),

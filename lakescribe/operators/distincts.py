@@ -301,11 +301,11 @@ def _bit(words: list[str], number: Column) -> Column:
     return F.bit_get(word, number % WORD_BITS) == 1
 
 
-def _sparse_sets(tables: Tables, members: list[Member]) -> DataFrame:
+def _sparse_sets(tables: Tables, members: list[Member], every_holder: bool) -> DataFrame:
     """`_column_sets` for many members: a value has the list of its members in place of a mask as wide as the lake.
 
-    Equal lists are counted together. All that hold a member's values are in its shortest list, so only those unique ones
-    are counted in its other lists; those found in all of them hold it.
+    Equal lists are counted together. All that hold a member's values are in its shortest list, so only those (the unique
+    ones, unless every holder is wanted) are counted in its other lists; those found in all of them hold it.
     """
     lists = cut(
         _counted_values(tables, members).groupBy("value")
@@ -315,7 +315,7 @@ def _sparse_sets(tables: Tables, members: list[Member]) -> DataFrame:
     facts = cut(each.groupBy("column_id").agg(
         F.sum("n_values").alias("n_distinct"), (~F.max(F.array_contains("twice", F.col("column_id")))).alias("is_unique"),
         F.count(F.lit(1)).alias("n_lists"), F.min(F.struct(F.size("seen").alias("n"), "seen"))["seen"].alias("shortest")))
-    unique = facts.where("is_unique").select(F.col("column_id").alias("holder"))
+    unique = (facts if every_holder else facts.where("is_unique")).select(F.col("column_id").alias("holder"))
     few = facts.select("column_id", F.explode("shortest").alias("holder")).join(unique, "holder").groupBy("column_id").agg(F.collect_list("holder").alias("possible"))
     held = (
         each.select("column_id", "seen").join(few, "column_id")
@@ -327,11 +327,11 @@ def _sparse_sets(tables: Tables, members: list[Member]) -> DataFrame:
         "column_id", "n_distinct", "is_unique", F.coalesce("held_by", F.array().cast("array<int>")).alias("held_by"))
 
 
-def _column_sets(tables: Tables, members: list[Member]) -> DataFrame:
+def _column_sets(tables: Tables, members: list[Member], every_holder: bool) -> DataFrame:
     """Per member: distinct values, whether any repeats, and the members (the unique ones at least) that hold all of
     its values."""
     if len(members) > MASK_COLUMNS:
-        return _sparse_sets(tables, members)
+        return _sparse_sets(tables, members, every_holder)
     n_words = -(-len(members) // WORD_BITS)
     seen = [f"seen_{w}" for w in range(n_words)]
     twice = [f"twice_{w}" for w in range(n_words)]
@@ -361,15 +361,16 @@ def _column_sets(tables: Tables, members: list[Member]) -> DataFrame:
     )
 
 
-def column_sets(tables: Tables, wanted: set[tuple[str, str]]) -> DataFrame:
-    """The sets of all wanted scalar columns by name; one row per column."""
+def column_sets(tables: Tables, wanted: set[tuple[str, str]], every_holder: bool = False) -> DataFrame:
+    """The sets of all wanted scalar columns by name; one row per column. held_by has all unique columns that hold
+    a column's values, and with every_holder all others too."""
     spark = _spark(tables)
     parts = []
     for cls in sorted({type_class(f.dataType) for df in tables.values() for f in scalar_columns(df.schema)}):
         members = _members(tables, wanted, cls)
         if members:
             parts.append(
-                _column_sets(tables, members)
+                _column_sets(tables, members, every_holder)
                 .join(_names(spark, members), "column_id")
                 .select(F.lit(cls).alias("type_class"), "column_id", "table_name", "column_name",
                         "n_distinct", "is_unique", "held_by")

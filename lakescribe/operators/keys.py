@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.functions.values import INTEGER, column, common_key, comparable, scalar_columns
+from lakescribe.functions.values import INTEGER, column, common_key, comparable, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
-from lakescribe.operators.distincts import ColumnFacts, key_candidates_from, lake_facts
+from lakescribe.operators.distincts import ColumnFacts, column_sets, key_candidates_from, lake_facts
 from lakescribe.operators.profiles import Tables
 
 ForeignKey = tuple[str, str, str, str]  # child table, child column, parent table, parent column
@@ -168,3 +170,132 @@ def sequence_profile_from(tables: Tables, facts: Iterable[ColumnFacts], keys: Da
             (wide + 1 == F.col("n")).alias("is_dense"),
         )
     )
+
+
+# --- composite keys -------------------------------------------------------------------------------
+
+CompositeKey = tuple[str, Sequence[str], str, Sequence[str]]  # child table, child columns, parent table, parent columns
+
+
+def _tuple_key(parts: Sequence[Column]) -> Column:
+    """Text that is equal exactly when all parts are; null if a part is null. Short enough to shuffle."""
+    whole = F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+    return F.when(F.octet_length(whole) <= 128, whole).otherwise(F.concat(F.sha2(whole, 256), F.lit(":"), F.octet_length(whole).cast("string"), F.lit(":" + "-" * 64)))
+
+
+def check_composite_foreign_keys(tables: Tables, pairs: Iterable[CompositeKey]) -> DataFrame:
+    """`check_foreign_keys` of column lists: child rows without null in any of their columns, those whose tuple no parent
+    row has, and the share that has one.
+
+    Tuples meet in one grouping by (pair, tuple), each column in the common type of its two sides, so a hot tuple is a
+    single row before the shuffle and a table is scanned once for each pair that names it.
+    """
+    pairs = [(c, list(cc), p, list(pc)) for c, cc, p, pc in pairs]
+    sides = []
+    for number, (child, child_columns, parent, parent_columns) in enumerate(pairs):
+        if len(child_columns) != len(parent_columns) or not child_columns:
+            raise ValueError(f"{child} and {parent}: as many child as parent columns, one at least")
+        fields = [(tables[child].schema[a], tables[parent].schema[b]) for a, b in zip(child_columns, parent_columns, strict=True)]
+        for a, b in fields:
+            if not comparable(a.dataType, b.dataType):
+                raise ValueError(f"{child}.{a.name} and {parent}.{b.name} cannot be compared")
+        for table, own, rows in ((child, fields, 1), (parent, [(b, a) for a, b in fields], 0)):
+            value = _tuple_key([common_key(f, other.dataType) for f, other in own])
+            sides.append(tables[table].select(F.lit(number).alias("pair"), value.alias("value"), F.lit(rows).alias("child_rows")).where("value IS NOT NULL"))
+    spark = next(iter(tables.values())).sparkSession
+    names = local_frame(spark, [(i, f"{c}({', '.join(cc)})", f"{p}({', '.join(pc)})") for i, (c, cc, p, pc) in enumerate(pairs)], "pair int, child string, parent string")
+    if not sides:
+        return names.select("child", "parent", *[F.lit(None).cast(t).alias(c) for c, t in (("n_checked", "long"), ("n_orphans", "long"), ("coverage", "double"))])
+    values = union_all(sides).groupBy("pair", "value").agg(F.sum("child_rows").alias("child_rows"), F.min("child_rows").alias("parent_mark"))
+    orphans = F.sum(F.when(F.col("parent_mark") == 1, F.col("child_rows")).otherwise(F.lit(0)))
+    counted = values.groupBy("pair").agg(F.sum("child_rows").alias("checked"), orphans.alias("orphans"))
+    checked, missing = F.coalesce("checked", F.lit(0)), F.coalesce("orphans", F.lit(0))
+    return names.join(counted, "pair", "left").select(
+        "child", "parent", checked.alias("n_checked"), missing.alias("n_orphans"), F.when(checked > 0, (checked - missing) / checked).alias("coverage"))
+
+
+def _refuted(df: DataFrame, candidates: list[tuple[str, ...]], rows: int) -> set[tuple[str, ...]]:
+    """Those of the column lists that repeat within some rows, which proves that they are no keys.
+
+    The rows come over as numbers of their values (bounded), and agreeing rows are looked for in numpy.
+    """
+    names = sorted({c for k in candidates for c in k})
+    fields = [df.schema[c] for c in names]
+    some = df.select(*[F.xxhash64(value_key(f)).alias(f"c{i}") for i, f in enumerate(fields)]).limit(rows).toArrow()
+    codes = {c: np.unique(some.column(i).to_numpy(), return_inverse=True)[1].astype(np.int64) for i, c in enumerate(names)}
+    found = set()
+    for key in candidates:
+        whole = codes[key[0]]
+        for c in key[1:]:
+            whole = np.unique(whole * (int(codes[c].max(initial=0)) + 1) + codes[c], return_inverse=True)[1]
+        if len(whole) and int(whole.max()) + 1 < len(whole):
+            found.add(key)
+    return found
+
+
+def find_keys(tables: Tables, width: int = 2, witness_rows: int = 20_000) -> DataFrame:
+    """(table_name, columns, width): all minimal keys of up to `width` columns, exact.
+
+    A key has no null and no repeated tuple, and no part of it is a key. Level by level: columns without null that are no
+    keys make pairs, pairs that are none make triples whose pairs are all open, and so on. Some rows of a table refute most
+    candidates: two of them that agree are a proof, equal hashes being taken for equal values only until the exact
+    check, which groups all rows of what is left by (candidate, tuple). columns: comma-joined in the order of the table.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    facts = lake_facts(tables)
+    single = {(r.table_name, r.column_name) for r in key_candidates_from(tables, facts).where("is_key").collect()}
+    nulls = {(f["table_name"], f["column_name"]): f["n_nulls"] for f in facts}
+    found = [(t, c, 1) for t, c in sorted(single)]
+    open_ = {t: [(f.name,) for f in scalar_columns(df.schema) if (t, f.name) not in single and nulls[(t, f.name)] == 0] for t, df in tables.items()}
+    for size in range(2, width + 1):
+        asked: list[tuple[str, tuple[str, ...]]] = []
+        following: dict[str, list[tuple[str, ...]]] = {}
+        for table, known in open_.items():
+            held = set(known)
+            candidates = [a + b[-1:] for a in known for b in known if a[:-1] == b[:-1] and known.index(a) < known.index(b)]
+            candidates = [k for k in candidates if all(k[:i] + k[i + 1 :] in held for i in range(len(k)))]
+            refuted = _refuted(tables[table], candidates, witness_rows) if candidates else set()
+            following[table] = candidates
+            asked += [(table, k) for k in candidates if k not in refuted]
+        exact = set()
+        if asked:
+            parts = [
+                tables[t].select(F.lit(i).alias("candidate"), _tuple_key([value_key(tables[t].schema[c]) for c in k]).alias("value"))
+                for i, (t, k) in enumerate(asked)
+            ]
+            counted = union_all(parts).groupBy("candidate", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("candidate").agg(F.max("n").alias("most"))
+            exact = {asked[r.candidate] for r in counted.where("most = 1").collect()}  # one row for each candidate
+        found += [(t, ",".join(k), size) for t, k in sorted(exact)]
+        open_ = {t: [k for k in ks if (t, k) not in exact] for t, ks in following.items()}
+    return local_frame(spark, found, "table_name string, columns string, width int")
+
+
+def composite_inclusions(tables: Tables, keys: Iterable[tuple[str, Sequence[str]]]) -> DataFrame:
+    """(child_table, child_columns, parent_table, parent_columns): tuples of another table's columns that lie in a
+    composite key of a parent, all child rows without null taken, of which there is one at least.
+
+    keys: (table, columns) of parents, as `find_keys` gives them. Level-wise: a column list is a candidate only if each of
+    its columns lies in the parent's column at its place, which is known for all columns from one grouping of values; candidates
+    are checked exactly together. Columns of a list differ from each other.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    keys = [(t, list(c)) for t, c in keys]
+    parents = {(t, c) for t, columns in keys for c in columns}
+    classes = {type_class(tables[t].schema[c].dataType) for t, c in parents}
+    wanted = {(t, f.name) for t, df in tables.items() for f in scalar_columns(df.schema) if type_class(f.dataType) in classes}
+    sets = column_sets(tables, wanted, every_holder=True).collect()  # one row for each column of the lake
+    names = {(r.type_class, r.column_id): (r.table_name, r.column_name) for r in sets}
+    holders = {(r.table_name, r.column_name): {names[(r.type_class, h)] for h in r.held_by} for r in sets if r.n_distinct}
+    candidates = []
+    for parent, columns in keys:
+        for child in tables:
+            if child == parent:
+                continue
+            fits = [[c for (t, c), held in holders.items() if t == child and (parent, p) in held] for p in columns]
+            candidates += [(child, list(k), parent, columns) for k in product(*fits) if len(set(k)) == len(k)]
+    schema = "child_table string, child_columns string, parent_table string, parent_columns string"
+    if not candidates:
+        return local_frame(spark, [], schema)
+    number = {(f"{c}({', '.join(cc)})", f"{p}({', '.join(pc)})"): (c, ",".join(cc), p, ",".join(pc)) for c, cc, p, pc in candidates}
+    held = check_composite_foreign_keys(tables, candidates).where("n_checked > 0 AND n_orphans = 0").select("child", "parent").collect()
+    return local_frame(spark, sorted(number[(r.child, r.parent)] for r in held), schema)

@@ -160,6 +160,34 @@ def foreign_keys(pairs) -> str:
     return _union(parts)
 
 
+def composite_foreign_keys(pairs) -> str:
+    parts = []
+    for child, cc, parent, pc in pairs:
+        listed = lambda columns: ", ".join(f'"{c}"' for c in columns)
+        missing = f"count(*) FILTER (({listed(cc)}) NOT IN (SELECT ({listed(pc)}) FROM {parent}))"
+        there = " AND ".join(f'"{c}" IS NOT NULL' for c in cc)
+        parts.append(
+            f"SELECT '{child}({', '.join(cc)})' AS child, '{parent}({', '.join(pc)})' AS parent, count(*) AS n_checked, {missing} AS n_orphans, "
+            f"(count(*) - {missing})::DOUBLE / count(*) AS coverage FROM {child} WHERE {there}")
+    return _union(parts)
+
+
+def found_keys(tables) -> str:
+    """Minimal keys of one or two columns."""
+    singles, pairs = [], []
+    for t in tables:
+        names = [c for _, _, c, _ in _scalars((t,))]
+        singles += [f"SELECT '{t}' AS t, '{c}' AS a FROM {t} HAVING count(*) > 0 AND count(DISTINCT \"{c}\") = count(*)" for c in names]
+        pairs += [
+            f"SELECT '{t}' AS t, '{a}' AS a, '{b}' AS b FROM {t} HAVING count(*) > 0 AND count(*) = count(\"{a}\") AND count(*) = count(\"{b}\") "
+            f"AND count(DISTINCT (\"{a}\", \"{b}\")) = count(*)"
+            for i, a in enumerate(names) for b in names[i + 1 :]]
+    return f"""WITH s AS ({_union(singles)}), p AS ({_union(pairs)})
+SELECT t AS table_name, a AS columns, 1 AS width FROM s
+UNION ALL
+SELECT t, a || ',' || b, 2 FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.t = p.t AND s.a IN (p.a, p.b))"""
+
+
 def _inclusion_ctes(tables=TABLES) -> str:
     """held: distinct values per column; parents: columns without duplicates; inds: the answer."""
     values, uniques = [], []

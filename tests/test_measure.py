@@ -1,5 +1,6 @@
 """Measured facts on small tables with known answers, and against brute force."""
 
+import itertools
 import random
 import time
 from datetime import date, datetime
@@ -276,6 +277,62 @@ def test_fifty_thousand_columns_are_planned_in_seconds():
     assert time.perf_counter() - start < 30
 
 
+def small_lake(spark, seed):
+    rng = random.Random(seed)
+    data = {}
+    for t in range(3):
+        n = rng.randint(4, 9)
+        data[f"t{t}"] = {"a": [rng.randint(0, 2) for _ in range(n)], "b": [rng.randint(0, 2) for _ in range(n)], "c": [rng.choice([0, 1, 2, 3]) for _ in range(n)],
+                         "d": [rng.choice([1, 2, None]) for _ in range(n)], "s": [rng.choice("xyz") * rng.choice([1, 90]) for _ in range(n)], "k": rng.sample(range(20), n)}
+    return data, {t: frame(spark, cols) for t, cols in data.items()}
+
+
+@pytest.mark.parametrize("seed, witness", [(1, 20_000), (2, 2), (3, 0)])
+def test_found_keys_against_brute_force(spark, seed, witness):
+    data, tables = small_lake(spark, seed)
+    expected = set()
+    for t, cols in data.items():
+        whole = [c for c in cols if None not in cols[c]]
+        known = []
+        for size in (1, 2, 3):
+            for k in itertools.combinations(whole, size):
+                rows = list(zip(*[cols[c] for c in k]))
+                if len(set(rows)) == len(rows) and not any(set(x) <= set(k) for x in known):
+                    expected.add((t, ",".join(k), size))
+            known = [tuple(x.split(",")) for u, x, _ in expected if u == t]
+    assert {tuple(r) for r in keys.find_keys(tables, 3, witness).collect()} == expected
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_composite_keys_against_brute_force(spark, monkeypatch, seed):
+    data, tables = small_lake(spark, seed)
+    data["t0"]["a"], data["t0"]["b"] = data["t1"]["b"][:3] + [None], data["t1"]["a"][:3] + [1]
+    data["t0"] = {c: (v + v)[:4] for c, v in data["t0"].items()}
+    tables["t0"] = frame(spark, data["t0"])
+    pairs = [(c, cc, p, pc) for c in data for p in data for cc in (["a", "b"], ["b", "d"], ["a", "b", "c"], ["s"]) for pc in (["b", "a"], ["c", "d"], ["a", "b", "c"], ["s"])
+             if len(cc) == len(pc) and c != p and ("s" in cc) == ("s" in pc)]
+    found = {(r.child, r.parent): (r.n_checked, r.n_orphans) for r in keys.check_composite_foreign_keys(tables, pairs).collect()}
+    included = set()
+    for c, cc, p, pc in pairs:
+        held = set(zip(*[data[p][x] for x in pc]))
+        rows = [r for r in zip(*[data[c][x] for x in cc]) if None not in r]
+        assert found[(f"{c}({', '.join(cc)})", f"{p}({', '.join(pc)})")] == (len(rows), sum(r not in held for r in rows))
+    parents = [("t1", ["a", "b"]), ("t2", ["c", "k"])]
+    for p, pc in parents:
+        held = set(zip(*[data[p][x] for x in pc]))
+        for c in data:
+            for cc in itertools.permutations(["a", "b", "c", "d", "k"], 2):
+                rows = [r for r in zip(*[data[c][x] for x in cc]) if None not in r]
+                single = all({v for v in data[c][a] if v is not None} <= {v for v in data[p][b]} and any(v is not None for v in data[c][a]) for a, b in zip(cc, pc))
+                if c != p and single and rows and set(rows) <= held:
+                    included.add((c, ",".join(cc), p, ",".join(pc)))
+    for most in (256, 2):
+        monkeypatch.setattr(distincts, "MASK_COLUMNS", most)
+        assert {tuple(r) for r in keys.composite_inclusions(tables, parents).collect()} == included
+    with pytest.raises(ValueError):
+        keys.check_composite_foreign_keys(tables, [("t0", ["a"], "t1", ["a", "b"])])
+
+
 def test_inclusions_of_more_columns_than_a_word_has_bits(spark):
     wide = {f"c{i}": [i % 3, 1, 2] for i in range(70)}
     data = {"wide": wide, "keys": {"k": [0, 1, 2, 3]}, "more": {"k": [2, 0, 1]}}
