@@ -71,6 +71,11 @@ COMPOSITE_FOREIGN_KEYS = [
     ("lineitem", ["l_partkey", "l_suppkey"], "lineitem", ["l_suppkey", "l_partkey"]),
     ("lineitem", ["l_orderkey", "l_linenumber"], "lineitem", ["l_orderkey", "l_linenumber"]),
 ]
+# Keys of many digits, made of integer columns: table, name, column, factor, summand.
+DECIMAL_KEYS = [
+    ("orders", "far", "o_orderkey", "1000000000000000000000", "-5000000000000000000000000000000"), ("customer", "dense", "c_custkey", "1", "70000000000000000000000000000"),
+    ("supplier", "stepped", "s_suppkey", "900719925474099300", "0"), ("customer", "repeated", "c_nationkey", "3", "1"),
+]
 KEYED = ("conversations", "lineitem", "orders", "nation", "supplier", "labels")
 
 
@@ -121,6 +126,13 @@ def _wide_numbers(tables: dict[str, DataFrame]) -> DataFrame:
     return profiles.numeric_profile({"wide": wide})
 
 
+def _decimal_sequences(tables: dict[str, DataFrame]) -> DataFrame:
+    wide: dict[str, list[str]] = {}
+    for table, name, source, factor, shift in DECIMAL_KEYS:
+        wide.setdefault(table, []).append(f"CAST(CAST({source} AS decimal(12,0)) * CAST('{factor}' AS decimal(24,0)) + CAST('{shift}' AS decimal(38,0)) AS decimal(38,0)) AS {name}")
+    return _flat(keys.decimal_sequence_profile({t: tables[t].selectExpr(*made) for t, made in wide.items()}))
+
+
 def _composite_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([
         keys.check_key(tables[table], columns).select(
@@ -367,6 +379,7 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "msr_inds": (_on_lake(distincts.inclusion_dependencies), lake.inclusions()),
         "msr_fksuggest": (_on_lake(_suggestions), lake.suggestions()),
         "msr_sequence": (_on_lake(keys.sequence_profile), lake.sequences()),
+        "msr_sequence_decimal": (_on_lake(_decimal_sequences), lake.decimal_sequences(DECIMAL_KEYS)),
         "msr_document": (_on_lake_catalog(lambda c: c["columns"]), lake.document()),
         "doc_overview": (_on_fleet(docs.doc_overview), fleet.doc_overview()),
         "doc_overview_lake": (_on_lake_catalog(docs.doc_overview), lake.doc_overview()),

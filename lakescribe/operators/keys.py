@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 from itertools import product
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.functions.values import INTEGER, column, common_key, comparable, scalar_columns, type_class, value_key
+from lakescribe.functions.values import DECIMAL, INTEGER, column, common_key, comparable, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
 from lakescribe.operators.distincts import ColumnFacts, column_sets, key_candidates_from, lake_facts
 from lakescribe.operators.profiles import Tables
@@ -172,6 +173,49 @@ def sequence_profile_from(tables: Tables, facts: Iterable[ColumnFacts], keys: Da
     )
 
 
+def whole_decimals(schema: T.StructType) -> list[T.StructField]:
+    """Decimal columns without digits behind the point, as catalogs declare the integer keys of some databases."""
+    return [f for f in scalar_columns(schema, DECIMAL) if f.dataType.scale <= 0]
+
+
+def decimal_sequence_profile(tables: Tables) -> DataFrame:
+    """`sequence_profile` of keys that are decimals of scale 0, up to 38 digits, exact.
+
+    Range and count come from one scan. They leave one step at most, spread / (n - 1); whether all values are on it is seen
+    by remainders, which do not overflow as differences of 38 digits would. next_value is null if it has more than 38 digits.
+    """
+    own = {t: df.select(*[column(f.name) for f in whole_decimals(df.schema)]) for t, df in tables.items() if whole_decimals(df.schema)}
+    spark = next(iter(tables.values())).sparkSession
+    wide = "decimal(38,0)"
+    schema = f"table_name string, column_name string, min_value {wide}, max_value {wide}, n long, increment {wide}, next_value {wide}, is_dense boolean"
+    if not own:
+        return local_frame(spark, [], schema)
+    keyed = {(r.table_name, r.column_name) for r in key_candidates_from(own, lake_facts(own)).where("is_key").collect()}
+    facts: dict[tuple[str, str], tuple[int, int, int]] = {}
+    for table, df in own.items():
+        names = [c for c in df.columns if (table, c) in keyed]
+        if names:  # one row for each table
+            row = df.agg(*[f(column(c).cast(wide)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).head()
+            facts |= {(table, c): (int(row[f"lo{i}"]), int(row[f"hi{i}"]), row[f"n{i}"]) for i, c in enumerate(names)}
+    steps = {k: (hi - lo) // (n - 1) for k, (lo, hi, n) in facts.items() if n > 1 and (hi - lo) % (n - 1) == 0}
+    off: set[tuple[str, str]] = set()
+    for table, df in own.items():
+        asked = [c for c in df.columns if 1 < steps.get((table, c), 0) and facts[(table, c)][2] > 2]
+        if asked:
+            literal = lambda x: F.lit(str(x)).cast(wide)
+            row = df.agg(*[
+                F.count_if(F.pmod(column(c).cast(wide), literal(steps[(table, c)])) != literal(facts[(table, c)][0] % steps[(table, c)])).alias(f"off{i}")
+                for i, c in enumerate(asked)]).head()
+            off |= {(table, c) for i, c in enumerate(asked) if row[f"off{i}"]}
+    rows = []
+    for key, (lo, hi, n) in sorted(facts.items()):
+        step = steps.get(key) if key not in off else None
+        following = hi + (step or 1)
+        fits = lambda x: None if x is None or abs(x) >= 10**38 else Decimal(x)
+        rows.append((*key, fits(lo), fits(hi), n, fits(step), fits(following), hi - lo + 1 == n))
+    return local_frame(spark, rows, schema)
+
+
 # --- composite keys -------------------------------------------------------------------------------
 
 CompositeKey = tuple[str, Sequence[str], str, Sequence[str]]  # child table, child columns, parent table, parent columns

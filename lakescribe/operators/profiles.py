@@ -125,11 +125,11 @@ def _numbers(field: T.StructField) -> Facts:
     else:
         scale = f"max(CASE WHEN {c} = 0 THEN 0 ELSE {_scale_by_text(c)} END)"
     ends = [f"CAST({end}({fits}) AS decimal(20,0))" if cls == INTEGER else f"{end}({fits})" for end in ("min", "max")]
-    largest = f"greatest(abs({ends[0]}), abs({ends[1]}))"
-    before, _, exponent = _parts(f"CAST({largest} AS string)")
-    digits = f"CASE WHEN {largest} < 1 THEN 0 ELSE length({before}) + {exponent} END"
+    # by their text: abs() keeps 34 digits of a decimal only
+    texts = [_parts(f"CAST({end} AS string)") for end in ends]
+    digits = ", ".join(f"CASE WHEN {end} > -1 AND {end} < 1 THEN 0 ELSE length(replace({before}, '-', '')) + {exponent} END" for end, (before, _, exponent) in zip(ends, texts, strict=True))
     # A column of zeros still has one digit.
-    precision = f"CASE WHEN {largest} IS NOT NULL THEN greatest({digits} + {scale}, 1) END"
+    precision = f"CASE WHEN {ends[0]} IS NOT NULL THEN greatest(greatest({digits}) + {scale}, 1) END"
     return {"precision": f"CAST({precision} AS int)", "scale": f"CAST({scale} AS int)"}
 
 

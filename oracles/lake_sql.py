@@ -249,6 +249,17 @@ SELECT table_name, column_name, lo AS min_value, hi AS max_value, n,
 FROM keyed JOIN steps USING (table_name, column_name)"""
 
 
+def decimal_sequences(columns) -> str:
+    """columns: (table, name, source column, factor, shift): keys of many digits made of integer ones."""
+    parts = []
+    for t, name, c, factor, shift in columns:
+        parts.append(f"""SELECT '{t}' AS table_name, '{name}' AS column_name, min(v) AS lo, max(v) AS hi, count(*) AS n, min(gap) AS lo_gap, max(gap) AS hi_gap,
+  count(DISTINCT v) AS d FROM (SELECT v, v - lag(v) OVER (ORDER BY v) AS gap FROM (SELECT "{c}"::HUGEINT * {factor}::HUGEINT + ({shift})::HUGEINT AS v FROM {t}))""")
+    step = "CASE WHEN lo_gap = hi_gap AND lo_gap > 0 THEN lo_gap END"
+    return f"""SELECT table_name, column_name, CAST(lo AS VARCHAR) AS min_value, CAST(hi AS VARCHAR) AS max_value, n, CAST({step} AS VARCHAR) AS increment,
+  CAST(hi + coalesce({step}, 1) AS VARCHAR) AS next_value, hi - lo + 1 = n AS is_dense FROM ({_union(parts)}) WHERE n = d"""
+
+
 def catalog_ctes(tables=TABLES) -> str:
     """The canonical frames lake_tables and lake_columns."""
     facts = []

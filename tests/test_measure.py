@@ -59,6 +59,9 @@ def test_precision_and_scale(odd):
     ("double", [0.123456789], (9, 9)),
     ("decimal(20,8)", [Decimal("1.12345678")], (9, 8)),
     ("decimal(38,0)", [Decimal("123456789012345678901234567890123456")], (36, 0)),
+    ("decimal(38,0)", [Decimal("-" + "9" * 38)], (38, 0)),
+    ("decimal(38,0)", [Decimal("9" * 38), Decimal(-5)], (38, 0)),
+    ("decimal(12,3)", [Decimal("-12.5"), Decimal("0.125")], (5, 3)),
     ("double", [1e35], (36, 0)),
     ("decimal(20,8)", [Decimal("0.00000012"), Decimal("0")], (8, 8)),
     ("double", [1.5e-7, 12345678.5], (16, 8)),
@@ -287,6 +290,20 @@ def small_lake(spark, seed):
     return data, {t: frame(spark, cols) for t, cols in data.items()}
 
 
+def test_sequences_of_wide_decimals(spark):
+    top = 10**38 - 1
+    keys_ = {"ends": [-top, top, 0], "two": [-top, top], "step": [7 - 3 * 10**20, 7, 7 + 3 * 10**20], "off": [0, 1, 4], "one": [5], "again": [1, 1, 3], "open": [1, None, 3]}
+    tables = {c: frame_of(spark, c, v) for c, v in keys_.items()}
+    found = {r.table_name: tuple(r)[2:] for r in keys.decimal_sequence_profile(tables).collect()}
+    assert found == {
+        "ends": (-top, top, 3, top, None, False), "two": (-top, top, 2, None, None, False), "step": (7 - 3 * 10**20, 7 + 3 * 10**20, 3, 3 * 10**20, 7 + 6 * 10**20, False),
+        "off": (0, 4, 3, None, 5, False), "one": (5, 5, 1, None, 6, True)}
+
+
+def frame_of(spark, name, values):
+    return spark.createDataFrame([(None if v is None else Decimal(v),) for v in values], f"{name} decimal(38,0)")
+
+
 @pytest.mark.parametrize("seed, witness", [(1, 20_000), (2, 2), (3, 0)])
 def test_found_keys_against_brute_force(spark, seed, witness):
     data, tables = small_lake(spark, seed)
