@@ -235,7 +235,7 @@ def _tables_of(schemas) -> Query:
 
 def _filtered_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = _catalog(spark, sf_dir, objects=ObjectFilter(
-        include=("tables",), tables=("사원", "급여이력", "설정"), exclude_system=True, row_counts=False))
+        include=("tables",), tables=("Messstelle", "Ablesung", "Einstellung"), exclude_system=True, row_counts=False))
     shown = cat["tables"].select(
         F.lit("tables").alias("frame"), "source_id", "owner", F.col("name").alias("object"), "row_count")
     columns = cat["columns"].select(
@@ -352,7 +352,7 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "snk_json": (_on_fleet(schema_documents), texts.documents(PIECE_BYTES)),
         "snk_json_pieces": (_on_fleet(lambda c: schema_documents(c, 4_096)), texts.documents(4_096)),
         "flt_schema": (_tables_of(None), fleet.filter_schemas()),
-        "flt_schema_named": (_tables_of(["HR", "dbo"]), fleet.filter_schemas_named()),
+        "flt_schema_named": (_tables_of(["PEGEL", "dbo"]), fleet.filter_schemas_named()),
         "flt_objects": (_filtered_objects, fleet.filter_objects()),
         "flt_objects_types": (_excluded_types, fleet.filter_types()),
         "enr_autoinc": (_on_fleet(_auto_increment), fleet.auto_increment()),

@@ -26,14 +26,14 @@ COLUMN_NAMES = {(c[0], c[1]): c[2] for c in seed.COLUMNS}
 
 def sources(customer: DataFrame, dialect: str) -> DataFrame:
     """One row per database, with what makes it differ from the others."""
-    database = F.concat(F.lit("인사관리DB_"), F.col("c_custkey").cast("string"))
-    archive = {"postgresql": F.lit("public"), "mysql": database, "oracle": F.lit("HR_ARC"), "mssql": F.lit("dbo")}
+    database = F.concat(F.lit("Pegeldienst_"), F.col("c_custkey").cast("string"))
+    archive = {"postgresql": F.lit("public"), "mysql": database, "oracle": F.lit("PEGEL_ARC"), "mssql": F.lit("dbo")}
     segment = F.col("c_mktsegment")
     return customer.select(
         (F.col("c_custkey") * 4 + seed.DIALECT_CODES[dialect]).alias("source_id"),
         F.col("c_custkey").alias("k"),
         database.alias("database_name"),
-        F.when(F.col("c_nationkey") < 20, F.lit("HR")).otherwise(F.lit("HR2")).alias("main_owner"),
+        F.when(F.col("c_nationkey") < 20, F.lit("PEGEL")).otherwise(F.lit("PEGEL2")).alias("main_owner"),
         archive[dialect].alias("archive_owner"),
         F.lit(seed.SYSTEM_OWNER[dialect]).alias("system_owner"),
         (segment != seed.NO_TRIGGERS).alias("has_triggers"),
@@ -150,8 +150,8 @@ def postgresql(customer: DataFrame) -> Frames:
     ]
     relations.append({"oid": oid(8), "relname": seed.VIEW[1], "relnamespace": roles[seed.MAIN], "relkind": "v"})
     # Kinds that are left out by default.
-    relations.append({"oid": oid(9), "relname": "집계", "relnamespace": roles[seed.MAIN], "relkind": "m"})
-    relations.append({"oid": oid(10), "relname": "분할", "relnamespace": roles[seed.MAIN], "relkind": "p"})
+    relations.append({"oid": oid(9), "relname": "Jahresmittel", "relnamespace": roles[seed.MAIN], "relkind": "m"})
+    relations.append({"oid": oid(10), "relname": "Ablesung_alt", "relnamespace": roles[seed.MAIN], "relkind": "p"})
     relations += [
         {"oid": oid(i), "relname": name, "relnamespace": roles[ROLES[t]], "relkind": "i", "relam": 403}
         for i, t, name, *_ in seed.INDEXES
@@ -168,7 +168,7 @@ def postgresql(customer: DataFrame) -> Frames:
     notes += [{"o": oid(s[0]), "s": 0, "c": "pg_class", "note": s[7]} for s in seed.SEQUENCES]
     notes += [{"o": oid(r[0]), "s": 0, "c": "pg_proc", "note": r[3]} for r in seed.ROUTINES]
     # The same oid in another catalog is another object.
-    notes.append({"o": oid(1), "s": 0, "c": "pg_proc", "note": "다른 객체"})
+    notes.append({"o": oid(1), "s": 0, "c": "pg_proc", "note": "anderes Objekt"})
     notes += [{"o": oid(t[0]), "s": 0, "c": "pg_trigger", "note": t[7]} for t in seed.TRIGGERS]
     notes += [{"o": oid(c[0]), "s": c[1], "c": "pg_class", "note": c[5]} for c in seed.COLUMNS]
     d.add("pg_description", [n for n in notes if n["note"]], "o long, s int, c string, note string",
@@ -179,7 +179,7 @@ def postgresql(customer: DataFrame) -> Frames:
     attributes.append({**hidden, "t": 2, "pos": 5, "cname": "........pg.dropped.5........", "dropped": True})
     attributes.append({**hidden, "t": 2, "pos": -1, "cname": "ctid"})
     for table in (9, 10):
-        attributes.append({**hidden, "t": table, "pos": 1, "cname": "열", "dtype": "text"})
+        attributes.append({**hidden, "t": table, "pos": 1, "cname": "Spalte", "dtype": "text"})
     d.add("pg_attribute", attributes, _COLUMN_FIELDS + ", dropped boolean",
           attrelid=F.col("t") + 16000, attnum=F.col("pos"), attname=_column_name(), format_type=F.col("dtype"),
           attnotnull=~F.col("nullable_"), attisdropped=F.coalesce("dropped", F.lit(False)))
@@ -192,7 +192,7 @@ def postgresql(customer: DataFrame) -> Frames:
     d.add("pg_constraint",
           [{"conname": n, "conrelid": oid(c), "confrelid": oid(p), "conkey": ck, "confkey": pk, "contype": "f"}
            for n, c, ck, p, pk in seed.FOREIGN_KEYS]
-          + [{"conname": "CK_급여", "conrelid": oid(1), "conkey": [6], "contype": "c"}],
+          + [{"conname": "CK_Kilometer", "conrelid": oid(1), "conkey": [4], "contype": "c"}],
           NATIVE["postgresql"]["pg_constraint"])
     d.add("views", [{"table_name": seed.VIEW[1]}], "table_name string", table_schema=F.col("main_owner"),
           is_updatable=F.when(F.col("updatable"), F.lit("YES")).otherwise(F.lit("NO")))
@@ -203,8 +203,8 @@ def postgresql(customer: DataFrame) -> Frames:
          "return_type": pg_type(ret) if ret else "void", "prolang": 13}
         for i, name, kind, _, args, ret in seed.ROUTINES
     ]
-    routines.append({**routines[1], "oid": oid(33), "identity_args": "p_이름 text"})  # an overload
-    routines.append({**routines[1], "oid": oid(34), "proname": "합계", "prokind": "a"})  # left out
+    routines.append({**routines[1], "oid": oid(33), "identity_args": "p_name text"})  # an overload
+    routines.append({**routines[1], "oid": oid(34), "proname": "Gesamt", "prokind": "a"})  # left out
     d.add("pg_proc", routines, NATIVE["postgresql"]["pg_proc"])
     d.add("pg_language", [{"oid": 13, "lanname": "plpgsql"}], NATIVE["postgresql"]["pg_language"])
     d.add("pg_sequences", _sequence_rows(big=False), _SEQUENCE_FIELDS,
@@ -343,8 +343,8 @@ def oracle(customer: DataFrame) -> Frames:
         constraints.append({"con": name, "ctype": "R", "tname": NAMES[c], "role": ROLES[c], "rrole": ROLES[p], "rcon": target[2]})
         parts += [{"con": name, "tname": NAMES[c], "role": ROLES[c], "cname": COLUMN_NAMES[(c, cp)],
                    "position": target[3].index(pp) + 1} for cp, pp in zip(child, parent, strict=True)]
-    constraints.append({"con": "CK_급여", "ctype": "C", "tname": NAMES[1], "role": seed.MAIN})
-    parts.append({"con": "CK_급여", "tname": NAMES[1], "role": seed.MAIN, "cname": "급여"})
+    constraints.append({"con": "CK_Kilometer", "ctype": "C", "tname": NAMES[1], "role": seed.MAIN})
+    parts.append({"con": "CK_Kilometer", "tname": NAMES[1], "role": seed.MAIN, "cname": "Kilometer"})
     d.add("all_constraints", constraints, "con string, ctype string, tname string, role string, rrole string, rcon string",
           **table, constraint_name=F.col("con"), constraint_type=F.col("ctype"), r_owner=_owner("rrole"),
           r_constraint_name=F.col("rcon"))
@@ -366,9 +366,9 @@ def oracle(customer: DataFrame) -> Frames:
           read_only=F.when(F.col("updatable"), F.lit("N")).otherwise(F.lit("Y")))
     procedures = [{"object_name": n, "object_type": k} for _, n, k, *_ in seed.ROUTINES]
     # A package: itself (left out), a procedure, its overload, a function.
-    procedures.append({"object_name": "급여패키지", "object_type": "PACKAGE", "subprogram_id": 0})
-    for number, member in enumerate(("정산", "정산", "합산"), start=1):
-        procedures.append({"object_name": "급여패키지", "procedure_name": member, "object_type": "PACKAGE", "subprogram_id": number})
+    procedures.append({"object_name": "Auswertung", "object_type": "PACKAGE", "subprogram_id": 0})
+    for number, member in enumerate(("Ganglinie", "Ganglinie", "Summe"), start=1):
+        procedures.append({"object_name": "Auswertung", "procedure_name": member, "object_type": "PACKAGE", "subprogram_id": number})
     d.add("all_procedures", procedures, "object_name string, procedure_name string, object_type string, subprogram_id int",
           owner=F.col("main_owner"))
     ora_type = lambda kind: seed.TYPES[kind]["oracle"][0]
@@ -377,13 +377,13 @@ def oracle(customer: DataFrame) -> Frames:
         for _, n, _, _, args, _ in seed.ROUTINES for i, (a, m, t) in enumerate(args, start=1)
     ]
     arguments += [{"object_name": n, "position": 0, "in_out": "OUT", "data_type": ora_type(r)} for _, n, _, _, _, r in seed.ROUTINES if r]
-    member = {"package_name": "급여패키지", "in_out": "IN", "data_type": "NUMBER"}
+    member = {"package_name": "Auswertung", "in_out": "IN", "data_type": "NUMBER"}
     arguments += [
-        {**member, "object_name": "정산", "subprogram_id": 1, "argument_name": "p_월", "position": 1, "default_value": "1"},
-        {**member, "object_name": "정산", "subprogram_id": 2, "argument_name": "p_월", "position": 1},
-        {**member, "object_name": "정산", "subprogram_id": 2, "argument_name": "p_년", "position": 2},
-        {**member, "object_name": "합산", "subprogram_id": 3, "position": 0, "in_out": "OUT"},
-        {**member, "object_name": "합산", "subprogram_id": 3, "argument_name": "p_월", "position": 1},
+        {**member, "object_name": "Ganglinie", "subprogram_id": 1, "argument_name": "p_monat", "position": 1, "default_value": "1"},
+        {**member, "object_name": "Ganglinie", "subprogram_id": 2, "argument_name": "p_monat", "position": 1},
+        {**member, "object_name": "Ganglinie", "subprogram_id": 2, "argument_name": "p_jahr", "position": 2},
+        {**member, "object_name": "Summe", "subprogram_id": 3, "position": 0, "in_out": "OUT"},
+        {**member, "object_name": "Summe", "subprogram_id": 3, "argument_name": "p_monat", "position": 1},
     ]
     d.add("all_arguments", arguments[::-1],
           "object_name string, package_name string, subprogram_id int, argument_name string, position int, in_out string, "
@@ -402,7 +402,7 @@ def oracle(customer: DataFrame) -> Frames:
           where="has_triggers", owner=F.col("main_owner"), table_owner=F.col("main_owner"))
     d.add("all_synonyms", [{"synonym_name": n, "table_name": NAMES[t]} for _, n, t, _ in seed.SYNONYMS],
           "synonym_name string, table_name string", where="has_synonyms",
-          owner=F.when(F.col("synonym_name") == "PAY", F.col("main_owner")).otherwise(F.lit("PUBLIC")),
+          owner=F.when(F.col("synonym_name") == "READING", F.col("main_owner")).otherwise(F.lit("PUBLIC")),
           table_owner=F.col("main_owner"), db_link=F.lit(None))
     return d.frames()
 
@@ -493,8 +493,8 @@ def mssql(customer: DataFrame) -> Frames:
     database = F.concat(F.lit("["), F.col("database_name"), F.lit("]."))
     d.add("synonyms", [{"object_id": oid(i), "schema_id": 5, "name": n, "tname": NAMES[t]} for i, n, t, _ in seed.SYNONYMS],
           "object_id long, schema_id int, name string, tname string", where="has_synonyms",
-          base_object_name=F.when(F.col("name") == "EMP", F.concat(schema, target))
-          .when(F.col("name") == "DEPT", F.concat(database, schema, target)).otherwise(target))
+          base_object_name=F.when(F.col("name") == "GAUGE", F.concat(schema, target))
+          .when(F.col("name") == "WATER", F.concat(database, schema, target)).otherwise(target))
     return d.frames()
 
 

@@ -1,24 +1,23 @@
-"""The HR catalog that every database of the fleet holds, in logical form.
+"""The catalog of a gauging service that every database of the fleet holds, in logical form.
 
-The first three tables, the view, the routines, the sequences, the first two triggers and the first
-two synonyms are fixed values. The other objects put the hard cases into every source: a composite
-foreign key, a name under two owners, a column in two unique indexes, a trigger on several events and
-a trigger on a view.
+Invented for this fleet. It puts the hard cases into every source: a composite foreign key whose columns stand in another order,
+a name under two owners, a column in two unique indexes, a trigger on several events, a trigger on a view, a sequence beyond
+64 bits, markup and quotes in comments, names outside ASCII.
 """
 
 MAIN, ARCHIVE, SYSTEM = "main", "archive", "system"
 
 # number, name, owner role, rows (None: not known), comment, created, modified
 TABLES = [
-    (1, "사원", MAIN, 150, "사원 기본 정보 테이블", "2024-01-01 10:00:00", "2024-12-15 14:30:00"),
-    (2, "부서", MAIN, 25, "부서 정보 테이블", "2024-01-01 09:30:00", "2024-06-20 11:00:00"),
-    (3, "급여이력", MAIN, 450, "사원 급여 변경 이력", "2024-01-01 10:30:00", "2025-01-05 09:15:00"),
-    (4, "근무지", MAIN, 12, "근무지 <지역 & 지점>", None, None),
-    (5, "근무배정", MAIN, 300, "", None, None),
-    (6, "부서", ARCHIVE, None, "보관된 부서", "2020-03-01 00:00:00", None),
-    (7, "설정", SYSTEM, 3, "", None, None),
+    (1, "Messstelle", MAIN, 84, "Pegel an Flüssen und Seen", "2019-04-02 08:15:00", "2023-11-30 17:45:10"),
+    (2, "Gewässer", MAIN, 31, "Flüsse, Seen, Kanäle", "2019-04-02 08:00:00", "2021-02-17 06:05:59"),
+    (3, "Ablesung", MAIN, 9120, "Abgelesene Wasserstände", "2019-05-20 12:00:00", "2024-03-01 00:00:01"),
+    (4, "Revier", MAIN, 6, "Revier <Nord & Süd>", None, None),
+    (5, "Dienst", MAIN, 77, "", None, None),
+    (6, "Gewässer", ARCHIVE, None, "Stand der alten Kartierung", "1998-07-01 00:00:00", None),
+    (7, "Einstellung", SYSTEM, 3, "", None, None),
 ]
-VIEW = (8, "부서별사원현황", MAIN, "부서별 사원 수 및 평균 급여 조회 뷰")
+VIEW = (8, "Pegelübersicht", MAIN, "Mittlerer Wasserstand je Messstelle")
 
 # Type texts and (length, precision, scale) per dialect.
 TYPES = {
@@ -36,99 +35,96 @@ TYPES = {
 
 # table number, position, name, type, nullable, comment
 COLUMNS = [
-    (1, 1, "사원번호", "num6", False, "사원 고유 식별번호"),
-    (1, 2, "이름", "text50", False, "사원 성명"),
-    (1, 3, "생년월일", "date", True, "사원 생년월일"),
-    (1, 4, "부서코드", "num4", True, "소속 부서 코드 (외래키)"),
-    (1, 5, "직급코드", "text10", True, "직급 코드"),
-    (1, 6, "급여", "money", True, "월 급여액"),
-    (1, 7, "입사일", "date", False, "입사 일자"),
-    (1, 8, "이메일", "text100", True, "회사 이메일 주소 (UNIQUE)"),
-    (2, 1, "부서코드", "num4", False, "부서 고유 코드"),
-    (2, 2, "부서명", "text50", False, "부서 명칭"),
-    (2, 3, "상위부서코드", "num4", True, "상위 부서 코드 (NULL이면 최상위)"),
-    (2, 4, "위치", "text100", True, "부서 사무실 위치"),
-    (3, 1, "이력번호", "num10", False, "이력 고유번호 (자동증가)"),
-    (3, 2, "사원번호", "num6", False, "사원번호 (외래키)"),
-    (3, 3, "변경일자", "date", False, "급여 변경 적용 일자"),
-    (3, 4, "변경전급여", "money", True, "변경 전 급여액"),
-    (3, 5, "변경후급여", "money", False, "변경 후 급여액"),
-    (3, 6, "변경사유", "text200", True, "급여 변경 사유"),
-    (4, 1, "지역코드", "num4", False, "지역 코드"),
-    (4, 2, "지점코드", "num4", False, "지점 코드"),
-    (4, 3, "지점명", "text50", True, "지점 \"이름\""),
-    (5, 1, "배정번호", "num10", False, "배정 번호"),
-    (5, 2, "배정지점", "num4", False, "지점 (복합 외래키)"),
-    (5, 3, "배정지역", "num4", False, "지역 (복합 외래키)"),
-    (5, 4, "증번", "text10", True, "신분증 번호"),
-    (6, 1, "부서코드", "num4", False, "보관된 부서 코드"),
-    (6, 2, "부서명", "text50", True, ""),
-    (7, 1, "값", "text50", True, ""),
-    (8, 1, "부서코드", "num4", True, "부서 코드"),
-    (8, 2, "부서명", "text50", True, "부서 명칭"),
-    (8, 3, "사원수", "number", True, "부서 소속 사원 수"),
-    (8, 4, "평균급여", "number", True, "부서 평균 급여"),
+    (1, 1, "Nummer", "num6", False, "Nummer im Pegelverzeichnis"),
+    (1, 2, "Gewässernummer", "num4", True, "woran die Messstelle liegt"),
+    (1, 3, "Bezeichnung", "text50", False, "Name auf der Karte"),
+    (1, 4, "Kilometer", "money", True, "Weg von der Mündung"),
+    (1, 5, "Betriebsart", "text10", True, "von Hand oder selbsttätig"),
+    (1, 6, "Kennung", "text100", True, "Kennung im Funknetz"),
+    (1, 7, "Eröffnet", "date", True, "erster Tag der Reihe"),
+    (2, 1, "Gewässernummer", "num4", False, "amtliche Nummer"),
+    (2, 2, "Name", "text50", False, "amtlicher Name"),
+    (2, 3, "Mündung", "num4", True, "Nummer des Gewässers, in das es fließt"),
+    (3, 1, "Laufnummer", "num10", False, "fortlaufend"),
+    (3, 2, "Stelle", "num6", False, "wo abgelesen wurde"),
+    (3, 3, "Tag", "date", False, "wann abgelesen wurde"),
+    (3, 4, "Wasserstand", "money", True, "in Zentimetern über dem Nullpunkt"),
+    (3, 5, "Bemerkung", "text200", True, "Eis, Treibgut, Ausfall"),
+    (4, 1, "Bezirk", "num4", False, "erster Teil des Schlüssels"),
+    (4, 2, "Abschnitt", "num4", False, "zweiter Teil des Schlüssels"),
+    (4, 3, "Titel", "text50", True, "der \"Rufname\""),
+    (5, 1, "Dienstnummer", "num10", False, "Nummer des Dienstes"),
+    (5, 2, "Dienstabschnitt", "num4", False, "Abschnitt des Reviers"),
+    (5, 3, "Dienstbezirk", "num4", False, "Bezirk des Reviers"),
+    (5, 4, "Ausweis", "text10", True, "Nummer des Ausweises"),
+    (6, 1, "Gewässernummer", "num4", False, "alte Nummer"),
+    (6, 2, "Name", "text50", True, ""),
+    (7, 1, "Wert", "text50", True, ""),
+    (8, 1, "Nummer", "num6", True, "Nummer der Messstelle"),
+    (8, 2, "Bezeichnung", "text50", True, "Name der Messstelle"),
+    (8, 3, "Ablesungen", "number", True, "wie viele es gibt"),
+    (8, 4, "Mittel", "number", True, "mittlerer Wasserstand"),
 ]
-RENAMED = (3, 6, "Text")  # the column and its forbidden name, in some sources
+RENAMED = (3, 5, "Text")  # the column and its forbidden name, in some sources
 
 # Default texts as the server reports them; Oracle keeps trailing blanks, which are trimmed.
 DEFAULTS = {
-    (1, 5): {"postgresql": "'STAFF'::character varying", "mysql": "STAFF", "oracle": "'STAFF'", "mssql": "('STAFF')"},
-    (3, 1): {"postgresql": "nextval('급여이력_SEQ'::regclass)", "mysql": None, "oracle": "급여이력_SEQ.NEXTVAL", "mssql": None},
+    (1, 5): {"postgresql": "'HAND'::character varying", "mysql": "HAND", "oracle": "'HAND'", "mssql": "('HAND')"},
+    (3, 1): {"postgresql": "nextval('Ablesung_Zähler'::regclass)", "mysql": None, "oracle": "Ablesung_Zähler.NEXTVAL", "mssql": None},
 }
 AUTO_INCREMENT = (3, 1)  # by default in PostgreSQL, by property in MySQL and SQL Server, unknown in Oracle
 
 # number, table number, name, column positions, unique, primary, comment
 INDEXES = [
-    (11, 1, "PK_사원", [1], True, True, "사원 기본키"),
-    (12, 1, "IDX_사원_부서", [4], False, False, "부서별 검색용 인덱스"),
-    (13, 1, "UK_사원_이메일", [8], True, False, ""),
-    (14, 2, "PK_부서", [1], True, True, "부서 기본키"),
-    (15, 3, "PK_급여이력", [1], True, True, ""),
-    (16, 3, "IDX_급여이력_사원", [2, 3], False, False, "사원별 급여 이력 검색용"),
-    (17, 4, "PK_근무지", [1, 2], True, True, ""),
-    (18, 5, "PK_근무배정", [1], True, True, ""),
-    (19, 5, "UK_근무배정_증번", [4], True, False, ""),
-    (20, 5, "UK_근무배정_지역", [4, 3], True, False, ""),
-    (21, 6, "PK_부서", [1], True, True, ""),
-    (22, 6, "IDX_부서_이름", [2], False, False, ""),
+    (11, 1, "PK_Messstelle", [1], True, True, "Schlüssel der Messstellen"),
+    (12, 1, "IX_Messstelle_Lage", [2, 4], False, False, "Stellen eines Gewässers der Reihe nach"),
+    (13, 1, "UQ_Messstelle_Kennung", [6], True, False, ""),
+    (14, 2, "PK_Gewässer", [1], True, True, "Schlüssel der Gewässer"),
+    (15, 3, "PK_Ablesung", [1], True, True, ""),
+    (16, 3, "IX_Ablesung_Reihe", [2, 3], False, False, "Reihe einer Stelle"),
+    (17, 4, "PK_Revier", [1, 2], True, True, ""),
+    (18, 5, "PK_Dienst", [1], True, True, ""),
+    (19, 5, "UQ_Dienst_Ausweis", [4], True, False, ""),
+    (20, 5, "UQ_Dienst_Bezirk", [4, 3], True, False, ""),
+    (21, 6, "PK_Gewässer", [1], True, True, ""),
+    (22, 6, "IX_Gewässer_Name", [2], False, False, ""),
 ]
 # name, child table, child positions, parent table, parent positions
 FOREIGN_KEYS = [
-    ("FK_사원_부서", 1, [4], 2, [1]),
-    ("FK_급여이력_사원", 3, [2], 1, [1]),
-    ("FK_근무배정_근무지", 5, [2, 3], 4, [2, 1]),
+    ("FK_Messstelle_Gewässer", 1, [2], 2, [1]),
+    ("FK_Ablesung_Stelle", 3, [2], 1, [1]),
+    ("FK_Dienst_Revier", 5, [2, 3], 4, [2, 1]),
 ]
 
 # number, name, type, comment, arguments (name, mode, type), return type
 ROUTINES = [
-    (31, "급여인상처리", "PROCEDURE", "전사원 급여 인상 일괄 처리 프로시저", [("p_인상률", "IN", "number"), ("p_적용일", "IN", "date")], ""),
-    (32, "사원정보조회", "FUNCTION", "사원번호로 사원 상세 정보 조회", [("p_사원번호", "IN", "number")], "text50"),
+    (31, "Ablesung_nachtragen", "PROCEDURE", "schließt eine Lücke der Reihe", [("p_stelle", "IN", "number"), ("p_tag", "IN", "date")], ""),
+    (32, "Höchststand", "FUNCTION", "der höchste Wasserstand einer Stelle", [("p_stelle", "IN", "number")], "text50"),
 ]
 # name, min, max, increment, last, cache, comment
 SEQUENCES = [
-    (41, "급여이력_SEQ", 1, 999999999, 1, 450, 20, "급여이력 테이블 이력번호 자동생성용 시퀀스"),
-    (42, "사원번호_SEQ", 100000, 999999, 1, 100150, 10, "사원번호 자동생성 시퀀스 (6자리)"),
+    (41, "Ablesung_Zähler", 1, 500000000, 1, 9120, 50, "Laufnummern der Ablesungen"),
+    (42, "Messstelle_Zähler", 200000, 899999, 5, 200420, 25, "Nummern neuer Messstellen"),
     (43, "BIG_SEQ", 1, 9999999999999999999999999999, 1, 1, 0, ""),
 ]
 # number, name, table number, timing, events, level, enabled, comment
 TRIGGERS = [
-    (51, "TRG_사원_입사일체크", 1, "BEFORE", ["INSERT"], "ROW", True, "입사일이 미래 날짜인지 검증하는 트리거"),
-    (52, "TRG_급여_이력기록", 1, "AFTER", ["UPDATE"], "ROW", True, "급여 변경 시 이력 테이블에 자동 기록"),
-    (53, "TRG_부서_감사", 2, "AFTER", ["INSERT", "UPDATE", "DELETE"], "STATEMENT", False, ""),
-    (54, "TRG_현황_대체", 8, "INSTEAD OF", ["INSERT"], "ROW", True, ""),
+    (51, "TR_Ablesung_Grenzen", 3, "BEFORE", ["INSERT"], "ROW", True, "weist unmögliche Wasserstände ab"),
+    (52, "TR_Messstelle_Spur", 1, "AFTER", ["UPDATE"], "ROW", True, "hält Änderungen fest"),
+    (53, "TR_Gewässer_Prüfung", 2, "AFTER", ["INSERT", "UPDATE", "DELETE"], "STATEMENT", False, ""),
+    (54, "TR_Übersicht_Ersatz", 8, "INSTEAD OF", ["INSERT"], "ROW", True, ""),
 ]
 # number, name, target table number, comment
 SYNONYMS = [
-    (61, "EMP", 1, "사원 테이블의 영문 동의어"),
-    (62, "DEPT", 2, "부서 테이블의 영문 동의어"),
-    (63, "PAY", 3, ""),
+    (61, "GAUGE", 1, "englischer Name der Messstellen"),
+    (62, "WATER", 2, "englischer Name der Gewässer"),
+    (63, "READING", 3, ""),
 ]
 
 VERSIONS = {
     "postgresql": ["PostgreSQL 16.2"],
     "mysql": ["8.0.36"],
-    "oracle": ["19c Enterprise Edition", "PL/SQL Release 19.0.0.0.0"],
+    "oracle": ["21c Standard Edition", "PL/SQL Release 19.0.0.0.0"],
     "mssql": ["Microsoft SQL Server 2022"],
 }
 DIALECT_CODES = {"postgresql": 0, "mysql": 1, "oracle": 2, "mssql": 3}
@@ -136,12 +132,12 @@ SYSTEM_OWNER = {"postgresql": "pg_catalog", "mysql": "mysql", "oracle": "SYS", "
 EXTRACTED_AT = "2025-01-31T09:00:00Z"
 
 # How sources differ, by the customer that owns the database:
-#   owner of the main objects  HR when c_nationkey < 20, else HR2
+#   owner of the main objects  PEGEL when c_nationkey < 20, else PEGEL2
 #   row counts                 plus c_custkey
 #   column comments            blank when (c_custkey + position) mod 3 = 0
 #   triggers                   none when c_mktsegment = BUILDING
 #   synonyms                   none when c_acctbal < 0
-#   column 변경사유              named Text when c_mktsegment = MACHINERY
+#   column Bemerkung             named Text when c_mktsegment = MACHINERY
 #   view                       updatable when c_mktsegment = HOUSEHOLD
 #   second sequence            cyclic when c_mktsegment = FURNITURE
 NO_TRIGGERS, RENAMES, UPDATABLE, CYCLIC = "BUILDING", "MACHINERY", "HOUSEHOLD", "FURNITURE"

@@ -40,10 +40,10 @@ def _values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def _source(d: str) -> str:
-    archive = {"postgresql": "'public'", "mysql": "'인사관리DB_' || c_custkey", "oracle": "'HR_ARC'", "mssql": "'dbo'"}
+    archive = {"postgresql": "'public'", "mysql": "'Pegeldienst_' || c_custkey", "oracle": "'PEGEL_ARC'", "mssql": "'dbo'"}
     return f"""src_{d} AS (
 SELECT c_custkey * 4 + {seed.DIALECT_CODES[d]} AS source_id, '{d}' AS dialect, c_custkey AS k, c_mktsegment AS segment,
-  CASE WHEN c_nationkey < 20 THEN 'HR' ELSE 'HR2' END AS main_owner, {archive[d]} AS archive_owner,
+  CASE WHEN c_nationkey < 20 THEN 'PEGEL' ELSE 'PEGEL2' END AS main_owner, {archive[d]} AS archive_owner,
   '{seed.SYSTEM_OWNER[d]}' AS system_owner, c_acctbal AS balance
 FROM customer)"""
 
@@ -138,15 +138,15 @@ def _routines(d: str) -> str:
     if d == "postgresql":
         _, name, kind, _, _, returns = seed.ROUTINES[1]
         result = kind_of(returns)
-        rows.append((name, kind, "", f"{kind} {name}(p_이름 text) RETURNS {result}", result, ""))
+        rows.append((name, kind, "", f"{kind} {name}(p_name text) RETURNS {result}", result, ""))
     if d == "mysql":
         name = seed.ROUTINES[1][1]
         rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(OUT p_out int)", "", "p_out:1:OUT:int:"))
     if d == "oracle":
-        name, one, two = "급여패키지.정산", "p_월:1:IN:NUMBER:", "p_년:2:IN:NUMBER:"
-        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(p_월 IN NUMBER)", "", one + "1"))
-        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(p_월 IN NUMBER, p_년 IN NUMBER)", "", f"{one};{two}"))
-        rows.append(("급여패키지.합산", "FUNCTION", "", "FUNCTION 급여패키지.합산(p_월 IN NUMBER) RETURN <type>", "", one))
+        name, one, two = "Auswertung.Ganglinie", "p_monat:1:IN:NUMBER:", "p_jahr:2:IN:NUMBER:"
+        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(p_monat IN NUMBER)", "", one + "1"))
+        rows.append((name, "PROCEDURE", "", f"PROCEDURE {name}(p_monat IN NUMBER, p_jahr IN NUMBER)", "", f"{one};{two}"))
+        rows.append(("Auswertung.Summe", "FUNCTION", "", "FUNCTION Auswertung.Summe(p_monat IN NUMBER) RETURN <type>", "", one))
     return f"""SELECT source_id, dialect, main_owner AS owner, name, type, note AS comment, signature, return_type,
   '{language}' AS language, args AS arguments
 FROM src_{d}, {_values('s', 'name, type, note, signature, return_type, args', rows)}"""
@@ -190,11 +190,11 @@ WHERE segment <> '{seed.NO_TRIGGERS}'"""
 def _synonyms(d: str) -> str:
     rows = [(n, NAME_OF[t], "" if d == "oracle" else note) for _, n, t, note in seed.SYNONYMS]
     if d == "oracle":
-        facts = "CASE WHEN name = 'PAY' THEN main_owner ELSE 'PUBLIC' END AS owner, name, target AS target_object, " \
-                "main_owner AS target_owner, 'TABLE' AS target_type, name <> 'PAY' AS is_public"
+        facts = "CASE WHEN name = 'READING' THEN main_owner ELSE 'PUBLIC' END AS owner, name, target AS target_object, " \
+                "main_owner AS target_owner, 'TABLE' AS target_type, name <> 'READING' AS is_public"
     else:
         facts = "main_owner AS owner, name, target AS target_object, " \
-                "CASE WHEN name = 'PAY' THEN '' ELSE main_owner END AS target_owner, 'TABLE' AS target_type, false AS is_public"
+                "CASE WHEN name = 'READING' THEN '' ELSE main_owner END AS target_owner, 'TABLE' AS target_type, false AS is_public"
     return f"""SELECT source_id, dialect, {facts}, note AS comment
 FROM src_{d}, {_values('s', 'name, target, note', rows)} WHERE balance >= 0"""
 
@@ -208,7 +208,7 @@ def kind_sql(dialect: str, kind: str) -> str:
 
 
 def _info(d: str) -> str:
-    return f"""SELECT source_id, dialect, '인사관리DB_' || k AS database_name, '{LABELS[d]}' AS database_type,
+    return f"""SELECT source_id, dialect, 'Pegeldienst_' || k AS database_name, '{LABELS[d]}' AS database_type,
   {_lit(seed.VERSIONS[d][0])} AS version, '{seed.EXTRACTED_AT}' AS extracted_at FROM src_{d}"""
 
 
@@ -245,22 +245,22 @@ def filter_schemas() -> str:
     """Each dialect's default owners; all for Oracle."""
     return ctes("tables") + """SELECT source_id, dialect, owner, name FROM cat_tables
 WHERE (dialect = 'postgresql' AND owner = 'public') OR (dialect = 'mssql' AND owner = 'dbo') OR dialect = 'oracle'
-   OR (dialect = 'mysql' AND owner = '인사관리DB_' || (source_id // 4))"""
+   OR (dialect = 'mysql' AND owner = 'Pegeldienst_' || (source_id // 4))"""
 
 
 def filter_schemas_named() -> str:
-    return ctes("tables") + "SELECT source_id, dialect, owner, name FROM cat_tables WHERE owner IN ('HR', 'dbo')"
+    return ctes("tables") + "SELECT source_id, dialect, owner, name FROM cat_tables WHERE owner IN ('PEGEL', 'dbo')"
 
 
 def filter_objects() -> str:
-    """Tables only, no system owners, without the tables named 부서, row counts off."""
+    """Tables only, no system owners, without the other tables, row counts off."""
     system = " OR ".join(f"(dialect = '{d}' AND owner = '{o}')" for d, o in seed.SYSTEM_OWNER.items())
     return ctes("tables", "columns") + f"""
 SELECT 'tables' AS frame, source_id, owner, name AS object, row_count * 0 AS row_count FROM cat_tables
-WHERE name IN ('사원', '급여이력', '설정') AND NOT ({system})
+WHERE name IN ('Messstelle', 'Ablesung', 'Einstellung') AND NOT ({system})
 UNION ALL
 SELECT 'columns', source_id, owner, table_name || '.' || name, 0 FROM cat_columns
-WHERE object_kind = 'TABLE' AND table_name IN ('사원', '급여이력', '설정') AND NOT ({system})"""
+WHERE object_kind = 'TABLE' AND table_name IN ('Messstelle', 'Ablesung', 'Einstellung') AND NOT ({system})"""
 
 
 def filter_types() -> str:

@@ -50,31 +50,31 @@ def test_dialects_agree(fleet_catalog):
     found = {
         d: sorted(map(tuple, columns.where(F.col("dialect") == d).select(*facts).collect())) for d in NORMALISERS
     }
-    assert len(found["oracle"]) == 28
+    assert len(found["oracle"]) == 25
     assert found["oracle"] == found["postgresql"] == found["mysql"] == found["mssql"]
 
 
 def test_composite_foreign_keys_are_paired(fleet_catalog):
-    rows = of_customer(fleet_catalog["columns"]).where("table_name = '근무배정' and is_foreign_key").collect()
+    rows = of_customer(fleet_catalog["columns"]).where("table_name = 'Dienst' and is_foreign_key").collect()
     assert {(r["dialect"], r["name"], r["fk_target_column"]) for r in rows} == {
-        (d, child, parent) for d in NORMALISERS for child, parent in (("배정지점", "지점코드"), ("배정지역", "지역코드"))}
+        (d, child, parent) for d in NORMALISERS for child, parent in (("Dienstabschnitt", "Abschnitt"), ("Dienstbezirk", "Bezirk"))}
 
 
 def test_mysql_key_code_is_not_a_foreign_key(dumps):
-    archived = "table_name = '부서' and name = '부서명' and owner not in ('HR', 'HR2')"
+    archived = "table_name = 'Gewässer' and name = 'Name' and owner not in ('PEGEL', 'PEGEL2')"
     assert not one(of_customer(my.mysql_columns(dumps["mysql"], ALL)), archived)["is_foreign_key"]
     assert one(of_customer(my.mysql_columns(dumps["mysql"], ALL, raw_foreign_keys=True)), archived)["is_foreign_key"]
 
 
 @pytest.mark.parametrize("dialect", sorted(NORMALISERS))
 def test_indexes_of_equal_table_names_stay_apart(fleet_catalog, dialect):
-    found = of_customer(fleet_catalog["indexes"]).where((F.col("dialect") == dialect) & (F.col("table_name") == "부서"))
+    found = of_customer(fleet_catalog["indexes"]).where((F.col("dialect") == dialect) & (F.col("table_name") == "Gewässer"))
     assert found.groupBy("owner").count().select("count").orderBy("count").collect() == [(1,), (2,)]
     assert found.where("is_primary").count() == 2
 
 
 def test_column_in_two_unique_indexes_is_one_row(fleet_catalog):
-    rows = of_customer(fleet_catalog["columns"]).where("table_name = '근무배정' and name = '증번'").collect()
+    rows = of_customer(fleet_catalog["columns"]).where("table_name = 'Dienst' and name = 'Ausweis'").collect()
     assert len(rows) == 4 and all(r["is_unique"] for r in rows)
 
 
@@ -82,13 +82,13 @@ def test_trigger_events(spark, fleet_catalog):
     customer = spark.read.parquet(f"{SF_DIR}/customer.parquet")
     k = customer.where("c_mktsegment <> 'BUILDING'").first()["c_custkey"]
     rows = {(r["dialect"], r["name"]): r for r in of_customer(fleet_catalog["triggers"], k).collect()}
-    audit = rows[("postgresql", "TRG_부서_감사")]
+    audit = rows[("postgresql", "TR_Gewässer_Prüfung")]
     assert (audit["event"], audit["events"], audit["level"], audit["status"]) == (
         "INSERT", ["INSERT", "DELETE", "UPDATE"], "STATEMENT", "DISABLED")
-    assert rows[("mssql", "TRG_부서_감사")]["events"] == ["INSERT", "UPDATE", "DELETE"]
-    assert rows[("mssql", "TRG_부서_감사")]["level"] == "ROW"
-    assert rows[("oracle", "TRG_현황_대체")]["timing"] == "INSTEAD OF"
-    assert ("mssql", "TRG_현황_대체") not in rows  # triggers on views are lost
+    assert rows[("mssql", "TR_Gewässer_Prüfung")]["events"] == ["INSERT", "UPDATE", "DELETE"]
+    assert rows[("mssql", "TR_Gewässer_Prüfung")]["level"] == "ROW"
+    assert rows[("oracle", "TR_Übersicht_Ersatz")]["timing"] == "INSTEAD OF"
+    assert ("mssql", "TR_Übersicht_Ersatz") not in rows  # triggers on views are lost
     assert not any("RI_trigger" in n or "shipped" in n for _, n in rows)
 
 
@@ -116,27 +116,27 @@ def test_first_constraint_by_name_gives_the_target(spark):
 def test_oracle_choices(fleet_catalog):
     tables = of_customer(fleet_catalog["tables"]).where("dialect = 'oracle'")
     assert {r["type"] for r in tables.collect()} == {"TABLE"}
-    overloads = of_customer(fleet_catalog["routines"]).where("name = '급여패키지.정산'").collect()
+    overloads = of_customer(fleet_catalog["routines"]).where("name = 'Auswertung.Ganglinie'").collect()
     assert sorted(r["signature"] for r in overloads) == [
-        "PROCEDURE 급여패키지.정산(p_월 IN NUMBER)", "PROCEDURE 급여패키지.정산(p_월 IN NUMBER, p_년 IN NUMBER)"]
+        "PROCEDURE Auswertung.Ganglinie(p_monat IN NUMBER)", "PROCEDURE Auswertung.Ganglinie(p_monat IN NUMBER, p_jahr IN NUMBER)"]
     assert sorted(r["arguments"][0]["default_value"] for r in overloads) == ["", "1"]
-    member = one(of_customer(fleet_catalog["routines"]), "name = '급여패키지.합산'")
-    assert member["type"] == "FUNCTION" and member["signature"] == "FUNCTION 급여패키지.합산(p_월 IN NUMBER) RETURN <type>"
+    member = one(of_customer(fleet_catalog["routines"]), "name = 'Auswertung.Summe'")
+    assert member["type"] == "FUNCTION" and member["signature"] == "FUNCTION Auswertung.Summe(p_monat IN NUMBER) RETURN <type>"
     function = one(of_customer(fleet_catalog["routines"]), "dialect = 'oracle' and type = 'FUNCTION' and not contains(name, '.')")
     assert function["signature"].endswith(" RETURN <type>")
     assert one(of_customer(fleet_catalog["sequences"]), "name = 'BIG_SEQ'")["max_value"] == 10**28 - 1
-    default = one(of_customer(fleet_catalog["columns"]), "dialect = 'oracle' and name = '직급코드'")
-    assert default["default_value"] == "'STAFF'"
+    default = one(of_customer(fleet_catalog["columns"]), "dialect = 'oracle' and name = 'Betriebsart'")
+    assert default["default_value"] == "'HAND'"
 
 
 def test_mssql_routine_types(dumps):
     plain, raw = (one(of_customer(ms.mssql_routines(dumps["mssql"], ALL, raw_type=r)), "true") for r in (False, True))
     assert (plain["type"], raw["type"]) == ("PROCEDURE", "SQL_STORED_PROCEDURE")
-    assert plain["signature"].startswith("PROCEDURE 급여인상처리(@p_인상률 IN ")
+    assert plain["signature"].startswith("PROCEDURE Ablesung_nachtragen(@p_stelle IN ")
 
 
 def test_mssql_synonym_targets(spark):
-    targets = {"[HR].[T]": ("HR", "T"), "[db].[HR].[T]": ("HR", "T"), "[srv].[db].[HR].[T]": ("HR", "T"), "T": ("", "T")}
+    targets = {"[PEGEL].[T]": ("PEGEL", "T"), "[db].[PEGEL].[T]": ("PEGEL", "T"), "[srv].[db].[PEGEL].[T]": ("PEGEL", "T"), "T": ("", "T")}
     frames = {
         "schemas": local_frame(spark, [(1, 1, "dbo")], native_schema("mssql", "schemas")),
         "synonyms": local_frame(spark, [(1, i, 1, t, t) for i, t in enumerate(targets)], native_schema("mssql", "synonyms")),
@@ -157,7 +157,7 @@ def test_pg_kinds_behind_flags(dumps):
     views = of_customer(pg.pg_views(dumps["postgresql"], ALL, include_materialized=True))
     assert sorted(r["type"] for r in views.collect()) == ["MATERIALIZED VIEW", "VIEW"]
     columns = of_customer(pg.pg_columns(dumps["postgresql"], ALL, include_partitioned=True, include_materialized=True))
-    assert {r["object_kind"] for r in columns.where("table_name in ('집계', '분할')").collect()} == {"TABLE", "VIEW"}
+    assert {r["object_kind"] for r in columns.where("table_name in ('Jahresmittel', 'Ablesung_alt')").collect()} == {"TABLE", "VIEW"}
 
 
 def test_dialect_names(spark):
@@ -171,8 +171,8 @@ def test_schema_defaults(spark, dumps):
     owners = lambda df: {r["owner"] for r in df.select("owner").distinct().collect()}
     assert owners(pg.pg_tables(dumps["postgresql"])) == {"public"}
     assert owners(ms.mssql_tables(dumps["mssql"])) == {"dbo"}
-    assert owners(of_customer(my.mysql_tables(dumps["mysql"]))) == {"인사관리DB_1"}
-    assert {"HR_ARC", "SYS"} < owners(ora.ora_tables(dumps["oracle"]))
+    assert owners(of_customer(my.mysql_tables(dumps["mysql"]))) == {"Pegeldienst_1"}
+    assert {"PEGEL_ARC", "SYS"} < owners(ora.ora_tables(dumps["oracle"]))
     df = local_frame(spark, [(1, "a"), (1, "b")], "source_id long, owner string")
     assert filter_schemas(df, "oracle", ["b"]).count() == 1 and filter_schemas(df, "oracle").count() == 2
 

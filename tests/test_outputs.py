@@ -35,14 +35,14 @@ def test_json_document(few):
     doc = json.loads(by_id[6]["json"])  # Oracle of customer 1
     assert list(doc)[:4] == ["databaseName", "databaseType", "version", "extractedAt"]
     assert (doc["databaseType"], doc["extractedAt"]) == ("Oracle", "2025-01-31T09:00:00Z")
-    employee = next(t for t in doc["tables"] if t["name"] == "사원")
-    assert [c["position"] for c in employee["columns"]] == list(range(1, 9))
-    assert employee["createdAt"] == "2024-01-01 10:00:00" and employee["rowCount"] == 151
+    employee = next(t for t in doc["tables"] if t["name"] == "Messstelle")
+    assert [c["position"] for c in employee["columns"]] == list(range(1, 8))
+    assert employee["createdAt"] == "2019-04-02 08:15:00" and employee["rowCount"] == 85
     assert "fkTargetTable" not in employee["columns"][0] and "length" not in employee["columns"][0]
-    assert next(c for c in employee["columns"] if c["name"] == "부서코드")["fkTargetTable"] == "부서"
-    archived = next(t for t in doc["tables"] if t["owner"] == "HR_ARC")
+    assert next(c for c in employee["columns"] if c["name"] == "Gewässernummer")["fkTargetTable"] == "Gewässer"
+    archived = next(t for t in doc["tables"] if t["owner"] == "PEGEL_ARC")
     assert "rowCount" not in archived and "modifiedAt" not in archived
-    assert next(i for i in doc["indexes"] if i["name"] == "IDX_급여이력_사원")["columns"] == ["사원번호", "변경일자"]
+    assert next(i for i in doc["indexes"] if i["name"] == "IX_Ablesung_Reihe")["columns"] == ["Stelle", "Tag"]
     assert not {"body", "definition", "text", "source"} & set(re.findall(r'"(\w+)":', by_id[6]["json"].lower()))
     assert "synonyms" not in json.loads(by_id[5]["json"])  # MySQL has none
 
@@ -83,10 +83,10 @@ def test_running_totals_and_numbers_against_lists(spark):
 
 
 def test_table_page(few):
-    page = pages.table_pages(few).where("source_id = 6 and table_name = '근무지'").first()["html"]
-    assert "<p><em>근무지 &lt;지역 &amp; 지점&gt;</em></p>" in page
+    page = pages.table_pages(few).where("source_id = 6 and table_name = 'Revier'").first()["html"]
+    assert "<p><em>Revier &lt;Nord &amp; Süd&gt;</em></p>" in page
     assert page.count("badge-pk") == 2 and page.count("<td><strong>") == 3 and page.count("<thead>") == 1
-    assert page.index("지역코드") < page.index("지점코드") < page.index("지점명")
+    assert page.index("Bezirk") < page.index("Abschnitt") < page.index("Titel")
 
 
 def test_summary_page(spark, few):
@@ -101,10 +101,10 @@ def test_summary_page(spark, few):
 
 
 def test_seed_pages_have_the_expected_counts(few):
-    """The three HR tables: 18 column rows, 3 primary key, 2 foreign key and 1 unique badges."""
-    hr = pages.table_pages(few).where("source_id = 6 and owner in ('HR', 'HR2') and table_name in ('사원', '부서', '급여이력')").collect()
+    """The three large tables: 15 column rows, 3 primary key, 2 foreign key and 1 unique badges."""
+    hr = pages.table_pages(few).where("source_id = 6 and owner in ('PEGEL', 'PEGEL2') and table_name in ('Messstelle', 'Gewässer', 'Ablesung')").collect()
     text = "".join(r["html"] for r in hr)
-    assert [text.count(x) for x in ("<td><strong>", "badge-pk", "badge-fk", "badge-uk", "<thead>")] == [18, 3, 2, 1, 3]
+    assert [text.count(x) for x in ("<td><strong>", "badge-pk", "badge-fk", "badge-uk", "<thead>")] == [15, 3, 2, 1, 3]
 
 
 def test_escapes(spark):
@@ -116,9 +116,9 @@ def test_escapes(spark):
 
 def test_column_line(few):
     lines = {r["content"] for r in docs.doc_outline(few).where("source_id = 6").collect()}
-    assert "  • 이메일 (VARCHAR2) [UK]  - 회사 이메일 주소 (UNIQUE)" in lines or "  • 이메일 (VARCHAR2) [UK] " in lines
+    assert "  • Kennung (VARCHAR2) [UK]  - Kennung im Funknetz" in lines or "  • Kennung (VARCHAR2) [UK] " in lines
     escaped = {r["content"] for r in docs.doc_outline(few, escaped=True).where("source_id = 6").collect()}
-    assert "근무지 &lt;지역 &amp; 지점&gt;" in escaped
+    assert "Revier &lt;Nord &amp; Süd&gt;" in escaped
 
 
 def test_outline_reads_in_order(few):
@@ -127,9 +127,9 @@ def test_outline_reads_in_order(few):
     assert [r["ord"] for r in rows] == list(range(1, len(rows) + 1))
     more = docs.doc_outline(few, with_views_and_synonyms=True).where("source_id = 6").orderBy("ord").collect()
     assert [r["content"] for r in more if r["style"] == "Heading1"] == [r["content"] for r in rows if r["style"] == "Heading1"] + ["Views", "Synonyms"]
-    at = next(i for i, r in enumerate(rows) if r["content"] == "Table: 사원")
+    at = next(i for i, r in enumerate(rows) if r["content"] == "Table: Messstelle")
     assert [r["style"] for r in rows[at : at + 5]] == ["Heading2", "Normal", "Normal", "Heading3", "Normal"]
-    assert rows[at + 12]["content"] == "" and rows[at + 11]["content"].startswith("  • 이메일")
+    assert rows[at + 11]["content"] == "" and rows[at + 10]["content"].startswith("  • Eröffnet")
 
 
 def test_objects_sheet_in_order(few):
@@ -221,7 +221,7 @@ def test_owner_filter_reaches_the_scan(spark, tmp_path):
     customer = spark.read.parquet(f"{SF_DIR}/customer.parquet").where("c_custkey < 5")
     write_snapshot(native.oracle(customer), str(tmp_path), "oracle", buckets=2)
     back = read_snapshot(spark, str(tmp_path), "oracle")
-    tables = NORMALISERS["oracle"]["tables"](back, ["HR"])
+    tables = NORMALISERS["oracle"]["tables"](back, ["PEGEL"])
     assert re.search(r"PushedFilters: \[[^\]]*owner", plan(tables))
     assert "num_rows" not in plan(tables.select("name"))
 
