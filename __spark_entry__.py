@@ -18,7 +18,7 @@ from lakescribe.functions.dialect import split_dialects  # noqa: E402
 from lakescribe.functions.scratch import new_folder  # noqa: E402
 from lakescribe.functions.text import escape_markup, rfc3339, seconds  # noqa: E402
 from lakescribe.model import OBJECT_KINDS, Catalog, union_all  # noqa: E402
-from lakescribe.operators import audit, distincts, docs, enrich, keys, pages, profiles  # noqa: E402
+from lakescribe.operators import audit, distincts, docs, enrich, file_facts, keys, pages, profiles  # noqa: E402
 from lakescribe.operators import catalog_oracle as ora  # noqa: E402
 from lakescribe.operators import catalog_mssql as ms  # noqa: E402
 from lakescribe.operators import catalog_mysql as my  # noqa: E402
@@ -30,7 +30,7 @@ from lakescribe.plans.document_lake import document_lake  # noqa: E402
 from lakescribe.plans.extract import NORMALISERS, ExtractConfig, extract  # noqa: E402
 from lakescribe.functions.values import INTEGER, STRING, quoted, scalar_columns, type_class  # noqa: E402
 from lakescribe.sinks import write_pages, write_sheets  # noqa: E402
-from lakescribe.sources import read_snapshot, read_tables, write_snapshot  # noqa: E402
+from lakescribe.sources import compact_snapshot, read_snapshot, read_tables, snapshot_changes, write_snapshot  # noqa: E402
 from oracles import fleet_sql, lake_sql, text_sql  # noqa: E402
 
 try:
@@ -76,6 +76,7 @@ DECIMAL_KEYS = [
     ("orders", "far", "o_orderkey", "1000000000000000000000", "-5000000000000000000000000000000"), ("customer", "dense", "c_custkey", "1", "70000000000000000000000000000"),
     ("supplier", "stepped", "s_suppkey", "900719925474099300", "0"), ("customer", "repeated", "c_nationkey", "3", "1"),
 ]
+APPENDED = ("region", "nation", "customer", "supplier", "orders", "lineitem", "documents", "embeddings")
 KEYED = ("conversations", "lineitem", "orders", "nation", "supplier", "labels")
 
 
@@ -133,6 +134,17 @@ def _decimal_sequences(tables: dict[str, DataFrame]) -> DataFrame:
     return _flat(keys.decimal_sequence_profile({t: tables[t].selectExpr(*made) for t, made in wide.items()}))
 
 
+def _file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of tables that grew: half of each lands and is measured, then the other half."""
+    folder = _folder(spark)
+    paths = {name: f"{folder}/tables/{name}" for name in APPENDED}
+    for half in (0, 1):
+        for name, df in _lake(spark, sf_dir, APPENDED).items():
+            df.where(F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) == half).write.mode("append").parquet(paths[name])
+        file_facts.measure_files(spark, paths, f"{folder}/facts")
+    return file_facts.file_profile(spark, paths, f"{folder}/facts").drop("n_odd", "min_hash", "max_hash", "bits_low", "bits_high")
+
+
 def _composite_keys(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all([
         keys.check_key(tables[table], columns).select(
@@ -167,6 +179,28 @@ def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(my.mysql_tables(read_snapshot(spark, path, "mysql"), ALL))
 
 
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of MySQL dumps from a base of two runs and a run after it. What older runs say of a source must not show."""
+    frames, path = _dump(spark, sf_dir, "mysql"), _folder(spark)
+    write_snapshot({k: df.where("source_id % 3 < 2") if k != "tables" else df.where("source_id % 3 = 0") for k, df in frames.items()}, path, "mysql", buckets=4)
+    write_snapshot({k: df.where("source_id % 3 > 0") for k, df in frames.items()}, path, "mysql", buckets=4)
+    compact_snapshot(spark, path, "mysql", buckets=4)
+    write_snapshot({k: df.where("source_id % 4 = 0") for k, df in frames.items()}, path, "mysql", buckets=4)
+    return _flat(my.mysql_tables(read_snapshot(spark, path, "mysql"), ALL))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run changed: of one source in three, long names are gone and the tables named Dienst have other counts."""
+    frames, path = _dump(spark, sf_dir, "mysql"), _folder(spark)
+    first = write_snapshot(frames, path, "mysql", buckets=4)
+    again = {k: df.where("source_id % 3 = 0 OR source_id % 5 = 0") for k, df in frames.items()}
+    again["tables"] = again["tables"].where("source_id % 3 <> 0 OR length(table_name) <= 8").withColumn(
+        "table_rows", F.expr("CASE WHEN source_id % 3 = 0 AND table_name = 'Dienst' THEN table_rows + 1 ELSE table_rows END"))
+    second = write_snapshot(again, path, "mysql", buckets=4)
+    found = snapshot_changes(spark, path, "mysql", "tables", first, second).where("table_type = 'BASE TABLE'")
+    return found.select("source_id", F.col("table_schema").alias("owner"), F.col("table_name").alias("name"), F.col("table_rows").alias("row_count"), "change", "copies")
+
+
 def _column_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark)
     write_sheets(_catalog(spark, sf_dir), path, buckets=4)
@@ -347,6 +381,8 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "src_dialect": (_dialect_names, fleet.dialect_names()),
         "src_lake": (_on_lake(_contents), lake.contents()),
         "src_snap": (_landed, _normaliser_sql("mysql_tables")),
+        "src_snap_compacted": (_compacted, _normaliser_sql("mysql_tables")),
+        "src_snap_changes": (_changes, fleet.changed_tables()),
         "snk_sheets": (_column_sheet, fleet.doc_columns()),
         "snk_pages": (_landed_pages, texts.table_pages()),
         "snk_json": (_on_fleet(schema_documents), texts.documents(PIECE_BYTES)),
@@ -380,6 +416,7 @@ def _registry() -> dict[str, tuple[Query, str]]:
         "msr_fksuggest": (_on_lake(_suggestions), lake.suggestions()),
         "msr_sequence": (_on_lake(keys.sequence_profile), lake.sequences()),
         "msr_sequence_decimal": (_on_lake(_decimal_sequences), lake.decimal_sequences(DECIMAL_KEYS)),
+        "msr_filefacts": (_file_facts, lake.file_facts(APPENDED)),
         "msr_document": (_on_lake_catalog(lambda c: c["columns"]), lake.document()),
         "doc_overview": (_on_fleet(docs.doc_overview), fleet.doc_overview()),
         "doc_overview_lake": (_on_lake_catalog(docs.doc_overview), lake.doc_overview()),

@@ -146,13 +146,13 @@ def seen_repeats(tables: Tables, columns: set[tuple[str, str]], rows: int = WITN
     return {(r.table_name, r.column_name) for r in union_all(parts).collect()} if parts else set()
 
 
-def lake_facts(tables: Tables) -> list[ColumnFacts]:
+def lake_facts(tables: Tables, profile: DataFrame | None = None) -> list[ColumnFacts]:
     """Facts of every column, on the driver: one small row per column of the lake.
 
-    One scan for all columns; then a look at some rows, for those columns only that the first facts leave
+    One scan for all columns, or none if their scan_profile is given; then a look at some rows, for those columns only that the first facts leave
     open. Both can only prove that a column is not unique; what they leave open is decided on all rows.
     """
-    facts = [{**row.asDict(), "repeat_seen": False} for row in scan_profile(tables).collect()]
+    facts = [{**row.asDict(), "repeat_seen": False} for row in (scan_profile(tables) if profile is None else profile).collect()]
     # Dense integers are unique or nearly so: no use to look for repeats.
     unclear = {(f["table_name"], f["column_name"]) for f in facts if may_be_unique(f) and f["min_long"] is None}
     repeated = seen_repeats(tables, unclear) if unclear else set()

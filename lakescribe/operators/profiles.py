@@ -115,7 +115,8 @@ def _finite(c: str, cls: str) -> str:
     return f"CASE WHEN abs({c}) < double('Infinity') THEN {c} END" if cls == FLOAT else c
 
 
-def _numbers(field: T.StructField) -> Facts:
+def _digits(field: T.StructField) -> Facts:
+    """Digits before the point of the longest number, and digits after it; null without finite numbers."""
     c, cls = quoted(field.name), type_class(field.dataType)
     fits = _finite(c, cls)
     if cls == INTEGER:
@@ -128,9 +129,17 @@ def _numbers(field: T.StructField) -> Facts:
     # by their text: abs() keeps 34 digits of a decimal only
     texts = [_parts(f"CAST({end} AS string)") for end in ends]
     digits = ", ".join(f"CASE WHEN {end} > -1 AND {end} < 1 THEN 0 ELSE length(replace({before}, '-', '')) + {exponent} END" for end, (before, _, exponent) in zip(ends, texts, strict=True))
-    # A column of zeros still has one digit.
-    precision = f"CASE WHEN {ends[0]} IS NOT NULL THEN greatest(greatest({digits}) + {scale}, 1) END"
-    return {"precision": f"CAST({precision} AS int)", "scale": f"CAST({scale} AS int)"}
+    return {"digits": f"CASE WHEN {ends[0]} IS NOT NULL THEN greatest({digits}) END", "scale": f"CAST({scale} AS int)"}
+
+
+def precision_of(digits: str, scale: str) -> str:
+    """A column of zeros still has one digit."""
+    return f"CAST(CASE WHEN {digits} IS NOT NULL THEN greatest({digits} + {scale}, 1) END AS int)"
+
+
+def _numbers(field: T.StructField) -> Facts:
+    found = _digits(field)
+    return {"precision": precision_of(found["digits"], found["scale"]), "scale": found["scale"]}
 
 
 def numeric_profile(tables: Tables) -> DataFrame:
@@ -180,6 +189,12 @@ def _bounds(field: T.StructField) -> Facts:
 
 _NO_LENGTHS = dict.fromkeys(("min_chars", "max_chars", "max_bytes"), "CAST(NULL AS int)")
 _NO_NUMBERS = dict.fromkeys(("precision", "scale"), "CAST(NULL AS int)")
+_NO_DIGITS = dict.fromkeys(("digits", "scale"), "CAST(NULL AS int)")
+
+
+def _odd(field: T.StructField) -> str:
+    c, cls = quoted(field.name), type_class(field.dataType)
+    return f"count({c}) - count({_finite(c, cls)})" if cls in NUMERIC else "0L"
 
 
 def scan_profile(tables: Tables) -> DataFrame:
@@ -190,14 +205,43 @@ def scan_profile(tables: Tables) -> DataFrame:
     """
 
     def facts(field: T.StructField) -> Facts:
-        c, cls = quoted(field.name), type_class(field.dataType)
-        odd = f"count({c}) - count({_finite(c, cls)})" if cls in NUMERIC else "0L"
+        cls = type_class(field.dataType)
         return {
             **_nulls(field),
             **(_lengths(field) if cls == STRING else _NO_LENGTHS),
             **(_numbers(field) if cls in NUMERIC else _NO_NUMBERS),
-            "n_odd": odd,
+            "n_odd": _odd(field),
             **_bounds(field),
         }
 
     return per_column(tables, lambda schema: list(schema.fields), facts)
+
+
+# --- facts that can be merged ---------------------------------------------------------------------
+
+#: How the fact of a whole follows from the facts of its parts.
+MERGED = {
+    "n_rows": "sum", "n_nulls": "sum", "min_chars": "min", "max_chars": "max", "max_bytes": "max", "digits": "max", "scale": "max", "n_odd": "sum",
+    "min_long": "min", "max_long": "max", "min_hash": "min", "max_hash": "max", "bits_low": "bit_or", "bits_high": "bit_or",
+}
+
+
+def mergeable_facts(field: T.StructField) -> Facts:
+    """The facts of scan_profile in a form that can be merged: digits before the point in place of the precision."""
+    cls = type_class(field.dataType)
+    found = {
+        **_nulls(field),
+        **(_lengths(field) if cls == STRING else _NO_LENGTHS),
+        **(_digits(field) if cls in NUMERIC else _NO_DIGITS),
+        "n_odd": _odd(field),
+        **_bounds(field),
+    }
+    return {name: found[name] for name in MERGED}
+
+
+def merged_profile(parts: DataFrame) -> DataFrame:
+    """scan_profile of tables from the mergeable facts of their parts (table_name, column_name, *facts)."""
+    whole = parts.groupBy("table_name", "column_name").agg(*[F.expr(f"{how}({name})").alias(name) for name, how in MERGED.items()])
+    return whole.selectExpr(
+        "table_name", "column_name", "n_rows", "n_nulls", "n_nulls > 0 AS nullable", "min_chars", "max_chars", "max_bytes",
+        f"{precision_of('digits', 'scale')} AS precision", "scale", "n_odd", "min_long", "max_long", "min_hash", "max_hash", "bits_low", "bits_high")

@@ -74,9 +74,11 @@ def document_lake(
     source_id: int = 0,
     version: str | None = None,
     extracted_at: datetime | None = None,
+    profile: DataFrame | None = None,
 ) -> Catalog:
     """Canonical catalog of the given tables, each frame measured when it is first used. Comments:
-    (table_name, column_name, comment), the column name being '' for a table's own comment."""
+    (table_name, column_name, comment), the column name being '' for a table's own comment. profile: the tables'
+    scan_profile if it is known, such as the merged facts of their files; then only the comparison of values reads data."""
     spark = next(iter(tables.values())).sparkSession
     notes = comments if comments is not None else local_frame(
         spark, [], "table_name string, column_name string, comment string"
@@ -93,7 +95,7 @@ def document_lake(
 
     def documented() -> DataFrame:
         return (
-            row_counts(tables)
+            (row_counts(tables) if profile is None else profile.groupBy("table_name").agg(F.max("n_rows").alias("row_count")))
             .join(notes.where("column_name = ''").select("table_name", "comment"), "table_name", "left")
             .withColumns(
                 {
@@ -108,7 +110,7 @@ def document_lake(
         )
 
     def columns() -> DataFrame:
-        return _measured_columns(tables, notes).withColumns({**where, "object_kind": F.lit("TABLE")})
+        return _measured_columns(tables, notes, profile).withColumns({**where, "object_kind": F.lit("TABLE")})
 
     built: dict[str, Callable[[], DataFrame]] = {
         "sources": lambda: conform(sources(), "sources"),
@@ -120,11 +122,11 @@ def document_lake(
     return LazyFrames(built)
 
 
-def _measured_columns(tables: Tables, notes: DataFrame) -> DataFrame:
+def _measured_columns(tables: Tables, notes: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """The columns with all their facts. One comparison of values gives uniqueness and inclusions; both
     uses of it are in one plan, where equal exchanges run once."""
     spark = next(iter(tables.values())).sparkSession
-    facts = lake_facts(tables)
+    facts = lake_facts(tables, profile)
     compared = comparable_columns(tables, facts) | {(r["table_name"], r["column_name"]) for r in facts if may_be_unique(r)}
     sets = column_sets(tables, compared)
     unique = sets.where("is_unique").select(*_KEY)

@@ -207,6 +207,13 @@ def kind_sql(dialect: str, kind: str) -> str:
     return f"WITH {_source(dialect)}\n{_BUILD[kind](dialect)}"
 
 
+def changed_tables() -> str:
+    """MySQL tables that the second run of one source in three leaves out or counts anew."""
+    own = f"SELECT source_id, owner, name, row_count FROM ({kind_sql('mysql', 'tables')}) WHERE source_id % 3 = 0"
+    gone = f"SELECT *, 'removed' AS change, 1 AS copies FROM ({own}) WHERE length(name) > 8 OR name = 'Dienst'"
+    return f"{gone} UNION ALL SELECT source_id, owner, name, row_count + 1, 'added', 1 FROM ({own}) WHERE name = 'Dienst'"
+
+
 def _info(d: str) -> str:
     return f"""SELECT source_id, dialect, 'Pegeldienst_' || k AS database_name, '{LABELS[d]}' AS database_type,
   {_lit(seed.VERSIONS[d][0])} AS version, '{seed.EXTRACTED_AT}' AS extracted_at FROM src_{d}"""

@@ -100,6 +100,21 @@ def precision() -> str:
     return _union(parts)
 
 
+def file_facts(tables) -> str:
+    """All facts that one scan gives, but hashes."""
+    parts = []
+    for t, _, c, kind in _columns(tables=tables):
+        precision_, scale = _numbers(f'"{c}"') if kind in INTEGERS or kind == DOUBLE else ("NULL::INT", "NULL::INT")
+        low, high = (f'{end}("{c}")::BIGINT' if kind in INTEGERS else "NULL::BIGINT" for end in ("min", "max"))
+        shortest, longest, size = (
+            f'{end}({of}("{c}"))::INT' if kind == STRING else "NULL::INT" for end, of in (("min", "length"), ("max", "length"), ("max", "strlen")))
+        parts.append(
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count(\"{c}\") AS n_nulls, count(*) > count(\"{c}\") AS nullable, "
+            f"{shortest} AS min_chars, {longest} AS max_chars, {size} AS max_bytes, {precision_} AS precision, {scale} AS scale, "
+            f"{low} AS min_long, {high} AS max_long FROM {t}")
+    return _union(parts)
+
+
 def precision_wide() -> str:
     """Of numbers with many digits, derived from customer."""
     wide = {
