@@ -590,6 +590,36 @@ def test_training_follows_the_numeric_gradient():
         assert clear.sum() > 2 and (np.sign(step[clear]) == -np.sign(slope[clear])).mean() > 0.95, name
 
 
+def test_languages_of_thresholds_are_learned(spark):
+    """Of invented languages, one too small for a tree of its own; every guess by the trees' scores of single words."""
+    rng = np.random.default_rng(4)
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "абвгд", "tiny": "uvwxy"}
+
+    def text(lang):
+        return " ".join("".join(rng.choice(list(letters[lang]), 4)) for _ in range(12))
+
+    rows = [(i, text(x), x) for i, x in enumerate(["aa"] * 90 + ["bb"] * 90 + ["cc"] * 90 + ["tiny"] * 8)] + [(500, text("aa"), None), (501, "", "aa"), (502, None, "aa"), (503, " ... ", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    settings = Settings(epochs=1, buckets=1 << 10, min_per_language=40)
+    model = fit_toxicity(docs, labels, F.lit(True), settings)
+    assert model.languages.names == ["aa", "bb", "cc", toxicity.OTHER]
+    fresh_texts = [(x, text(x)) for x in letters for _ in range(9)] + [("", ""), ("", "...")]
+    texts = [toxicity.words_of(t.encode()) for _, t in fresh_texts]
+    found = model.languages.guess(*model._numbered(texts))
+    assert found == [x if x in ("aa", "bb", "cc") else toxicity.OTHER for x, _ in fresh_texts]
+    for words, name in zip(texts, found, strict=True):
+        if words:
+            sums = [sum(float(tree.score([w])[0]) for w in words) for tree in model.languages.trees]
+            assert model.languages.names[int(np.argmax(sums))] == name
+    # the language of a row is no input of its score, and without any there is one threshold
+    scored = {r.doc_id: r.score for r in score_toxicity(docs, model).collect()}
+    renamed = score_toxicity(docs.withColumn("lang", F.lit("zz")), model).collect()
+    assert all(scored[r.doc_id] == r.score for r in renamed)
+    plain = fit_toxicity(docs.drop("lang"), labels, F.lit(True), settings)
+    assert plain.languages.names == [] and set(plain.thresholds) == {toxicity.OTHER}
+
+
 def test_without_both_classes_nothing_is_toxic(spark, odd, labels):
     model = fit_toxicity(odd, labels.withColumn("toxic", F.lit(0)), F.lit(True))
     assert all(r.predicted == 0 for r in score_toxicity(odd, model).collect())
