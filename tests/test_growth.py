@@ -184,3 +184,12 @@ def test_states_changes_and_cleaning(spark, tmp_path, dump):
     assert changes("r2", "r3") == sorted((*x, "added", 1) for x in gone)
     with pytest.raises(ValueError):
         changes("r1", "r3")
+
+
+def test_landed_runs_are_not_broadcast(spark, tmp_path, dump):
+    """What says which run of a source counts has a row for each source."""
+    frames, ids = dump
+    path = str(tmp_path)
+    runs = [write_snapshot(of(frames, ids[i : i + 2]), path, "mysql", 2) for i in (0, 1)]
+    for df in (read_snapshot(spark, path, "mysql")["tables"], snapshot_changes(spark, path, "mysql", "tables", *runs)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
