@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakescribe.functions.text import escape_html, seconds
-from lakescribe.model import Catalog, union_all
+from lakescribe.model import Catalog, spread, union_all
 from lakescribe.operators.docs import TABLE_KEY, object_totals, table_columns
 from lakescribe.operators.parts import PIECE_BYTES, whole_texts
 
@@ -73,7 +73,7 @@ def table_pages(cat: Catalog) -> DataFrame:
     )
     return (
         cat["tables"].withColumnRenamed("name", "table_name")
-        .join(bodies, TABLE_KEY, "left")
+        .join(spread(bodies), TABLE_KEY, "left")
         .select(*TABLE_KEY, _page(heading, body).alias("html"))
     )
 
@@ -138,7 +138,7 @@ def summary_pages(cat: Catalog, with_views_and_synonyms: bool = False, limit: in
         present = lambda text: F.when(F.col(kind) > 0, F.lit(text))  # noqa: B023, E731
         once += [(place, 0, present(f"<h2>{heading}</h2>\n{_header(*header)}")), (place, 2, present(_END + NOTICES.get(kind, "")))]
     none = F.lit("")
-    fixed = cat["sources"].join(object_totals(cat), "source_id").select("source_id", F.inline(F.array(*[
+    fixed = cat["sources"].join(spread(object_totals(cat)), "source_id").select("source_id", F.inline(F.array(*[
         F.struct(F.lit(place).alias("place"), F.lit(line).alias("line"), none.alias("owner"), none.alias("name"), none.alias("detail"), text.alias("text"))
         for place, line, text in once]))).where("text IS NOT NULL")
     rows = [

@@ -11,6 +11,7 @@ from lakescribe.operators import catalog_mssql as ms
 from lakescribe.operators import catalog_mysql as my
 from lakescribe.operators import catalog_oracle as ora
 from lakescribe.operators import catalog_pg as pg
+from lakescribe.operators import audit, docs
 from lakescribe.operators.filters import ALL, ObjectFilter, filter_schemas
 from lakescribe.plans.extract import NORMALISERS, ExtractConfig, extract
 from lakescribe.sources.native import NATIVE, native_schema
@@ -36,6 +37,30 @@ def of_customer(df, k=1):
     return df.where(F.floor(F.col("source_id") / 4) == k)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("dialect", sorted(NORMALISERS))
+@pytest.mark.parametrize("schemas", [None, ALL])
+def test_no_relation_is_broadcast(dumps, dialect, schemas):
+    """Each relation grows with the fleet, which the estimate of its size does not show."""
+    for kind, normalise in NORMALISERS[dialect].items():
+        assert "Broadcast" not in plan_of(normalise(dumps[dialect], schemas)), kind
+
+
+def test_joins_of_a_catalog_are_not_broadcast(dumps):
+    catalog = extract(dumps, ExtractConfig(schemas=ALL, objects=ObjectFilter(exclude_types=("InnoDB",))))
+    for df in (catalog["columns"], catalog["indexes"], docs.doc_tables(catalog), docs.doc_overview(catalog), audit.audit_report(catalog)):
+        assert "Broadcast" not in plan_of(df)
+
+
+def test_customers_are_dealt_out_before_they_are_exploded(customer):
+    for dialect, build in native.BUILDERS.items():
+        above, below = plan_of(build(customer.coalesce(1))["database_info"]).split("Generate", 1)
+        assert "hashpartitioning(c_custkey" in below, dialect
+
+
 @pytest.mark.parametrize("dialect", sorted(NORMALISERS))
 def test_frames_have_the_canonical_schema(dumps, dialect):
     for kind, normalise in NORMALISERS[dialect].items():
