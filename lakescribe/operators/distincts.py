@@ -24,8 +24,10 @@ from lakescribe.operators.profiles import Tables, approx_distinct_profile, scan_
 
 ColumnFacts = dict[str, Any]  # a scan_profile row and whether a repeat was seen
 
-# Rows of each table in which repeats are looked for before all values are: a repeat there is a proof.
+# Rows of each partition in which repeats are looked for before all values are: a repeat among them is a proof.
 WITNESS_ROWS = 65_536
+# monotonically_increasing_id() has the row's place in its partition in its lower bits.
+_PLACE_BITS = (1 << 33) - 1
 WORD_BITS = 64
 # Up to so many columns a value's columns are bits of a mask, beyond they are a list; the results are the same.
 MASK_COLUMNS = 256
@@ -135,12 +137,15 @@ def may_be_unique(fact: ColumnFacts) -> bool:
 
 
 def seen_repeats(tables: Tables, columns: set[tuple[str, str]], rows: int = WITNESS_ROWS) -> set[tuple[str, str]]:
-    """Those of the columns that repeat a value within some rows of their table, compared exactly."""
+    """Those of the columns that repeat a value within the first rows of all partitions of their table, compared exactly.
+
+    No limit over the table: its last step would bring these rows of all partitions to one task.
+    """
     parts = []
     for table, df in tables.items():
         own = [m for m in _members({table: df}, columns)]
         if own:
-            some = df.select(*[column(m.field.name) for m in own]).limit(rows)
+            some = df.select(*[column(m.field.name) for m in own]).where(F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_BITS)) < rows)
             counted = _counted_values({table: some}, own).where("copies > 1").select("column_id").distinct()
             parts.append(counted.join(_names(df.sparkSession, own), "column_id").select("table_name", "column_name"))
     return {(r.table_name, r.column_name) for r in union_all(parts).collect()} if parts else set()

@@ -372,3 +372,9 @@ def test_facts_never_rule_out_a_unique_column(spark):
         "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS flag", "CAST(id % 100 AS double) AS x")
     facts = {f["column_name"]: f for f in distincts.lake_facts({"t": df})}
     assert [c for c in facts if distincts.may_be_unique(facts[c])] == ["id", "s", "f", "t"]
+
+
+def test_repeats_are_looked_for_in_all_partitions(spark):
+    """A limit over the table takes the first rows of the first partitions, and brings those of all to one task."""
+    df = spark.range(0, 4000, 1, 4).selectExpr("IF(id < 3000, CAST(id AS string), 'x') AS late", "CAST(id AS string) AS single")
+    assert distincts.seen_repeats({"t": df}, {("t", "late"), ("t", "single")}, rows=100) == {("t", "late")}
