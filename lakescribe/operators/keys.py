@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakescribe.functions.values import DECIMAL, INTEGER, column, common_key, comparable, scalar_columns, type_class, value_key
+from lakescribe.functions.values import DECIMAL, FLOAT, INTEGER, LOCAL_TIMESTAMP, TIMESTAMP, column, common_key, comparable, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
 from lakescribe.operators.distincts import ColumnFacts, column_sets, key_candidates_from, lake_facts
 from lakescribe.operators.profiles import Tables
@@ -277,13 +277,56 @@ def _refuted(df: DataFrame, candidates: list[tuple[str, ...]], rows: int) -> set
     return found
 
 
+#: Of the hashes of tuples, one in so many is looked at before all are: it has all rows of its tuples.
+_SHARE = 64
+
+
+def _tuple_hash(fields: Sequence[T.StructField]) -> Column:
+    """64 bits that are equal for equal tuples without null."""
+    plain = (INTEGER, TIMESTAMP, LOCAL_TIMESTAMP, "date", "boolean")
+    return F.xxhash64(*[column(f.name) if type_class(f.dataType) in plain else F.when(column(f.name) == 0, F.lit(0.0)).otherwise(column(f.name).cast("double"))
+                        if type_class(f.dataType) == FLOAT else value_key(f) for f in fields])
+
+
+def _unrepeated(tables: Tables, asked: list[tuple[str, tuple[str, ...]]]) -> set[int]:
+    """Numbers of the column lists, none with nulls, that have rows and no tuple twice, exact.
+
+    Tuples are compared first in a share of their hashes, where most repeats show, then by the hashes of all rows: a list without an equal
+    pair of hashes has no equal tuples. Where hashes are equal, the rows of one such hash are compared; only if their tuples differ
+    are all tuples of the list compared.
+    """
+    fields = [[tables[t].schema[c] for c in k] for t, k in asked]
+
+    def hashes(i: int) -> DataFrame:
+        return tables[asked[i][0]].select(F.lit(i).alias("candidate"), _tuple_hash(fields[i]).alias("hash"), *[column(c) for c in asked[i][1]])
+
+    def repeated(parts: dict[int, DataFrame]) -> set[int]:
+        """Those with a tuple twice among their rows."""
+        if not parts:
+            return set()
+        rows = union_all([df.select("candidate", _tuple_key([value_key(f) for f in fields[i]]).alias("value")) for i, df in parts.items()])
+        found = rows.groupBy("candidate", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("candidate").distinct().collect()
+        return {r.candidate for r in found}  # one row for each list at most
+
+    some = repeated({i: hashes(i).where(F.pmod("hash", F.lit(_SHARE)) == 0) for i in range(len(asked))})
+    left = [i for i in range(len(asked)) if i not in some]
+    if not left:
+        return set()
+    counted = union_all([hashes(i).select("candidate", "hash") for i in left]).groupBy("candidate", "hash").agg(F.count(F.lit(1)).alias("n"))
+    twice = {r.candidate: r.twice for r in counted.groupBy("candidate").agg(F.min(F.when(F.col("n") > 1, F.col("hash"))).alias("twice")).collect()}
+    found = {i for i, h in twice.items() if h is None}
+    doubtful = {i: h for i, h in twice.items() if h is not None}
+    proven = repeated({i: hashes(i).where(F.col("hash") == h) for i, h in doubtful.items()})
+    equal = {i: hashes(i) for i in doubtful if i not in proven}  # two tuples of one hash: all decide
+    return found | (set(equal) - repeated(equal))
+
+
 def find_keys(tables: Tables, width: int = 2, witness_rows: int = 20_000) -> DataFrame:
     """(table_name, columns, width): all minimal keys of up to `width` columns, exact.
 
     A key has no null and no repeated tuple, and no part of it is a key. Level by level: columns without null that are no
     keys make pairs, pairs that are none make triples whose pairs are all open, and so on. Some rows of a table refute most
-    candidates: two of them that agree are a proof, equal hashes being taken for equal values only until the exact
-    check, which groups all rows of what is left by (candidate, tuple). columns: comma-joined in the order of the table.
+    candidates: two of them that agree are a proof. What is left is decided exactly on all rows (`_unrepeated`). columns: comma-joined in the order of the table.
     """
     spark = next(iter(tables.values())).sparkSession
     facts = lake_facts(tables)
@@ -303,12 +346,7 @@ def find_keys(tables: Tables, width: int = 2, witness_rows: int = 20_000) -> Dat
             asked += [(table, k) for k in candidates if k not in refuted]
         exact = set()
         if asked:
-            parts = [
-                tables[t].select(F.lit(i).alias("candidate"), _tuple_key([value_key(tables[t].schema[c]) for c in k]).alias("value"))
-                for i, (t, k) in enumerate(asked)
-            ]
-            counted = union_all(parts).groupBy("candidate", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("candidate").agg(F.max("n").alias("most"))
-            exact = {asked[r.candidate] for r in counted.where("most = 1").collect()}  # one row for each candidate
+            exact = {asked[i] for i in _unrepeated(tables, asked)}
         found += [(t, ",".join(k), size) for t, k in sorted(exact)]
         open_ = {t: [k for k in ks if (t, k) not in exact] for t, ks in following.items()}
     return local_frame(spark, found, "table_name string, columns string, width int")
