@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lakescribe.functions.scratch import cut
 from lakescribe.functions.values import INTEGER, column, scalar_columns, type_class, value_key
 from lakescribe.model import local_frame, union_all
-from lakescribe.operators.profiles import Tables, approx_distinct_profile, scan_profile
+from lakescribe.operators.profiles import Tables, approx_distinct_profile, null_profile, scan_profile
 
 ColumnFacts = dict[str, Any]  # a scan_profile row and whether a repeat was seen
 
@@ -332,50 +332,46 @@ def _sparse_sets(tables: Tables, members: list[Member], every_holder: bool) -> D
         "column_id", "n_distinct", "is_unique", F.coalesce("held_by", F.array().cast("array<int>")).alias("held_by"))
 
 
-def _column_sets(tables: Tables, members: list[Member], every_holder: bool) -> DataFrame:
+def _column_sets(tables: Tables, members: list[Member], every_holder: bool, present: dict[tuple[str, str], int]) -> DataFrame:
     """Per member: distinct values, whether any repeats, and the members (the unique ones at least) that hold all of
-    its values."""
+    its values. A column repeats no value when it has as many values as rows with one, so a value is shuffled once, with the mask
+    of its columns, and no copies are counted."""
     if len(members) > MASK_COLUMNS:
         return _sparse_sets(tables, members, every_holder)
-    n_words = -(-len(members) // WORD_BITS)
-    seen = [f"seen_{w}" for w in range(n_words)]
-    twice = [f"twice_{w}" for w in range(n_words)]
+    seen = [f"seen_{w}" for w in range(-(-len(members) // WORD_BITS))]
     masks = (
-        _counted_values(tables, members)
+        _long_form(tables, members)
         .groupBy("value")
-        .agg(
-            *[F.bit_or(_word_bit(w)).alias(seen[w]) for w in range(n_words)],
-            *[F.bit_or(F.when(F.col("copies") > 1, _word_bit(w)).otherwise(F.lit(0).cast("long"))).alias(twice[w])
-              for w in range(n_words)],
-        )
-        .groupBy(*seen, *twice)
+        .agg(*[F.bit_or(_word_bit(w)).alias(c) for w, c in enumerate(seen)])
+        .groupBy(*seen)
         .agg(F.count(F.lit(1)).alias("n_values"))
     )
     numbers = F.sequence(F.lit(0), F.lit(len(members) - 1))
     holders = F.filter(numbers, lambda n: _bit(seen, n))
+    rows = F.element_at(F.array(*[F.lit(present[(m.table, m.field.name)]).cast("long") for m in members]), F.col("column_id") + 1)
     return (
         masks.select("*", F.explode(holders).alias("column_id"))
-        .withColumn("repeats", _bit(twice, F.col("column_id")))
         .groupBy("column_id")
-        .agg(
-            F.sum("n_values").alias("n_distinct"),
-            (~F.max("repeats")).alias("is_unique"),
-            *[F.bit_and(w).alias(w) for w in seen],
-        )
-        .select("column_id", "n_distinct", "is_unique", F.filter(numbers, lambda n: _bit(seen, n)).alias("held_by"))
+        .agg(F.sum("n_values").alias("n_distinct"), *[F.bit_and(w).alias(w) for w in seen])
+        .select("column_id", "n_distinct", (F.col("n_distinct") == rows).alias("is_unique"), F.filter(numbers, lambda n: _bit(seen, n)).alias("held_by"))
     )
 
 
-def column_sets(tables: Tables, wanted: set[tuple[str, str]], every_holder: bool = False) -> DataFrame:
+def column_sets(tables: Tables, wanted: set[tuple[str, str]], every_holder: bool = False, facts: Iterable[ColumnFacts] | None = None) -> DataFrame:
     """The sets of all wanted scalar columns by name; one row per column. held_by has all unique columns that hold
-    a column's values, and with every_holder all others too."""
+    a column's values, and with every_holder all others too. facts: those of the tables, if they are known; else nulls are counted."""
     spark = _spark(tables)
+    if facts is None:
+        read = {t: df.select(*[column(c) for c in df.columns if (t, c) in wanted]) for t, df in tables.items()}
+        read = {t: df for t, df in read.items() if df.columns}
+        facts = [r.asDict() for r in null_profile(read).collect()] if read else []
+    present = {(r["table_name"], r["column_name"]): r["n_rows"] - r["n_nulls"] for r in facts}
     parts = []
     for cls in sorted({type_class(f.dataType) for df in tables.values() for f in scalar_columns(df.schema)}):
         members = _members(tables, wanted, cls)
         if members:
             parts.append(
-                _column_sets(tables, members, every_holder)
+                _column_sets(tables, members, every_holder, present)
                 .join(_names(spark, members), "column_id")
                 .select(F.lit(cls).alias("type_class"), "column_id", "table_name", "column_name",
                         "n_distinct", "is_unique", "held_by")
@@ -415,5 +411,5 @@ def inclusions_from(sets: DataFrame) -> DataFrame:
 
 def inclusion_dependencies(tables: Tables) -> DataFrame:
     """All scalar columns whose values lie in a unique column of the same class in another table."""
-    sets = column_sets(tables, comparable_columns(tables, lake_facts(tables)))
-    return inclusions_from(sets)
+    facts = lake_facts(tables)
+    return inclusions_from(column_sets(tables, comparable_columns(tables, facts), facts=facts))

@@ -128,7 +128,7 @@ def _measured_columns(tables: Tables, notes: DataFrame, profile: DataFrame | Non
     spark = next(iter(tables.values())).sparkSession
     facts = lake_facts(tables, profile)
     compared = comparable_columns(tables, facts) | {(r["table_name"], r["column_name"]) for r in facts if may_be_unique(r)}
-    sets = column_sets(tables, compared)
+    sets = column_sets(tables, compared, facts=facts)
     unique = sets.where("is_unique").select(*_KEY)
     targets = suggest_foreign_keys(inclusions_from(sets)).select(
         F.col("child_table").alias("table_name"),
