@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -31,7 +32,7 @@ PREFIXES = (4, 5, 6)
 OTHER = "other"
 _PART = 1 << 18
 #: Words whose projections a worker keeps from chunk to chunk.
-_KEPT_WORDS = 1 << 17
+_KEPT_WORDS = 1 << 16
 #: Buckets whose averages are taken together.
 _BLOCK = 1 << 12
 #: Slots of the filter by which texts without a label stay out of the join; a bound, not a limit of the labels.
@@ -93,13 +94,13 @@ class SampleReader:
     """Makes a sample text by text; no text is kept."""
 
     def __init__(self, buckets: int):
-        self.size, self.number, self.docs, self.rows = buckets, {}, [], []
+        self.size, self.number, self.docs, self.rows = buckets, {}, [], array("i")
 
     def add(self, words: list[bytes]) -> None:
         for w in words:
             if w not in self.number:
                 self.number[w] = len(self.number)
-                self.rows.append(features(w, self.size))
+                self.rows.extend(features(w, self.size))
         self.docs.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
 
     def sample(self) -> Sample:
