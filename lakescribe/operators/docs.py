@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lakescribe.functions.text import escape_markup, rfc3339, yes_no
 from lakescribe.model import OBJECT_KINDS, Catalog, spread, union_all
-from lakescribe.operators.numbering import numbered
+from lakescribe.operators.numbering import numbered, numbered_by_group
+from lakescribe.operators.parts import large_sources
 
 TABLE_KEY = ["source_id", "owner", "table_name"]
 
@@ -160,6 +161,9 @@ def doc_objects(cat: Catalog) -> DataFrame:
 
 OUTLINE_ORDER = ["source_id", "ord"]
 _READING_ORDER = ["part", "owner", "name", "detail", "line", "style", "content"]
+# No row of a frame gives more lines than this; a table's heading of columns counts with its first column.
+_MOST_LINES = {"sources": 30, "tables": 4, "columns": 2, "routines": 4, "triggers": 5, "sequences": 4, "views": 4, "synonyms": 4}
+TASK_LINES = 200_000
 
 
 def _outline(df: DataFrame, part: int, owner: Column, name: Column, detail: Column, lines: list) -> DataFrame:
@@ -188,11 +192,12 @@ def column_line(name: Column, data_type: Column, pk: Column, fk: Column, uk: Col
     )
 
 
-def doc_outline(cat: Catalog, escaped: bool = False, with_views_and_synonyms: bool = False) -> DataFrame:
+def doc_outline(cat: Catalog, escaped: bool = False, with_views_and_synonyms: bool = False, task_lines: int = TASK_LINES) -> DataFrame:
     """(source_id, ord, style, content): document outline in reading order, one row per paragraph.
 
     ord counts the paragraphs of a source from 1. Views and synonyms are counted; they are listed, after the
-    sequences, if asked for. Runs jobs when called, see `numbered`.
+    sequences, if asked for. Sources that may have more than `task_lines` lines are numbered by prefix sums, see `numbered`; all
+    others are sorted source by source, which shuffles a line once. Runs jobs when called.
     """
     none, blank = F.lit(""), F.lit("")
     fmt = F.format_string
@@ -290,7 +295,15 @@ def doc_outline(cat: Catalog, escaped: bool = False, with_views_and_synonyms: bo
     whole = union_all(parts)
     if escaped:
         whole = whole.withColumn("content", escape_markup(F.col("content")))
-    return numbered(whole, ["source_id"], _READING_ORDER).select("source_id", F.col("ord"), "style", "content")
+    most = union_all([cat[kind].groupBy("source_id").agg((F.count(F.lit(1)) * n).alias("bytes")) for kind, n in _MOST_LINES.items()])
+    large = large_sources(most.groupBy("source_id").agg(F.sum("bytes").alias("bytes")), task_lines)
+    if large is None:
+        placed = numbered_by_group(whole, ["source_id"], _READING_ORDER)
+    else:
+        same = whole["source_id"].eqNullSafe(large["source_id"])
+        placed = numbered_by_group(whole.join(large, same, "left_anti"), ["source_id"], _READING_ORDER).unionByName(
+            numbered(whole.join(large, same, "left_semi"), ["source_id"], _READING_ORDER))
+    return placed.select("source_id", F.col("ord"), "style", "content")
 
 
 # --- details --------------------------------------------------------------------------------------
